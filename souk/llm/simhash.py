@@ -44,15 +44,15 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp long for each row of df."""
+    """doc_id, fp long and h, a hash of the text, for each row of df."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(x, shingle) for x in b.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(x, shingle) for x in b.column("text").to_pylist()], pa.int64()), b.column("h")], ["doc_id", "fp", "h"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -98,13 +98,28 @@ def links(nodes: DataFrame, most_bits: int = 2, m: int = 3, crowd: int = 64) ->
 
 
 def near_groups(df: DataFrame, shingle: int = 3, most_bits: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable over links) for each row of df."""
+    """doc_id, fp, h, component_id (the least doc_id reachable over links) for each row of df."""
     own = cut(fingerprints(df, shingle, id_col, text_col))
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = links(nodes.where("rep is not null"), most_bits, m)
     found = components(edges)
     of_fp = cut(nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return own.join(of_fp, "fp").select("doc_id", "fp", "h", "component_id")
+
+
+def first_of_groups(df: DataFrame, shingle: int = 5, most_bits: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near duplicates: of each group the row with the least id stays (of rows with
+    equal ids the one whose text hashes least, of wholly repeated rows one; a null id only where the group has
+    no other)."""
+    own = near_groups(df, shingle, most_bits, m, id_col, text_col)
+    group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).cast("long").alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).cast("long").alias("k"), F.col("fp").alias("v")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h")))
+    winners = cut(own.groupBy(group.alias("g")).agg(best.alias("b")).select("b.d", "b.h"))
+    key = (F.col(id_col).cast("long").eqNullSafe(F.col("d"))) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("h"))
+    kept = df.join(winners, key, "left_semi")
+    # A second pass over the texts only where rows repeat as a whole.
+    again = own.join(winners, own.doc_id.eqNullSafe(winners.d) & (own.h == winners.h), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
 def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
