@@ -1,6 +1,7 @@
-"""Registered queries of the market operators and their SQL."""
+"""All registered queries of the market operators and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .market import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
