@@ -114,11 +114,11 @@ def first_of_groups(df: DataFrame, shingle: int = 5, most_bits: int = 2, m: int
     own = near_groups(df, shingle, most_bits, m, id_col, text_col)
     group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).cast("long").alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).cast("long").alias("k"), F.col("fp").alias("v")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h")))
-    winners = cut(own.groupBy(group.alias("g")).agg(best.alias("b")).select("b.d", "b.h"))
-    key = (F.col(id_col).cast("long").eqNullSafe(F.col("d"))) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("h"))
+    winners = cut(own.groupBy(group.alias("g")).agg(best.alias("b")).select(F.col("b.d").alias("__d"), F.col("b.h").alias("__h")))
+    key = df[id_col].cast("long").eqNullSafe(winners["__d"]) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == winners["__h"])
     kept = df.join(winners, key, "left_semi")
     # A second pass over the texts only where rows repeat as a whole.
-    again = own.join(winners, own.doc_id.eqNullSafe(winners.d) & (own.h == winners.h), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
+    again = own.join(winners, own.doc_id.eqNullSafe(winners["__d"]) & (own.h == winners["__h"]), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
