@@ -82,6 +82,10 @@ class WordTokens:
         self.memo = Memo(self._plain_word, most=200_000)
         self.memo_chunks = Memo(self._plain_chunk)
         self.memo_spelled = Memo(self._spelled_word)
+        ends = [False] * self.split.size
+        for token, i in self.split.spec["model"]["vocab"].items():
+            ends[i] = token.endswith("</w>")
+        self.ends = np.array(ends)
 
     def _bytes(self, ids) -> bytes:
         return self.np.array(ids, dtype=self.kind).tobytes()
@@ -98,13 +102,34 @@ class WordTokens:
     def _spelled_word(self, word: str) -> bytes:
         return self._bytes(self.encode_word(word))
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts chunks into the memo by one call of the library; a token with the end mark closes a word."""
+        np, words = self.np, [self.split.words(c) for c in chunks]
+        flat = [w for ws in words for w in ws]
+        ids = np.array(self.split.library.encode(" ".join(flat), add_special_tokens=False).ids, dtype=self.kind)
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(stops) != len(flat) + 1:
+            raise ValueError("words and end marks differ")
+        at, raw, size = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]), ids.tobytes(), self.kind.itemsize
+        if len(self.memo_chunks) >= self.memo_chunks.most:
+            self.memo_chunks.clear()
+        for c, a, z in zip(chunks, stops[at[:-1]].tolist(), stops[at[1:]].tolist(), strict=True):
+            self.memo_chunks[c] = raw[a * size : z * size]
+
+    def _plain(self, text: str) -> bytes:
+        chunks = text.lower().split()
+        memo = self.memo_chunks
+        if not self.encode_word and (fresh := [c for c in set(chunks) if c not in memo and len(c) <= memo.longest]):
+            self._learn(fresh)
+        return b"".join(map(memo.__getitem__, chunks))
+
     def encode(self, text: str) -> bytes:
         out = []
         for part in self.split.parts(text):
             if part in self.split.added:
                 out.append(self._bytes([self.split.added[part]]))
             elif self.split.plain(part):
-                out.append(b"".join(map(self.memo_chunks.__getitem__, part.lower().split())))
+                out.append(self._plain(part))
             elif self.encode_word:
                 out.append(b"".join(map(self.memo_spelled.__getitem__, self.split.library_words(part))))
             else:
