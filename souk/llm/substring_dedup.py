@@ -4,7 +4,7 @@ A window is ``size`` consecutive words. First pass: every task counts, in a coun
 documents each window's minimiser occurs (the least hash among the window's runs of size / 2 words, so that
 neighbouring windows share one and equal windows have equal ones); the sketches are merged by adding their
 cells. A window's estimate is the least of its minimiser's cells, never below its true count of documents.
-Second pass: only windows estimated in two documents or more are grouped, exactly, by 128-bit hashes; each
+Second pass: only windows estimated in two documents or more are grouped, exactly, by 96-bit hashes; each
 word covered by a window that also starts in a document with a smaller id goes. A window that repeats is never
 lost, whatever the sketch's size; a crowded sketch only lets more windows through to the second pass.
 
@@ -26,7 +26,7 @@ DEPTH = 2
 
 
 def _hashes(text: str, size: int):
-    """Per window of a text: 2 x 64 bits of hash, and the minimiser's hash."""
+    """Per window of a text: 64 and 32 bits of hash, and the minimiser's hash."""
     import numpy as np
 
     from .sketch import _SEQUENCE, mixed, window_hashes, word_bounds, word_hashes
@@ -43,7 +43,7 @@ def _hashes(text: str, size: int):
         least, have = np.minimum(least[:-have], least[have:]), 2 * have
     if have < width:
         least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-    return window_hashes(words, size), window_hashes(mixed(words + np.uint64(1)), size), least
+    return window_hashes(words, size), (window_hashes(mixed(words + np.uint64(1)), size) >> np.uint64(32)).astype(np.uint32), least
 
 
 def _cells(values, log_width: int, row: int):
@@ -104,7 +104,7 @@ def repeated_cells(rows: DataFrame, size: int, log_width: int) -> list[bytes]:
 
 
 def repeated_windows(rows: DataFrame, size: int, log_width: int) -> DataFrame:
-    """rows (row_key, doc_id, text) -> (row_key, starts): the windows that also start in a document with a
+    """rows (doc_id, tag, text) -> (doc_id, tag, starts): the windows that also start in a document with a
     smaller id. A row's list is as long as its text at most."""
     bitmaps = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text"), size, log_width))
 
@@ -115,7 +115,7 @@ def repeated_windows(rows: DataFrame, size: int, log_width: int) -> DataFrame:
         maps = [np.frombuffer(x, dtype=np.uint8) for x in bitmaps.value]
         for b in batches:
             out = []
-            for row_key, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text")), strict=True):
+            for doc_id, tag, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
                 if (found := _hashes(text, size)) is None:
                     continue
                 maybe = np.ones(len(found[0]), dtype=bool)
@@ -124,16 +124,16 @@ def repeated_windows(rows: DataFrame, size: int, log_width: int) -> DataFrame:
                     maybe &= (maps[r][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(maybe)
                 if n := len(at):
-                    out.append((found[0][at].view(np.int64), found[1][at].view(np.int64), np.full(n, row_key), np.full(n, doc_id), at.astype(np.int32)))
+                    out.append((found[0][at].view(np.int64), found[1][at].view(np.int32), np.full(n, doc_id), np.full(n, tag, dtype=np.int32), at.astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "row_key", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "doc_id", "tag", "start"])
 
-    maybe = stored(rows.mapInArrow(windows, "h1 long, h2 long, row_key long, doc_id long, start int"))
+    maybe = stored(rows.mapInArrow(windows, "h1 long, h2 int, doc_id long, tag int, start int"))
     # Partial sums first, so a window that a third of all documents have costs each task one row; written, so
     # that the join's sides are dealt anew and a hot window's occurrences can be split.
     first = stored(maybe.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     later = maybe.join(first, ["h1", "h2"]).where("doc_id > least")
-    return later.groupBy("row_key").agg(F.collect_list("start").alias("starts"))
+    return later.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
 
 
 def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -141,9 +141,9 @@ def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col:
     kept is the text without the removed words and the white space after each; with digest, the sha256 of the
     kept words joined by single spaces. A text that loses nothing stays as it is (null stays null)."""
     rows = df.select(F.struct(*[F.col(c) for c in carry or []] or [F.lit(0).alias("none")]).alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    starts = repeated_windows(rows.where("doc_id is not null and text is not null").select("row_key", "doc_id", "text"), size, log_width)
-    joined = rows.join(starts, "row_key", "left").select("doc_id", "text", "starts", "carried")
+    rows = rows.withColumn("tag", F.hash("text"))  # tells texts of equal ids apart
+    starts = repeated_windows(rows.where("doc_id is not null and text is not null").select("doc_id", "tag", "text"), size, log_width)
+    joined = rows.join(starts, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "carried")
 
     def apply(batches):
         import numpy as np
