@@ -16,6 +16,7 @@ remove none; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +107,13 @@ def repeated_cells(rows: DataFrame, size: int, log_width: int) -> list[bytes]:
 def repeated_windows(rows: DataFrame, size: int, log_width: int) -> DataFrame:
     """rows (doc_id, tag, text) -> (doc_id, tag, starts): the windows that also start in a document with a
     smaller id. A row's list is as long as its text at most."""
-    bitmaps = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text"), size, log_width))
+    bitmaps = rows.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in repeated_cells(rows.select("text"), size, log_width)])
 
     def windows(batches):
         import numpy as np
         import pyarrow as pa
 
-        maps = [np.frombuffer(x, dtype=np.uint8) for x in bitmaps.value]
+        maps = [np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in bitmaps.value]
         for b in batches:
             out = []
             for doc_id, tag, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
@@ -143,22 +144,36 @@ def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col:
     rows = df.select(F.struct(*[F.col(c) for c in carry or []] or [F.lit(0).alias("none")]).alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tag", F.hash("text"))  # tells texts of equal ids apart
     starts = repeated_windows(rows.where("doc_id is not null and text is not null").select("doc_id", "tag", "text"), size, log_width)
-    joined = rows.join(starts, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "carried")
+    kind = rows.schema["carried"].dataType.simpleString()
+
+    def squeeze(batches):  # texts cross the network compressed
+        import pyarrow as pa
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = [None if x is None else small(x.encode()) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("carried"), b.column("doc_id"), b.column("tag"), pa.array(texts, pa.binary())], ["carried", "doc_id", "tag", "text"])
+
+    packed = rows.select("carried", "doc_id", "tag", "text").mapInArrow(squeeze, f"carried {kind}, doc_id long, tag int, text binary")
+    joined = packed.join(starts, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "carried")
 
     def apply(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         from .sketch import word_bounds
 
+        plain = zstandard.ZstdDecompressor().decompress
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, at in zip(b.column("text").to_pylist(), b.column("starts"), strict=True):
-                raw = (text or "").encode()
+            for squeezed, at in zip(b.column("text").to_pylist(), b.column("starts"), strict=True):
+                raw = b"" if squeezed is None else plain(squeezed)
                 if not at.is_valid and not digest:
                     n_words.append(len(raw.split()))
                     n_removed.append(0)
-                    kept.append(text)
+                    kept.append(None if squeezed is None else raw.decode())
                     continue
                 words, gone = raw.split(), None
                 if at.is_valid:
@@ -180,7 +195,6 @@ def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col:
                     kept.append((head + b"".join([raw[a:z] for a, z, g in zip(begin.tolist(), until.tolist(), gone.tolist(), strict=True) if not g])).decode())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), b.column("carried")], ["doc_id", "n_words", "n_removed", "kept", "carried"])
 
-    kind = joined.schema["carried"].dataType.simpleString()
     return joined.mapInArrow(apply, f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
 
 
