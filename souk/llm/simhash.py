@@ -22,27 +22,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, id_text
+from .common import cut, documents, id_text, stored
 from .graph import components
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles under XXH64 (seed 42), as a signed number."""
+PERMUTATIONS, BANDS, BAND_ROWS = 256, 10, 3
+
+
+def shingle_hashes(text: str, shingle: int):
+    """XXH64 (seed 42) of a text's word shingles, repeats included; none for a text without words."""
     import numpy as np
     import xxhash
 
     words = text.encode().lower().split()  # of bytes: only A-Z change, only ASCII white space parts
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.array([len(w) + 1 for w in words]))
     starts = [0, *ends[: len(words) - min(shingle, len(words))].tolist()]
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def simhash(hashes) -> int:
+    """64-bit SimHash as a signed number: a bit is 1 if set in over half the hashes."""
+    import numpy as np
+
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    return simhash(shingle_hashes(text, shingle))
+
+
+def least_hashes(hashes, times):
+    """(keys, signature) of a set of hashes: its least value under each multiplier, cut to a byte for the
+    signature and joined band by band for the keys; nothing for an empty set."""
+    import numpy as np
+    import xxhash
+
+    if not len(hashes):
+        return [], b""
+    least = np.full(len(times), 2**64 - 1, dtype="<u8")
+    for i in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[i : i + 512] * times[:, None]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(least[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(keys, dtype="<u8").view("<i8"), (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sketches(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As fingerprints(), with keys array<long> and sig binary of the shingle set."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        times = np.random.default_rng(42).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for b in batches:
+            fps, keys, sigs = [], [], []
+            for x in b.column("text").to_pylist():
+                hashes = shingle_hashes(x, shingle)
+                k, s = least_hashes(hashes, times)
+                fps.append(simhash(hashes))
+                keys.append(k)
+                sigs.append(s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("h"), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "fp", "h", "keys", "sig"])
+
+    return id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, h long, keys array<long>, sig binary")
+
+
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp long and h, a hash of the text, for each row of df."""
 
@@ -97,6 +148,60 @@ def links(nodes: DataFrame, most_bits: int = 2, m: int = 3, crowd: int = 64) ->
     return pairs.unionByName(stars.select("a", F.explode("all").alias("b")).where("a <> b").distinct())
 
 
+def ring(x, y, most_bits: int, m: int):
+    """Whether some chain of the m segments of x and y keeps its running difference within l * most_bits / m."""
+    differ = [F.bit_count(F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << n) - 1)).bitwiseXOR(F.shiftrightunsigned(y, a).bitwiseAND(F.lit((1 << n) - 1)))) for a, n in segments(m)]
+    held = F.lit(False)
+    for i in range(m):
+        run, ok = F.lit(0), F.lit(True)
+        for step in range(m):
+            run = run + differ[(i + step) % m]
+            ok = ok & (run * m <= (step + 1) * most_bits)
+        held = held | ok
+    return held
+
+
+def similar_links(nodes: DataFrame, least: float = 0.8, most_bits: int = 20, m: int = 4, crowd: int = 16, anchors: int = 4) -> DataFrame:
+    """nodes (fp, rep, keys, sig), fp distinct -> edges (a, b) between reps whose shingle sets are alike by
+    ``least`` or more. So far apart, fingerprints share no segment that tells them from others, so candidates
+    share a key of least hashes; they are pruned by the ring, then by the whole Hamming distance, then by the
+    similarity that their signatures estimate. Members of a key that more than ``crowd`` share are held against
+    a few of them, others for each key, not against each other."""
+    keyed = nodes.select("fp", "rep", F.posexplode("keys").alias("i", "v"))
+    picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "fp").alias("o"), F.col("fp").alias("y"))).alias(f"p{j}") for j in range(anchors)]
+    sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), *picks).where("n > 1"))
+    few = keyed.join(sizes.where(F.col("n") <= crowd).select("i", "v"), ["i", "v"])
+    small = few.select("i", "v", F.col("fp").alias("x")).join(few.select("i", "v", F.col("fp").alias("y")), ["i", "v"]).where("x < y").select("x", "y")
+    chosen = sizes.where(F.col("n") > crowd).select("i", "v", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}.y") for j in range(anchors)]))).alias("y"))
+    large = keyed.select("i", "v", F.col("fp").alias("x")).join(chosen, ["i", "v"]).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    pairs = small.unionByName(large).where(ring(x, y, most_bits, m)).where(F.bit_count(x.bitwiseXOR(y)) <= most_bits).distinct()
+    side = lambda key, rep, sig: nodes.select(F.col("fp").alias(key), F.col("rep").alias(rep), F.col("sig").alias(sig))
+    both = pairs.join(side("x", "a", "s"), "x").join(side("y", "b", "t"), "y").where("a <> b").select("a", "b", "s", "t")
+
+    def alike(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for c in batches:
+            s, t = (np.frombuffer(b"".join(c.column(n).to_pylist()), dtype=np.uint8).reshape(-1, PERMUTATIONS) for n in ("s", "t"))
+            found = ((s == t).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unlike bytes are equal once in 256
+            yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b")], ["a", "b"]).filter(pa.array(found >= least))
+
+    return both.mapInArrow(alike, "a long, b long")
+
+
+def similar_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_groups(), also joining documents whose shingle sets are alike by ``least`` or more."""
+    own = stored(sketches(df, shingle, id_col, text_col))
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("s"))
+    nodes = stored(first.select("fp", "rep", F.col("s.keys").alias("keys"), F.col("s.sig").alias("sig")))
+    known = nodes.where("rep is not null")
+    found = components(links(known.select("fp", "rep")).unionByName(similar_links(known, least)).distinct())
+    of_fp = cut(nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    return own.select("doc_id", "fp", "h").join(of_fp, "fp").select("doc_id", "fp", "h", "component_id")
+
+
 def near_groups(df: DataFrame, shingle: int = 3, most_bits: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, h, component_id (the least doc_id reachable over links) for each row of df."""
     own = cut(fingerprints(df, shingle, id_col, text_col))
@@ -107,11 +212,11 @@ def near_groups(df: DataFrame, shingle: int = 3, most_bits: int = 2, m: int = 3,
     return own.join(of_fp, "fp").select("doc_id", "fp", "h", "component_id")
 
 
-def first_of_groups(df: DataFrame, shingle: int = 5, most_bits: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near duplicates: of each group the row with the least id stays (of rows with
     equal ids the one whose text hashes least, of wholly repeated rows one; a null id only where the group has
     no other)."""
-    own = near_groups(df, shingle, most_bits, m, id_col, text_col)
+    own = cut(similar_groups(df, shingle, least, id_col, text_col))
     group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).cast("long").alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).cast("long").alias("k"), F.col("fp").alias("v")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h")))
     winners = cut(own.groupBy(group.alias("g")).agg(best.alias("b")).select(F.col("b.d").alias("__d"), F.col("b.h").alias("__h")))

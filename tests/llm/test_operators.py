@@ -184,7 +184,13 @@ def bits(text, k=3):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def least_linked(fps, ids, near=2):
+def shingle_set(text, k):
+    w = text.encode().lower().split()
+    return frozenset(b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def least_linked(fps, ids, near=2, sets=None):
+    """Least id that links reach; with sets, also links between texts alike by 0.8 or more."""
     up = {x: x for x in fps}
 
     def top(x):
@@ -197,6 +203,10 @@ def least_linked(fps, ids, near=2):
         for y in unique[k + 1 :]:
             if bin(x ^ y).count("1") <= near:
                 up[top(y)] = top(x)
+    for k, a in enumerate(sets or []):
+        for b, y in zip(sets[:k], fps, strict=False):
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                up[top(y)] = top(fps[k])
     least = {}
     for x, i in zip(fps, ids, strict=True):
         if i is not None:
@@ -211,7 +221,8 @@ def test_simhash(docs, rows, empty):
     assert got == want
     assert simhash.near_groups(empty).isEmpty()
     kept = simhash.first_of_groups(docs, shingle=3).collect()
-    assert len(kept) == len(set(least_linked(fps, [i for i, _ in rows])))
+    assert len(kept) == len(set(least_linked(fps, [i for i, _ in rows], sets=[shingle_set(t or "", 3) for _, t in rows])))
+    assert simhash.first_of_groups(empty).isEmpty()
 
 
 @pytest.mark.parametrize("crowd", [4, 64])
@@ -330,9 +341,45 @@ def test_pipeline(spark, rows, tmp_path):
         docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
         seen[name] = docs
     fps = [bits(t or "", 5) for _, t in rows]
-    kept = {i for i, x in zip([i for i, _ in rows], least_linked(fps, [i for i, _ in rows]), strict=True) if i is not None and i == x}
+    kept = {i for i, x in zip([i for i, _ in rows], least_linked(fps, [i for i, _ in rows], sets=[shingle_set(t or "", 5) for _, t in rows]), strict=True) if i is not None and i == x}
     assert seen["quality"].count() == len(rows)
     assert {r.doc_id for r in seen["near_dedup"].collect() if r.doc_id is not None} == kept
     assert all(seen[k].columns == corpus_pipeline.COLUMNS for k in ("quality", "near_dedup", "substring_dedup", "secrets"))
     assert not any("24be6443" in (r.text or "") or "hunter22" in (r.text or "") for r in seen["secrets"].collect())
     assert seen["packing"].agg(F.sum("length")).first()[0] == sum(len(Tokenizer.from_file(WORD).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in seen["secrets"].collect())
+
+
+def test_similar_documents(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, firsts = [], set()
+    for g in range(40):
+        base = [word() for _ in range(200)]
+        rows.append((10 * g, " ".join(base)))
+        firsts.add(10 * g)
+        for j, edits in ((1, 1), (2, 2), (3, 14)):
+            t = list(base)
+            for at in rng.sample(range(0, 200, 6), edits):
+                t[at] = word()
+            a, b = shingles(base), shingles(t)
+            like = len(a & b) / len(a | b)
+            assert like > 0.85 if edits < 3 else like < 0.7
+            rows.append((10 * g + j, " ".join(t)))
+            if edits > 3:
+                firsts.add(10 * g + j)
+    rows += [(1000 + i, r[1]) for i, r in enumerate(rows[:2])]
+    got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == firsts
+
+
+def test_crowd_of_similar_documents(spark):
+    import random
+
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(300)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[: 7 * i % 290], f"w{i}", *base[7 * i % 290 + 1 :]])) for i in range(1, 60)]
+    got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in got.collect()] == [0]
