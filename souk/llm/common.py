@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,26 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 class Memo(dict):
     """make(key), kept for the last keys seen: the cache starts afresh once it holds ``most`` entries, so a
-    worker's memory is bounded while the frequent keys stay at hand."""
+    worker's memory is bounded while the frequent keys stay at hand. Workers serve one stage after another, so
+    memos of another module's operator are emptied once one is filled."""
+
+    made: ClassVar[list[Memo]] = []
+    filling: ClassVar[str | None] = None
 
     def __init__(self, make, most: int = 400_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.owner = make, most, longest, make.__module__
+        Memo.made.append(self)
+
+    def fill(self) -> None:
+        if Memo.filling != self.owner:
+            Memo.filling = self.owner
+            for other in Memo.made:
+                if other.owner != self.owner:
+                    other.clear()
 
     def __missing__(self, key):
+        self.fill()
         value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:

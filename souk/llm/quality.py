@@ -44,7 +44,7 @@ def _chunk(chunk: str) -> tuple[int, int, int, int]:
     return *(zlib.crc32(x.encode()) % size if x else -1 for x in names), size + zlib.crc32(shape.encode()) % _SHAPE_ROOM
 
 
-_chunks = Memo(_chunk)
+_chunks = Memo(_chunk, most=120_000)
 
 
 def features(text: str):

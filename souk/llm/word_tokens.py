@@ -79,9 +79,9 @@ class WordTokens:
         self.kind = np.dtype("<u2" if self.split.size <= 1 << 16 else "<u4")
         self.np = np
         self.encode_word = encode_word
-        self.memo = Memo(self._plain_word, most=200_000)
-        self.memo_chunks = Memo(self._plain_chunk)
-        self.memo_spelled = Memo(self._spelled_word)
+        self.memo = Memo(self._plain_word, most=100_000)
+        self.memo_chunks = Memo(self._plain_chunk, most=250_000)
+        self.memo_spelled = Memo(self._spelled_word, most=100_000)
         ends = [False] * self.split.size
         for token, i in self.split.spec["model"]["vocab"].items():
             ends[i] = token.endswith("</w>")
@@ -104,6 +104,7 @@ class WordTokens:
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts chunks into the memo by one call of the library; a token with the end mark closes a word."""
+        self.memo_chunks.fill()
         np, words = self.np, [self.split.words(c) for c in chunks]
         flat = [w for ws in words for w in ws]
         ids = np.array(self.split.library.encode(" ".join(flat), add_special_tokens=False).ids, dtype=self.kind)
