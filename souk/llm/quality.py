@@ -152,7 +152,9 @@ def fit(docs: DataFrame, grades: DataFrame, most_rows: int = MOST_ROWS) -> Cumul
 def score(df: DataFrame, model: CumulativeLink | None, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, expected_grade, p_top (probability of the highest grade) and keep (p_top >= keep_from) for each
     row of df; with carry, a struct of those columns beside."""
-    rows = id_text(df, id_col, text_col) if not carry else df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
+    rows = id_text(df, id_col, text_col) if not carry else df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
+    if carry and text_col in carry:  # a batch holds each text once
+        rows = rows.drop("text")
     held = df.sparkSession.sparkContext.broadcast(model and (model.weights.astype("f4"), model.thresholds))
 
     def run(batches):
@@ -160,7 +162,8 @@ def score(df: DataFrame, model: CumulativeLink | None, keep_from: float = 0.5, i
 
         own = CumulativeLink(*held.value) if held.value else None
         for b in batches:
-            tails = [own.tails(x) if own else None for x in b.column("text").to_pylist()]
+            texts = b.column("carried").field(text_col) if carry and text_col in carry else b.column("text")
+            tails = [own.tails(x.as_py() or "") if own else None for x in texts]
             columns = [b.column("doc_id"), pa.array([None if t is None else float(t.sum()) for t in tails], pa.float64()), pa.array([None if t is None else float(t[-1]) for t in tails], pa.float64()), pa.array([t is None or bool(t[-1] >= keep_from) for t in tails], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *([b.column("carried")] if carry else [])], ["doc_id", "expected_grade", "p_top", "keep", *["carried"] * bool(carry)])
 

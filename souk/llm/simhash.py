@@ -27,6 +27,8 @@ from .graph import components
 
 
 PERMUTATIONS, BANDS, BAND_ROWS = 256, 10, 3
+#: Keys of members of crowds: how many, and least hashes in each. Two texts alike by 0.8 share one with over 99.8 %.
+FINER = ((40, 6), (96, 12))
 
 
 def shingle_hashes(text: str, shingle: int):
@@ -74,7 +76,7 @@ def least_hashes(hashes, times):
 
 
 def sketches(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As fingerprints(), with keys array<long> and sig binary of the shingle set."""
+    """As fingerprints(), but of the set of shingles, repeats once; with keys array<long> and sig binary of that set."""
 
     def run(batches):
         import numpy as np
@@ -84,7 +86,7 @@ def sketches(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
         for b in batches:
             fps, keys, sigs = [], [], []
             for x in b.column("text").to_pylist():
-                hashes = shingle_hashes(x, shingle)
+                hashes = np.unique(shingle_hashes(x, shingle))
                 k, s = least_hashes(hashes, times)
                 fps.append(simhash(hashes))
                 keys.append(k)
@@ -161,23 +163,24 @@ def ring(x, y, most_bits: int, m: int):
     return held
 
 
-def similar_links(nodes: DataFrame, least: float = 0.8, most_bits: int = 20, m: int = 4, crowd: int = 16, anchors: int = 4) -> DataFrame:
-    """nodes (fp, rep, keys, sig), fp distinct -> edges (a, b) between reps whose shingle sets are alike by
-    ``least`` or more. So far apart, fingerprints share no segment that tells them from others, so candidates
-    share a key of least hashes; they are pruned by the ring, then by the whole Hamming distance, then by the
-    similarity that their signatures estimate. Members of a key that more than ``crowd`` share are held against
-    a few of them, others for each key, not against each other."""
-    keyed = nodes.select("fp", "rep", F.posexplode("keys").alias("i", "v"))
-    picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "fp").alias("o"), F.col("fp").alias("y"))).alias(f"p{j}") for j in range(anchors)]
-    sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), *picks).where("n > 1"))
-    few = keyed.join(sizes.where(F.col("n") <= crowd).select("i", "v"), ["i", "v"])
-    small = few.select("i", "v", F.col("fp").alias("x")).join(few.select("i", "v", F.col("fp").alias("y")), ["i", "v"]).where("x < y").select("x", "y")
-    chosen = sizes.where(F.col("n") > crowd).select("i", "v", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}.y") for j in range(anchors)]))).alias("y"))
-    large = keyed.select("i", "v", F.col("fp").alias("x")).join(chosen, ["i", "v"]).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    pairs = small.unionByName(large).where(ring(x, y, most_bits, m)).where(F.bit_count(x.bitwiseXOR(y)) <= most_bits).distinct()
-    side = lambda key, rep, sig: nodes.select(F.col("fp").alias(key), F.col("rep").alias(rep), F.col("sig").alias(sig))
-    both = pairs.join(side("x", "a", "s"), "x").join(side("y", "b", "t"), "y").where("a <> b").select("a", "b", "s", "t")
+def similar_links(nodes: DataFrame, keyed: DataFrame, least: float, most_bits: int, m: int, crowd: int | None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
+    """nodes (k, sig), keyed (k, fp, c, i, v) -> edges (a, b) between the components c of nodes whose shingle sets
+    are alike by ``least`` or more, and (i, v) of the crowded keys. Candidates share a key and are of different
+    components; they are pruned by the ring, then by the whole Hamming distance, then by the similarity that their
+    signatures estimate. Where more than ``crowd`` share a key, only a few of them are held against all others."""
+    picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "k").alias("o"), F.col("k").alias("y"), F.col("fp").alias("g"), F.col("c").alias("b"))).alias(f"p{j}") for j in range(anchors)]
+    sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi"))
+    is_crowd = F.col("n") > crowd if crowd else F.lit(False)
+    few = keyed.join(sizes.where(~is_crowd).select("i", "v"), ["i", "v"])
+    side = lambda rows, *names: rows.select("i", "v", *[F.col(n).alias(m) for n, m in zip(("k", "fp", "c"), names, strict=True)])
+    ends = ["x", "f", "a", "y", "g", "b"]
+    small = side(few, "x", "f", "a").join(side(few, "y", "g", "b"), ["i", "v"]).where("x < y and a <> b").select(ends)
+    chosen = sizes.where(is_crowd).select("i", "v", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{j}.{n}") for n in "ygb"]) for j in range(anchors)]))).alias("p")).select("i", "v", "p.*")
+    large = side(keyed, "x", "f", "a").join(chosen, ["i", "v"]).where("x <> y and a <> b").select(ends)
+    order = [pick(p, q).alias(n) for pick, p, q, n in ((F.least, "x", "y", "x"), (F.greatest, "x", "y", "y"), (F.least, "a", "b", "a"), (F.greatest, "a", "b", "b"))]
+    f, g = F.col("f"), F.col("g")
+    pairs = small.unionByName(large).where(ring(f, g, most_bits, m)).where(F.bit_count(f.bitwiseXOR(g)) <= most_bits).select(*order).distinct()
+    both = pairs.join(nodes.select(F.col("k").alias("x"), F.col("sig").alias("s")), "x").join(nodes.select(F.col("k").alias("y"), F.col("sig").alias("t")), "y")
 
     def alike(batches):
         import numpy as np
@@ -188,18 +191,67 @@ def similar_links(nodes: DataFrame, least: float = 0.8, most_bits: int = 20, m:
             found = ((s == t).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unlike bytes are equal once in 256
             yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b")], ["a", "b"]).filter(pa.array(found >= least))
 
-    return both.mapInArrow(alike, "a long, b long")
+    return both.select("a", "b", "s", "t").mapInArrow(alike, "a long, b long").distinct(), sizes.where(is_crowd).select("i", "v")
+
+
+def finer_keys(rows: DataFrame, bands: int, width: int) -> DataFrame:
+    """rows (k, fp, c, sig) -> (k, fp, c, i, v): keys of ``width`` bytes of the signature, chosen anew for each band."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        rng = np.random.default_rng(width)
+        chosen = np.stack([rng.choice(PERMUTATIONS, width, replace=False) for _ in range(bands)])
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+            raw = sig[:, chosen].reshape(-1, width)
+            v = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in raw], dtype="<u8").view("<i8")
+            at = pa.array(np.repeat(np.arange(len(sig)), bands))
+            yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in ("k", "fp", "c")), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))), pa.array(v)], ["k", "fp", "c", "i", "v"])
+
+    return rows.where("length(sig) > 0").mapInArrow(run, "k long, fp long, c long, i int, v long")
+
+
+def similar_components(nodes: DataFrame, least: float = 0.8, most_bits: int = 20, m: int = 4, crowd: int = 16) -> DataFrame:
+    """nodes (k, fp, keys, sig), k distinct -> (k, c), the least k reachable over fingerprints at two bits
+    or fewer and over shingle sets alike by ``least`` or more.
+
+    At that distance fingerprints share no segment that tells them from others, so candidates share a key of
+    three least hashes. A key that more than ``crowd`` share is held against a few of its members first, which
+    joins groups of near copies in one step. If members of different components remain, they get new keys of six
+    least hashes, then of twelve, where all that share a key and are not joined yet are held against each other."""
+    labels = nodes.select("k", "fp", F.col("k").alias("c"))
+    keyed = nodes.select("k", "fp", F.col("k").alias("c"), F.posexplode("keys").alias("i", "v"))
+    of_fp = cut(nodes.groupBy("fp").agg(F.min("k").alias("rep")))
+    more = links(of_fp).unionByName(nodes.select("fp", F.col("k").alias("a")).join(of_fp, "fp").select("a", F.col("rep").alias("b")).where("a <> b"))
+    for finer in (*FINER, None):
+        edges, crowds = similar_links(nodes.select("k", "sig"), keyed, least, most_bits, m, crowd if finer else None)
+        edges, more = (edges.unionByName(more) if more is not None else edges), None
+        found = components(edges)
+        labels = cut(labels.join(found, F.col("c") == F.col("node"), "left").select("k", "fp", F.coalesce("component", "c").alias("c")))
+        if finer is None:
+            break
+        crowded = keyed.select("k", "i", "v").join(crowds, ["i", "v"]).join(labels, "k")
+        mixed = crowded.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
+        open_ = cut(crowded.join(mixed, ["i", "v"], "left_semi").select("k", "fp", "c").distinct())
+        if open_.isEmpty():
+            break
+        keyed = stored(finer_keys(open_.join(nodes.select("k", "sig"), "k").select("k", "fp", "c", "sig"), *finer))
+    return labels
 
 
 def similar_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As near_groups(), also joining documents whose shingle sets are alike by ``least`` or more."""
-    own = stored(sketches(df, shingle, id_col, text_col))
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("s"))
-    nodes = stored(first.select("fp", "rep", F.col("s.keys").alias("keys"), F.col("s.sig").alias("sig")))
-    known = nodes.where("rep is not null")
-    found = components(links(known.select("fp", "rep")).unionByName(similar_links(known, least)).distinct())
-    of_fp = cut(nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return own.select("doc_id", "fp", "h").join(of_fp, "fp").select("doc_id", "fp", "h", "component_id")
+    """As near_groups(), also joining documents whose shingle sets are alike by ``least`` or more; with c, the
+    group's own key, also where none of its rows has an id."""
+    own = stored(sketches(df, shingle, id_col, text_col).withColumn("k", F.xxhash64("fp", "sig")))
+    same = own.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first(F.struct("fp", "keys", "sig")).alias("s"))  # equal for all of a k
+    nodes = stored(same.select("k", "rep", "s.*"))
+    found = similar_components(nodes.drop("rep"), least)
+    ids = found.join(nodes.select("k", "rep"), "k").groupBy("c").agg(F.min("rep").alias("component_id"))
+    of_k = cut(found.select("k", "c").join(ids, "c"))
+    return own.select("doc_id", "fp", "h", "k").join(of_k, "k").select("doc_id", "fp", "h", "component_id", "c")
 
 
 def near_groups(df: DataFrame, shingle: int = 3, most_bits: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,9 +269,8 @@ def first_of_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     equal ids the one whose text hashes least, of wholly repeated rows one; a null id only where the group has
     no other)."""
     own = cut(similar_groups(df, shingle, least, id_col, text_col))
-    group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).cast("long").alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).cast("long").alias("k"), F.col("fp").alias("v")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h")))
-    winners = cut(own.groupBy(group.alias("g")).agg(best.alias("b")).select(F.col("b.d").alias("__d"), F.col("b.h").alias("__h")))
+    winners = cut(own.groupBy("c").agg(best.alias("b")).select(F.col("b.d").alias("__d"), F.col("b.h").alias("__h")))
     key = df[id_col].cast("long").eqNullSafe(winners["__d"]) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == winners["__h"])
     kept = df.join(winners, key, "left_semi")
     # A second pass over the texts only where rows repeat as a whole.

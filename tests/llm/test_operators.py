@@ -383,3 +383,17 @@ def test_crowd_of_similar_documents(spark):
     rows = [(0, " ".join(base))] + [(i, " ".join([*base[: 7 * i % 290], f"w{i}", *base[7 * i % 290 + 1 :]])) for i in range(1, 60)]
     got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in got.collect()] == [0]
+
+
+@pytest.mark.parametrize("shared", [120, 165])
+def test_near_copies_within_a_crowd_of_others(spark, shared):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage, rows = [word() for _ in range(shared)], []
+    for g in range(120):
+        own = [*passage, *(word() for _ in range(200 - shared))]
+        twin = list(own)
+        twin[shared + 10] = word()
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(twin))]
+    got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 240, 2))
