@@ -18,7 +18,8 @@ empty table an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
+import string
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,38 +27,49 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, id_text
 
 LOG_FEATURES, MOST_ROWS = 18, 4000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _SHAPE_ROOM = 1 << 10  # the last features are shapes
+_NONE = (1 << LOG_FEATURES) - 1
 
 
-def _chunk(chunk: str) -> tuple[int, int, int, int]:
-    """Features of a run of other characters than white space: its word, the word's first five and four letters
-    (-1: none) and its shape."""
+_shapes = Memo(lambda shape: crc32(shape.encode()) % _SHAPE_ROOM, most=20_000)
+
+
+def _chunk(chunk: str) -> int:
+    """Features of a run of other characters than white space, in one number of 64 bits: its word, the word's first
+    five and four letters (18 bits each, all set: none) and its shape (10 bits)."""
     size = (1 << LOG_FEATURES) - _SHAPE_ROOM
-    word = max(_LETTERS.findall(chunk), key=len, default="")
-    around = _LETTERS.sub("a", chunk)
-    if re.search(r"\d", around):
-        around = re.sub(r"\d+", "0", around)
+    word = chunk.strip(string.punctuation)
+    if word.isalpha():  # most chunks
+        around = "a" if word == chunk else chunk.replace(word, "a", 1)
+    else:
+        word = max(_LETTERS.findall(chunk), key=len, default="")
+        around = _DIGITS.sub("0", _LETTERS.sub("a", chunk))
     shape = around[:8] + ("^" if len(word) > 1 and word.isupper() else "")
     low = word.lower()
     names = [low, *(f"{low[:k]}-" if len(low) > k else "" for k in (5, 4))]
-    return *(zlib.crc32(x.encode()) % size if x else -1 for x in names), size + zlib.crc32(shape.encode()) % _SHAPE_ROOM
+    packed = _shapes[shape]
+    for x in names:
+        packed = packed << LOG_FEATURES | (crc32(x.encode()) % size if x else _NONE)
+    return packed
 
 
-_chunks = Memo(_chunk, most=120_000)
+_chunks = Memo(_chunk, most=300_000)
 
 
 def features(text: str):
     """(indices, values) of a text, each index once."""
     import numpy as np
 
-    found = list(map(_chunks.__getitem__, text.split()))
-    if not found:
+    chunks = text.split()
+    if not chunks:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    both = np.array(found, dtype=np.int32)
-    words = np.unique(both[:, :3])
-    words = words[words >= 0]
-    shapes, n = np.unique(both[:, 3], return_counts=True)
+    found = np.fromiter(map(_chunks.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
+    kinds = np.unique(found)
+    words = np.unique(np.concatenate([kinds >> np.uint64(i * LOG_FEATURES) & np.uint64(_NONE) for i in range(3)]))
+    words = words[words != _NONE]
+    shapes, n = np.unique(found >> np.uint64(3 * LOG_FEATURES), return_counts=True)
+    shapes = shapes + np.uint64((1 << LOG_FEATURES) - _SHAPE_ROOM)
     return np.concatenate([words, shapes]).astype(np.int32), np.concatenate([np.ones(len(words)), 10.0 * n / len(found)]).astype(np.float32)
 
 
