@@ -16,8 +16,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     with the smaller ones; the rounds needed grow with the logarithm of the size. Each round ends in a
     checkpoint, so a lost executor costs at most one round."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _mark(e)
-    while seen[0] and most_rounds:
+    while not _settled(e):
+        if not most_rounds:
+            raise RuntimeError("components did not settle")
         most_rounds -= 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,17 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = _mark(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    """Size and content hash of an edge table."""
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _settled(e: DataFrame) -> bool:
+    """Whether every node hangs on one other only, and that one on none: then it is its component's least."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")), F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))).alias("s")).select("s.*")
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1").isEmpty()
