@@ -29,6 +29,8 @@ from .graph import components
 PERMUTATIONS, BANDS, BAND_ROWS = 256, 10, 3
 #: Keys of members of crowds: how many, and least hashes in each. Two texts alike by 0.8 share one with over 99.8 %.
 FINER = ((40, 6), (96, 12))
+#: An estimate this far from the least similarity (0.12 is over 4.5 standard deviations at 0.8) settles a pair.
+FAR = 0.12
 
 
 def shingle_hashes(text: str, shingle: int):
@@ -163,11 +165,36 @@ def ring(x, y, most_bits: int, m: int):
     return held
 
 
-def similar_links(nodes: DataFrame, keyed: DataFrame, least: float, most_bits: int, m: int, crowd: int | None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
-    """nodes (k, sig), keyed (k, fp, c, i, v) -> edges (a, b) between the components c of nodes whose shingle sets
+def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """texts (h, text), wanted (k, h) -> (k, set), the distinct shingle hashes of each wanted text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)).view("<i8") for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sets, pa.list_(pa.int64()))], ["k", "set"])
+
+    return texts.dropDuplicates(["h"]).join(wanted, "h").select("k", "text").mapInArrow(run, "k long, set array<long>")
+
+
+def exact_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """pairs (x, y, a, b) of nodes (k, h) -> (a, b) of those whose shingle sets have ``least`` or more in common."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    sets = cut(shingle_sets(texts, nodes.select("k", "h").join(wanted, "k"), shingle))
+    both = pairs.join(sets.select(F.col("k").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("k").alias("y"), F.col("set").alias("t")), "y")
+    common = F.size(F.array_intersect("s", "t"))
+    counted = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("n"))
+    return counted.where(F.col("common") >= least * (F.col("n") - F.col("common"))).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: float, shingle: int, most_bits: int, m: int, crowd: int | None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
+    """nodes (k, h, sig), keyed (k, fp, c, i, v) -> edges (a, b) between the components c of nodes whose shingle sets
     are alike by ``least`` or more, and (i, v) of the crowded keys. Candidates share a key and are of different
-    components; they are pruned by the ring, then by the whole Hamming distance, then by the similarity that their
-    signatures estimate. Where more than ``crowd`` share a key, only a few of them are held against all others."""
+    components; they are pruned by the ring, then by the whole Hamming distance; signatures settle those far from
+    ``least``, the shingle sets of texts (h, text) all others. Where more than ``crowd`` share a key, only a few of
+    them are held against all others."""
     picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "k").alias("o"), F.col("k").alias("y"), F.col("fp").alias("g"), F.col("c").alias("b"))).alias(f"p{j}") for j in range(anchors)]
     sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi"))
     is_crowd = F.col("n") > crowd if crowd else F.lit(False)
@@ -182,16 +209,18 @@ def similar_links(nodes: DataFrame, keyed: DataFrame, least: float, most_bits: i
     pairs = small.unionByName(large).where(ring(f, g, most_bits, m)).where(F.bit_count(f.bitwiseXOR(g)) <= most_bits).select(*order).distinct()
     both = pairs.join(nodes.select(F.col("k").alias("x"), F.col("sig").alias("s")), "x").join(nodes.select(F.col("k").alias("y"), F.col("sig").alias("t")), "y")
 
-    def alike(batches):
+    def estimated(batches):
         import numpy as np
         import pyarrow as pa
 
         for c in batches:
             s, t = (np.frombuffer(b"".join(c.column(n).to_pylist()), dtype=np.uint8).reshape(-1, PERMUTATIONS) for n in ("s", "t"))
             found = ((s == t).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unlike bytes are equal once in 256
-            yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b")], ["a", "b"]).filter(pa.array(found >= least))
+            yield pa.RecordBatch.from_arrays([*(c.column(n) for n in ("x", "y", "a", "b")), pa.array(found >= least + FAR)], ["x", "y", "a", "b", "sure"]).filter(pa.array(found >= least - FAR))
 
-    return both.select("a", "b", "s", "t").mapInArrow(alike, "a long, b long").distinct(), sizes.where(is_crowd).select("i", "v")
+    held = cut(both.select("x", "y", "a", "b", "s", "t").mapInArrow(estimated, "x long, y long, a long, b long, sure boolean"))
+    exact = exact_links(held.where("not sure").drop("sure"), nodes, texts, least, shingle)
+    return held.where("sure").select("a", "b").unionByName(exact).distinct(), sizes.where(is_crowd).select("i", "v")
 
 
 def finer_keys(rows: DataFrame, bands: int, width: int) -> DataFrame:
@@ -214,9 +243,9 @@ def finer_keys(rows: DataFrame, bands: int, width: int) -> DataFrame:
     return rows.where("length(sig) > 0").mapInArrow(run, "k long, fp long, c long, i int, v long")
 
 
-def similar_components(nodes: DataFrame, least: float = 0.8, most_bits: int = 20, m: int = 4, crowd: int = 16) -> DataFrame:
-    """nodes (k, fp, keys, sig), k distinct -> (k, c), the least k reachable over fingerprints at two bits
-    or fewer and over shingle sets alike by ``least`` or more.
+def similar_components(nodes: DataFrame, texts: DataFrame, least: float = 0.8, shingle: int = 5, most_bits: int = 20, m: int = 4, crowd: int = 16) -> DataFrame:
+    """nodes (k, fp, h, keys, sig), k distinct, and texts (h, text) -> (k, c), the least k reachable over
+    fingerprints at two bits or fewer and over shingle sets alike by ``least`` or more.
 
     At that distance fingerprints share no segment that tells them from others, so candidates share a key of
     three least hashes. A key that more than ``crowd`` share is held against a few of its members first, which
@@ -227,7 +256,7 @@ def similar_components(nodes: DataFrame, least: float = 0.8, most_bits: int = 20
     of_fp = cut(nodes.groupBy("fp").agg(F.min("k").alias("rep")))
     more = links(of_fp).unionByName(nodes.select("fp", F.col("k").alias("a")).join(of_fp, "fp").select("a", F.col("rep").alias("b")).where("a <> b"))
     for finer in (*FINER, None):
-        edges, crowds = similar_links(nodes.select("k", "sig"), keyed, least, most_bits, m, crowd if finer else None)
+        edges, crowds = similar_links(nodes.select("k", "h", "sig"), keyed, texts, least, shingle, most_bits, m, crowd if finer else None)
         edges, more = (edges.unionByName(more) if more is not None else edges), None
         found = components(edges)
         labels = cut(labels.join(found, F.col("c") == F.col("node"), "left").select("k", "fp", F.coalesce("component", "c").alias("c")))
@@ -246,9 +275,10 @@ def similar_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     """As near_groups(), also joining documents whose shingle sets are alike by ``least`` or more; with c, the
     group's own key, also where none of its rows has an id."""
     own = stored(sketches(df, shingle, id_col, text_col).withColumn("k", F.xxhash64("fp", "sig")))
-    same = own.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first(F.struct("fp", "keys", "sig")).alias("s"))  # equal for all of a k
-    nodes = stored(same.select("k", "rep", "s.*"))
-    found = similar_components(nodes.drop("rep"), least)
+    same = own.groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.first(F.struct("fp", "keys", "sig")).alias("s"))  # equal for all of a k
+    nodes = stored(same.select("k", "rep", "h", "s.*"))
+    texts = id_text(df, id_col, text_col).select(F.xxhash64("text").alias("h"), "text")
+    found = similar_components(nodes.drop("rep"), texts, least, shingle)
     ids = found.join(nodes.select("k", "rep"), "k").groupBy("c").agg(F.min("rep").alias("component_id"))
     of_k = cut(found.select("k", "c").join(ids, "c"))
     return own.select("doc_id", "fp", "h", "k").join(of_k, "k").select("doc_id", "fp", "h", "component_id", "c")

@@ -397,3 +397,23 @@ def test_near_copies_within_a_crowd_of_others(spark, shared):
         rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(twin))]
     got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 240, 2))
+
+
+def test_pairs_near_the_least_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows, want, likes = [], set(), []
+    for g in range(150):
+        n, edits = (184, 4) if g < 30 else (rng.randint(150, 300), rng.randint(3, 9))
+        base = [word() for _ in range(n)]
+        twin = list(base)
+        for at in rng.sample(range(6, n - 6, 6), edits):
+            twin[at] = word()
+        a, b = shingle_set(" ".join(base), 5), shingle_set(" ".join(twin), 5)
+        likes.append(len(a & b) / len(a | b))
+        if 0.75 <= likes[-1] <= 0.85:
+            rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(twin))]
+            want |= {2 * g} if len(a & b) >= 0.8 * len(a | b) else {2 * g, 2 * g + 1}
+    assert len(rows) > 150 and len(want) > len(rows) // 2 + 10 and likes.count(0.8) >= 30
+    got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
