@@ -417,3 +417,24 @@ def test_pairs_near_the_least_similarity(spark):
     assert len(rows) > 150 and len(want) > len(rows) // 2 + 10 and likes.count(0.8) >= 30
     got = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_sketches_of_few_shingles(spark):
+    rnd = random.Random(13)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in [*range(1, 12)] * 20]
+    sketches = [sketch.sketch(t) for t in texts]
+    assert len({sketch.written(s) for s in sketches}) == len(set(texts)) and all(len(s) for s in sketches)
+    assert all(sketch.likeness(a, b) == 0.0 for a, b in zip(sketches, sketches[1:], strict=False))
+    assert sketch.likeness(sketch.sketch("a b c d e f g h"), sketch.sketch("a b c d e f g i")) == 0.75
+    assert len(sketch.sketch("a " * 500)) == 2 and len(sketch.sketch(" \n")) == 0
+    # Held against a long text by the common fraction; what that says nothing of is null.
+    long = " ".join(f"x{i}" for i in range(1000))
+    for i in range(0, 900, 50):
+        part = sketch.sketch(" ".join(f"x{j}" for j in range(i, i + 7)))
+        low = len(sketch.below(part, sketch.FRACTION))
+        assert sketch.likeness(part, sketch.sketch(long)) == (1.0 if low else None)
+    # Where none of many hashes lies below the fraction, all are kept.
+    assert len(sketch.sketch(long, fraction=1e-9)) == 997
+    rows = [(2, "one two three"), (1, "four five"), (0, "six")]
+    got = {r.doc_id: r for r in sketch.edited_sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 3 and all(r.near_next == 0.0 for r in got.values())
