@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control (operator 2).
 
 Pattern spans are leftmost and non-overlapping for each kind. Beside them, every run of 20 or more letters,
-digits and +/_- (with padding) that has both letters and digits is a candidate. Its encoding is inferred (hex,
-base32, else base64), its symbols become numbers in that alphabet, and three tests ask whether a uniform random
-string would look so: chi-squared over eight equal parts of the alphabet, the number of runs above and below
+digits and +/_- (with padding) is a candidate. Its encoding is inferred (digits, letters of one case or of both,
+hex, base32, else base64), its symbols become numbers in that alphabet, and three tests ask whether a uniform random
+string would look so: chi-squared over eight parts of the alphabet (as equal as its size allows), the number of runs above and below
 the middle, and the lag-one serial correlation. The least of the three p-values, times three, is the
 candidate's p-value. A discovery is a candidate shown not to be random; over all candidates of the table
 discoveries are controlled by a weighted Benjamini-Hochberg rule at level ``fdr``, a candidate's weight in
@@ -32,7 +32,9 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # runs of [0-9a-f]+ are maximal, so those of 24+ are the same
 }
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {"digits": "0123456789", "letter": "abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Tried in this order; base64 if none fits.
+ENCODINGS = {"digits": "^[0-9]+$", "hex": "^([0-9a-f]+|[0-9A-F]+)$", "letter": "^([a-z]+|[A-Z]+)$", "letters": "^[A-Za-z]+$", "base32": "^[A-Z2-7]+$"}
 PARTS, GRID, MOST = 8, 50, 2000
 
 
@@ -68,23 +70,44 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _shares(name: str) -> list[float]:
+    """The share of an alphabet's symbols in each part."""
+    size = len(ALPHABETS[name])
+    parts = [int((i + 0.5) / size * PARTS) for i in range(size)]
+    return [parts.count(b) / size for b in range(PARTS)]
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), where value stands in the plan once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def battery(value: Column) -> Column:
     """struct<n, p> of a candidate string: its symbols and the p-value of being uniformly random."""
-    body = F.translate(F.rtrim(value, F.lit("=")), "-_", "+/")
-    encoding = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    alphabet = F.when(encoding == "hex", ALPHABETS["hex"]).when(encoding == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    text = F.when(encoding == "hex", F.lower(body)).otherwise(body)
-    symbols = F.transform(F.split(text, ""), lambda c: F.position(c, alphabet) - 1)
-    # Halves of the unit interval; the place of each symbol in its alphabet.
-    u = F.transform(symbols, lambda i: (i + 0.5) / F.length(alphabet))
-    first = F.transform(F.array(F.struct(u.alias("u"), F.size(u).cast("double").alias("n"))), _tests)
-    return first[0]
+
+    def kind(name: str) -> Column:
+        return F.struct(F.lit(ALPHABETS[name]).alias("alphabet"), F.lit(_shares(name)).alias("shares"), F.lit(name in ("hex", "letter")).alias("folds"))
+
+    def encoded(body: Column) -> Column:
+        found = F
+        for name, pattern in ENCODINGS.items():
+            found = found.when(body.rlike(pattern), kind(name))
+        return _let(F.struct(body.alias("body"), found.otherwise(kind("base64")).alias("kind")), placed)
+
+    def placed(x: Column) -> Column:
+        text = F.when(x["kind"]["folds"], F.lower(x["body"])).otherwise(x["body"])
+        # Halves of the unit interval; the place of each symbol in its alphabet.
+        u = F.transform(F.split(text, ""), lambda c: (F.position(c, x["kind"]["alphabet"]) - 0.5) / F.length(x["kind"]["alphabet"]))
+        return _let(F.struct(u.alias("u"), F.length(text).cast("double").alias("n"), x["kind"]["shares"].alias("shares")), _tests)
+
+    return _let(F.translate(F.rtrim(value, F.lit("=")), "-_", "+/"), encoded)
 
 
 def _tests(x: Column) -> Column:
     u, n = x["u"], x["n"]
     counts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda b: F.size(F.filter(u, lambda v: F.floor(v * PARTS) == b)).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, o: s + (o - n / PARTS) * (o - n / PARTS) / (n / PARTS))
+    off = F.zip_with(counts, x["shares"], lambda o, q: (o - n * q) * (o - n * q) / (n * q))
+    chi = F.aggregate(off, F.lit(0.0), lambda s, o: s + o)
     df = float(PARTS - 1)
     p_chi = upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)  # Wilson-Hilferty
     high = F.size(F.filter(u, lambda v: v >= 0.5)).cast("double")
@@ -104,8 +127,7 @@ def _tests(x: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start,end,n,place>>; place is where p / n stands on a grid of logarithms (higher: less
     random)."""
-    found = F.filter(_found(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
-    tested = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["value"]).alias("t")))
+    tested = F.transform(_found(text, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["value"]).alias("t")))
     place = lambda t: F.least(F.lit(MOST), F.floor(-GRID * F.log10(F.greatest(t["p"], F.lit(1e-30)) / t["n"])).cast("int"))
     return F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["t"]["n"].alias("n"), place(x["t"]).alias("place")))
 

@@ -438,3 +438,13 @@ def test_sketches_of_few_shingles(spark):
     rows = [(2, "one two three"), (1, "four five"), (0, "six")]
     got = {r.doc_id: r for r in sketch.edited_sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len({r.fingerprint for r in got.values()}) == 3 and all(r.near_next == 0.0 for r in got.values())
+
+
+def test_keys_of_letters_or_digits_only_are_tested(spark):
+    rnd, lower = random.Random(6), "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(22)) for alphabet in ("0123456789", lower, lower.upper(), lower + lower.upper()) for _ in range(10)]
+    plain = ["-" * (20 + i) for i in range(20)] + ["xyz" * (10 + i) for i in range(16)] + ["9" * (20 + i) for i in range(4)]
+    df = spark.createDataFrame([(f"x {a} y {b} z",) for a, b in zip(keys, plain, strict=True)], "text string")
+    clean = [r.text for r in secrets.redact(df).collect()]
+    assert sum(any(k in t for t in clean) for k in keys) <= 4
+    assert all(any(f" {p} " in t for t in clean) for p in plain)
