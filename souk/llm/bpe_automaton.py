@@ -3,13 +3,13 @@
 The automaton's arcs are labelled with tokens and its paths spell exactly the correct tokenizations. It starts
 as one state with a loop for every base symbol. Each merge (u, v) -> w, in rank order, adds a gadget: the state
 that u leads to loses its arc v (it is split off first where other tokens lead to it too), and every state that
-has u gains the arc w, to where v led. So the state after a token depends on the token alone, and a state is
-kept as its parent, the rule at which it was split off, and the arcs that it lost; whether an arc is there is
-worked out once and then read from a table.
+has u gains the arc w, to where v led. So the state after a token depends on the token alone.
 
-A word is encoded by following arcs that spell it: each prefix has one correct tokenization, so each position
-is reached by one arc. Decoding emits the labels of the arcs, joined as the tokenizer file says (no decoder:
-by spaces).
+The finished automaton is compiled into arrays once for each worker: a bit for every state and token that says
+whether the arc is there, the state that each token leads to, and a trie of the arcs' labels over bytes. Words
+are encoded by stepping through these tables, all new words of a batch at once: each prefix of a word has one
+correct tokenization, so each place of a word is reached by one arc. Decoding emits the labels of the arcs,
+joined as the tokenizer file says (no decoder: by spaces).
 
 Cases: null text is empty; empty text has no ids and decodes to the empty string; texts of any length are
 encoded whole; repeated rows and null keys give one result each; an empty table an empty result; other columns
@@ -24,124 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, id_text
-from .word_tokens import WordTokens
-
-
-class MergeAutomaton:
-    START = 0
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>"):
-        self.end = end
-        made = {a + b for a, b in merges}
-        if len(made) < len(merges):
-            raise ValueError("two merges make the same token")
-        self.ids = dict(vocab)
-        n = max(vocab.values()) + 1
-        self.left, self.rank = [-1] * n, [-1] * n
-        self.parent, self.birth, self.lost = [-1], [-1], [{}]
-        base = [i for t, i in vocab.items() if t not in made]
-        self.state = [-1] * n  # of each token: where its arcs lead
-        for i in base:
-            self.state[i] = self.START
-        users = [len(base) + 1]  # the start itself never loses an arc
-        for rule, (a, b) in enumerate(merges):
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self.left[w], self.rank[w] = u, rule
-            if self.state[u] < 0 or self.state[v] < 0 or not self._has(self.state[u], v, rule - 1):
-                continue  # an earlier merge always takes u or v away: no path has w
-            self.state[w] = self.state[v]
-            users[self.state[v]] += 1
-            s = self.state[u]
-            if users[s] > 1:
-                users[s] -= 1
-                self.parent.append(s)
-                self.birth.append(rule)
-                self.lost.append({})
-                users.append(1)
-                self.state[u] = s = len(users) - 1
-            self.lost[s][v] = rule
-        self.alive = {t: i for t, i in vocab.items() if self.state[i] >= 0}
-        self.longest = max(map(len, self.alive))
-        self.last = len(merges)
-        self.table: dict[int, bool] = {}
-
-    def _has(self, s: int, t: int, now: int) -> bool:
-        """Whether state s has arc t once the rules up to ``now`` are in."""
-        while True:
-            while self.birth[s] > now:
-                s = self.parent[s]
-            x, until = s, now
-            while x >= 0:
-                if self.lost[x].get(t, until + 1) <= until:
-                    return False
-                until, x = self.birth[x] - 1, self.parent[x]
-            if self.rank[t] < 0:
-                return True
-            now, t = self.rank[t], self.left[t]  # w is where u was when the rule came
-
-    def arc(self, s: int, t: int) -> bool:
-        key = s << 20 | t
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= 2_000_000:
-                self.table.clear()
-            found = self.table[key] = self._has(s, t, self.last)
-        return found
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of a word given in the vocabulary's letters, without its end mark."""
-        n = len(word)
-        if not n:
-            return []
-        reached, back = [-1] * (n + 1), [(0, 0)] * (n + 1)
-        reached[0] = self.START
-        alive, arc, state, longest = self.alive, self.arc, self.state, self.longest
-        for i in range(n):
-            s = reached[i]
-            if s < 0:
-                raise ValueError(f"no symbol for {word[i - 1]!r}")
-            for j in range(i + 1, min(n, i + longest) + 1):
-                t = alive.get(word[i:j] if j < n else word[i:] + self.end)
-                if t is not None and reached[j] < 0 and arc(s, t):
-                    reached[j], back[j] = state[t], (i, t)
-        out, j = [], n
-        if reached[n] < 0:
-            raise ValueError(f"no path spells {word!r}")
-        while j:
-            j, t = back[j]
-            out.append(t)
-        return out[::-1]
-
-
-class AutomatonTokenizer:
-    """encode(text) -> ids as bytes; decode(ids) -> text, for one tokenizer file."""
-
-    def __init__(self, path: str):
-        self.tokens = WordTokens(path, lambda word: self.automaton.encode(word))
-        spec = self.tokens.split.spec
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.automaton = MergeAutomaton(spec["model"]["vocab"], merges, spec["model"]["end_of_word_suffix"])
-        if spec["decoder"] is not None:
-            raise ValueError("only files without a decoder are decoded here")
-        self.labels = {i: t for t, i in (spec["model"]["vocab"] | self.tokens.split.added).items()}
-
-    def encode(self, text: str) -> bytes:
-        return self.tokens.encode(text)
-
-    def numbers(self, ids: bytes):
-        return self.tokens.np.frombuffer(ids, dtype=self.tokens.kind)
-
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.labels.__getitem__, self.numbers(ids).tolist()))
-
-
-_tokenizers: dict[str, AutomatonTokenizer] = {}
-
-
-def tokenizer(path: str) -> AutomatonTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = AutomatonTokenizer(path)
-    return _tokenizers[path]
+from .word_tokens import WordTokens, word_tokens
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,9 +33,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         import pyarrow as pa
 
-        t = tokenizer(path)
+        t = word_tokens(path)
         for batch in batches:
-            ids = [t.encode(x) for x in batch.column("text").to_pylist()]
+            ids = t.encode_many(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.numbers(x) for x in ids], pa.list_(pa.int32())), pa.array(map(t.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -165,11 +48,10 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         import pyarrow as pa
 
-        t = tokenizer(path)
+        t: WordTokens = word_tokens(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []
-            for x in batch.column("text").to_pylist():
-                ids = t.encode(x)
+            for ids in t.encode_many(batch.column("text").to_pylist()):
                 wide = t.numbers(ids).astype("<u4")
                 n.append(len(wide))
                 of_ids.append(hashlib.sha256(wide.tobytes()).hexdigest())

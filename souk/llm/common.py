@@ -47,30 +47,59 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 class Memo(dict):
-    """make(key), kept for the last keys seen: the cache starts afresh once it holds ``most`` entries, so a
-    worker's memory is bounded while the frequent keys stay at hand. Workers serve one stage after another, so
-    memos of another module's operator are emptied once one is filled."""
+    """make(key), kept for the last keys seen: once it holds ``most`` entries they become the older generation,
+    from which keys in use come back; so a worker's memory is bounded while the frequent keys stay at hand.
+    Workers serve one stage after another, so caches of another module are emptied once one is filled."""
 
-    made: ClassVar[list[Memo]] = []
+    made: ClassVar[list] = []
     filling: ClassVar[str | None] = None
 
     def __init__(self, make, most: int = 400_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest, self.owner = make, most, longest, make.__module__
+        self.make, self.most, self.longest, self.owner, self.old = make, most // 2, longest, make.__module__, {}
         Memo.made.append(self)
 
-    def fill(self) -> None:
-        if Memo.filling != self.owner:
-            Memo.filling = self.owner
+    @staticmethod
+    def fill(owner: str) -> None:
+        if Memo.filling != owner:
+            Memo.filling = owner
             for other in Memo.made:
-                if other.owner != self.owner:
-                    other.clear()
+                if other.owner != owner:
+                    other.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def __missing__(self, key):
-        self.fill()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            Memo.fill(self.owner)
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
+
+
+class Recent:
+    """Two generations of known values, for callers that learn many keys at once: after missing(keys) and once
+    the keys it returns are put into ``young``, all keys are there."""
+
+    def __init__(self, owner: str, most: int):
+        self.owner, self.most, self.young, self.old = owner, most, {}, {}
+        Memo.made.append(self)
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
+    def missing(self, keys: set) -> list:
+        Memo.fill(self.owner)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        fresh = keys.difference(self.young)
+        for k in fresh.intersection(self.old):
+            self.young[k] = self.old[k]
+        return list(fresh.difference(self.young))

@@ -1,16 +1,19 @@
 """Mixture-controlled packing by deficit round-robin (operator 1).
 
 Each source is a queue of its documents' tokens. Every round gives each queue a quantum, its share of one
-sequence; a queue is served as many whole packets (pieces of at most ``packet`` tokens of one document) as its
-quanta so far cover, and what is left over, its deficit, stands for the next round. As a queue's k-th packet
-is served in round ceil(tokens up to its end / quantum), rounds follow from prefix sums and no state has to
-pass from task to task: deficits carry across sequences and partitions by arithmetic. Packets in order of
-(round, source, place in the queue) are cut into sequences of ``size`` tokens. So each sequence holds the
-target shares up to a packet of each source, and only the last one needs padding.
+sequence, and serves as many tokens as its quanta so far cover; documents are cut there. A queue whose quantum
+is under ``packet`` tokens is served when its deficit covers a packet, so its deficit stands over several rounds.
+The k-th packet of a queue is served in round ceil(tokens up to its end / quantum), so rounds follow from prefix
+sums and no state passes from task to task: deficits carry across sequences and partitions by arithmetic.
+Packets in order of (round, source, place in the queue) are cut into sequences of ``size`` tokens. So each
+sequence holds the target shares, off by a token for each queue (by a packet where the quantum is smaller), and
+only the last one needs padding.
 
 Without targets a source's share is its share of all tokens, so that all queues end in the last round. A
-source with a target gets that weight instead; others keep their natural share. A target of 0 puts a source
-behind all others.
+source with a target gets that weight instead; others keep their natural weight, and all weights together fill a
+sequence. Once a queue has run out the others share what follows. A target of 0 puts a source behind all others.
+
+Ids come from the compiled automaton of the tokenizer file, which gives what the tokenizers library gives.
 
 Cases: null text is empty (a document of one token, the end mark); a null source is a source of its own;
 very long texts are cut; rows with equal ids, or wholly equal ones, are packed each; an empty table gives an
@@ -26,66 +29,81 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .word_tokens import WordTokens
-
-_tokens: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+from .word_tokens import word_tokens
 
 
 def tokenized(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """A table in the shared folder: part and idx (which row of which task), doc_id, source, n tokens, and the
-    ids as compressed bytes. A task that runs again writes the same rows."""
+    """A table in the shared folder: part and idx (which row of which task), doc_id, source, n tokens, ``before``
+    (tokens of its source earlier in the task), and the ids as compressed bytes. A task that runs again writes the
+    same rows."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.concat(F.lit("="), F.col(source_col).cast("string")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("source", F.coalesce("source", F.lit("")))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
 
-        words, part, idx = word_tokens(path), TaskContext.get().partitionId(), 0
-        end, small = words._bytes([end_id]), zstandard.ZstdCompressor(level=1).compress
+        words, part, idx, queues = word_tokens(path), TaskContext.get().partitionId(), 0, {}
+        end, small = np.array([end_id], dtype=words.kind).tobytes(), zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            ids = [words.encode(x) + end for x in b.column("text").to_pylist()]
+            ids = [x + end for x in words.encode_many(b.column("text").to_pylist())]
+            sizes, before = [len(x) // words.kind.itemsize for x in ids], []
+            for source, n in zip(b.column("source").to_pylist(), sizes, strict=True):
+                before.append(queues.get(source, 0))
+                queues[source] = before[-1] + n
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(idx, idx + n), pa.int64()), b.column("doc_id"), b.column("source"), pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()), pa.array(map(small, ids), pa.binary())],
-                ["part", "idx", "doc_id", "source", "n", "ids"],
+                [pa.array([part] * n, pa.int32()), pa.array(range(idx, idx + n), pa.int64()), b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(map(small, ids), pa.binary())],
+                ["part", "idx", "doc_id", "source", "n", "before", "ids"],
             )
             idx += n
 
-    return stored(rows.mapInArrow(run, "part int, idx long, doc_id long, source string, n long, ids binary"), "none")
+    return stored(rows.mapInArrow(run, "part int, idx long, doc_id long, source string, n long, before long, ids binary"), "none")
 
 
-def schedule(docs: DataFrame, size: int, packet: int, targets: dict[str, float] | None) -> DataFrame:
-    """docs (part, idx, source, n) -> a row for each piece: part, idx, start, length, sequence_id, offset."""
-    # Place in the queue: sums by (source, part), then within; no window holds more than one part of a source.
+def queues(docs: DataFrame, size: int, packet: int, targets: dict[str, float] | None) -> DataFrame:
+    """docs (source, part, n, before) -> a row for each source and part: base (tokens of the queue before the
+    part), total, quantum (null: behind all others), step (tokens of a packet), and last, the round in which the
+    last queue with a quantum ends."""
     parts = docs.groupBy("source", "part").agg(F.sum("n").alias("t"))
     queue = Window.partitionBy("source")
     parts = parts.select("source", "part", (F.sum("t").over(queue.orderBy("part")) - F.col("t")).alias("base"), F.sum("t").over(queue).alias("total"))
-    total = docs.agg(F.sum("n")).first()[0] or 0
-    within = Window.partitionBy("source", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, ["source", "part"]).withColumn("at", F.col("base") + F.col("before"))
-    # Packets: a document's tokens, at most ``packet`` at a time.
-    k = F.posexplode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {packet}")))
-    packets = placed.select("part", "idx", "source", "n", "at", "total", k.alias("i", "k")).select("part", "idx", "source", "total", (F.col("k") * packet).alias("start"), F.least(F.lit(packet), F.col("n") - F.col("k") * packet).alias("length"), (F.col("at") + F.col("k") * packet).alias("at"))
-    weight = F.col("total").cast("double")
+    each = parts.groupBy("source").agg(F.max("total").cast("double").alias("total"))
+    weight = F.col("total")
     for name, share in (targets or {}).items():
-        weight = F.when(F.col("source") == f"={name}", F.lit(float(share) * total)).otherwise(weight)
-    end = F.col("at") + F.col("length")
-    natural = F.expr(f"cast(ceil(cast(at + length as decimal(20,0)) * {total} / (cast(total as decimal(20,0)) * {size})) as long)")
-    packets = packets.withColumn("round", F.when(weight == F.col("total"), natural).when(weight > 0, F.ceil(end * float(total) / (weight * size))).otherwise(F.lit(2**60)).cast("long"))
+        weight = F.when(F.col("source") == f"={name}", F.col("all") * float(share)).otherwise(weight)
+    each = each.withColumn("all", each.agg(F.sum("total")).scalar()).withColumn("w", weight)
+    each = each.withColumn("quantum", F.when(F.col("w") > 0, F.col("w") * size / each.agg(F.sum("w")).scalar()))
+    each = each.withColumn("last", each.agg(F.coalesce(F.max(F.ceil(F.col("total") / F.col("quantum"))), F.lit(0))).scalar())
+    step = F.when(F.col("quantum").isNull(), F.lit(float(size))).otherwise(F.col("quantum") * F.ceil(packet / F.col("quantum")))
+    return parts.join(each.select("source", "quantum", step.alias("step"), "last"), "source")
+
+
+def schedule(docs: DataFrame, size: int, packet: int, targets: dict[str, float] | None) -> DataFrame:
+    """docs (part, idx, source, n, before) -> a row for each piece: part, idx, start, length, sequence_id, offset."""
+    of = queues(docs, size, packet, targets)
+    placed = docs.join(of, ["source", "part"]).withColumn("at", F.col("base") + F.col("before"))
+    # The k-th packet of a queue ends at floor((k + 1) * step); which packet holds a place is that formula's
+    # inverse, put right where rounding is off.
+    edge = lambda k: F.floor(k * F.col("step"))
+
+    def holder(x):
+        guess = F.greatest(F.ceil((x + 1) / F.col("step")) - 1, F.lit(0))
+        return guess - F.when(edge(guess) > x, 1).otherwise(0) + F.when(edge(guess + 1) <= x, 1).otherwise(0)
+
+    k = F.explode(F.sequence(holder(F.col("at")), holder(F.col("at") + F.col("n") - 1)))
+    pieces = placed.select("*", k.alias("k"))
+    low, high = F.greatest(F.col("at"), edge(F.col("k"))), F.least(F.col("at") + F.col("n"), edge(F.col("k") + 1))
+    served = F.ceil(F.least(edge(F.col("k") + 1), F.col("total")) / F.col("quantum"))
+    packets = pieces.select("part", "idx", "source", (low - F.col("at")).alias("start"), (high - low).alias("length"), low.alias("at"), F.coalesce(served, F.col("last") + 1 + F.col("k")).cast("long").alias("round"))
     # Place in the stream of all packets: sums by blocks of rounds, in three levels, so that no task has more
     # than a block; the top level has a row for each 65,536 rounds.
     packets = packets.withColumn("b1", F.expr("round div 64")).withColumn("b2", F.expr("round div 65536"))
     first = packets.groupBy("b1", "b2").agg(F.sum("length").alias("t"))
     second = first.groupBy("b2").agg(F.sum("t").alias("t"))
     second = second.select("b2", (F.sum("t").over(Window.orderBy("b2")) - F.col("t")).alias("o2"))
-    first = first.select("b1", "b2", (F.sum("t").over(Window.partitionBy("b2").orderBy("b1")) - F.col("t")).alias("o1")).join(F.broadcast(second) if total // size < 1 << 40 else second, "b2").select("b1", (F.col("o1") + F.col("o2")).alias("o1"))
+    first = first.select("b1", "b2", (F.sum("t").over(Window.partitionBy("b2").orderBy("b1")) - F.col("t")).alias("o1")).join(second, "b2").select("b1", (F.col("o1") + F.col("o2")).alias("o1"))
     inner = Window.partitionBy("b1").orderBy("round", "source", "at").rowsBetween(Window.unboundedPreceding, -1)
     stream = packets.withColumn("o", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(first, "b1").withColumn("pos", F.col("o") + F.col("o1"))
     # Cut where a sequence ends.
@@ -95,11 +113,11 @@ def schedule(docs: DataFrame, size: int, packet: int, targets: dict[str, float]
     return cut.select("part", "idx", (F.col("start") + low - F.col("pos")).alias("start"), (high - low).alias("length"), "sequence_id", (low - F.col("sequence_id") * size).alias("offset"))
 
 
-def pack(df: DataFrame, path: str, end_id: int, size: int = 4096, packet: int = 1024, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int, size: int = 4096, packet: int = 64, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False) -> DataFrame:
     """Packs every token of df's documents into sequences of ``size``; one row for each piece: doc_id, source,
     start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves if keep_ids."""
     table = tokenized(df, path, end_id, id_col, text_col, source_col)
-    pieces = schedule(table.select("part", "idx", "source", "n"), size, packet, targets)
+    pieces = schedule(table.select("part", "idx", "source", "n", "before"), size, packet, targets)
     by_doc = pieces.groupBy("part", "idx").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))  # as many as the document's length gives
     joined = table.join(by_doc, ["part", "idx"]).select("doc_id", "source", "n", "ids", "pieces")
 
@@ -108,13 +126,14 @@ def pack(df: DataFrame, path: str, end_id: int, size: int = 4096, packet: int =
         import pyarrow as pa
         import zstandard
 
-        kind, plain = word_tokens(path).kind, zstandard.ZstdDecompressor().decompress
+        plain = zstandard.ZstdDecompressor().decompress
         names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.list_(pa.int32())] * keep_ids]
         for b in batches:
             out = []
             for doc_id, source, n, ids, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids", "pieces")), strict=True):
-                wide = np.frombuffer(plain(ids), dtype=kind).astype("<u4")
+                raw = plain(ids)
+                wide = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
                 for p in sorted(cuts, key=lambda p: p["start"]):
                     own = wide[p["start"] : p["start"] + p["length"]]
                     out.append((doc_id, source[1:] if source else None, p["start"], p["length"], zlib.crc32(own.tobytes()), n, p["sequence_id"], p["offset"], *[own.astype("i4")] * keep_ids))

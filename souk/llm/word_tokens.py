@@ -1,8 +1,8 @@
-"""Words of a text as a lower-casing word-BPE tokenizer file pre-splits them, and their cached ids.
+"""Words of a text as a lower-casing word-BPE tokenizer file pre-splits them, and their ids.
 
 The file's normalisation (NFC, white space, lower case) and split pattern are applied by one regular
 expression where every character is ASCII, a Latin letter or common punctuation; a text with other characters
-goes through the library's own normaliser and splitter.
+goes through the library's own normaliser and splitter. Words get their ids from the compiled automaton.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from __future__ import annotations
 import json
 import re
 
-from .common import Memo
+import numpy as np
+
+from .automaton import MergeAutomaton
+from .common import Recent
 
 #: The split pattern and the normaliser that a tokenizer file must have for the fast path.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -21,6 +24,9 @@ _LATIN = "a-zß-öø-ɏ"
 _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-įı-ɏ‐-‧‰-⁞]")
 _WORDS = re.compile(f"[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s{_LATIN}0-9]+")
 
+#: Characters of text that are encoded at once, and how many chunks are kept for later ones.
+SLICE, KEPT, LONGEST = 2_000_000, 150_000, 48
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes
@@ -31,7 +37,7 @@ def byte_letters() -> list[str]:
 
 
 class WordSplitter:
-    """Splits texts into words; added tokens of the file stand alone as (None, id)."""
+    """Splits texts into words; added tokens of the file stand alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,6 +52,7 @@ class WordSplitter:
         self.added = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.letters = byte_letters()
+        self.byte = {c: i for i, c in enumerate(self.letters)}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def parts(self, text: str) -> list[str]:
@@ -57,82 +64,96 @@ class WordSplitter:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return _WORDS.findall(text.lower())
-
-    def spelled(self, word: str) -> str:
-        """A word's bytes as the vocabulary's letters."""
-        return "".join([self.letters[b] for b in word.encode()])
+        return _WORDS.findall(text)
 
-    def library_words(self, text: str) -> list[str]:
-        """The library's own words, spelled in the vocabulary's letters."""
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+    def library_words(self, text: str) -> list[bytes]:
+        """The library's own words, in bytes."""
+        return [bytes(map(self.byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
 
 class WordTokens:
-    """Ids of whole texts, as bytes of unsigned 16- or 32-bit numbers. encode_word maps a word in the
-    vocabulary's letters to ids; without one, the library encodes."""
-
-    def __init__(self, path: str, encode_word=None):
-        import numpy as np
+    """Ids of whole texts, as bytes of unsigned 16- or 32-bit numbers, and back."""
 
+    def __init__(self, path: str):
         self.split = WordSplitter(path)
+        model = self.split.spec["model"]
+        if self.split.spec["decoder"] is not None:
+            raise ValueError("only files without a decoder are decoded here")
         self.kind = np.dtype("<u2" if self.split.size <= 1 << 16 else "<u4")
-        self.np = np
-        self.encode_word = encode_word
-        self.memo = Memo(self._plain_word, most=100_000)
-        self.memo_chunks = Memo(self._plain_chunk, most=250_000)
-        self.memo_spelled = Memo(self._spelled_word, most=100_000)
-        ends = [False] * self.split.size
-        for token, i in self.split.spec["model"]["vocab"].items():
-            ends[i] = token.endswith("</w>")
-        self.ends = np.array(ends)
-
-    def _bytes(self, ids) -> bytes:
-        return self.np.array(ids, dtype=self.kind).tobytes()
-
-    def _plain_word(self, word: str) -> bytes:
-        if self.encode_word:
-            return self._bytes(self.encode_word(self.split.spelled(word)))
-        return self._bytes(self.split.library.encode(word, add_special_tokens=False).ids)
-
-    def _plain_chunk(self, chunk: str) -> bytes:
-        """Of what stands between white space; words never reach across it."""
-        return b"".join(map(self.memo.__getitem__, self.split.words(chunk)))
-
-    def _spelled_word(self, word: str) -> bytes:
-        return self._bytes(self.encode_word(word))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks into the memo by one call of the library; a token with the end mark closes a word."""
-        self.memo_chunks.fill()
-        np, words = self.np, [self.split.words(c) for c in chunks]
-        flat = [w for ws in words for w in ws]
-        ids = np.array(self.split.library.encode(" ".join(flat), add_special_tokens=False).ids, dtype=self.kind)
-        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        if len(stops) != len(flat) + 1:
-            raise ValueError("words and end marks differ")
-        at, raw, size = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]), ids.tobytes(), self.kind.itemsize
-        if len(self.memo_chunks) >= self.memo_chunks.most:
-            self.memo_chunks.clear()
-        for c, a, z in zip(chunks, stops[at[:-1]].tolist(), stops[at[1:]].tolist(), strict=True):
-            self.memo_chunks[c] = raw[a * size : z * size]
-
-    def _plain(self, text: str) -> bytes:
-        chunks = text.lower().split()
-        memo = self.memo_chunks
-        if not self.encode_word and (fresh := [c for c in set(chunks) if c not in memo and len(c) <= memo.longest]):
-            self._learn(fresh)
-        return b"".join(map(memo.__getitem__, chunks))
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.automaton = MergeAutomaton(model["vocab"], merges, self.split.letters, model["end_of_word_suffix"])
+        self.labels = [""] * self.split.size
+        for t, i in (model["vocab"] | self.split.added).items():
+            self.labels[i] = t
+        self.chunks = Recent(__name__, KEPT)  # what stands between white space; words never reach across it
+
+    def _learn(self, chunks: list[str]) -> list[str]:
+        """Puts chunks into the memo, all their new words through the automaton at once; the long ones, which
+        are not to stay there."""
+        known = self.chunks.young
+        single = [c for c in chunks if c.isalpha()]
+        mixed = [c for c in chunks if not c.isalpha()]
+        words = list(map(self.split.words, mixed))
+        new = {w for ws in words for w in ws if w not in known}
+        new.difference_update(single)
+        single.extend(new)
+        known.update(zip(single, self.automaton.encode_words([w.encode() for w in single], self.kind), strict=True))
+        find = known.__getitem__
+        known.update([(c, b"".join(map(find, ws))) for c, ws in zip(mixed, words, strict=True)])
+        return [c for c in (*single, *mixed) if len(c) > LONGEST]
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        todo = []  # of each text: (kind, value) of its parts
+        every: set[str] = set()
+        strange: list[list[bytes]] = []
+        for text in texts:
+            parts = []
+            for part in self.split.parts(text):
+                if part in self.split.added:
+                    parts.append(np.array([self.split.added[part]], dtype=self.kind).tobytes())
+                elif self.split.plain(part):
+                    chunks = part.lower().split()
+                    every.update(chunks)
+                    parts.append(chunks)
+                else:
+                    strange.append(self.split.library_words(part))
+                    parts.append(len(strange) - 1)
+            todo.append(parts)
+        fresh = self.chunks.missing(every)
+        long = self._learn(fresh)
+        ids = self.automaton.encode_words([w for ws in strange for w in ws], self.kind) if strange else []
+        ends = np.cumsum([0, *map(len, strange)]).tolist()
+        find = self.chunks.young.__getitem__
+        out = [b"".join([p if isinstance(p, bytes) else b"".join(ids[ends[p] : ends[p + 1]]) if isinstance(p, int) else b"".join(map(find, p)) for p in parts]) for parts in todo]
+        for c in long:
+            del self.chunks.young[c]
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= SLICE:
+                out += self._slice(held)
+                held, size = [], 0
+        return out + self._slice(held)
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for part in self.split.parts(text):
-            if part in self.split.added:
-                out.append(self._bytes([self.split.added[part]]))
-            elif self.split.plain(part):
-                out.append(self._plain(part))
-            elif self.encode_word:
-                out.append(b"".join(map(self.memo_spelled.__getitem__, self.split.library_words(part))))
-            else:
-                out.append(self._bytes(self.split.library.encode(part, add_special_tokens=False).ids))
-        return b"".join(out)
+        return self._slice([text])[0]
+
+    def numbers(self, ids: bytes):
+        return np.frombuffer(ids, dtype=self.kind)
+
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.labels.__getitem__, self.numbers(ids).tolist()))
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process."""
+    if path not in _tokens:
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from souk.llm import bm25, bpe_automaton, graph, packing, quality, secrets, simhash, sketch, substring_dedup, token_counts, url_filter
-from souk.llm.word_tokens import WordTokens
+from souk.llm import automaton, bm25, bpe_automaton, graph, packing, quality, secrets, simhash, sketch, substring_dedup, token_counts, url_filter
+from souk.llm.word_tokens import WordTokens, byte_letters
 
 WORD, PIECE = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, spans string, bucket int, copy int, n int, h int, starts string, carried string, kept string"
@@ -70,7 +70,7 @@ def test_automaton_against_merging():
     """All strings up to length 7 over two symbols, for merges that overlap themselves and each other."""
     merges = [("a", "a"), ("a", "b"), ("aa", "aa"), ("b", "aa"), ("aa", "b</w>"), ("ab", "ab")]
     vocab = {t: i for i, t in enumerate(["a", "b", "a</w>", "b</w>", *(x + y for x, y in merges)])}
-    m = bpe_automaton.MergeAutomaton(vocab, merges)
+    m, every = automaton.MergeAutomaton(vocab, merges, byte_letters()), {}
     for n in range(1, 8):
         for k in range(2**n):
             w = [("ab"[k >> j & 1]) for j in range(n)]
@@ -81,7 +81,30 @@ def test_automaton_against_merging():
                     if (s[i], s[i + 1]) == (a, b):
                         s[i : i + 2] = [a + b]
                     i += 1
-            assert m.encode("".join(w)) == [vocab[x] for x in s], w
+            every["".join(w).encode()] = [vocab[x] for x in s]
+    for w, ids in every.items():
+        assert m.encode(w) == ids, w
+    many = m.encode_words([*every, b""], "<u2")
+    assert [np.frombuffer(x, "<u2").tolist() for x in many] == [*every.values(), []]
+
+
+def test_words_side_by_side_and_one_by_one():
+    """Many words of like lengths, single ones, and a very long one give what the library gives."""
+    own, rnd = WordTokens(WORD), random.Random(11)
+    words = ["".join(rnd.choice("etaoinshrdlucmé") for _ in range(rnd.randint(1, 14))) for _ in range(3000)] + ["ab" * 4000, "straßenbahn" * 9]
+    ids = own.automaton.encode_words([w.encode() for w in words], own.kind)
+    library = own.split.library
+    for w, x in zip(words, ids, strict=True):
+        assert own.numbers(x).tolist() == library.encode(w, add_special_tokens=False).ids == own.automaton.encode(w.encode())
+
+
+def test_memo_of_chunks_stays_bounded():
+    own = WordTokens(WORD)
+    own.chunks.most = 50
+    for k in range(40):
+        text = " ".join(f"w{k}x{j}" for j in range(30)) + " " + "z" * 60
+        assert own.numbers(own.encode_many([text, text])[1]).tolist() == own.split.library.encode(text, add_special_tokens=False).ids
+        assert len(own.chunks.young) < 400 and not any(len(c) > 48 for c in own.chunks.young)
 
 
 def test_word_tokens_on_odd_texts():
@@ -112,17 +135,39 @@ def test_packing(docs, rows, empty, targets):
             assert offset == at
             at += length
         assert at == 256 or k == max(by)
-    if targets is None:
-        share = collections.Counter()
-        for r in got:
-            share[r.sequence_id, r.source] += r.length
-        total = collections.Counter(r.source for r in got for _ in range(r.length))
-        for (k, s), n in share.items():
-            if 0 < k < max(by) - 1:
-                assert abs(n - 256 * total[s] / sum(total.values())) <= 2 * 64 + 4 * 64
+    total = collections.Counter(r.source for r in got for _ in range(r.length))
+    every = sum(total.values())
+    weight = {x: n / every for x, n in total.items()} | (targets or {})
+    quantum = {x: 256 * w / sum(weight.values()) for x, w in weight.items()}
+    lasts = min(total[x] / q for x, q in quantum.items() if q)  # until the first queue has run out
+    share = collections.Counter()
+    for r in got:
+        share[r.sequence_id, r.source] += r.length
+    for k in range(int(lasts) - 2):
+        for x, q in quantum.items():
+            assert abs(share[k, x] - q) <= 64 * sum(0 < y < 64 for y in quantum.values()) + len(quantum), (k, x, q)
     assert packing.pack(empty, WORD, 2).isEmpty()
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.01, "z": 0.0}])
+def test_windows_hold_the_target_shares(spark, targets):
+    """Uneven sources, one of a third of all rows; the mix of a window is off by little, whatever the documents."""
+    rnd = random.Random(4)
+    sources = ["a"] * 8 + ["b"] * 4 + [f"s{k}" for k in range(11)] + ["z"]
+    data = [(i, rnd.choice(sources), " ".join(rnd.choice(["lorem", "ipsum", "et", "dolor", "un"]) for _ in range(rnd.choice([3, 40, 300, 3000])))) for i in range(600)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, source string, text string").repartition(5), WORD, 2, size=2048, targets=targets).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).toPandas()
+    total = got.groupby("source").n.sum()
+    weight = {x: (targets or {}).get(x, n / total.sum()) for x, n in total.items()}
+    quantum = {x: 2048 * w / sum(weight.values()) for x, w in weight.items()}
+    full = int(min(total[x] / q for x, q in quantum.items() if q)) - 2
+    mixes = got.pivot(index="sequence_id", columns="source", values="n").fillna(0)
+    off = [sum(abs(mixes.loc[k, x] - q) for x, q in quantum.items()) / 2 / 2048 for k in range(full)]
+    assert full > 20 and sum(off) / full < 0.05 and max(off) < 0.12
+    if targets:
+        z = mixes.index[mixes["z"] > 0]
+        assert mixes.loc[z[1:], [c for c in mixes if c != "z"]].to_numpy().sum() == 0  # behind all others
+
+
 def test_secrets(docs, rows, empty):
     patterns = [("assign", re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[1]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
     found = secrets.scan(docs.select("doc_id", "text", "spans")).select("doc_id", "text", secrets.written(F.col("base")).alias("b"), secrets.written(F.col("spans")).alias("s")).collect()
