@@ -1,17 +1,21 @@
-"""Exact BM25 top-k search by block-max pruning per shard (operator 7).
+"""Exact BM25 top-k search by block-max WAND per shard (operator 7).
 
 Words are lower-cased runs of other characters than ASCII white space. Document frequencies, the number of
-documents and their mean length are taken over all documents. Documents are dealt to shards of bounded size;
-each shard's inverted index stores postings in document order, in blocks of documents, with the largest
-impact of each term in each block. For a query the sum of its terms' block maxima bounds every score in a
-block; blocks are scored from the highest bound on, until no bound left reaches the k-th best score, which is
-the pivot rule of WAND taken to whole blocks. The shards' top k are merged, so the result is exact.
-
-Queries meet shards in groups of bounded size, so neither all queries nor an index is ever in one place.
-
-Cases: null or empty texts match nothing; a query without known words has no result; ties go to the smaller
-id; a document matches itself; repeated rows are documents of their own, rows with a null id are left out; an
-empty table gives an empty result; very long texts are indexed whole; other columns are ignored.
+documents and their mean length are taken over all documents. The task that reads documents also builds its
+shards of bounded size: inverted lists in document order, cut into blocks of documents. The index is written once,
+one row for each shard, and never copied. When a shard is loaded the impacts and each list's maximum in each block
+follow from the global mean length.
+
+Queries come past the shards in chunks of bounded size. For a query the sum of its lists' maxima in a block bounds
+every score there. The cursors go through the blocks in document order: the pivot is the next block whose bound
+reaches the threshold, the k-th best score so far, and all postings before it are skipped. The best block is
+scored first and a threshold found in one shard holds in the next shards of the task, so most blocks are skipped.
+The tasks' top k are merged, so the result is exact.
+
+Cases: null or empty texts match nothing; a query without known words has no result; ties, of scores rounded to
+six places, go to the smaller id; a document matches itself; repeated rows are documents of their own, and each
+row of queries is answered by itself, also where ids are repeated; rows with a null id are left out; an empty
+table gives an empty result; very long texts are indexed whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, id_text, stored
 
 K1, B = 1.2, 0.75
-SHARD_ROWS, QUERY_ROWS, BLOCK = 8192, 1024, 64
+#: Documents of a shard and of a block; queries of a chunk and their terms (of one query there may be more).
+SHARD_ROWS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 64, 8192, 1_000_000
 
 
 def _hash(word: bytes) -> int:
@@ -35,54 +40,93 @@ def _hash(word: bytes) -> int:
 _hashes = Memo(_hash)
 
 
-def term_rows(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text) -> doc_id, length, terms (64-bit word hashes, ascending) and tfs."""
+def counted(text: str):
+    """(hashes of a text's words, ascending, how often each occurs)."""
+    import numpy as np
 
-    def run(batches):
+    found = np.fromiter(map(_hashes.__getitem__, text.encode().lower().split()), dtype=np.int64)
+    return np.unique(found, return_counts=True)
+
+
+def shards(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) -> n, words and ``blob`` of each shard: ids and lengths of documents, the terms, where
+    each term's postings end, and the postings' places and counts."""
+
+    def packed(ids, terms, tfs):
         import numpy as np
+        import zstandard
+
+        n, ids = np.array([len(t) for t in terms]), np.array(ids, dtype=np.int64)
+        lengths = np.array([x.sum() for x in tfs], dtype=np.int64)
+        # Documents of like vocabulary side by side: by their least term hash, then id.
+        order = np.lexsort((ids, np.array([t[0] if len(t) else 0 for t in terms])))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order))
+        term, tf, doc = np.concatenate(terms), np.concatenate(tfs).astype(np.int32), np.repeat(place, n)
+        by = np.lexsort((doc, term))
+        own, stops = np.unique(term, return_counts=True)
+        parts = [ids[order], lengths[order], own, np.cumsum(stops), doc[by], tf[by]]
+        head = np.array([len(ids), len(own), len(term)], dtype=np.int64)
+        return len(ids), int(lengths.sum()), zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in (head, *parts)))
+
+    def run(batches):
         import pyarrow as pa
 
+        ids, terms, tfs = [], [], []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(packed(ids, terms, tfs), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["n", "words", "blob"])
         for b in batches:
-            lengths, terms, tfs = [], [], []
-            for text in b.column("text").to_pylist():
-                found = np.fromiter(map(_hashes.__getitem__, text.encode().lower().split()), dtype=np.int64)
-                t, n = np.unique(found, return_counts=True)
-                lengths.append(len(found))
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                t, n = counted(text.as_py())
+                ids.append(i)
                 terms.append(t)
-                tfs.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "length", "terms", "tfs"])
+                tfs.append(n)
+                if len(ids) == SHARD_ROWS:
+                    yield batch()
+                    ids, terms, tfs = [], [], []
+        if ids:
+            yield batch()
 
-    return rows.mapInArrow(run, "doc_id long, length long, terms array<long>, tfs array<int>")
+    return rows.mapInArrow(run, "n long, words long, blob binary")
 
 
-class ShardIndex:
-    """Inverted index of one shard with block maxima; impacts hold everything but the query's weight."""
+class Shard:
+    """A shard as shards() writes it."""
 
-    def __init__(self, doc_ids, lengths, terms, tfs, mean: float):
+    def __init__(self, blob: bytes):
         import numpy as np
+        import zstandard
 
-        n = np.array([len(t) for t in terms])
-        # Documents of like vocabulary side by side: by their least term hash, then id.
-        least = np.array([t[0] if len(t) else 0 for t in terms])
-        order = np.lexsort((doc_ids, least))
-        self.doc_ids = np.asarray(doc_ids)[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        doc = np.repeat(place, n)
-        term = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
-        tf = np.concatenate(tfs).astype(np.float64) if len(tfs) else np.zeros(0)
-        size = np.repeat(np.asarray(lengths, dtype=np.float64), n)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        by = np.lexsort((doc, term))
-        self.doc, self.impact, term = doc[by], impact[by], term[by]
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, m, p = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24
+
+        def take(count, kind):
+            nonlocal at
+            out = np.frombuffer(raw, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.doc_ids, self.lengths, self.terms, self.stops = (take(k, np.int64) for k in (n, n, m, m))
+        self.doc, self.tf = take(p, np.int32), take(p, np.int32)
+
+    def ready(self, mean: float) -> Shard:
+        """With impacts, which hold everything but the query's weight, and lists' maxima in blocks."""
+        import numpy as np
+
+        size, tf = self.lengths[self.doc], self.tf.astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+        begins = np.r_[0, self.stops[:-1]]
         block = self.doc // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.start, self.stop = first, np.r_[first[1:], len(term)].astype(np.int64)[: len(first)]
-        self.block, of = block[first], term[first]
-        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.terms, at = np.unique(of, return_index=True)
-        self.from_, self.to = at, np.r_[at[1:], len(of)].astype(np.int64)[: len(at)]
-        self.blocks = (len(self.doc_ids) + BLOCK - 1) // BLOCK
+        fresh = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
+        fresh[begins] = True
+        self.start = np.flatnonzero(fresh)  # of the runs: a list's postings in a block
+        self.stop = np.r_[self.start[1:], len(block)]
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.impact, self.start) if len(block) else np.zeros(0)
+        self.to = np.searchsorted(self.start, self.stops)  # each term's runs
+        self.from_ = np.r_[0, self.to[:-1]]
+        self.blocks = -(-len(self.doc_ids) // BLOCK)
+        return self
 
     @staticmethod
     def _ranges(a, z):
@@ -91,8 +135,8 @@ class ShardIndex:
         n = z - a
         return np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
-    def top(self, terms, weights, k: int):
-        """(places, scores) of the k best, ties by id."""
+    def top(self, terms, weights, k: int, floor: float = 0.0):
+        """(doc_ids, scores) of the k best with scores, rounded to six places, of at least floor; ties by id."""
         import numpy as np
 
         i = np.searchsorted(self.terms, terms)
@@ -103,70 +147,155 @@ class ShardIndex:
             return np.zeros(0, np.int64), np.zeros(0)
         runs = self._ranges(self.from_[i], self.to[i])
         run_w = np.repeat(w, self.to[i] - self.from_[i])
-        bound = np.bincount(self.block[runs], weights=self.most[runs] * run_w, minlength=self.blocks)
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        scores = np.zeros(self.blocks * BLOCK)
-        done, floor, step = 0, 0.0, 2
-        while done < len(todo) and bound[todo[done]] * (1 + 1e-12) >= floor:
-            part = todo[done : done + step]
-            part = part[bound[part] * (1 + 1e-12) >= floor]
-            done, step = done + step, step * 4
-            wanted = np.zeros(self.blocks, dtype=bool)
-            wanted[part] = True
-            mine = wanted[self.block[runs]]
+        run_block = self.block[runs]
+        bound = np.bincount(run_block, weights=self.most[runs] * run_w, minlength=self.blocks) * (1 + 1e-12) + 6e-7
+        by_block = np.argsort(run_block, kind="stable")
+        ends = np.cumsum(np.bincount(run_block, minlength=self.blocks))
+        places, scores = [], []
+
+        def score(chosen):
+            nonlocal floor
+            mine = by_block[self._ranges(np.where(chosen, ends[chosen - 1], 0), ends[chosen])]
+            mine.sort()  # postings of a document are summed in the terms' order
             r = runs[mine]
             posts = self._ranges(self.start[r], self.stop[r])
-            scores += np.bincount(self.doc[posts], weights=self.impact[posts] * np.repeat(run_w[mine], self.stop[r] - self.start[r]), minlength=len(scores))
-            if len(scores) > k:
-                floor = np.partition(scores, -k)[-k]
-        found = np.flatnonzero(scores[: len(self.doc_ids)] >= max(floor, 1e-300))
-        best = np.lexsort((self.doc_ids[found], -scores[found]))[:k]
-        return found[best], scores[found[best]]
+            found, at = np.unique(self.doc[posts], return_inverse=True)
+            got = np.round(np.bincount(at, weights=self.impact[posts] * np.repeat(run_w[mine], self.stop[r] - self.start[r])), 6)
+            keep = (got >= floor) & (got > 0)
+            places.append(found[keep])
+            scores.append(got[keep])
+            if sum(map(len, scores)) >= k:
+                every = np.concatenate(scores)
+                floor = max(floor, float(np.partition(every, -k)[-k]))
+
+        first = int(bound.argmax())
+        if bound[first] >= floor:
+            score(np.array([first]))
+        cursor, step = 0, 1
+        while cursor < self.blocks:
+            pivots = np.flatnonzero((bound[cursor:] >= floor) & (bound[cursor:] > 6e-7))[: step + 1] + cursor
+            pivots = pivots[pivots != first][:step]
+            if not len(pivots):
+                break
+            score(pivots)
+            cursor, step = int(pivots[-1]) + 1, min(step * 2, 16)
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ids, got = self.doc_ids[np.concatenate(places)], np.concatenate(scores)
+        best = np.lexsort((ids, -got))[:k]
+        return ids[best], got[best]
+
+
+def frequencies(index: DataFrame) -> DataFrame:
+    """(term, df) over all shards."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for blob in b.column("blob"):
+                s = Shard(blob.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(s.terms), pa.array(np.diff(s.stops, prepend=0))], ["term", "df"])
+
+    return index.select("blob").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, text) -> q, a number of the row, query_id, term, tf."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        q = TaskContext.get().partitionId() << 40
+        for b in batches:
+            found = [counted(t.as_py()) for t in b.column("text")]
+            n = [len(t) for t, _ in found]
+            cat = lambda i: np.concatenate([x[i] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+            ids = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(q, q + len(n)), n)), b.column("query_id").take(ids), pa.array(cat(0)), pa.array(cat(1))], ["q", "query_id", "term", "tf"])
+            q += len(n)
+
+    return queries.mapInArrow(run, "q long, query_id long, term long, tf long")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of df for each query (query_id, text): query_id, doc_id, rank, score."""
+    """The k best documents of df for each row of queries (query_id, text): query_id, doc_id, rank, score."""
     spark = df.sparkSession
-    rows = id_text(df, id_col, text_col).where("doc_id is not null")
-    index = stored(term_rows(rows))
-    total, words = index.agg(F.count("*"), F.sum("length")).first()
+    index = stored(shards(id_text(df, id_col, text_col).where("doc_id is not null")), "none")
+    total, words = index.agg(F.sum("n"), F.sum("words")).first()
+    none = spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
     if not total or not words:
-        return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
-    asked = term_rows(queries.select(F.col("query_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null"))
-    asked = asked.select(F.col("doc_id").alias("query_id"), F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-    asked = stored(asked)
-    df_of = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df_of, "term").withColumn("w", F.col("tf") * F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    ready = stored(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("ws")))
-    shards, groups = -(-total // SHARD_ROWS), -(-ready.count() // QUERY_ROWS)
-    cell = lambda n, salt, c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    left = index.withColumn("shard", cell(shards, 1, "doc_id")).withColumn("grp", every(groups))
-    right = ready.withColumn("grp", cell(max(1, groups), 2, "query_id")).withColumn("shard", every(shards))
-    mean = words / total
-
-    def run(docs, asked_here):
-        import numpy as np
-        import pyarrow as pa
+        return none
+    asked = stored(query_terms(queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).where("query_id is not null")))
+    known = asked.join(frequencies(index), "term").withColumn("w", F.col("tf") * F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    ready = stored(known.groupBy("q", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t")).select("q", "query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("ws")))
+    n, terms = ready.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    chunks = max(-(-n // QUERY_ROWS), -(-(terms or 0) // QUERY_TERMS))
+    out = [_chunk(index, ready.where(F.pmod(F.xxhash64("q"), F.lit(chunks)) == c), words / total, k) for c in range(chunks)]
+    if not out:
+        return none
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _chunk(index: DataFrame, ready: DataFrame, mean: float, k: int) -> DataFrame:
+    """Answers of one chunk of queries, whose size is bounded, over all shards."""
+    import numpy as np
+
+    spark = index.sparkSession
+    rows = [(r["q"], r["query_id"], np.array(r["terms"], dtype=np.int64), np.array(r["ws"])) for r in ready.toLocalIterator()]
+    held = spark.sparkContext.broadcast(rows)
 
-        out = ([], [], [])
-        if docs.num_rows and asked_here.num_rows:
-            lists = lambda t, c: [x.values.to_numpy() for x in t.column(c)]
-            ix = ShardIndex(docs.column("doc_id").to_numpy(), docs.column("length").to_numpy(), lists(docs, "terms"), lists(docs, "tfs"), mean)
-            for q, t, w in zip(asked_here.column("query_id").to_pylist(), lists(asked_here, "terms"), lists(asked_here, "ws"), strict=True):
-                places, scores = ix.top(t, w, k)
-                out[0].append(np.full(len(places), q))
-                out[1].append(ix.doc_ids[places])
-                out[2].append(scores)
-        cat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], ["query_id", "doc_id", "score"])
+    def run(batches):
+        import pyarrow as pa
 
-    found = left.groupBy("shard", "grp").cogroup(right.groupBy("shard", "grp")).applyInArrow(run, "query_id long, doc_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))  # k of each shard
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+        best = {}  # of each query: (ids, scores, floor) over the task's shards so far
+        for b in batches:
+            for blob in b.column("blob"):
+                shard = Shard(blob.as_py()).ready(mean)
+                for q, _, terms, ws in held.value:
+                    ids, scores, floor = best.get(q, (None, None, 0.0))
+                    more, got = shard.top(terms, ws, k, floor)
+                    if not len(more):
+                        continue
+                    if ids is not None:
+                        more, got = np.concatenate([ids, more]), np.concatenate([scores, got])
+                        keep = np.lexsort((more, -got))[:k]
+                        more, got = more[keep], got[keep]
+                    best[q] = (more, got, float(got[-1]) if len(got) == k else 0.0)
+        parts = [(q, i, best[q]) for q, i, _, _ in held.value if q in best]
+        if parts:
+            n = [len(x[0]) for _, _, x in parts]
+            column = lambda values: pa.array(np.repeat(np.array(values, dtype=np.int64), n))
+            yield pa.RecordBatch.from_arrays([column([q for q, _, _ in parts]), column([i for _, i, _ in parts]), pa.array(np.concatenate([x[0] for _, _, x in parts])), pa.array(np.concatenate([x[1] for _, _, x in parts]))], ["q", "query_id", "doc_id", "score"])
+
+    found = index.select("blob").mapInArrow(run, "q long, query_id long, doc_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id"))  # k of each task
+    out = stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"))
+    held.destroy()
+    return out
 
 
 def op7_blockmax_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return search(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+#: SQL for op7: every score of every query, ranked.
+OP7_SQL = r"""
+with w as (select doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
+]+'), lambda x: x <> '')) term from documents where doc_id is not null),
+t as (select doc_id, term, count(*) tf from w group by 1, 2),
+l as (select doc_id, count(*) size from w group by 1),
+g as (select (select count(*) from documents where doc_id is not null) n, (select count(*) from w) / (select count(*) from documents where doc_id is not null) mean),
+f as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) idf from t, g group by term, n),
+s as (select q.doc_id query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) score
+      from t q join f using (term) join t d using (term) join l on l.doc_id = d.doc_id, g where q.doc_id % 50 = 0 group by 1, 2),
+r as (select query_id, doc_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) "rank", score from s)
+select * from r where "rank" <= 10
+"""

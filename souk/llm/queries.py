@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bm25 import op7_blockmax_wand
+from .bm25 import OP7_SQL, op7_blockmax_wand
 from .bpe_automaton import op10_bpe_automaton
 from .packing import op1_mixture_packing
 from .quality import op9_ordinal_quality
@@ -14,4 +14,4 @@ from .token_counts import op5_token_counts
 from .url_filter import OP6_SQL, op6_redirect_equivalence
 
 QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_secret_battery, op3_countmin_substrings, op4_pigeonring_simhash, op5_token_counts, op6_redirect_equivalence, op7_blockmax_wand, op8_threshold_sketch, op9_ordinal_quality, op10_bpe_automaton)}
-ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": OP6_SQL, "op7_blockmax_wand": OP7_SQL}
