@@ -3,8 +3,8 @@
 Pattern spans are leftmost and non-overlapping for each kind. Beside them, every run of 20 or more letters,
 digits and +/_- (with padding) is a candidate. Its encoding is inferred (digits, letters of one case or of both,
 hex, base32, else base64), its symbols become numbers in that alphabet, and three tests ask whether a uniform random
-string would look so: chi-squared over eight parts of the alphabet (as equal as its size allows), the number of runs above and below
-the middle, and the lag-one serial correlation. The least of the three p-values, times three, is the
+string would look so: chi-squared over the alphabet's symbols, the number of runs above and below the middle, and the
+lag-one serial correlation, all from one pass over the symbols. The least of the three p-values, times three, is the
 candidate's p-value. A discovery is a candidate shown not to be random; over all candidates of the table
 discoveries are controlled by a weighted Benjamini-Hochberg rule at level ``fdr``, a candidate's weight in
 proportion to its length, since short strings have little power to show anything. Candidates that are not
@@ -35,7 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABETS = {"digits": "0123456789", "letter": "abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Tried in this order; base64 if none fits.
 ENCODINGS = {"digits": "^[0-9]+$", "hex": "^([0-9a-f]+|[0-9A-F]+)$", "letter": "^([a-z]+|[A-Z]+)$", "letters": "^[A-Za-z]+$", "base32": "^[A-Z2-7]+$"}
-PARTS, GRID, MOST = 8, 50, 2000
+GRID, MOST = 50, 2000
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -62,74 +62,79 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), where value stands in the plan once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def upper_tail(z: Column) -> Column:
     """1 - Phi(z) by Abramowitz and Stegun's formula 26.2.17 (error below 1e-7)."""
-    a = F.abs(z)
-    t = F.lit(1.0) / (F.lit(1.0) + a * 0.2316419)
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(z >= 0, tail).otherwise(1 - tail)
 
+    def tail(x):
+        t = x["t"]
+        out = F.exp(-x["z"] * x["z"] / 2) * 0.3989422804014327 * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return _let(out, lambda y: F.when(x["z"] >= 0, y).otherwise(1 - y))
 
-def _shares(name: str) -> list[float]:
-    """The share of an alphabet's symbols in each part."""
-    size = len(ALPHABETS[name])
-    parts = [int((i + 0.5) / size * PARTS) for i in range(size)]
-    return [parts.count(b) / size for b in range(PARTS)]
-
-
-def _let(value: Column, then) -> Column:
-    """then(value), where value stands in the plan once however often it is used."""
-    return F.transform(F.array(value), then)[0]
+    return _let(z, lambda v: _let(F.struct(v.alias("z"), (F.lit(1.0) / (F.lit(1.0) + F.abs(v) * 0.2316419)).alias("t")), tail))
 
 
 def battery(value: Column) -> Column:
-    """struct<n, p> of a candidate string: its symbols and the p-value of being uniformly random."""
+    """struct<n, p> of a candidate string: its symbols and the p-value of being uniformly random. Work and memory
+    grow in proportion to its length."""
 
     def kind(name: str) -> Column:
-        return F.struct(F.lit(ALPHABETS[name]).alias("alphabet"), F.lit(_shares(name)).alias("shares"), F.lit(name in ("hex", "letter")).alias("folds"))
+        return F.struct(F.lit(ALPHABETS[name]).alias("alphabet"), F.lit(name in ("hex", "letter")).alias("folds"))
 
     def encoded(body: Column) -> Column:
         found = F
         for name, pattern in ENCODINGS.items():
             found = found.when(body.rlike(pattern), kind(name))
-        return _let(F.struct(body.alias("body"), found.otherwise(kind("base64")).alias("kind")), placed)
+        return _let(F.struct(body.alias("body"), found.otherwise(kind("base64")).alias("kind")), folded)
 
-    def placed(x: Column) -> Column:
+    def folded(x: Column) -> Column:
         text = F.when(x["kind"]["folds"], F.lower(x["body"])).otherwise(x["body"])
-        # Halves of the unit interval; the place of each symbol in its alphabet.
-        u = F.transform(F.split(text, ""), lambda c: (F.position(c, x["kind"]["alphabet"]) - 0.5) / F.length(x["kind"]["alphabet"]))
-        return _let(F.struct(u.alias("u"), F.length(text).cast("double").alias("n"), x["kind"]["shares"].alias("shares")), _tests)
+        return _let(F.struct(text.alias("text"), x["kind"]["alphabet"].alias("alphabet")), counted)
+
+    def counted(x: Column) -> Column:
+        size = F.length(x["alphabet"]).cast("double")
+        # One pass over the symbols as halves of the unit interval: what runs and serial correlation need.
+        u = F.transform(F.split(x["text"], ""), lambda c: (F.position(c, x["alphabet"]) - 0.5) / F.length(x["alphabet"]))
+        names = ("n", "high", "runs", "s", "s2", "s12", "first", "last")
+        start = F.struct(*[F.lit(0.0).alias(n) for n in names[:6]], *[F.lit(None).cast("double").alias(n) for n in names[6:]])
+
+        def step(a, v):
+            turned = F.coalesce(((v >= 0.5) != (a["last"] >= 0.5)).cast("double"), F.lit(1.0))
+            now = (a["n"] + 1, a["high"] + (v >= 0.5).cast("double"), a["runs"] + turned, a["s"] + v, a["s2"] + v * v, a["s12"] + F.coalesce(a["last"] * v, F.lit(0.0)), F.coalesce(a["first"], v), v)
+            return F.struct(*[c.alias(n) for c, n in zip(now, names, strict=True)])
+
+        squares = F.aggregate(F.split(x["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow(F.length(x["text"]) - F.length(F.replace(x["text"], c, F.lit(""))), F.lit(2.0)))
+        return _let(F.struct(F.aggregate(u, start, step).alias("a"), squares.alias("squares"), size.alias("size")), _tests)
 
     return _let(F.translate(F.rtrim(value, F.lit("=")), "-_", "+/"), encoded)
 
 
 def _tests(x: Column) -> Column:
-    u, n = x["u"], x["n"]
-    counts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda b: F.size(F.filter(u, lambda v: F.floor(v * PARTS) == b)).cast("double"))
-    off = F.zip_with(counts, x["shares"], lambda o, q: (o - n * q) * (o - n * q) / (n * q))
-    chi = F.aggregate(off, F.lit(0.0), lambda s, o: s + o)
-    df = float(PARTS - 1)
-    p_chi = upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)  # Wilson-Hilferty
-    high = F.size(F.filter(u, lambda v: v >= 0.5)).cast("double")
-    low = n - high
-    pairs = F.zip_with(F.slice(u, F.lit(1), F.size(u) - 1), F.slice(u, F.lit(2), F.size(u) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = F.size(F.filter(pairs, lambda q: (q["a"] >= 0.5) != (q["b"] >= 0.5))) + 1.0
-    mean = 2 * high * low / n + 1
+    a, df = x["a"], x["size"] - 1
+    n = a["n"]
+    chi = x["size"] / n * x["squares"] - n  # over the alphabet's symbols
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson-Hilferty
+    mean = 2 * a["high"] * (n - a["high"]) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(var > 0, 2 * upper_tail(F.abs(runs - mean) / F.sqrt(var))).otherwise(0.0)
-    mid = F.aggregate(u, F.lit(0.0), lambda s, v: s + v) / n
-    around = F.aggregate(u, F.lit(0.0), lambda s, v: s + (v - mid) * (v - mid))
-    along = F.aggregate(pairs, F.lit(0.0), lambda s, q: s + (q["a"] - mid) * (q["b"] - mid))
-    p_serial = F.when(around > 0, 2 * upper_tail(F.abs(along / around + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    return F.struct(n.alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+    z_runs = F.when(var > 0, F.abs(a["runs"] - mean) / F.sqrt(var))
+    mid = a["s"] / n
+    around = a["s2"] - n * mid * mid
+    along = a["s12"] - mid * (2 * a["s"] - a["first"] - a["last"]) + (n - 1) * mid * mid
+    z_serial = F.when(around > n * 1e-12, F.abs(along / around + 1 / n) * F.sqrt(n))
+    two = lambda z: F.when(z.isNotNull(), 2 * upper_tail(z)).otherwise(0.0)
+    bound = _let(F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), n.alias("n")), lambda z: F.struct(z["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(upper_tail(z["chi"]), two(z["runs"]), two(z["serial"]))).alias("p")))
+    return bound
 
 
 def candidates(text: Column) -> Column:
     """array<struct<start,end,n,place>>; place is where p / n stands on a grid of logarithms (higher: less
     random)."""
-    tested = F.transform(_found(text, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["value"]).alias("t")))
     place = lambda t: F.least(F.lit(MOST), F.floor(-GRID * F.log10(F.greatest(t["p"], F.lit(1e-30)) / t["n"])).cast("int"))
-    return F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["t"]["n"].alias("n"), place(x["t"]).alias("place")))
+    return F.transform(_found(text, CANDIDATE), lambda x: _let(battery(x["value"]), lambda t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["n"].alias("n"), place(t).alias("place"))))
 
 
 def ordinary_from(found: DataFrame, fdr: float) -> DataFrame:
