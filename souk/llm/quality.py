@@ -6,7 +6,7 @@ so the model gives an expected grade and tail probabilities for selection. Featu
 lower-cased word and of its first letters, and the shares of word shapes (what punctuation or digits surround the letters, all capitals).
 
 The weights are fitted on at most ``most_rows`` labelled documents (those of least hashed id, so any size of
-table gives the same kind of sample); only their hashed features reach the driver. Scoring covers every whole
+table gives the same kind of sample), in one task; only the weights reach the driver. Scoring covers every whole
 text in one pass without a shuffle.
 
 Cases: null text counts as empty; an empty text is scored by the thresholds alone; labels of one id count once,
@@ -152,13 +152,27 @@ def fit(docs: DataFrame, grades: DataFrame, most_rows: int = MOST_ROWS) -> Cumul
             found = [features(x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "i", "v"])
 
+    def fitted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["i"]))
+        if len({r["grade"] for r in got}) < 2:
+            return
+        made = CumulativeLink.fit([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], [r["grade"] for r in got])
+        at = np.flatnonzero(made.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, made.weights[at], made.thresholds)], ["at", "weights", "thresholds"])
+
     import numpy as np
 
     got = rows.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, i binary, v binary")
-    got = sorted(got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect(), key=lambda r: (r["doc_id"], bytes(r["i"])))  # repeated ids: still at most most_rows
-    if len({r["grade"] for r in got}) < 2:
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # repeated ids: still at most most_rows
+    found = got.coalesce(1).mapInArrow(fitted, "at binary, weights binary, thresholds binary").first()
+    if found is None:
         return None
-    return CumulativeLink.fit([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], [r["grade"] for r in got])
+    weights = np.zeros(1 << LOG_FEATURES)
+    weights[np.frombuffer(found["at"], np.int64)] = np.frombuffer(found["weights"])
+    return CumulativeLink(weights, np.frombuffer(found["thresholds"]))
 
 
 def score(df: DataFrame, model: CumulativeLink | None, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -167,12 +181,18 @@ def score(df: DataFrame, model: CumulativeLink | None, keep_from: float = 0.5, i
     rows = id_text(df, id_col, text_col) if not carry else df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
     if carry and text_col in carry:  # a batch holds each text once
         rows = rows.drop("text")
-    held = df.sparkSession.sparkContext.broadcast(model and (model.weights.astype("f4"), model.thresholds))
+    at = None if model is None else model.weights.nonzero()[0]  # few: the penalty leaves most at zero
+    packed = None if model is None else (at, model.weights[at].astype("f4"), model.thresholds)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        own = CumulativeLink(*held.value) if held.value else None
+        own = None
+        if packed:
+            weights = np.zeros(1 << LOG_FEATURES, dtype="f4")
+            weights[packed[0]] = packed[1]
+            own = CumulativeLink(weights, packed[2])
         for b in batches:
             texts = b.column("carried").field(text_col) if carry and text_col in carry else b.column("text")
             tails = [own.tails(x.as_py() or "") if own else None for x in texts]

@@ -27,8 +27,8 @@ from .graph import components
 
 
 PERMUTATIONS, BANDS, BAND_ROWS = 256, 10, 3
-#: Keys of members of crowds: how many, and least hashes in each. Two texts alike by 0.8 share one with over 99.8 %.
-FINER = ((40, 6), (96, 12))
+#: Keys of members of crowds: how many, and least hashes in each. Two texts alike by 0.8 share one with over 99.9 %.
+FINER = (40, 6)
 #: An estimate this far from the least similarity (0.12 is over 4.5 standard deviations at 0.8) settles a pair.
 FAR = 0.12
 
@@ -54,7 +54,10 @@ def simhash(hashes) -> int:
 
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = ones * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
@@ -179,17 +182,40 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     return texts.dropDuplicates(["h"]).join(wanted, "h").select("k", "text").mapInArrow(run, "k long, set array<long>")
 
 
-def exact_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """pairs (x, y, a, b) of nodes (k, h) -> (a, b) of those whose shingle sets have ``least`` or more in common."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-    sets = cut(shingle_sets(texts, nodes.select("k", "h").join(wanted, "k"), shingle))
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs (x, y, a, b), sets (k, set) -> (a, b) of pairs whose sets have ``least`` or more in common."""
     both = pairs.join(sets.select(F.col("k").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("k").alias("y"), F.col("set").alias("t")), "y")
     common = F.size(F.array_intersect("s", "t"))
     counted = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("n"))
     return counted.where(F.col("common") >= least * (F.col("n") - F.col("common"))).select("a", "b")
 
 
-def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: float, shingle: int, most_bits: int, m: int, crowd: int | None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
+def exact_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """pairs (x, y, a, b) of nodes (k, h) -> (a, b) of those whose shingle sets have ``least`` or more in common."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    return alike(pairs, cut(shingle_sets(texts, nodes.select("k", "h").join(wanted, "k"), shingle)), least)
+
+
+def prefix_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """open_ (k, c) -> (a, b) between the components c of all its members alike by ``least`` or more. Exact: with
+    the shingles in one order for all, the rarest first, two sets of that likeness share one of the first
+    n - ceil(least * n) + 1 of each. A shingle of one text only takes its place there without any partner, so a
+    large family whose texts share less than ``least`` meets nowhere."""
+    sets = stored(shingle_sets(texts, nodes.select("k", "h").join(open_.select("k"), "k"), shingle))
+    each = sets.select("k", F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    sizes = sets.select("k", F.size("set").alias("n"))
+    ranked = each.join(shared, "s").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("own"))  # of one text
+    room = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("own"))
+    first = ranked.join(sizes, "k").join(open_, "k").withColumn("room", room.cast("int")).where("room > 0")
+    first = cut(first.select("k", "c", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("p")).select("k", "c", "n", "p.s"))
+    side = lambda k, c, n: first.select(F.col("k").alias(k), F.col("c").alias(c), F.col("n").alias(n), "s")
+    pairs = side("x", "a", "n").join(side("y", "b", "m"), "s").where("x < y and a <> b").where((F.least("n", "m") + 1e-9) >= least * F.greatest("n", "m"))
+    pairs = pairs.select("x", "y", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return alike(pairs, sets, least).distinct()
+
+
+def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: float, shingle: int, most_bits: int, m: int, crowd: int, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
     """nodes (k, h, sig), keyed (k, fp, c, i, v) -> edges (a, b) between the components c of nodes whose shingle sets
     are alike by ``least`` or more, and (i, v) of the crowded keys. Candidates share a key and are of different
     components; they are pruned by the ring, then by the whole Hamming distance; signatures settle those far from
@@ -197,7 +223,7 @@ def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: f
     them are held against all others."""
     picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "k").alias("o"), F.col("k").alias("y"), F.col("fp").alias("g"), F.col("c").alias("b"))).alias(f"p{j}") for j in range(anchors)]
     sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi"))
-    is_crowd = F.col("n") > crowd if crowd else F.lit(False)
+    is_crowd = F.col("n") > crowd
     few = keyed.join(sizes.where(~is_crowd).select("i", "v"), ["i", "v"])
     side = lambda rows, *names: rows.select("i", "v", *[F.col(n).alias(m) for n, m in zip(("k", "fp", "c"), names, strict=True)])
     ends = ["x", "f", "a", "y", "g", "b"]
@@ -250,25 +276,30 @@ def similar_components(nodes: DataFrame, texts: DataFrame, least: float = 0.8, s
     At that distance fingerprints share no segment that tells them from others, so candidates share a key of
     three least hashes. A key that more than ``crowd`` share is held against a few of its members first, which
     joins groups of near copies in one step. If members of different components remain, they get new keys of six
-    least hashes, then of twelve, where all that share a key and are not joined yet are held against each other."""
+    least hashes; those that still share a crowded key and are not joined are searched exactly by prefixes of their
+    shingle sets."""
     labels = nodes.select("k", "fp", F.col("k").alias("c"))
     keyed = nodes.select("k", "fp", F.col("k").alias("c"), F.posexplode("keys").alias("i", "v"))
     of_fp = cut(nodes.groupBy("fp").agg(F.min("k").alias("rep")))
     more = links(of_fp).unionByName(nodes.select("fp", F.col("k").alias("a")).join(of_fp, "fp").select("a", F.col("rep").alias("b")).where("a <> b"))
-    for finer in (*FINER, None):
-        edges, crowds = similar_links(nodes.select("k", "h", "sig"), keyed, texts, least, shingle, most_bits, m, crowd if finer else None)
-        edges, more = (edges.unionByName(more) if more is not None else edges), None
-        found = components(edges)
-        labels = cut(labels.join(found, F.col("c") == F.col("node"), "left").select("k", "fp", F.coalesce("component", "c").alias("c")))
-        if finer is None:
-            break
+    for finer in (FINER, None):
+        edges, crowds = similar_links(nodes.select("k", "h", "sig"), keyed, texts, least, shingle, most_bits, m, crowd)
+        labels = relabelled(labels, edges if more is None else edges.unionByName(more))
+        more = None
         crowded = keyed.select("k", "i", "v").join(crowds, ["i", "v"]).join(labels, "k")
         mixed = crowded.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
         open_ = cut(crowded.join(mixed, ["i", "v"], "left_semi").select("k", "fp", "c").distinct())
         if open_.isEmpty():
-            break
-        keyed = stored(finer_keys(open_.join(nodes.select("k", "sig"), "k").select("k", "fp", "c", "sig"), *finer))
-    return labels
+            return labels
+        if finer:
+            keyed = stored(finer_keys(open_.join(nodes.select("k", "sig"), "k").select("k", "fp", "c", "sig"), *finer))
+    return relabelled(labels, prefix_links(open_.select("k", "c"), nodes, texts, least, shingle))
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (k, fp, c) with the components that edges (a, b) between them join."""
+    found = components(edges)
+    return cut(labels.join(found, F.col("c") == F.col("node"), "left").select("k", "fp", F.coalesce("component", "c").alias("c")))
 
 
 def similar_groups(df: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -529,6 +529,48 @@ def test_pairs_near_the_least_similarity(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_every_pair_in_a_family_below_the_least_similarity(spark):
+    """150 texts that share three quarters of their shingles with each other; some pairs are alike by 0.8 or more.
+    All levels of the search are needed, and components are those of brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage, rows = [word() for _ in range(190)], []
+    for g in range(150):
+        own = [*passage, *(word() for _ in range(25))]
+        rows.append((len(rows), " ".join(own)))
+        if g % 3 == 0:
+            twin = list(own)
+            for at in rng.sample(range(6, 186, 6), rng.randint(2, 6)):
+                twin[at] = word()
+            rows.append((len(rows), " ".join(twin)))
+    sets = [shingle_set(t, 5) for _, t in rows]
+    fps = [simhash.simhash(np.unique(simhash.shingle_hashes(t, 5))) & 2**64 - 1 for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    edges = alike + [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 20 < len(alike) < 60
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(90)] + [(5, 5)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    for kind, of in (("long", int), ("string", lambda x: f"é{x:05d}")):
+        df = spark.createDataFrame([(of(a), of(b)) for a, b in edges * 2] + [(None, of(3))], f"a {kind}, b {kind}")
+        assert {r.node: r.component for r in graph.components(df, few=few).collect()} == {of(a): of(b) for a, b in root.items()}
+        assert graph.components(df.limit(0), few=few).isEmpty()
+
+
 def test_sketches_of_few_shingles(spark):
     rnd = random.Random(13)
     texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in [*range(1, 12)] * 20]
