@@ -34,18 +34,16 @@ from .word_tokens import word_tokens
 
 def tokenized(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """A table in the shared folder: part and idx (which row of which task), doc_id, source, n tokens, ``before``
-    (tokens of its source earlier in the task), and the ids as compressed bytes. A task that runs again writes the
-    same rows."""
+    (tokens of its source earlier in the task), and the ids as bytes. A task that runs again writes the same rows."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.concat(F.lit("="), F.col(source_col).cast("string")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("source", F.coalesce("source", F.lit("")))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
         words, part, idx, queues = word_tokens(path), TaskContext.get().partitionId(), 0, {}
-        end, small = np.array([end_id], dtype=words.kind).tobytes(), zstandard.ZstdCompressor(level=1).compress
+        end = np.array([end_id], dtype=words.kind).tobytes()
         for b in batches:
             ids = [x + end for x in words.encode_many(b.column("text").to_pylist())]
             sizes, before = [len(x) // words.kind.itemsize for x in ids], []
@@ -54,7 +52,7 @@ def tokenized(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
                 queues[source] = before[-1] + n
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(idx, idx + n), pa.int64()), b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(map(small, ids), pa.binary())],
+                [pa.array([part] * n, pa.int32()), pa.array(range(idx, idx + n), pa.int64()), b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())],
                 ["part", "idx", "doc_id", "source", "n", "before", "ids"],
             )
             idx += n
@@ -66,7 +64,7 @@ def queues(docs: DataFrame, size: int, packet: int, targets: dict[str, float] |
     """docs (source, part, n, before) -> a row for each source and part: base (tokens of the queue before the
     part), total, quantum (null: behind all others), step (tokens of a packet), and last, the round in which the
     last queue with a quantum ends."""
-    parts = docs.groupBy("source", "part").agg(F.sum("n").alias("t"))
+    parts = stored(docs.groupBy("source", "part").agg(F.sum("n").alias("t")))
     queue = Window.partitionBy("source")
     parts = parts.select("source", "part", (F.sum("t").over(queue.orderBy("part")) - F.col("t")).alias("base"), F.sum("t").over(queue).alias("total"))
     each = parts.groupBy("source").agg(F.max("total").cast("double").alias("total"))
@@ -124,21 +122,30 @@ def pack(df: DataFrame, path: str, end_id: int, size: int = 4096, packet: int =
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import zstandard
+        import pyarrow.compute
 
-        plain = zstandard.ZstdDecompressor().decompress
-        names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.list_(pa.int32())] * keep_ids]
         for b in batches:
-            out = []
-            for doc_id, source, n, ids, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids", "pieces")), strict=True):
-                raw = plain(ids)
-                wide = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
-                for p in sorted(cuts, key=lambda p: p["start"]):
-                    own = wide[p["start"] : p["start"] + p["length"]]
-                    out.append((doc_id, source[1:] if source else None, p["start"], p["length"], zlib.crc32(own.tobytes()), n, p["sequence_id"], p["offset"], *[own.astype("i4")] * keep_ids))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            if not b.num_rows:
+                continue
+            n, ids, cuts = b.column("n").to_numpy(), b.column("ids"), b.column("pieces")
+            row = np.repeat(np.arange(len(n)), cuts.value_lengths().to_numpy())
+            start, length, sequence, offset = (x.to_numpy() for x in cuts.flatten().flatten())
+            order = np.lexsort((start, row))
+            row, start, length = row[order], start[order], length[order]
+            stops = np.cumsum(n)
+            raw = b"".join(x.as_py() for x in ids)
+            wide = np.frombuffer(raw, dtype=f"<u{len(raw) // int(stops[-1])}").astype("<u4")
+            low = stops[row] - n[row] + start
+            view = memoryview(wide).cast("B")
+            crc = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(low.tolist(), (low + length).tolist(), strict=True)]
+            sources = b.column("source").take(pa.array(row))
+            sources = pa.compute.if_else(pa.compute.equal(sources, ""), None, pa.compute.utf8_slice_codeunits(sources, 1))
+            out = [b.column("doc_id").take(pa.array(row)), sources, *map(pa.array, (start, length)), pa.array(crc, pa.int64()), *map(pa.array, (n[row], sequence[order], offset[order]))]
+            if keep_ids:
+                ends = np.concatenate([[0], np.cumsum(length)])
+                at = np.repeat(low - ends[:-1], length) + np.arange(ends[-1])
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(wide[at].astype("i4"))))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids])
 
     kept = ", ids array<int>" * keep_ids
     return joined.mapInArrow(run, f"doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{kept}")
