@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Replacements of a transliteration key, in the order in which they apply.
 TRANSLITERATION = [("ou", "u"), ("oo", "u"), ("ee", "i"), ("iy", "i"), ("ey", "ei"), ("gh", "q"), ("kh", "x"), ("w", "v"), ("aa", "a"), ("eh", "e"), ("ah", "a"), ("ie", "i")]
 # Digits and unit words, in the order in which a word decides.
+PLACE_SUFFIXES = (" county", "-city", "-new-town", "-industrial-city")
+# Words of attribute chips for square metres, rooms, new buildings, years, and in price titles for price.
+METRE, ROOM, NEW, YEAR, PRICE = "متر", "اتاق", "نوساز", "سال", "قیمت"
 LOCAL_DIGITS, DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 UNIT_WORDS = [("میلیارد", 1e9), ("میلیون", 1e6), ("هزار", 1e3)]
 
@@ -20,6 +23,53 @@ def place_key(name: Column) -> Column:
     return F.regexp_replace(out, r"(.)\1", "$1")
 
 
+def bare_place(name: Column) -> Column:
+    """A place's name without the words that say what kind of place it is."""
+    out = F.lower(name)
+    for suffix in PLACE_SUFFIXES:
+        out = F.replace(out, F.lit(suffix), F.lit(""))
+    return out
+
+
+def first_integer(text: Column) -> Column:
+    """The first run of digits as a number, null where there is none."""
+    return F.regexp_extract(text, r"(\d+)", 1).try_cast("long")
+
+
+def without(text: Column, *affixes: str) -> Column:
+    """text without any of the affixes, trimmed."""
+    for x in affixes:
+        text = F.replace(text, F.lit(x), F.lit(""))
+    return F.trim(text)
+
+
+def chips(items: Column) -> Column:
+    """struct<size_m2,rooms,age_years,parking,elevator> of a card's array<struct<title,icon_url_light>>. Of chips
+    that say the same the last one counts; no room is 0, new is 0 years; icons have no title and are flags."""
+    titled = F.filter(items, lambda c: F.trim(c["title"]) != "")
+    digits = lambda c: F.regexp_replace(ascii_digits(c["title"]), "[^0-9]", "").try_cast("double")
+    has = lambda c, word: F.contains(c["title"], F.lit(word))
+    size = lambda c: has(c, METRE) & digits(c).isNotNull()
+    room = lambda c: ~size(c) & has(c, ROOM)
+    age = lambda c: ~size(c) & ~has(c, ROOM) & (has(c, NEW) | (has(c, YEAR) & digits(c).isNotNull()))
+    last = lambda test, value: F.get(F.reverse(F.transform(F.filter(titled, test), value)), F.lit(0))
+    icon = lambda word: F.coalesce(F.exists(items, lambda c: (F.coalesce(F.trim(c["title"]), F.lit("")) == "") & F.contains(F.to_json(c), F.lit(word))), F.lit(False)).cast("int")
+    return F.struct(last(size, digits).alias("size_m2"), last(room, lambda c: F.coalesce(digits(c), F.lit(0.0))).alias("rooms"), last(age, lambda c: F.when(has(c, NEW), 0.0).otherwise(digits(c))).alias("age_years"), icon("parking").alias("parking"), icon("elevator").alias("elevator"))
+
+
+def card_prices(fields: Column, size: Column) -> Column:
+    """struct<price,price_m2,text> of a card's price fields: titles with a metre word are prices per square metre,
+    titles with the price word or none are totals, the last readable one counts. A missing price per square metre
+    is the total by the size."""
+    title = lambda f: F.coalesce(F.regexp_replace(f["title"], "^[ :]+|[ :]+$", ""), F.lit(""))
+    read = F.filter(F.transform(fields, lambda f: F.struct(title(f).alias("t"), amount(f["value"]).alias("v"))), lambda f: f["v"].isNotNull())
+    last = lambda test: F.get(F.reverse(F.filter(read, test)), F.lit(0))["v"]
+    per = last(lambda f: F.contains(f["t"], F.lit(METRE)))
+    total = last(lambda f: ~F.contains(f["t"], F.lit(METRE)) & (F.contains(f["t"], F.lit(PRICE)) | (f["t"] == "")))
+    text = joined_fields(F.transform(fields, lambda f: F.struct(title(f).alias("title"), f["value"].alias("value"))))
+    return F.struct(total.alias("price"), F.coalesce(per, F.try_divide(F.nullif(total, F.lit(0.0)), F.nullif(size, F.lit(0.0)))).alias("price_m2"), text.alias("text"))
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, LOCAL_DIGITS, DIGITS)
 

@@ -17,13 +17,21 @@ def cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def gridded(polygons: DataFrame, cell: float) -> DataFrame:
+    """polygons listed under the grid cells (cx, cy) that their boxes touch."""
+    return polygons.withColumn("cx", F.explode(cells(F.col("x_min"), F.col("x_max"), cell))).withColumn("cy", F.explode(cells(F.col("y_min"), F.col("y_max"), cell)))
+
+
+def within(x: Column, y: Column) -> Column:
+    """In the box of a polygon row, then inside it."""
+    return x.between(F.col("x_min"), F.col("x_max")) & y.between(F.col("y_min"), F.col("y_max")) & inside(x, y, F.col("edges"))
+
+
 def locate(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """points (id, x, y) x polygons (poly, edges, x_min, x_max, y_min, y_max) -> id, poly: the least polygon that
     holds the point (null: none). A polygon is listed under the grid cells that its box touches."""
-    gridded = polygons.withColumn("cx", F.explode(cells(F.col("x_min"), F.col("x_max"), cell))).withColumn("cy", F.explode(cells(F.col("y_min"), F.col("y_max"), cell)))
     at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    box = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
-    hits = at.join(gridded, ["cx", "cy"]).where(box).where(inside(F.col("x"), F.col("y"), F.col("edges"))).groupBy("id").agg(F.min("poly").alias("poly"))
+    hits = at.join(gridded(polygons, cell), ["cx", "cy"]).where(within(F.col("x"), F.col("y"))).groupBy("id").agg(F.min("poly").alias("poly"))
     return points.join(hits, "id", "left").select("id", "poly")
 
 

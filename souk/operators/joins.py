@@ -30,3 +30,9 @@ def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def only_in(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old, key, "left_anti")
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement, those whose hash of key and seed is least; the same on any partitioning. The
+    limit is the operator: each task keeps n rows and these are merged."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)

@@ -30,4 +30,24 @@ def incomplete(history: DataFrame, scope: str = "scope", time: str = "collected_
     from pyspark.sql import Window
 
     w = Window.partitionBy(scope).orderBy(time).rowsBetween(-back, -1)
-    return history.withColumn("incomplete", F.coalesce(F.col(n) < 0.5 * F.median(n).over(w), F.lit(False)))
+    # At most ``back`` values; the middle one, or the mean of the middle two.
+    before = F.sort_array(F.collect_list(n).over(w))
+    middle = (F.get(before, F.floor((F.size(before) - 1) / 2).cast("int")) + F.get(before, F.floor(F.size(before) / 2).cast("int"))) / 2
+    return history.withColumn("incomplete", F.coalesce(F.col(n) < 0.5 * middle, F.lit(False)))
+
+
+def weekly_levels(history: DataFrame, scope: str = "scope", time: str = "collected_on", n: str = "listings", level: str = "level") -> DataFrame:
+    """(scope, week, n, level): the weighted mean of a week's snapshots; weeks start on Monday."""
+    known = history.where(F.col(level).isNotNull())
+    return known.groupBy(scope, F.date_trunc("week", time).cast("date").alias("week")).agg(F.sum(n).alias("n"), (F.sum(F.col(n) * F.col(level)) / F.sum(n)).alias("level"))
+
+
+def located_ads(payloads: DataFrame, polygons: DataFrame, cell: float, sizes: tuple[float, float], prices: tuple[float, float]) -> DataFrame:
+    """Ads of a stream (or table) of card payloads within the size and price ranges, with a row for each polygon
+    (poly, edges and box) that holds them. A stream-static join on grid cells; no state is kept."""
+    from souk.operators import geo
+    from souk.sources import tables
+
+    ads = tables.ads(tables.cards(payloads)).where(F.col("size_m2").between(*sizes) & F.col("price_m2").between(*prices))
+    at = ads.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
+    return at.join(geo.gridded(polygons, cell), ["cx", "cy"]).where(geo.within(F.col("lon"), F.col("lat"))).select("token", "lat", "lon", "price", "price_m2", "size_m2", "rooms", "poly")
