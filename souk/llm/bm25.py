@@ -27,7 +27,7 @@ from .common import Memo, documents, id_text, stored
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and of a block; queries of a chunk and their terms (of one query there may be more).
-SHARD_ROWS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 64, 8192, 1_000_000
+SHARD_ROWS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 256, 8192, 1_000_000
 
 
 def _hash(word: bytes) -> int:
@@ -149,21 +149,22 @@ class Shard:
         run_w = np.repeat(w, self.to[i] - self.from_[i])
         run_block = self.block[runs]
         bound = np.bincount(run_block, weights=self.most[runs] * run_w, minlength=self.blocks) * (1 + 1e-12) + 6e-7
-        by_block = np.argsort(run_block, kind="stable")
-        ends = np.cumsum(np.bincount(run_block, minlength=self.blocks))
         places, scores = [], []
 
         def score(chosen):
             nonlocal floor
-            mine = by_block[self._ranges(np.where(chosen, ends[chosen - 1], 0), ends[chosen])]
-            mine.sort()  # postings of a document are summed in the terms' order
-            r = runs[mine]
-            posts = self._ranges(self.start[r], self.stop[r])
-            found, at = np.unique(self.doc[posts], return_inverse=True)
-            got = np.round(np.bincount(at, weights=self.impact[posts] * np.repeat(run_w[mine], self.stop[r] - self.start[r])), 6)
-            keep = (got >= floor) & (got > 0)
-            places.append(found[keep])
-            scores.append(got[keep])
+            r, v = runs, run_w
+            if len(chosen) < self.blocks:
+                wanted = np.zeros(self.blocks, dtype=bool)
+                wanted[chosen] = True
+                mine = np.flatnonzero(wanted[run_block])
+                r, v = runs[mine], run_w[mine]
+            a, z = self.start[r], self.stop[r]
+            posts = self._ranges(a, z)
+            got = np.round(np.bincount(self.doc[posts], weights=self.impact[posts] * np.repeat(v, z - a)), 6)
+            found = np.flatnonzero(got >= max(floor, 1e-6))
+            places.append(found)
+            scores.append(got[found])
             if sum(map(len, scores)) >= k:
                 every = np.concatenate(scores)
                 floor = max(floor, float(np.partition(every, -k)[-k]))
@@ -171,14 +172,14 @@ class Shard:
         first = int(bound.argmax())
         if bound[first] >= floor:
             score(np.array([first]))
-        cursor, step = 0, 1
+        cursor, step = 0, 4
         while cursor < self.blocks:
             pivots = np.flatnonzero((bound[cursor:] >= floor) & (bound[cursor:] > 6e-7))[: step + 1] + cursor
             pivots = pivots[pivots != first][:step]
             if not len(pivots):
                 break
             score(pivots)
-            cursor, step = int(pivots[-1]) + 1, min(step * 2, 16)
+            cursor, step = int(pivots[-1]) + 1, step * 8
         if not places:
             return np.zeros(0, np.int64), np.zeros(0)
         ids, got = self.doc_ids[np.concatenate(places)], np.concatenate(scores)
@@ -289,7 +290,8 @@ def op7_blockmax_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: SQL for op7: every score of every query, ranked.
 OP7_SQL = r"""
 with w as (select doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
-]+'), lambda x: x <> '')) term from documents where doc_id is not null),
+
+]+'), lambda x: x <> '')) term from documents where doc_id is not null),
 t as (select doc_id, term, count(*) tf from w group by 1, 2),
 l as (select doc_id, count(*) size from w group by 1),
 g as (select (select count(*) from documents where doc_id is not null) n, (select count(*) from w) / (select count(*) from documents where doc_id is not null) mean),
