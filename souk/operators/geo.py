@@ -52,10 +52,60 @@ def snap(points: DataFrame, polygons: DataFrame, within: float) -> DataFrame:
     return points.join(near, "id", "left").select("id", F.col("b.poly").alias("poly"), status.alias("status"))
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, x_scale: float = 1.0) -> DataFrame:
-    """points (id, x, y), centroids (name, cx, cy): the nearest name, least on ties. The centroids are folded into
-    one bounded array, so points are neither shuffled nor multiplied."""
-    every = centroids.agg(F.sort_array(F.collect_list(F.struct("name", "cx", "cy"))).alias("all"))
-    d2 = lambda c: F.pow((F.col("x") - c["cx"]) * x_scale, 2) + F.pow(F.col("y") - c["cy"], 2)
-    best = F.array_min(F.transform("all", lambda c: F.struct(d2(c).alias("d2"), c["name"].alias("name"))))
-    return points.withColumn("all", every.scalar()).select("id", best["name"].alias("name"), best["d2"].alias("d2"))
+def nearest_centroid(points: DataFrame, centroids: DataFrame, cell: float, extent: float, x_scale: float = 1.0) -> DataFrame:
+    """points (id, x, y), centroids (name, cx, cy): the nearest name, the least on ties, and the squared distance.
+    ``cell`` is a common distance to the nearest and ``extent`` at least the largest possible one. A point is held
+    against the centroids of the nine cells around it; where none of them is as near as a cell is wide, the search
+    goes on in cells four times as wide, up to the extent. Null coordinates give no name."""
+    todo, found, size = points.where("x is not null and y is not null"), None, cell
+    at = lambda c, scale: F.floor(c * scale / size).cast("long")
+    while True:
+        last = size >= extent
+        sides = F.sequence(F.lit(-1), F.lit(1))
+        dealt = centroids.select("name", "cx", "cy", F.explode(sides).alias("i")).select("*", F.explode(sides).alias("j"))
+        dealt = dealt.select("name", "cx", "cy", (at(F.col("cx"), x_scale) + F.col("i")).alias("gx"), (at(F.col("cy"), 1.0) + F.col("j")).alias("gy"))
+        near = todo.withColumn("gx", at(F.col("x"), x_scale)).withColumn("gy", at(F.col("y"), 1.0)).join(dealt, ["gx", "gy"])
+        d2 = F.pow((F.col("x") - F.col("cx")) * x_scale, 2) + F.pow(F.col("y") - F.col("cy"), 2)
+        best = near.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("name"))).alias("b"))
+        sure = best if last else best.where(F.col("b.d2") <= size * size)
+        found = sure if found is None else found.unionByName(sure)
+        if last:
+            break
+        todo, size = todo.join(sure, "id", "left_anti"), size * 4
+    return points.join(found, "id", "left").select("id", F.col("b.name").alias("name"), F.col("b.d2").alias("d2"))
+
+
+def verified(points: DataFrame, places: DataFrame, tolerance: float, cell: float, extent: float, x_scale: float = 1.0) -> DataFrame:
+    """points (id, x, y, tag), places (name, cx, cy and box) -> id, name, ok: the given tag where the point is in
+    that place's box, with a tolerance; else the nearest place. ok says whether the tag was kept."""
+    box = places.select(F.col("name").alias("tag"), "x_min", "x_max", "y_min", "y_max")
+    inside_ = F.col("x").between(F.col("x_min") - tolerance, F.col("x_max") + tolerance) & F.col("y").between(F.col("y_min") - tolerance, F.col("y_max") + tolerance)
+    held = points.join(box, "tag", "left").select("id", "x", "y", "tag", F.coalesce(inside_, F.lit(False)).alias("ok"))
+    near = nearest_centroid(held.where("not ok").select("id", "x", "y"), places.select("name", "cx", "cy"), cell, extent, x_scale)
+    return held.join(near.select("id", F.col("name").alias("nearest")), "id", "left").select("id", F.when(F.col("ok"), F.col("tag")).otherwise(F.col("nearest")).alias("name"), "ok")
+
+
+def majority_label(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """poly -> the most frequent label of the points (id, x, y, label) it holds, the least on ties; null if none."""
+    inside_ = points.join(locate(points.select("id", "x", "y"), polygons, cell), "id").where("poly is not null")
+    votes = inside_.groupBy("poly", "label").count().groupBy("poly").agg(F.min_by("label", F.struct((-F.col("count")).alias("n"), F.col("label").alias("l"))).alias("label"))
+    return polygons.select("poly").join(votes, "poly", "left")
+
+
+def rounded_rings(rings: Column, places: int = 4) -> Column:
+    """array<array<array<double>>> with every coordinate rounded."""
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.transform(p, lambda c: F.round(c, places))))
+
+
+def projection(box: DataFrame, width: float, pad: float = 10.0) -> DataFrame:
+    """One row of an equirectangular projection that fits a box (x_min, x_max, y_min, y_max in degrees) to a width:
+    lon0, lat1, kx, scale, pad and the height."""
+    kx = F.cos(F.radians((F.col("y_min") + F.col("y_max")) / 2))
+    out = box.select(F.col("x_min").alias("lon0"), F.col("y_max").alias("lat1"), "y_min", kx.alias("kx"), (F.lit(width - 2 * pad) / ((F.col("x_max") - F.col("x_min")) * kx)).alias("scale"), F.lit(float(pad)).alias("pad"))
+    return out.withColumn("height", F.round(2 * F.col("pad") + (F.col("lat1") - F.col("y_min")) * F.col("scale"), 1)).drop("y_min")
+
+
+def projected(df: DataFrame, fitted: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """df with px, py by a projection() row."""
+    made = df.crossJoin(fitted.select("lon0", "lat1", "kx", "scale", "pad"))  # one row
+    return made.withColumn("px", F.col("pad") + (F.col(x) - F.col("lon0")) * F.col("kx") * F.col("scale")).withColumn("py", F.col("pad") + (F.col("lat1") - F.col(y)) * F.col("scale")).drop("lon0", "lat1", "kx", "scale", "pad")

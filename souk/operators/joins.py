@@ -36,3 +36,8 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, those whose hash of key and seed is least; the same on any partitioning. The
     limit is the operator: each task keeps n rows and these are merged."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old, and those rows of new whose key old lacks; columns of one side only are null on the other."""
+    return old.unionByName(only_in(new, old.select(key), key), allowMissingColumns=True)

@@ -46,3 +46,57 @@ def waterfall(df: DataFrame, keys: list[str], order: str, log_step: str, start:
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     after = F.lit(start) * F.exp(F.sum(log_step).over(w))
     return df.withColumn("after", after).withColumn("contribution", F.col("after") - F.col("after") / F.exp(log_step))
+
+
+def last_in_period(df: DataFrame, keys: list[str], t: str, values: list[str]) -> DataFrame:
+    """The last known value of each column within its keys (such as a year), and where it stands."""
+    return df.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(t))).alias(v) for v in values], *[F.max(F.when(F.col(v).isNotNull(), F.col(t))).alias(f"{v}_t") for v in values])
+
+
+def since_first(unit: str, t: str, value: str) -> Column:
+    """Change since the unit's first known value."""
+    first = F.first(value, ignorenulls=True).over(Window.partitionBy(unit).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.try_divide(F.col(value), first) - 1
+
+
+def trailing(unit: str, t: str, value: str, steps: int) -> Column:
+    """The values of the last ``steps`` steps up to each row, oldest first; a gap has none."""
+    return F.collect_list(value).over(Window.partitionBy(unit).orderBy(t).rangeBetween(-(steps - 1), 0))
+
+
+def jumps(df: DataFrame, unit: str, t: str, value: str, most: float) -> DataFrame:
+    """Rows that changed by more than a share ``most`` against the step just before; not across gaps."""
+    w = Window.partitionBy(unit).orderBy(t)
+    change = F.when(F.col(t) - F.lag(t).over(w) == 1, F.try_divide(F.col(value), F.lag(value).over(w)) - 1)
+    return df.withColumn("change", change).where(F.abs("change") > most)
+
+
+def matches(query: str, *names: Column, number: Column | None = None) -> Column:
+    """Whether any name holds the query, letters in either case; or, given a number, whether the query is it."""
+    out = F.lit(False)
+    for n in names:
+        out = out | F.coalesce(F.contains(F.lower(n), F.lit(query.lower())), F.lit(False))
+    return out if number is None or not query.strip().isdigit() else out | F.coalesce(number == int(query), F.lit(False))
+
+
+def value_in(df: DataFrame, unit: str, period: str, value: str, wanted: DataFrame) -> DataFrame:
+    """wanted (unit, period) with the value of just that period, null where it has none; never carried over."""
+    return wanted.join(df.select(unit, period, value), [unit, period], "left")
+
+
+def ladder(df: DataFrame, unit: str, period: str, value: str, at: int, before: int) -> DataFrame:
+    """Units by their value at one period, nulls last, with place, how many are ranked, the value of the period
+    before and the change. place is null for units without a value."""
+    now = df.where(F.col(period) == at).select(unit, F.col(value).alias("now"))
+    then = df.where(F.col(period) == before).select(unit, F.col(value).alias("then"))
+    every = df.select(unit).distinct().join(now, unit, "left").join(then, unit, "left")
+    w = Window.partitionBy(F.lit(0))  # a list of units
+    place = F.when(F.col("now").isNotNull(), F.rank().over(w.orderBy(F.col("now").desc_nulls_last())))
+    return every.withColumn("place", place).withColumn("ranked", F.count("now").over(w)).withColumn("change", F.try_divide(F.col("now"), F.col("then")) - 1)
+
+
+def history(df: DataFrame, unit: str, periods: dict[str, int], selected: int) -> DataFrame:
+    """A wide row of a unit (a column for each period) as rows (unit, period, value, selected)."""
+    long = df.unpivot([unit], list(periods), "c", "value")
+    number = F.element_at(F.create_map(*[F.lit(x) for p in periods.items() for x in p]), F.col("c"))
+    return long.select(unit, number.alias("period"), "value", (number == selected).alias("selected"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.sources.tables import stored
+
+from .weighted import weighted_quantile_of_many
+
 
 def number(text: Column) -> Column:
     """Text with thousands separators as a double, null where it is none."""
@@ -12,18 +16,20 @@ def number(text: Column) -> Column:
 
 
 def robust_bounds(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Median m and scaled median absolute deviation s of ln(value) for each group (keys may be empty)."""
-    logs = df.where(F.col(value) > 0).select(*keys, F.ln(value).alias("__l"))
-    centre = logs.groupBy(*keys).agg(F.median("__l").alias("__m"))
-    near = logs.join(F.broadcast(centre), keys) if keys else logs.join(F.broadcast(centre))
-    return near.groupBy(*keys, F.col("__m").alias("m")).agg((F.median(F.abs(F.col("__l") - F.col("__m"))) * 1.4826).alias("s")).withColumnRenamed("m", "__m").withColumnRenamed("s", "__s")
+    """Median m and scaled median absolute deviation s of ln(value) for each group (keys may be empty); exact, and
+    no task has a whole group."""
+    logs = df.where(F.col(value) > 0).select(*keys, F.ln(value).alias("__l"), F.lit(1.0).alias("__w"))
+    centre = weighted_quantile_of_many(logs, keys, "__l", "__w", {"__m": 0.5})
+    near = (logs.join(centre, keys) if keys else logs.crossJoin(centre)).withColumn("__d", F.abs(F.col("__l") - F.col("__m")))
+    spread = weighted_quantile_of_many(near, keys, "__d", "__w", {"__s": 0.5}).withColumn("__s", F.col("__s") * 1.4826)
+    return centre.join(spread, keys) if keys else centre.crossJoin(spread)
 
 
 def robust_filter(df: DataFrame, value: str, keys: list[str] | None = None, limit: float = 4.0) -> DataFrame:
     """Rows whose ln(value) lies within ``limit`` robust deviations of the median; with no spread, no row."""
     keys = keys or []
-    bounds = F.broadcast(robust_bounds(df, value, keys))  # one row for each group
-    joined = df.join(bounds, keys) if keys else df.join(bounds)
+    bounds = robust_bounds(df, value, keys)  # one row for each group; the planner broadcasts it where its size allows
+    joined = df.join(bounds, keys) if keys else df.crossJoin(bounds)
     return joined.where(F.try_divide(F.abs(F.ln(value) - F.col("__m")), F.col("__s")) <= limit).drop("__m", "__s")
 
 
@@ -53,14 +59,13 @@ def layer(df: DataFrame, keys: list[str], columns: list[str], suffix: str) -> Da
     return df.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in columns if c in df.columns])
 
 
-def surrogate_key(df: DataFrame, order: list[str], prefix: str, block: int = 1_000_000) -> DataFrame:
-    """Consecutive keys such as D21-00001 in a total order. Row numbers are taken within ranges of a hash-free
-    range partitioning, so no task numbers all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
+def surrogate_key(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
+    """Consecutive keys such as D21-00001 in a total order. Rows are numbered within the ranges of a range
+    partitioning, which is written once so that its ranges are the same for counting and numbering."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    base = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")  # one row for each partition
-    numbered = ranged.withColumn("__i", F.row_number().over(w)).join(F.broadcast(base), "__p")
+    base = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))  # one row for each range
+    numbered = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).join(base, "__p")
     return numbered.withColumn("key", F.format_string(f"{prefix}-%05d", F.col("__base") + F.col("__i"))).drop("__p", "__i", "__base")
 
 

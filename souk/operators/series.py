@@ -58,7 +58,7 @@ def error_bands(bt: DataFrame, method: str) -> DataFrame:
 
 def scenario_fan(latest: DataFrame, bands: DataFrame, monthly_growth: float) -> DataFrame:
     """latest (series, level) x bands (h, q10..q90): the path level * exp(g h) and its bands."""
-    return latest.join(F.broadcast(bands)).select("series", "h", (F.col("level") * F.exp(F.col("h") * monthly_growth)).alias("path"), *[(F.col("level") * F.exp(F.col("h") * monthly_growth) * F.col(q)).alias(q) for q in ("q10", "q90")])
+    return latest.crossJoin(bands).select("series", "h", (F.col("level") * F.exp(F.col("h") * monthly_growth)).alias("path"), *[(F.col("level") * F.exp(F.col("h") * monthly_growth) * F.col(q)).alias(q) for q in ("q10", "q90")])
 
 
 def holt_damped(df: DataFrame, horizon: int, series: str = "series", t: str = "t", y: str = "y", grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9), damp: tuple[float, ...] = (0.8, 0.9, 0.98)) -> DataFrame:

@@ -10,12 +10,17 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     """Midpoint-rule weighted quantiles: with values ascending (ties: heavier first, then by ``tie``), a row
     stands at the running weight less half its own; the quantile is interpolated at q times the total and held
     at both ends. Null values and weights that are null or not positive are ignored; a group without rows left
-    gives no row. qs: result column -> q."""
+    gives no row. qs: result column -> q. For groups of members or units; see weighted_quantile_of_many() for others."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(weight) > 0))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     order = whole.orderBy(F.col(value), F.col(weight).desc(), *tie).rowsBetween(Window.unboundedPreceding, 0)
     w = F.col(weight).cast("double")
     placed = rows.select(*keys, F.col(value).cast("double").alias("v"), (F.sum(w).over(order) - w / 2).alias("cw"), F.sum(w).over(whole).alias("total"))
+    return _interpolated(placed, keys, qs)
+
+
+def _interpolated(placed: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
+    """Quantiles of values v that stand at cw of total."""
     out = []
     for name, q in qs.items():
         low, high, cut = F.col("cw") <= q * F.col("total"), F.col("cw") > q * F.col("total"), F.max(q * F.col("total"))
@@ -25,6 +30,25 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     return placed.groupBy(*keys).agg(*out)
 
 
+def weighted_quantile_of_many(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float], ranges: int = 64) -> DataFrame:
+    """weighted_quantile() for groups of any size, such as a whole table (no keys). Rows of one value count as one:
+    the heaviest stands first and the lightest last, and only these two places matter. The sums so far are taken in
+    about ``ranges`` ranges of values and then over the ranges, so no task has a whole group."""
+    w = F.col(weight).cast("double")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(weight) > 0))
+    each = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.sum(w).alias("w"), F.max(w).alias("first"), F.min(w).alias("last"))
+    cuts = rows.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("c")).select(F.array_distinct("c").alias("c"))
+    each = each.crossJoin(cuts).withColumn("r", F.size(F.filter("c", lambda c: c <= F.col("v")))).drop("c")  # one row of cuts
+    within = Window.partitionBy(*keys, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("before", F.coalesce(F.sum("w").over(within), F.lit(0.0)))
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = each.groupBy(*keys, "r").agg(F.sum("w").alias("s"))
+    sums = sums.select(*keys, "r", (F.sum("s").over(over.orderBy("r")) - F.col("s")).alias("base"), F.sum("s").over(over).alias("total"))  # at most ``ranges`` rows a group
+    placed = placed.join(sums, [*keys, "r"]).withColumn("before", F.col("before") + F.col("base"))
+    ends = F.array(F.struct("v", (F.col("before") + F.col("first") / 2).alias("cw")), F.struct("v", (F.col("before") + F.col("w") - F.col("last") / 2).alias("cw")))
+    return _interpolated(placed.select(*keys, "total", F.explode(ends).alias("e")).select(*keys, "total", "e.v", "e.cw"), keys, qs)
+
+
 def weighted_mean(value: str, weight: str):
     """Mean weighted by positive weights, nulls skipped; null where nothing is left."""
     ok = F.col(value).isNotNull() & (F.col(weight) > 0)

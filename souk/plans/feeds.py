@@ -88,20 +88,20 @@ def points_in_shapes(spark, sf):
 
 
 @register("""with m as (select year(o_orderdate) jy, month(o_orderdate) jm, count(*) n, round(sum(o_totalprice), 0) v from orders group by 1, 2)
-select jy, jm, case jm % 4 when 0 then v when 1 then v * 100 when 2 then v * 100000.0 else v * 1e6 end as value, case when jy < 1995 then 'early' else 'late' end source, case when jy >= 1995 and jm <> 3 then n::double end transactions from m where jy >= 1993""")
+select jy, jm, case jm % 4 when 0 then v when 1 then v * 100 when 2 then v * 100000.0 else v * 1e6 end as value, case when jy < 1998 then 'early' else 'late' end source, case when jy >= 1998 and jm <> 3 then n::double end transactions from m""")
 def transcriptions(spark, sf):
     """Two transcriptions of one series, a CSV file of the early years and a JSON document of records with units
     and sources, as one table."""
     m = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("jy"), F.month("o_orderdate").alias("jm")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("v"))
     unit = F.element_at(F.array(*map(F.lit, ("toman", "thousand_rial", "million_rial", "million_toman"))), F.col("jm") % 4 + 1)
-    records = m.where("jy >= 1995").select(F.struct(F.lit("own").alias("series"), unit.alias("raw_unit"), F.col("v").alias("raw_value"), F.lit("b").alias("source_id"), (F.col("jy") * 100 + F.col("jm")).alias("month_jalali"), F.when(F.col("jm") != 3, F.col("n")).alias("transaction_count"), F.lit("ok").alias("quality")).alias("r"))
+    records = m.where("jy >= 1998").select(F.struct(F.lit("own").alias("series"), unit.alias("raw_unit"), F.col("v").alias("raw_value"), F.lit("b").alias("source_id"), (F.col("jy") * 100 + F.col("jm")).alias("month_jalali"), F.when(F.col("jm") != 3, F.col("n")).alias("transaction_count"), F.lit("ok").alias("quality")).alias("r"))
     other = records.limit(1).select(F.col("r").withField("series", F.lit("other")).alias("r"))
     doc = records.unionByName(other).agg(F.collect_list("r").alias("records")).withColumn("sources", F.expr("map('a', named_struct('title', 'none', 'url', ''), 'b', named_struct('title', 'late', 'url', 'https://late'))"))
     path = tables.scratch(spark)
     tables.write_document(doc, path)
     late = tables.observations(spark, path).where("series = 'own'").select("jy", "jm", "value", "source", F.col("transaction_count").alias("transactions"))
     scale = F.element_at(F.array(*map(F.lit, (1.0, 100.0, 100_000.0, 1e6))), F.col("jm") % 4 + 1)
-    made = folder_of(m.where("jy between 1993 and 1994").select((F.col("jy") * 100 + F.col("jm")).alias("Month"), (F.col("v") * scale).alias("Price")), spark)
+    made = folder_of(m.where("jy < 1998").select((F.col("jy") * 100 + F.col("jm")).alias("Month"), (F.col("v") * scale).alias("Price")), spark)
     early = tables.csv(spark, made, "Month int, Price double").select(F.floor(F.col("Month") / 100).cast("int").alias("jy"), (F.col("Month") % 100).alias("jm"), F.col("Price").alias("value"), F.lit("early").alias("source"), F.lit(None).cast("double").alias("transactions"))
     return early.unionByName(late)
 

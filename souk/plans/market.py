@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import calendar, text
 from souk.operators import geo, joins, periods, quality, rollup, series, valuation
-from souk.operators.weighted import weighted_mean, weighted_quantile
+from souk.operators.weighted import weighted_mean, weighted_quantile_of_many
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -53,8 +53,8 @@ def wq(source: str, key: str, v: str, w: str, tie: str, q: float, name: str) ->
 select m.k n_name, round(m.x, 6) p50, cast(floor(rank() over (order by m.x desc) + (count(*) over (partition by m.x) - 1) / 2.0) as int) place, round(m.x / a.x - 1, 6) vs_total from m, a""")
 def nation_price_table(spark, sf):
     u = units(spark, sf)
-    one = weighted_quantile(u.withColumn("one", F.lit(0)), ["one"], "price", "w", {"total": 0.5}, ["l_orderkey", "l_linenumber"])
-    by = weighted_quantile(u, ["n_name"], "price", "w", {"p50": 0.5}, ["l_orderkey", "l_linenumber"])
+    one = weighted_quantile_of_many(u, [], "price", "w", {"total": 0.5})
+    by = weighted_quantile_of_many(u, ["n_name"], "price", "w", {"p50": 0.5})
     return by.withColumn("place", rollup.average_rank("p50")).withColumn("total", one.select("total").scalar()).select("n_name", F.round("p50", 6).alias("p50"), "place", F.round(F.try_divide(F.col("p50"), F.col("total")) - 1, 6).alias("vs_total"))
 
 
@@ -276,7 +276,7 @@ def snap_nearest(spark, sf):
 @register(f"""with {POINTS}, d as (select id, poly, pow(x - x0, 2) + pow(y - y0, 2) d2 from pts, boxes) select id, arg_min(poly, (d2, poly)) as name, round(min(d2), 6) d2 from d group by 1""")
 def nearest_centroid(spark, sf):
     pts, polys = points(spark, sf)
-    return geo.nearest_centroid(pts, polys.select(F.col("poly").alias("name"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))).select("id", "name", *r6("d2"))
+    return geo.nearest_centroid(pts, polys.select(F.col("poly").alias("name"), F.col("x0").alias("cx"), F.col("y0").alias("cy")), 2.0, 20.0).select("id", "name", *r6("d2"))
 
 
 OOF = """f as (select p_partkey, p_brand, ln(p_retailprice) y, ln(p_size + 1) x, (p_partkey * 7919 + 42) % 5 fold from part), k as (select p_brand, y, u.g from f, (select unnest([0, 1, 2, 3, 4]) g) u where u.g <> fold), a as (select g, median(y) al from k group by 1), m as (select g, p_brand, median(y) md, count(*) n from k group by 1, 2),
