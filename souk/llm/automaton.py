@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 NEVER = np.int32(2**31 - 1)
@@ -104,28 +106,38 @@ class MergeAutomaton:
         self.state = np.array([where[s] if s >= 0 else -1 for s in state], dtype=np.int32)
 
     def _label(self, vocab: dict[str, int], letters: list[str], end: str, state: list[int]) -> None:
-        """The trie of labels: a row of 512 places for each inner node, for bytes and for bytes that close a
-        word; ``token`` of a node, -1 where it has none. Leaves have numbers beyond the rows."""
+        """The trie of labels over bytes and, beyond 255, bytes that close a word: edges as sorted numbers
+        node * 512 + byte with the node they lead to; ``token`` of a node, -1 where it has none; whether it goes on."""
         byte = {c: i for i, c in enumerate(letters)}
-        paths = {}
+        edges: dict[int, int] = {}
+        tokens = [-1]
         for t, i in vocab.items():
             if state[i] < 0:
                 continue
             closed = t.endswith(end)
-            codes = [byte[c] for c in (t[: -len(end)] if closed else t)]
-            if codes:
-                paths[(*codes[:-1], codes[-1] + 256 * closed)] = i
-        inner = {()} | {p[:k] for p in paths for k in range(1, len(p))}
-        number = {p: i for i, p in enumerate(sorted(inner, key=lambda p: (len(p), p)))}
-        self.inner = len(number)
-        for p in paths:
-            number.setdefault(p, len(number))
-        self.next = np.full(self.inner * 512, -1, dtype=np.int32)
-        self.token = np.full(len(number), -1, dtype=np.int32)
-        for p, i in number.items():
-            if p:
-                self.next[number[p[:-1]] * 512 + p[-1]] = i
-            self.token[i] = paths.get(p, -1)
+            spelled = t[: -len(end)] if closed else t
+            node = 0
+            for k, c in enumerate(spelled, 1):
+                edge = node * 512 + byte[c] + 256 * (closed and k == len(spelled))
+                if edge not in edges:
+                    edges[edge] = len(tokens)
+                    tokens.append(-1)
+                node = edges[edge]
+            if node:
+                tokens[node] = i
+        order = sorted(edges)
+        self.edges = np.array(order, dtype=np.int32)
+        self.to = np.array([edges[e] for e in order], dtype=np.int32)
+        self.token = np.array(tokens, dtype=np.int32)
+        self.goes_on = np.zeros(len(tokens), dtype=bool)
+        self.goes_on[self.edges // 512] = True
+
+    def follow(self, node, code):
+        """The nodes that edges lead to, -1 where there is none (int32 arrays)."""
+        edge = node * np.int32(512) + code
+        at = np.searchsorted(self.edges, edge)
+        at[at == len(self.edges)] = 0
+        return np.where(self.edges[at] == edge, self.to[at], np.int32(-1))
 
     def arc(self, s, t):
         """Whether states s have arcs t (numbers or arrays)."""
@@ -137,13 +149,18 @@ class MergeAutomaton:
         codes = [*word[:-1], word[-1] + 256] if n else []
         reached, back = [-1] * (n + 1), [(0, 0)] * (n + 1)
         reached[0] = self.START
-        follow, token, state, arcs, width, inner = self.next.item, self.token.item, self.state.item, self.arcs.item, self.width, self.inner
+        token, state, arcs, width, goes_on, to = self.token.item, self.state.item, self.arcs.item, self.width, self.goes_on.item, self.to.item
+        edges = memoryview(self.edges)
         for i in range(n):
             s, node, j = reached[i], 0, i
             if s < 0:
                 raise ValueError(f"no symbol for {word[i - 1 : i]!r}")
-            while j < n and node < inner and (node := follow(node * 512 + codes[j])) >= 0:
-                j += 1
+            while j < n and goes_on(node):
+                edge = node * 512 + codes[j]
+                at = bisect_left(edges, edge)
+                if at == len(edges) or edges[at] != edge:
+                    break
+                node, j = to(at), j + 1
                 t = token(node)
                 if t >= 0 and arcs(t * width + (s >> 3)) >> (s & 7) & 1:
                     reached[j], back[j] = state(t), (i, t)
@@ -193,7 +210,7 @@ class MergeAutomaton:
             at = np.flatnonzero(reached[i] >= 0)
             s, node = reached[i][at], np.zeros(len(at), dtype=np.int32)
             for j in range(i, n):
-                node = self.next[node * 512 + codes[j][at]]
+                node = self.follow(node, codes[j][at])
                 on = node >= 0
                 if not on.all():
                     at, s, node = at[on], s[on], node[on]
@@ -202,7 +219,7 @@ class MergeAutomaton:
                 ok[ok] = self.arc(s[ok].astype(np.int64), t[ok].astype(np.int64)) > 0
                 to, t = at[ok], t[ok]
                 reached[j + 1][to], token[j + 1][to], origin[j + 1][to] = self.state[t], t, i
-                on = node < self.inner
+                on = self.goes_on[node]
                 if not on.all():
                     at, s, node = at[on], s[on], node[on]
                 if not len(at):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -39,21 +40,24 @@ def byte_letters() -> list[str]:
 class WordSplitter:
     """Splits texts into words; added tokens of the file stand alone."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        kinds = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
-        splits = (self.spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        if kinds != NORMAL or splits[0].get("pattern", {}).get("Regex") != SPLIT or self.spec["model"]["end_of_word_suffix"] != "</w>":
+    def __init__(self, path: str, spec: dict):
+        self.path = path
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if kinds != NORMAL or splits[0].get("pattern", {}).get("Regex") != SPLIT or spec["model"]["end_of_word_suffix"] != "</w>":
             raise ValueError("not a lower-casing word-BPE tokenizer file")
-        self.added = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.letters = byte_letters()
         self.byte = {c: i for i, c in enumerate(self.letters)}
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.size = max(max(spec["model"]["vocab"].values()), *self.added.values(), 0) + 1
+
+    @cached_property
+    def library(self):
+        """Loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def parts(self, text: str) -> list[str]:
         """The text around added tokens and those tokens, in turn."""
@@ -75,9 +79,11 @@ class WordTokens:
     """Ids of whole texts, as bytes of unsigned 16- or 32-bit numbers, and back."""
 
     def __init__(self, path: str):
-        self.split = WordSplitter(path)
-        model = self.split.spec["model"]
-        if self.split.spec["decoder"] is not None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.split = WordSplitter(path, spec)
+        model = spec["model"]
+        if spec["decoder"] is not None:
             raise ValueError("only files without a decoder are decoded here")
         self.kind = np.dtype("<u2" if self.split.size <= 1 << 16 else "<u4")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
