@@ -37,44 +37,206 @@ def origins(df: DataFrame, series: str = "series", t: str = "t", y: str = "y", m
     return known.where(F.col(t) >= min_history).select(series, F.col(t).alias("origin"), F.col(y).alias("last"), slope("f").alias("drift_long"), slope("p").alias("drift_12m"))
 
 
-def backtest(df: DataFrame, horizon: int, min_history: int = 12, series: str = "series", t: str = "t", y: str = "y") -> DataFrame:
-    """Rolling-origin errors in logs: series, method, origin, h, err, ape for each horizon that has an actual."""
-    made = origins(df, series, t, y, min_history).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    methods = F.array(*[F.struct(F.lit(n).alias("method"), (F.col("last") + F.col("h") * g).alias("pred")) for n, g in (("naive", F.lit(0.0)), ("drift_long", F.col("drift_long")), ("drift_12m", F.col("drift_12m")))])
-    paths = made.select(series, "origin", "h", F.explode(methods).alias("m")).select(series, "origin", "h", "m.method", "m.pred", (F.col("origin") + F.col("h")).alias(t))
-    err = F.col("pred") - F.col(y)
-    return paths.join(df.where(F.col(y).isNotNull()), [series, t]).select(series, "method", "origin", "h", err.alias("err"), F.abs(F.expm1(err)).alias("ape"))
+#: Grids of the two smoothing methods: level, trend and damping weights (trend up to level); variances of level and
+#: slope as multiples of the observations' variance.
+HOLT = [(a, b, p) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for b in (0.1, 0.3, 0.5, 0.7, 0.9) for p in (0.8, 0.9, 0.98) if b <= a]
+TREND = [(v, s) for v in (0.01, 0.1, 1.0, 10.0, 100.0) for s in (0.0, 0.001, 0.01, 0.1, 1.0, 10.0)]
+STATE = "series string, origin int, level double, step double, damp double"
+
+
+def _straight(step: str):
+    def states(df: DataFrame) -> DataFrame:
+        made = origins(df, min_history=0)
+        slope = F.lit(0.0) if step == "naive" else F.col(step)
+        return made.select("series", "origin", F.col("last").alias("level"), slope.alias("step"), F.lit(1.0).alias("damp"))
+
+    return states
+
+
+def _by_series(run):
+    """run(t, y), ascending, y NaN where missing -> level, step and damp at each known t. One series is one group:
+    its steps follow from each other."""
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("t")
+        first, last = int(pdf.t.iloc[0]), int(pdf.t.iloc[-1])
+        y = np.full(last - first + 1, np.nan)
+        y[pdf.t.to_numpy() - first] = pdf.y.to_numpy()
+        level, step, damp = run(y)
+        known = np.flatnonzero(~np.isnan(y))
+        return pd.DataFrame({"series": pdf.series.iloc[0], "origin": known + first, "level": level[known], "step": step[known], "damp": damp[known]})
+
+    def states(df: DataFrame) -> DataFrame:
+        known = df.where(F.col("y").isNotNull()).select(F.col("series").cast("string").alias("series"), F.col("t").cast("int").alias("t"), "y")
+        return known.groupBy("series").applyInPandas(one, STATE)
+
+    return states
+
+
+def _damped(y):
+    """Damped-trend smoothing, gaps filled linearly; at each step the weights with the least squared one-step errors
+    so far. What is known at a step does not depend on later ones, so one run serves all origins."""
+    import numpy as np
+
+    at = np.arange(len(y))
+    v = np.interp(at, at[~np.isnan(y)], y[~np.isnan(y)])
+    a, b, p = np.array(HOLT).T
+    l, s, sse = np.full(len(a), v[0]), np.full(len(a), v[1] - v[0] if len(v) > 1 else 0.0), np.zeros(len(a))
+    out = np.full((3, len(v)), [[v[0]], [0.0], [1.0]])
+    for i in range(1, len(v)):
+        guess = l + p * s
+        e = v[i] - guess
+        l, s, sse = guess + a * e, p * s + b * a * e, sse + e * e
+        best = int(np.argmin(np.round(sse, 9)))
+        out[:, i] = l[best], s[best], p[best]
+    return out
+
+
+def _trend(y):
+    """Local linear trend by the Kalman filter, missing months skipped; at each step the variances of greatest
+    concentrated likelihood so far."""
+    import numpy as np
+
+    v, w = np.array(TREND).T
+    l, s = np.full(len(v), y[0]), np.zeros(len(v))
+    p11, p12, p22 = np.ones(len(v)), np.zeros(len(v)), np.full(len(v), 1e4)
+    fit, logs, n, seen = np.zeros(len(v)), np.zeros(len(v)), 0, 1
+    out = np.full((3, len(y)), [[y[0]], [0.0], [1.0]])
+    for i in range(1, len(y)):
+        l = l + s
+        p11, p12, p22 = p11 + 2 * p12 + p22 + v, p12 + p22, p22 + w
+        if not np.isnan(y[i]):
+            e, f = y[i] - l, p11 + 1
+            g, h = p11 / f, p12 / f
+            if seen > 1:
+                fit, logs, n = fit + e * e / f, logs + np.log(f), n + 1
+            l, s = l + g * e, s + h * e
+            p11, p12, p22 = p11 - g * p11, p12 - g * p12, p22 - h * p12
+            seen += 1
+        best = int(np.argmin(np.round(n * np.log(np.maximum(fit, 1e-300) / max(n, 1)) + logs, 9)))
+        out[:, i] = l[best], s[best], 1.0
+    return out
+
+
+#: Methods by name: each gives, for every known month of a table (series, t, y), the state from which it would
+#: forecast there: level, step and damping.
+METHODS = {"naive": _straight("naive"), "drift_long": _straight("drift_long"), "drift_12m": _straight("drift_12m"), "holt_damped": _by_series(_damped), "local_linear_trend": _by_series(_trend)}
+
+
+def paths(states: DataFrame, horizon: int) -> DataFrame:
+    """states with h from 1 to horizon and pred = level + step * (damp + damp^2 + .. + damp^h)."""
+    gained = F.when(F.col("damp") == 1, F.col("h").cast("double")).otherwise(F.col("damp") * (1 - F.pow("damp", F.col("h"))) / (1 - F.col("damp")))
+    return states.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("pred", F.col("level") + F.col("step") * gained)
+
+
+def states_of(df: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    out = None
+    for name in methods or METHODS:
+        one = METHODS[name](df).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def backtest(df: DataFrame, horizon: int, min_history: int = 36, methods: list[str] | None = None) -> DataFrame:
+    """Rolling-origin errors in logs of df (series, t, y): series, method, origin, h, err, ape, for each origin with
+    t >= min_history and each horizon that has an actual."""
+    made = paths(states_of(df, methods).where(F.col("origin") >= min_history), horizon)
+    actual = df.where(F.col("y").isNotNull()).select(F.col("series").cast("string").alias("series"), "t", "y")
+    err = F.col("pred") - F.col("y")
+    return made.withColumn("t", F.col("origin") + F.col("h")).join(actual, ["series", "t"]).select("series", "method", "origin", "h", err.alias("err"), F.abs(F.expm1(err)).alias("ape"))
+
+
+def leaderboard(bt: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12, 24)) -> DataFrame:
+    """Mean absolute percentage error of each method at some horizons, the mean of those of horizons 1 to 12, and the
+    number of origins at 12; place by the error at 12."""
+    by = bt.groupBy("method", "h").agg(F.avg("ape").alias("e"), F.count("*").alias("n"))
+    at = lambda h, c: F.max(F.when(F.col("h") == h, F.col(c)))
+    out = by.groupBy("method").agg(*[at(h, "e").alias(f"h{h}") for h in horizons], F.avg(F.when(F.col("h") <= 12, F.col("e"))).alias("avg_1_12"), at(12, "n").alias("origins"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("h12").asc_nulls_last(), "method")))  # a row for each method
+
+
+def error_bands(bt: DataFrame, method: str, horizon: int) -> DataFrame:
+    """Quantiles of actual / forecast at each horizon, gaps filled linearly and at the ends."""
+    names = ("q10", "q25", "q75", "q90")
+    q = F.percentile(F.exp(-F.col("err")), F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
+    found = bt.where(F.col("method") == method).groupBy("h").agg(q.alias("q")).select("h", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    out = bt.sparkSession.range(1, horizon + 1).select(F.col("id").cast("int").alias("h"), F.lit(0).alias("one")).join(found, "h", "left")
+    for n in names:
+        out = gap_fill(out, "one", "h", n).drop(n).withColumnRenamed("filled", n)
+    return out.drop("one")
 
 
-def leaderboard(bt: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12)) -> DataFrame:
-    return bt.groupBy("method").agg(*[F.avg(F.when(F.col("h") == h, F.col("ape"))).alias(f"h{h}") for h in horizons], F.avg(F.when(F.col("h") <= 12, F.col("ape"))).alias("avg_1_12"), F.countDistinct("origin").alias("origins"))
+def last_states(df: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    """The states at each series' last known month."""
+    last = df.where(F.col("y").isNotNull()).groupBy(F.col("series").cast("string").alias("series")).agg(F.max("t").cast("int").alias("origin"))
+    return states_of(df, methods).join(last, ["series", "origin"])
 
 
-def error_bands(bt: DataFrame, method: str) -> DataFrame:
-    """Quantiles of actual / forecast at each horizon."""
-    q = F.percentile(F.exp(-F.col("err")), F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    return bt.where(F.col("method") == method).groupBy("h").agg(q.alias("q")).select("h", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q75", "q90"))])
+def forecast_paths(df: DataFrame, horizon: int, methods: list[str] | None = None) -> DataFrame:
+    """series, method, h, t and value of every method from the last known month on."""
+    return paths(last_states(df, methods), horizon).select("series", "method", "h", (F.col("origin") + F.col("h")).alias("t"), F.exp("pred").alias("value"))
+
+
+def growth_rates(df: DataFrame, months: int = 12) -> DataFrame:
+    """Monthly log growth over all known months and over the last ``months`` (from the last value at or before then,
+    else the first), and both as growth a year."""
+    w = Window.partitionBy("series").orderBy("t")
+    point = F.struct(F.col("t").alias("t"), F.col("y").alias("y"))
+    known = df.where(F.col("y").isNotNull()).withColumn("f", F.first(point).over(w)).withColumn("p", F.coalesce(F.last(point).over(w.rangeBetween(Window.unboundedPreceding, -months)), F.first(point).over(w)))
+    last = known.groupBy("series").agg(F.max_by(F.struct("t", "y", "f", "p"), "t").alias("e"))
+    slope = lambda c: F.try_divide(F.col("e.y") - F.col(f"e.{c}.y"), F.col("e.t") - F.col(f"e.{c}.t"))
+    return last.select("series", slope("f").alias("long_run"), slope("p").alias("trailing")).withColumn("long_run_year", annual(F.col("long_run"))).withColumn("trailing_year", annual(F.col("trailing")))
+
+
+def annual(monthly_log: Column) -> Column:
+    return F.expm1(12 * monthly_log)
+
+
+def growth_presets(rates: DataFrame) -> DataFrame:
+    """Each series' presets of monthly growth: long, recent, half of the long, none."""
+    return rates.select("series", F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), g.alias("monthly")) for n, g in (("long", F.col("long_run")), ("recent", F.col("trailing")), ("half", F.col("long_run") / 2), ("zero", F.lit(0.0)))])).alias("p")).select("series", "p.*")
+
+
+def scenario_fan(latest: DataFrame, bands: DataFrame, monthly: str) -> DataFrame:
+    """latest (series, level and a column of monthly growth) x bands (h, q10..q90): the path level * exp(g h) and
+    its bands. bands has a row for each horizon."""
+    mid = F.col("level") * F.exp(F.col("h") * F.col(monthly))
+    return latest.crossJoin(bands).select(*latest.columns, "h", mid.alias("mid"), *[(mid * F.col(q)).alias(q) for q in ("q10", "q25", "q75", "q90")])
+
+
+def reality_check(df: DataFrame, other: DataFrame, monthly: str) -> DataFrame:
+    """df (series, t, y and a column of monthly growth) against another source (series, t, value): the other's
+    latest value, the path from df's last known month carried to that month, and how far off it is."""
+    end = df.where(F.col("y").isNotNull()).groupBy("series").agg(F.max_by(F.struct(F.col("t").alias("t"), F.exp("y").alias("level"), F.col(monthly).alias("g")), "t").alias("e"))
+    late = other.where(F.col("value").isNotNull()).groupBy("series").agg(F.max_by(F.struct(F.col("t").alias("t"), F.col("value").alias("value")), "t").alias("o"))
+    path = F.col("e.level") * F.exp(F.col("e.g") * (F.col("o.t") - F.col("e.t")))
+    return end.join(late, "series").select("series", F.col("o.t").alias("t"), F.col("o.value").alias("value"), path.alias("path"), (F.try_divide(F.col("o.value"), path) - 1).alias("off"))
 
 
-def scenario_fan(latest: DataFrame, bands: DataFrame, monthly_growth: float) -> DataFrame:
-    """latest (series, level) x bands (h, q10..q90): the path level * exp(g h) and its bands."""
-    return latest.crossJoin(bands).select("series", "h", (F.col("level") * F.exp(F.col("h") * monthly_growth)).alias("path"), *[(F.col("level") * F.exp(F.col("h") * monthly_growth) * F.col(q)).alias(q) for q in ("q10", "q90")])
+def rebased(df: DataFrame, keys: list[str], t: str, value: str, residual: str, base: int) -> DataFrame:
+    """Indexes with 100 at the base month: the raw value's, and that of a log residual, which is free of the mix;
+    null where the base month is missing."""
+    at = df.where(F.col(t) == base).select(*keys, F.col(value).alias("__v"), F.col(residual).alias("__r"))
+    out = df.join(at, keys, "left")
+    return out.withColumn("raw", 100 * F.try_divide(F.col(value), F.col("__v"))).withColumn("adjusted", 100 * F.exp(F.col(residual) - F.col("__r"))).drop("__v", "__r")
 
 
-def holt_damped(df: DataFrame, horizon: int, series: str = "series", t: str = "t", y: str = "y", grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9), damp: tuple[float, ...] = (0.8, 0.9, 0.98)) -> DataFrame:
-    """Damped-trend smoothing per series, parameters by least squared one-step error over a grid: series, h,
-    pred. The history is one bounded array, gaps filled beforehand."""
-    history = gap_fill(spine(df, series, t).join(df, [series, t], "left"), series, t, y).groupBy(series).agg(F.transform(F.sort_array(F.collect_list(F.struct(t, "filled"))), lambda p: p["filled"]).alias("v")).where(F.size("v") >= 3)
-    combos = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("p")) for a in grid for b in grid for p in damp if b <= a])
-    each = history.select(series, "v", F.explode(combos).alias("c"))
-    start = F.struct(F.get("v", F.lit(0)).alias("l"), (F.get("v", F.lit(1)) - F.get("v", F.lit(0))).alias("b"), F.lit(0.0).alias("sse"))
+def timeline(first: int, sources: dict[str, DataFrame], spark) -> DataFrame:
+    """One dense row a month from ``first`` to the last month of any source (t, value), a column for each source;
+    sources are set side by side, never blended."""
+    last = None
+    for df in sources.values():
+        one = df.select("t")
+        last = one if last is None else last.unionByName(one)
+    out = last.agg(F.max("t").alias("z")).select(F.explode(F.sequence(F.lit(first), F.col("z").cast("int"))).alias("t"))
+    for name, df in sources.items():
+        out = out.join(df.select("t", F.col("value").alias(name)), "t", "left")
+    return out
 
-    def step(s, v):
-        guess = s["l"] + F.col("c.p") * s["b"]
-        level = guess + F.col("c.a") * (v - guess)
-        return F.struct(level.alias("l"), (F.col("c.p") * s["b"] + F.col("c.b") * F.col("c.a") * (v - guess)).alias("b"), (s["sse"] + (v - guess) * (v - guess)).alias("sse"))
 
-    run = each.withColumn("s", F.aggregate(F.slice("v", F.lit(2), F.size("v") - 1), start, step))
-    best = run.groupBy(series).agg(F.min(F.struct(F.col("s.sse").alias("sse"), F.col("s.l").alias("l"), F.col("s.b").alias("b"), F.col("c.p").alias("p"))).alias("m"))
-    gained = F.aggregate(F.sequence(F.lit(1), F.col("h")), F.lit(0.0), lambda x, i: x + F.pow(F.col("m.p"), i))
-    return best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(series, "h", (F.col("m.l") + F.col("m.b") * gained).alias("pred"))
+def holt_damped(df: DataFrame, horizon: int) -> DataFrame:
+    """series, h, pred (in logs) by damped-trend smoothing from each series' last known month."""
+    return paths(last_states(df, ["holt_damped"]), horizon).select("series", "h", "pred")

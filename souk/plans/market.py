@@ -208,45 +208,12 @@ def gap_fill(spark, sf):
     return series.gap_fill(z, "series", "t", "y").select("series", "t", *r6("filled"))
 
 
-BACKTEST = f"""{MONTHS}, k as (select * from ser where y is not null), o as (select a.series, a.t origin, a.y last, (select arg_min(b.y, b.t) from k b where b.series = a.series) fy, (select min(b.t) from k b where b.series = a.series) ft,
- (select arg_max(b.y, b.t) from k b where b.series = a.series and b.t <= a.t - 12) py, (select max(b.t) from k b where b.series = a.series and b.t <= a.t - 12) pt from k a where a.t >= 12),
-g as (select series, origin, last, coalesce((last - fy) / nullif(origin - ft, 0), 0) dl, coalesce((last - coalesce(py, fy)) / nullif(origin - coalesce(pt, ft), 0), 0) dm from o),
-p as (select series, origin, h, method, last + h * case method when 'naive' then 0 when 'drift_long' then dl else dm end pred from g, (select unnest(generate_series(1, 12)) h), (values ('naive'), ('drift_long'), ('drift_12m')) q(method)),
-bt as (select p.series, method, origin, h, pred - k.y err from p join k on k.series = p.series and k.t = origin + h)"""
-
-
-@register(f"""with {BACKTEST} select method, round(avg(abs(exp(err) - 1)) filter (where h = 1), 6) h1, round(avg(abs(exp(err) - 1)) filter (where h = 3), 6) h3, round(avg(abs(exp(err) - 1)) filter (where h = 6), 6) h6, round(avg(abs(exp(err) - 1)) filter (where h = 12), 6) h12, round(avg(abs(exp(err) - 1)), 6) avg_1_12, count(distinct origin) origins from bt group by 1""")
-def forecast_leaderboard(spark, sf):
-    return series.leaderboard(series.backtest(months(spark, sf), 12)).select("method", *r6("h1", "h3", "h6", "h12", "avg_1_12"), "origins")
-
-
-@register(f"""with {BACKTEST} select h, round(quantile_cont(exp(-err), 0.1), 6) q10, round(quantile_cont(exp(-err), 0.25), 6) q25, round(quantile_cont(exp(-err), 0.75), 6) q75, round(quantile_cont(exp(-err), 0.9), 6) q90 from bt where method = 'drift_long' group by 1""")
-def forecast_bands(spark, sf):
-    return series.error_bands(series.backtest(months(spark, sf), 12), "drift_long").select(F.col("h").cast("long").alias("h"), *r6("q10", "q25", "q75", "q90"))
-
-
-def holt_forecast(spark, sf):
-    return series.holt_damped(months(spark, sf), 12).select("series", "h", *r6("pred"))
-
-
-QUERIES["holt_forecast"] = holt_forecast
-
-
 @register("""select distinct cast(o_orderdate as date) d, cast(datediff('month', date '1990-01-01', o_orderdate) as int) gregorian_month from orders""")
 def order_months(spark, sf):
     d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     return d.select("d", ((F.year("d") - 1990) * 12 + F.month("d") - 1).alias("gregorian_month"))
 
 
-def order_jalali_months(spark, sf):
-    """Orders by Solar Hijri month, with the month's first day."""
-    j = calendar.from_gregorian(F.to_date("o_orderdate"))
-    m = table(spark, sf, "orders").select(j.alias("j")).groupBy("j.jy", "j.jm").agg(F.count("*").alias("n"))
-    return m.select("jy", "jm", "n", calendar.to_gregorian(F.col("jy"), F.col("jm"), F.lit(1)).alias("starts"), calendar.month_index(F.col("jy"), F.col("jm")).alias("t"), calendar.month_label(F.col("jy"), F.col("jm")).alias("label"))
-
-
-QUERIES["order_jalali_months"] = order_jalali_months
-
 POINTS = "pts as (select c_custkey id, (c_custkey * 37 % 1000) / 100.0::double x, (c_custkey * 91 % 1000) / 100.0::double y from customer), boxes as (select n_nationkey poly, (n_nationkey % 5) * 2.0::double x0, (n_nationkey // 5) * 2.0::double y0 from nation)"
 
 

@@ -312,7 +312,7 @@ def appended_units(spark, sf):
 
 #: The calendar's closed form as SQL: the first day of a Solar Hijri year.
 NEW_YEAR = "(make_date({y} + 621, 3, 1) + cast(20 + 294 + (({y} - 1210) // 33) * 8 + ((({y} - 1210) % 33) + 3) // 4 - (({y} + 621) // 4 - ((({y} + 621) // 100 + 1) * 3) // 4 - 150) - 1 as int))"
-STARTS = f"""yy as (select unnest(generate_series(1370, 1385)) jy), mm as (select unnest(generate_series(1, 12)) jm), starts as (select jy, jm, (jy - 1395) * 12 + jm - 1 t, cast({NEW_YEAR.format(y="jy")} + cast((jm - 1) * 31 - greatest(0, jm - 7) as int) as date) d from yy, mm)"""
+STARTS = f"""yy as (select unnest(generate_series(1370, 1385)) jy), ym as (select unnest(generate_series(1, 12)) jm), starts as (select jy, jm, (jy - 1395) * 12 + jm - 1 t, cast({NEW_YEAR.format(y="jy")} + cast((jm - 1) * 31 - greatest(0, jm - 7) as int) as date) d from yy, ym)"""
 
 
 @register(f"""with {STARTS}, o as (select distinct cast(o_orderdate as date) od from orders), a as (select od, max(d) d from o join starts on d <= od group by 1)
