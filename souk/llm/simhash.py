@@ -217,19 +217,19 @@ def prefix_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame, least: fl
 
 def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: float, shingle: int, most_bits: int, m: int, crowd: int, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
     """nodes (k, h, sig), keyed (k, fp, c, i, v) -> edges (a, b) between the components c of nodes whose shingle sets
-    are alike by ``least`` or more, and (i, v) of the crowded keys. Candidates share a key and are of different
-    components; they are pruned by the ring, then by the whole Hamming distance; signatures settle those far from
-    ``least``, the shingle sets of texts (h, text) all others. Where more than ``crowd`` share a key, only a few of
-    them are held against all others."""
-    picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "k").alias("o"), F.col("k").alias("y"), F.col("fp").alias("g"), F.col("c").alias("b"))).alias(f"p{j}") for j in range(anchors)]
-    sizes = cut(keyed.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *picks).where("lo < hi"))
-    is_crowd = F.col("n") > crowd
-    few = keyed.join(sizes.where(~is_crowd).select("i", "v"), ["i", "v"])
+    are alike by ``least`` or more, and the rows (k, i, v) of crowded keys. Candidates share a key and are of
+    different components; they are pruned by the ring, then by the whole Hamming distance; signatures settle those
+    far from ``least``, the shingle sets of texts (h, text) all others. Where more than ``crowd`` share a key, only
+    a few of them are held against all others."""
+    sizes = keyed.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v", "n")
+    shared = cut(keyed.join(sizes, ["i", "v"]))  # few of all keys
+    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     side = lambda rows, *names: rows.select("i", "v", *[F.col(n).alias(m) for n, m in zip(("k", "fp", "c"), names, strict=True)])
     ends = ["x", "f", "a", "y", "g", "b"]
     small = side(few, "x", "f", "a").join(side(few, "y", "g", "b"), ["i", "v"]).where("x < y and a <> b").select(ends)
-    chosen = sizes.where(is_crowd).select("i", "v", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{j}.{n}") for n in "ygb"]) for j in range(anchors)]))).alias("p")).select("i", "v", "p.*")
-    large = side(keyed, "x", "f", "a").join(chosen, ["i", "v"]).where("x <> y and a <> b").select(ends)
+    picks = [F.min(F.struct(F.xxhash64(F.lit(j), "i", "k").alias("o"), F.col("k").alias("y"), F.col("fp").alias("g"), F.col("c").alias("b"))).alias(f"p{j}") for j in range(anchors)]
+    chosen = many.groupBy("i", "v").agg(*picks).select("i", "v", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{j}.{n}") for n in "ygb"]) for j in range(anchors)]))).alias("p")).select("i", "v", "p.*")
+    large = side(many, "x", "f", "a").join(chosen, ["i", "v"]).where("x <> y and a <> b").select(ends)
     order = [pick(p, q).alias(n) for pick, p, q, n in ((F.least, "x", "y", "x"), (F.greatest, "x", "y", "y"), (F.least, "a", "b", "a"), (F.greatest, "a", "b", "b"))]
     f, g = F.col("f"), F.col("g")
     pairs = small.unionByName(large).where(ring(f, g, most_bits, m)).where(F.bit_count(f.bitwiseXOR(g)) <= most_bits).select(*order).distinct()
@@ -246,7 +246,7 @@ def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, least: f
 
     held = cut(both.select("x", "y", "a", "b", "s", "t").mapInArrow(estimated, "x long, y long, a long, b long, sure boolean"))
     exact = exact_links(held.where("not sure").drop("sure"), nodes, texts, least, shingle)
-    return held.where("sure").select("a", "b").unionByName(exact).distinct(), sizes.where(is_crowd).select("i", "v")
+    return held.where("sure").select("a", "b").unionByName(exact).distinct(), many.select("k", "i", "v")
 
 
 def finer_keys(rows: DataFrame, bands: int, width: int) -> DataFrame:
@@ -286,7 +286,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, least: float = 0.8, s
         edges, crowds = similar_links(nodes.select("k", "h", "sig"), keyed, texts, least, shingle, most_bits, m, crowd)
         labels = relabelled(labels, edges if more is None else edges.unionByName(more))
         more = None
-        crowded = keyed.select("k", "i", "v").join(crowds, ["i", "v"]).join(labels, "k")
+        crowded = crowds.join(labels, "k")
         mixed = crowded.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
         open_ = cut(crowded.join(mixed, ["i", "v"], "left_semi").select("k", "fp", "c").distinct())
         if open_.isEmpty():
