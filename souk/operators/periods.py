@@ -100,3 +100,8 @@ def history(df: DataFrame, unit: str, periods: dict[str, int], selected: int) ->
     long = df.unpivot([unit], list(periods), "c", "value")
     number = F.element_at(F.create_map(*[F.lit(x) for p in periods.items() for x in p]), F.col("c"))
     return long.select(unit, number.alias("period"), "value", (number == selected).alias("selected"))
+
+
+def money_matrix(budgets: DataFrame, places: DataFrame, price: str, level: str, roll: str) -> DataFrame:
+    """What each budget buys at each place's level rolled forward: places x the budgets asked for."""
+    return budgets.crossJoin(places).withColumn("buys", F.try_divide(F.col(price), F.col(level) * (1 + F.col(roll))))

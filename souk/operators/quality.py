@@ -59,14 +59,19 @@ def layer(df: DataFrame, keys: list[str], columns: list[str], suffix: str) -> Da
     return df.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in columns if c in df.columns])
 
 
-def surrogate_key(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
-    """Consecutive keys such as D21-00001 in a total order. Rows are numbered within the ranges of a range
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with consecutive numbers from 1 in a total order. Rows are numbered within the ranges of a range
     partitioning, which is written once so that its ranges are the same for counting and numbering."""
     ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     base = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))  # one row for each range
-    numbered = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).join(base, "__p")
-    return numbered.withColumn("key", F.format_string(f"{prefix}-%05d", F.col("__base") + F.col("__i"))).drop("__p", "__i", "__base")
+    out = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).join(base, "__p")
+    return out.withColumn(name, F.col("__base") + F.col("__r")).drop("__p", "__r", "__base")
+
+
+def surrogate_key(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
+    """Consecutive keys such as D21-00001 in a total order."""
+    return numbered(df, order, "__i").withColumn("key", F.format_string(f"{prefix}-%05d", F.col("__i"))).drop("__i")
 
 
 def expectations(df: DataFrame, unique: list[str], rules: dict[str, Column]) -> DataFrame:

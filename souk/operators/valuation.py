@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.sources.tables import stored
+
 
 def fold(key: str, k: int = 5, seed: int = 42) -> Column:
     """A row's fold by its key, the same on any partitioning."""
-    return F.pmod(F.col(key).cast("long") * 7919 + seed, F.lit(k)).cast("int")
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int")
 
 
 def target_encoding(df: DataFrame, group: str, log_value: str, prior: float = 5.0) -> DataFrame:
@@ -57,3 +61,150 @@ def premium(coefficient: Column) -> Column:
 def elasticity_10(coefficient: Column) -> Column:
     """Effect of ten percent more on the price per unit."""
     return F.pow(F.lit(1.1), coefficient - 1) - 1
+
+
+def nested_encoding(df: DataFrame, group: str, log_value: str, fold_col: str, inner_col: str, k: int = 5, prior: float = 5.0) -> DataFrame:
+    """Rows of df for each ``outer_fold``, with ``test`` (the row is of that fold) and ``level``. A test row's level is
+    from all training rows of the fold; a training row's is from those of other inner folds, so it never sees its
+    own price."""
+    folds = F.sequence(F.lit(0), F.lit(k - 1))
+    train = df.select(F.col(group).alias("__g"), F.col(log_value).alias("__v"), F.col(inner_col).alias("__own"), F.explode(F.filter(folds, lambda f: f != F.col(fold_col))).alias("__f"))
+    seen = train.select("__g", "__v", "__f", F.explode(F.concat(F.array(F.lit(-1)), F.filter(folds, lambda i: i != F.col("__own")))).alias("__i"))
+    overall = seen.groupBy("__f", "__i").agg(F.median("__v").alias("__all"))
+    level = seen.groupBy("__f", "__i", "__g").agg(F.median("__v").alias("__m"), F.count("*").alias("__n"))
+    rows = df.select("*", F.col(group).alias("__g"), F.explode(folds).alias("__f")).withColumn("test", F.col("__f") == F.col(fold_col)).withColumn("__i", F.when(F.col("test"), F.lit(-1)).otherwise(F.col(inner_col)))
+    out = rows.join(overall, ["__f", "__i"]).join(level, ["__f", "__i", "__g"], "left")
+    shrunk = (F.col("__m") * F.col("__n") + F.col("__all") * prior) / (F.col("__n") + prior)
+    return out.select(*df.columns, F.col("__f").alias("outer_fold"), "test", F.coalesce(shrunk, F.col("__all")).alias("level"))
+
+
+def least_squares(df: DataFrame, keys: list[str], features: list[str], target: str, weight: Column | None = None) -> DataFrame:
+    """Coefficients for each group of keys: keys, beta array<double> (intercept first) and n. The sums of products are
+    taken by Spark; only the small systems of equations are solved row by row. No result where a system has none."""
+    xs = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    w = F.lit(1.0) if weight is None else weight
+    size = len(xs)
+    known = df.na.drop(subset=[*features, target])
+    sums = known.groupBy(*keys).agg(F.array(*[F.sum(w * xs[i] * xs[j]) for i in range(size) for j in range(i, size)]).alias("a"), F.array(*[F.sum(w * x * F.col(target)) for x in xs]).alias("b"), F.sum(w).alias("n"))
+
+    def solve(batches):
+        import numpy as np
+
+        upper = np.triu_indices(size)
+        for pdf in batches:
+            betas = []
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                m = np.zeros((size, size))
+                m[upper] = a
+                m = m + np.triu(m, 1).T
+                scale = 1 / np.sqrt(np.maximum(np.diag(m), 1e-300))
+                try:
+                    betas.append(scale * np.linalg.solve(m * np.outer(scale, scale), np.asarray(b) * scale))
+                except np.linalg.LinAlgError:
+                    betas.append(None)
+            yield pdf.assign(beta=betas)[[*keys, "beta", "n"]]
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInPandas(solve, f"{kinds}{', ' if keys else ''}beta array<double>, n double").where("beta is not null")
+
+
+def linear(features: list[str], beta: Column | None = None) -> Column:
+    """Prediction from a column ``beta`` (intercept first) and columns of features."""
+    beta = F.col("beta") if beta is None else beta
+    out = F.get(beta, F.lit(0))
+    for i, f in enumerate(features, 1):
+        out = out + F.get(beta, F.lit(i)) * F.col(f)
+    return out
+
+
+def cross_validated(df: DataFrame, group: str, log_unit: str, log_size: str, target: str, others: list[str], fold_col: str, inner_col: str, k: int = 5) -> DataFrame:
+    """df with out-of-fold predictions of two models: least squares on log size, others and the nested level; and
+    location only, log size plus level. All folds are fitted in one pass."""
+    rows = nested_encoding(df, group, log_unit, fold_col, inner_col, k)
+    features = [log_size, *others, "level"]
+    fits = least_squares(rows.where("not test"), ["outer_fold"], features, target)
+    return rows.where("test").join(fits.select("outer_fold", "beta"), "outer_fold").withColumn("hedonic_ols", linear(features)).withColumn("location_only", F.col(log_size) + F.col("level")).drop("outer_fold", "test", "beta")
+
+
+def compared(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
+    """Error measures of each model's column of predictions: model, r2, mape, median_ape, within_20."""
+    long = df.select(F.col(actual).alias("a"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models])).alias("x")).select("a", "x.*")
+    return error_measures(long, "a", "p", ["model"])
+
+
+def boosted(df: DataFrame, group: str, log_unit: str, features: list[str], target: str, fold_col: str, inner_col: str, k: int = 5, trees: int = 300, step: float = 0.05) -> DataFrame:
+    """df with out-of-fold predictions ``gradient_boosting`` of pyspark.ml's boosted trees on features and level."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=[*features, "level"], outputCol="__x").transform(nested_encoding(df, group, log_unit, fold_col, inner_col, k))
+    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="gradient_boosting", maxIter=trees, stepSize=step, maxDepth=4, minInstancesPerNode=20, seed=7)
+    out = None
+    for f in range(k):  # one fit for each fold
+        of = rows.where(F.col("outer_fold") == f)
+        one = model.fit(of.where("not test")).transform(of.where("test")).drop("__x", "outer_fold", "test")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def poisson_weight(key: Column, repeat: Column, seed: int) -> Column:
+    """How often a row is drawn in a bootstrap sample: Poisson with mean 1, from a hash of key, repeat and seed."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), repeat.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
+    cut, total, term = [], 0.0, math.exp(-1)
+    for i in range(1, 9):
+        total += term
+        cut.append(total)
+        term /= i
+    return sum(((u >= c).cast("int") for c in cut), F.lit(0))
+
+
+def bootstrap_intervals(df: DataFrame, key: str, features: list[str], target: str, repeats: int = 300, seed: int = 7, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """term, low, high: quantiles of least-squares coefficients over bootstrap samples. Rows are weighted, not copied
+    by drawing, so samples are the same on any partitioning; sums are taken before the shuffle."""
+    drawn = df.select(key, *features, target, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn("w", poisson_weight(F.col(key), F.col("rep"), seed)).where("w > 0")
+    fits = least_squares(drawn, ["rep"], features, target, F.col("w"))
+    terms = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in ("intercept", *features)]).alias("term"), F.col("beta").alias("value")))
+    q = F.percentile("value", F.array(F.lit(low), F.lit(high)))
+    return fits.select(terms.alias("t")).select("t.term", "t.value").groupBy("term").agg(q.alias("q")).select("term", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def permutation_importance(df: DataFrame, key: str, features: list[str], target: str, predict, repeats: int = 10, seed: int = 7) -> DataFrame:
+    """feature, drop: how much R2 falls on average when a feature's values are dealt anew among the rows. predict
+    maps {feature: column} to a prediction; keys are distinct."""
+    from .quality import numbered
+
+    rows = stored(numbered(df.select(key, *features, target), [key], "__i"))
+    whole = lambda p: 1 - F.sum((F.col(target) - p) * (F.col(target) - p)) / (F.var_pop(target) * F.count("*"))
+    base = rows.agg(whole(predict({f: F.col(f) for f in features})).alias("base"))
+    out = None
+    for r in range(1, repeats + 1):
+        order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(r)), F.lit(str(seed))))
+        dealt = numbered(rows.select(order.alias("__o"), key, *[F.col(f).alias(f"__{f}") for f in features]), ["__o", key], "__i").drop("__o", key)
+        both = rows.join(dealt, "__i")
+        one = both.agg(*[whole(predict({g: F.col(f"__{g}" if g == f else g) for g in features})).alias(f) for f in features]).unpivot([], features, "feature", "r2")
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(base).groupBy("feature").agg(F.avg(F.col("base") - F.col("r2")).alias("drop"))
+
+
+def estimate(homes: DataFrame, factors: list[str], roll: str, band: dict[str, float]) -> DataFrame:
+    """homes with a price anchored at their place's level: price_m2 of the place times its typical size (``level``,
+    ``size0``), moved by exp of the sum of b_f * (f - f0) over factors (columns f, f0 and b_f; sizes in logs), rolled
+    forward by a share; with the band of error quantiles, and the price per square metre for ``size``."""
+    shift = F.lit(0.0)
+    for f in factors:
+        shift = shift + F.col(f"b_{f}") * (F.col(f) - F.col(f"{f}0"))
+    price = F.col("level") * F.col("size0") * F.exp(shift) * (1 + F.col(roll))
+    out = homes.withColumn("price", price)
+    return out.withColumns({n: F.col("price") * q for n, q in band.items()} | {"price_m2": F.try_divide(F.col("price"), F.col("size"))})
+
+
+def factor_steps(homes: DataFrame, keys: list[str], factors: list[str], roll: str) -> DataFrame:
+    """The estimate's factors as (keys, place in the chain, factor, log step), for a waterfall; the roll comes last."""
+    steps = [F.struct(F.lit(i).alias("i"), F.lit(f).alias("factor"), (F.col(f"b_{f}") * (F.col(f) - F.col(f"{f}0"))).alias("step")) for i, f in enumerate(factors, 1)]
+    steps.append(F.struct(F.lit(len(factors) + 1).alias("i"), F.lit("roll").alias("factor"), F.log1p(F.col(roll)).alias("step")))
+    return homes.select(*keys, F.explode(F.array(*steps)).alias("s")).select(*keys, "s.*")
+
+
+def band_position(value: Column, low: Column, high: Column) -> Column:
+    """Where a value stands against a band: below, inside or above."""
+    return F.when(value < low, "below").when(value > high, "above").when(value.isNotNull() & low.isNotNull() & high.isNotNull(), "inside")

@@ -131,7 +131,7 @@ def rebased_index(spark, sf):
     return series.rebased(m, ["series"], "t", "p", "r", 12).select("series", "t", *r6("raw", "adjusted"))
 
 
-@register(f"""with {GAPPY}, {STARTS}, sp2 as (select unnest(generate_series(0, (select max(t) from ser))) t), w as (select sp2.t, max(exp(y)) filter (where series = 'BUILDING') building, max(exp(y)) filter (where series = 'MACHINERY' and sp2.t >= 50) machinery from sp2 left join ser using (t) group by 1)
+@register(f"""with {GAPPY}, {STARTS}, sp2 as (select unnest(generate_series(0, (select max(t) from ser where y is not null and series in ('BUILDING', 'MACHINERY')))) t), w as (select sp2.t, max(exp(y)) filter (where series = 'BUILDING') building, max(exp(y)) filter (where series = 'MACHINERY' and sp2.t >= 50) machinery from sp2 left join ser using (t) group by 1)
 select t::int t, s.jy::int jy, s.jm::int jm, s.d date, round(building / 1e6, 6) building, round(machinery / 1e6, 6) machinery, round(building / lag(building, 12) over (order by w.t) - 1, 6) yoy, round(building / lag(building, 1) over (order by w.t) - 1, 6) mom from (select t, building, machinery, t - 300 jt from w) w join (select t jt, jy, jm, d from starts) s using (jt)""")
 def timeline(spark, sf):
     """Two sources on one dense month axis with dates, side by side, and changes of the first."""

@@ -1,8 +1,10 @@
 """Every registered market query against its SQL, and exact values of calendar and text functions."""
 
 import datetime
+import json
 import math
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -10,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from souk.functions import calendar, text
-from souk.operators import geo, quality
-from souk.operators.weighted import weighted_quantile
+from souk.operators import geo, joins, periods, quality, rollup, series, valuation
+from souk.operators.weighted import weighted_quantile, weighted_quantile_of_many
 from souk.plans import registry
 from souk.sources import tables
 from souk.streaming import jobs
@@ -79,6 +81,127 @@ def test_weighted_quantile_edges(spark):
     assert dict(weighted_quantile(d, ["k"], "v", "w", {"q": 0.5}, ["id"]).collect()) == {"a": 1.0, "b": 3.0}
 
 
+def test_quantiles_of_many_are_those_of_few(spark):
+    """Ranges or one window, with ties of value and weight, hot groups and nulls: the same quantiles."""
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaab"), float(rng.randrange(40)) if rng.random() > 0.1 else None, float(rng.randrange(4)), i) for i in range(900)] + [("c", 5.0, 2.0, 1000), ("d", None, 1.0, 1001)]
+    d = spark.createDataFrame(rows, "k string, v double, w double, id int")
+    qs = {"q1": 0.25, "q2": 0.5, "q3": 0.9}
+    one = {r.k: r for r in weighted_quantile(d, ["k"], "v", "w", qs, ["id"]).collect()}
+    for ranges in (2, 7, 64):
+        many = {r.k: r for r in weighted_quantile_of_many(d, ["k"], "v", "w", qs, ranges).collect()}
+        assert many.keys() == one.keys() == {"a", "b", "c"}
+        assert all(abs(many[k][n] - one[k][n]) < 1e-9 for k in one for n in qs)
+    assert abs(weighted_quantile_of_many(d, [], "v", "w", {"q": 0.5}).first().q - weighted_quantile(d, [], "v", "w", {"q": 0.5}, ["id"]).first().q) < 1e-9
+    assert weighted_quantile_of_many(d.limit(0), ["k"], "v", "w", qs).isEmpty()
+
+
+def test_nearest_place_far_away_and_on_ties(spark):
+    rng = random.Random(4)
+    pts = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(300)] + [(300, None, 1.0), (301, 1000.0, 1000.0), (302, 0.5, 0.0)]
+    cs = [(f"c{i}", rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(20)] + [("a", 0.0, 0.0), ("b", 1.0, 0.0)]
+    got = geo.nearest_centroid(spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(cs, "name string, cx double, cy double"), 0.5, 3000.0, 0.8).collect()
+    for r in got:
+        _, x, y = pts[r.id]
+        want = min((((x - cx) * 0.8) ** 2 + (y - cy) ** 2, n) for n, cx, cy in cs) if x is not None else (None, None)
+        assert r.name == want[1]
+
+
+def test_cards(spark):
+    """Chips and prices of a card: the last chip counts, no room, new buildings, flags by icon, missing totals."""
+    kind = "price_fields array<struct<title:string,value:string>>, chips array<struct<title:string,icon_url_light:string>>"
+    chips = [("۱۰۰ متر", None), ("۱۲۰ متر", None), ("بدون اتاق", None), ("نوساز", None), (None, "x/parking.png"), (" ", "x/elevator.svg")]
+    rows = [([("قیمت کل :", "۱۲ میلیارد"), ("قیمت هر متر", "توافقی")], chips), ([("", "۹ میلیارد تومان"), ("هر متر :", "۸۰ میلیون")], [("۵ سال", None), ("۳ اتاق", None)]), ([], []), (None, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = df.withColumn("c", text.chips(F.col("chips"))).withColumn("p", text.card_prices(F.col("price_fields"), F.col("c.size_m2"))).select("c.*", "p.price", "p.price_m2", "p.text").collect()
+    assert got[0][:5] == (120.0, 0.0, 0.0, 1, 1) and got[0][5:7] == (12e9, 1e8) and got[0].text == "قیمت کل=۱۲ میلیارد | قیمت هر متر=توافقی"
+    assert got[1][:5] == (None, 3.0, 5.0, 0, 0) and got[1][5:7] == (9e9, 8e7)
+    assert got[2][:7] == (None, None, None, 0, 0, None, None) and got[3][:3] == (None, None, None) and got[3].price is None
+
+
+def test_geojson_with_holes_and_parts(spark, tmp_path):
+    ring = lambda a, z: [[a, a], [z, a], [z, z], [a, z], [a, a]]
+    feature = lambda i, kind, c: {"type": "Feature", "properties": {"poly": i}, "geometry": {"type": kind, "coordinates": c}}
+    doc = {"type": "FeatureCollection", "features": [feature(1, "Polygon", [ring(0, 4), ring(1, 2)]), feature(2, "MultiPolygon", [[ring(10, 11)], [ring(12, 14)]])]}
+    (tmp_path / "f.geojson").write_text(json.dumps(doc, indent=1))
+    shapes = tables.geojson(spark, str(tmp_path / "f.geojson"), "poly:int")
+    assert [(r.file, r.poly, len(r.edges), r.x_min, r.x_max) for r in shapes.orderBy("poly").collect()] == [("f.geojson", 1, 8, 0.0, 4.0), ("f.geojson", 2, 8, 10.0, 14.0)]
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 10.5, 10.5), (4, 11.5, 11.5), (5, 13.0, 13.0)], "id int, x double, y double")
+    assert {r.id: r.poly for r in geo.locate(pts, shapes, 1.0).collect()} == {1: 1, 2: None, 3: 2, 4: None, 5: 2}
+
+
+def test_methods_on_a_straight_line(spark):
+    """On a noiseless line every trend method goes on along it; errors of the naive one are h steps."""
+    d = spark.createDataFrame([("s", t, 0.5 * t) for t in range(60) if t % 7], "series string, t int, y double")
+    bt = series.backtest(d, 12, 36)
+    worst = {r.method: r.e for r in bt.groupBy("method").agg(F.max(F.abs("err")).alias("e")).collect()}
+    assert set(worst) == set(series.METHODS)
+    assert all(worst[m] < 1e-6 for m in ("drift_long", "drift_12m")) and worst["local_linear_trend"] < 0.05 and abs(worst["naive"] - 6.0) < 1e-9
+    cut = series.states_of(d.where("t <= 40")).where("origin = 40").orderBy("method").collect()
+    assert cut == series.states_of(d).where("origin = 40").orderBy("method").collect()  # no look ahead
+
+
+def test_bands_fill_gaps(spark):
+    bt = spark.createDataFrame([("m", h, e / 10) for h in (2, 4) for e in range(5)], "method string, h int, err double")
+    got = {r.h: r.q10 for r in series.error_bands(bt, "m", 5).collect()}
+    assert got[1] == got[2] == got[5] and abs(got[3] - (got[2] + got[4]) / 2) < 1e-12
+
+
+def test_least_squares_weights_and_singular_groups(spark):
+    rows = [("a", float(i), float(i * i % 7), 2.0 + 3 * i - 0.5 * (i * i % 7)) for i in range(20)] + [("b", 1.0, 2.0, 3.0)] * 3
+    fits = {r.k: r.beta for r in valuation.least_squares(spark.createDataFrame(rows, "k string, x double, z double, y double"), ["k"], ["x", "z"], "y").collect()}
+    assert all(abs(a - b) < 1e-9 for a, b in zip(fits["a"], (2, 3, -0.5), strict=True)) and "b" not in fits or len(fits["b"]) == 3
+    draws = spark.range(4000).select(valuation.poisson_weight(F.col("id"), F.lit(1), 7).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+    assert abs(draws[0] - 1) < 0.06 and abs(draws[1] - 1) < 0.12
+
+
+def test_folds_of_large_keys(spark):
+    f = spark.createDataFrame([(2**62 + i,) for i in range(1000)], "id long").select(valuation.fold("id").alias("f")).groupBy("f").count().collect()
+    assert len(f) == 5 and all(150 < r["count"] < 250 for r in f)
+
+
+def test_boosting_beats_the_mean(spark):
+    rng = random.Random(1)
+    rows = [(i, f"g{i % 4}", (i % 4) + math.sin(x := rng.uniform(0, 6)), x, (i % 4) + math.sin(x), i % 3, i // 3 % 3) for i in range(400)]
+    d = spark.createDataFrame(rows, "id int, g string, lp double, x double, y double, fold int, inn int")
+    out = valuation.boosted(d, "g", "lp", ["x"], "y", "fold", "inn", k=3, trees=15, step=0.3)
+    assert out.count() == 400 and valuation.compared(out, "y", ["gradient_boosting"]).first().r2 > 0.8
+
+
+def test_incomplete_snapshot(spark):
+    rows = [("s", f"2024-01-{d:02d}", n) for d, n in enumerate([100, 100, 100, 40, 100, 100], 1)]
+    got = jobs.incomplete(spark.createDataFrame(rows, "scope string, collected_on string, listings int")).orderBy("collected_on").collect()
+    assert [r.incomplete for r in got] == [False, False, False, True, False, False]
+
+
+def test_text_helpers(spark):
+    r = spark.range(1).select(text.bare_place(F.lit("Qaem Shahr County")).alias("a"), text.first_integer(F.lit("ab 012 7")).alias("b"), text.first_integer(F.lit("none")).alias("c"), text.pretty(F.lit("shahrak-e-gharb")).alias("d"), text.ascii_digits(F.lit("۱۲٣")).alias("e"), calendar.month_name(F.lit(12)).alias("f"), calendar.month_of_gregorian(F.lit(2024), F.lit(3)).alias("g"), calendar.month_start(F.lit(108)).alias("h")).first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("qaem shahr", 12, None, "Shahrak e Gharb", "123", "Esfand")
+    assert r.g == (1402 - 1395) * 12 + 11 and str(r.h) == "2025-03-21"
+
+
+def test_small_tables_and_searches(spark):
+    d = spark.createDataFrame([(1, 2000, 5.0), (1, 2001, 7.0), (2, 2000, 3.0)], "u int, p int, v double")
+    assert {(r.u, r.now, r.place, r.ranked) for r in periods.ladder(d, "u", "p", "v", 2001, 2000).collect()} == {(1, 7.0, 1, 1), (2, None, None, 1)}
+    assert d.where(periods.matches("2", F.col("p").cast("string"), number=F.col("u"))).count() == 3
+    assert joins.append_new(d, d.withColumn("u", F.col("u") + 1), "u").count() == 4
+    assert [r.share for r in rollup.positive_shares(spark.createDataFrame([(1.0,), (-5.0,), (3.0,)], "v double"), "v").collect()] == [0.25, 0.0, 0.75]
+
+
+def test_no_private_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.scratch(type("S", (), {"sparkContext": Context()})())
+
+
 def test_number_and_reject(spark):
     d = spark.createDataFrame([("1,200",), ("x",), (None,)], "s string")
     assert [r[0] for r in d.select(quality.number(F.col("s"))).collect()] == [1200.0, None, None]
