@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if found is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="spark-souk-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -46,6 +48,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), where value stands in the plan once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 class Memo(dict):
     """make(key), kept for the last keys seen: once it holds ``most`` entries they become the older generation,
     from which keys in use come back; so a worker's memory is bounded while the frequent keys stay at hand.

@@ -143,7 +143,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, grades: DataFrame, most_rows: int = MOST_ROWS) -> CumulativeLink | None:
     """docs (doc_id, text), grades (doc_id, grade); at most most_rows labels are used."""
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id")  # at most most_rows labels
+    rows = id_text(docs).join(F.broadcast(sample), "doc_id")  # at most most_rows labels
 
     def run(batches):
         import pyarrow as pa

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, let
 
 #: The base patterns, in their listed order, with the group and least length that count.
 PATTERNS = {
@@ -62,20 +62,15 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), where value stands in the plan once however often it is used."""
-    return F.transform(F.array(value), then)[0]
-
-
 def upper_tail(z: Column) -> Column:
     """1 - Phi(z) by Abramowitz and Stegun's formula 26.2.17 (error below 1e-7)."""
 
     def tail(x):
         t = x["t"]
         out = F.exp(-x["z"] * x["z"] / 2) * 0.3989422804014327 * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-        return _let(out, lambda y: F.when(x["z"] >= 0, y).otherwise(1 - y))
+        return let(out, lambda y: F.when(x["z"] >= 0, y).otherwise(1 - y))
 
-    return _let(z, lambda v: _let(F.struct(v.alias("z"), (F.lit(1.0) / (F.lit(1.0) + F.abs(v) * 0.2316419)).alias("t")), tail))
+    return let(z, lambda v: let(F.struct(v.alias("z"), (F.lit(1.0) / (F.lit(1.0) + F.abs(v) * 0.2316419)).alias("t")), tail))
 
 
 def battery(value: Column) -> Column:
@@ -89,11 +84,11 @@ def battery(value: Column) -> Column:
         found = F
         for name, pattern in ENCODINGS.items():
             found = found.when(body.rlike(pattern), kind(name))
-        return _let(F.struct(body.alias("body"), found.otherwise(kind("base64")).alias("kind")), folded)
+        return let(F.struct(body.alias("body"), found.otherwise(kind("base64")).alias("kind")), folded)
 
     def folded(x: Column) -> Column:
         text = F.when(x["kind"]["folds"], F.lower(x["body"])).otherwise(x["body"])
-        return _let(F.struct(text.alias("text"), x["kind"]["alphabet"].alias("alphabet")), counted)
+        return let(F.struct(text.alias("text"), x["kind"]["alphabet"].alias("alphabet")), counted)
 
     def counted(x: Column) -> Column:
         size = F.length(x["alphabet"]).cast("double")
@@ -108,9 +103,9 @@ def battery(value: Column) -> Column:
             return F.struct(*[c.alias(n) for c, n in zip(now, names, strict=True)])
 
         squares = F.aggregate(F.split(x["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow(F.length(x["text"]) - F.length(F.replace(x["text"], c, F.lit(""))), F.lit(2.0)))
-        return _let(F.struct(F.aggregate(u, start, step).alias("a"), squares.alias("squares"), size.alias("size")), _tests)
+        return let(F.struct(F.aggregate(u, start, step).alias("a"), squares.alias("squares"), size.alias("size")), _tests)
 
-    return _let(F.translate(F.rtrim(value, F.lit("=")), "-_", "+/"), encoded)
+    return let(F.translate(F.rtrim(value, F.lit("=")), "-_", "+/"), encoded)
 
 
 def _tests(x: Column) -> Column:
@@ -126,7 +121,7 @@ def _tests(x: Column) -> Column:
     along = a["s12"] - mid * (2 * a["s"] - a["first"] - a["last"]) + (n - 1) * mid * mid
     z_serial = F.when(around > n * 1e-12, F.abs(along / around + 1 / n) * F.sqrt(n))
     two = lambda z: F.when(z.isNotNull(), 2 * upper_tail(z)).otherwise(0.0)
-    bound = _let(F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), n.alias("n")), lambda z: F.struct(z["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(upper_tail(z["chi"]), two(z["runs"]), two(z["serial"]))).alias("p")))
+    bound = let(F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), n.alias("n")), lambda z: F.struct(z["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(upper_tail(z["chi"]), two(z["runs"]), two(z["serial"]))).alias("p")))
     return bound
 
 
@@ -134,7 +129,7 @@ def candidates(text: Column) -> Column:
     """array<struct<start,end,n,place>>; place is where p / n stands on a grid of logarithms (higher: less
     random)."""
     place = lambda t: F.least(F.lit(MOST), F.floor(-GRID * F.log10(F.greatest(t["p"], F.lit(1e-30)) / t["n"])).cast("int"))
-    return F.transform(_found(text, CANDIDATE), lambda x: _let(battery(x["value"]), lambda t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["n"].alias("n"), place(t).alias("place"))))
+    return F.transform(_found(text, CANDIDATE), lambda x: let(battery(x["value"]), lambda t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["n"].alias("n"), place(t).alias("place"))))
 
 
 def ordinary_from(found: DataFrame, fdr: float) -> DataFrame:

@@ -200,3 +200,15 @@ def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col:
 
 def op3_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir), digest=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+#: SQL for op3: every window of 50 words as text, its least document, and the words that a window covers.
+OP3_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+p as (select doc_id, len(w) n, unnest(w) word, generate_subscripts(w, 1) i from d),
+s as (select doc_id, i, word, case when i + 49 <= n then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 49 following) end win from p),
+f as (select win, min(doc_id) first_doc from s where win is not null group by 1),
+c as (select s.doc_id, i, word, max(case when first_doc < s.doc_id then i end) over (partition by s.doc_id order by i rows between 49 preceding and current row) is not null gone from s left join f using (win)),
+k as (select doc_id, count(*) n_words, count(*) filter (where gone) n_removed, string_agg(word, ' ' order by i) filter (where not gone) kept from c group by 1)
+select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (doc_id)
+"""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 from .graph import components
 
 #: Verdict, host and path of each rule.
@@ -50,10 +50,14 @@ def rule_index(host_: Column, path_: Column, rules) -> Column:
 def node(url: Column) -> Column:
     """What stands for a URL among aliases: without its fragment, scheme and host in lower case, a bare host
     with a slash; null where there is no host."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1)
-    rest = F.substring(bare, F.length(head) + 1, F.length(bare))
-    return F.when(F.length(host(url)) > 0, F.concat(F.translate(head, UPPER, LOWER), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+    def written(x):
+        rest = F.substring(x["bare"], F.length(x["head"]) + 1, F.length(x["bare"]))
+        path_ = let(rest, lambda r: F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r)))
+        return F.when(F.length(x["host"]) > 0, F.concat(F.translate(x["head"], UPPER, LOWER), path_))
+
+    split = lambda bare: let(F.struct(bare.alias("bare"), F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1).alias("head"), host(bare).alias("host")), written)
+    return let(F.regexp_replace(url, "(?s)#.*$", ""), split)
 
 
 def resolved(target: Column, base: Column) -> Column:
@@ -61,8 +65,11 @@ def resolved(target: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([^/]*//[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^/]*//[^/?#]*(?:/[^?#/]*)*?)/?[^/?#]*(?:[?#].*)?$", 1)
-    t = F.trim(target)
-    return F.when(t == "", None).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(root, t)).when(t.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), t)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), None).otherwise(F.concat(folder, F.lit("/"), t))
+
+    def seen(t):
+        return F.when(t == "", None).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(root, t)).when(t.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), t)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), None).otherwise(F.concat(folder, F.lit("/"), t))
+
+    return let(F.trim(target), seen)
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -86,16 +93,18 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     texts = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array(F.lit(""))
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array(F.lit(""))
     url = F.col("url")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host(url).alias("host"), path(url).alias("path"), node(url).alias("node"))
-    rows = rows.withColumn("i", rule_index(F.col("host"), F.col("path"), rules)).withColumn("rule", F.get(texts, F.col("i"))).withColumn("own", F.get(verdicts, F.col("i")))
+    parts = let(F.struct(host(url).alias("host"), path(url).alias("path")), lambda x: F.struct(x["host"].alias("host"), x["path"].alias("path"), rule_index(x["host"], x["path"], rules).alias("i")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", parts.alias("x")).select("page_id", "url", "x.*")
+    rows = rows.withColumn("rule", F.get(texts, F.col("i"))).withColumn("own", F.get(verdicts, F.col("i")))
     if edges.isEmpty():
         rows = rows.withColumn("alias", F.lit(None).cast("string"))
     else:
-        named = components(edges).withColumn("i", rule_index(host(F.col("node")), path(F.col("node")), rules)).withColumn("own", F.get(verdicts, F.col("i")))
+        own = let(F.struct(host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), lambda x: F.get(verdicts, rule_index(x["host"], x["path"], rules)))
+        named = components(edges).withColumn("own", own)
         decided = named.groupBy("component").agg(F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed")).where("blocked and not coalesce(allowed, false)").select("component")
         # Only aliases of blocked URLs are joined; the planner broadcasts them where its size check allows.
         blocked = cut(named.join(decided, "component").where("own is null").select("node").distinct().withColumn("alias", F.lit("block")))
-        rows = rows.join(blocked, "node", "left")
+        rows = rows.withColumn("node", node(url)).join(blocked, "node", "left")
     by = F.when(F.col("own").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"), by.alias("by"))
 

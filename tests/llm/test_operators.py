@@ -389,6 +389,65 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).isEmpty()
 
 
+def test_url_aliases_by_given_redirects(spark):
+    """Redirect pairs join pages that have no html; an explicit allow keeps its own verdict and clears its aliases."""
+    pages = spark.createDataFrame([(1, "http://a.net/1", "r", "x"), (2, "http://b.net/2", "r", "x"), (3, "http://x.com/de/9", "r", "x"), (4, "http://c.net/", "r", "x"), (5, "http://d.org/", "r", "x"), (6, "http://x.com/de/8", "r", "x"), (7, "http://E.net", "r", "x"), (None, "http://e.net/", "r", "x")], "page_id int, url string, rule string, host string")
+    hops = [("http://a.net/1", "http://b.net/2"), ("http://b.net/2#top", "http://x.com/de/9"), ("http://c.net/", "http://d.org/"), ("http://d.org", "http://x.com/de/8"), ("http://e.net", "http://x.com/de/9"), ("http://z.net/", None), (None, "http://z.net/"), ("http://a.net/1", "http://a.net/1")]
+    got = {r.page_id: (r.verdict, r.by) for r in url_filter.judge(pages.withColumn("html", F.lit(None).cast("string")), redirects=spark.createDataFrame(hops * 2, "src string, dst string")).collect()}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "default"), 5: ("allow", "rule"), 6: ("block", "rule"), 7: ("block", "alias"), None: ("block", "alias")}
+
+
+def whole_sketch(text):
+    """A sketch in plain Python over the module's shingle hashes: those below a quarter, or all of few."""
+    words = text.encode().split()
+    n = min(5, len(words))
+    runs = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+    raw = lambda w: np.frombuffer(b" ".join(w), np.uint8)
+    own = {int(sketch.window_hashes(sketch.word_hashes(raw(w), *sketch.word_bounds(raw(w))), n)[0]) for w in runs}
+    low = {h for h in own if h < 2**62}
+    return (own, True) if len(low) <= 64 and (len(own) <= 64 or not low) else (low, False)
+
+
+def like(a, b):
+    (x, p), (y, q) = a, b
+    if not (x and y):
+        return float(x == y)
+    if not (p and q):
+        x, y = ({h for h in s if h < 2**62} for s in (x, y))
+    lesser = min(len(x), len(y))
+    return len(x & y) / lesser if lesser else None
+
+
+def test_sketches_and_likeness_against_sets(spark):
+    """Every column of the edited sketches, repeated ids and null ids included, against plain sets."""
+    rnd = random.Random(31)
+    made = [" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.choice([0, 1, 4, 9, 60, 400, 3000]))) for _ in range(60)]
+    made += [made[5], made[5] + " end", "é" * 999]
+    data = [(i % 50, t) for i, t in enumerate(made)] + [(None, "no id"), (None, None)]
+    got = sketch.edited_sketches(spark.createDataFrame(data, "doc_id long, text string"), rows_a_bucket=9).collect()
+    # Descending ids, nulls last; of equal ids the shorter text first, then by the text's hash.
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
+    by_id = collections.defaultdict(list)
+    for i, t in data:
+        by_id[i].append(t or "")
+    checked = 0
+    for r, following in zip(order, order[1:], strict=False):
+        if len(by_id[r.doc_id]) == len(by_id[following.doc_id]) == 1:
+            a, b = by_id[r.doc_id][0], by_id[following.doc_id][0]
+            half = len(a) // 2
+            e = a[: len(a) - half] + b[:half]
+            assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+            for t, written, near in ((a, r.fingerprint, None), (e, r.edited_fingerprint, r.near_edited), (b, None, r.near_next)):
+                if written is not None:
+                    s, whole = whole_sketch(t)
+                    assert [int(written[k : k + 16], 16) for k in range(0, len(written), 16)] == sorted(s) + [2**64 - 1] * (whole and bool(s))
+                assert near is None or near == like(whole_sketch(a), whole_sketch(t))
+            assert (r.near_next is None) == (like(whole_sketch(a), whole_sketch(b)) is None)
+            checked += 1
+    assert checked > 20 and collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in data)
+    assert {r.n_chars for r in got if r.doc_id is None} == {0, 5}
+
+
 def test_search(spark, docs, rows, empty, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_ROWS", 9)
     monkeypatch.setattr(bm25, "QUERY_ROWS", 5)
@@ -435,6 +494,45 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r.p_top <= 1 and 0 <= r.expected_grade <= 2 for r in got)
 
 
+def test_cumulative_link_is_at_its_optimum(spark):
+    """Tails are logistic in the score and the thresholds, which are in order; no small step from the fitted weights
+    or thresholds lowers the penalised loss by much."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(rnd.choice(["good", "fine", "bad", "awful", "so", "the", "and"], 12, p=p)) for p in ([0.3, 0.2, 0.02, 0.02, 0.16, 0.15, 0.15], [0.1, 0.1, 0.1, 0.1, 0.2, 0.2, 0.2], [0.02, 0.02, 0.3, 0.2, 0.16, 0.15, 0.15]) for _ in range(60)]
+    grades = np.repeat([2, 1, 0], 60)
+    rows = [quality.features(t) for t in texts]
+    m = quality.CumulativeLink.fit(rows, grades, steps=1500)
+    assert (np.diff(m.thresholds) > 0).all()
+
+    def loss(w, t):
+        z = np.array([w[i] @ v for i, v in rows])
+        full = np.concatenate([np.ones((len(z), 1)), 1 / (1 + np.exp(-(z[:, None] - t))), np.zeros((len(z), 1))], axis=1)
+        p = full[np.arange(len(z)), grades] - full[np.arange(len(z)), grades + 1]
+        return -np.log(np.maximum(p, 1e-12)).mean() + 1e-3 * np.abs(w).sum() + 0.5e-5 * (w * w).sum()
+
+    best = loss(m.weights, m.thresholds)
+    used = np.unique(np.concatenate([i for i, _ in rows]))
+    for _ in range(60):
+        w = m.weights.copy()
+        w[rnd.choice(used)] += rnd.choice([-0.1, 0.1])
+        assert loss(w, m.thresholds) > best - 2e-3
+        assert loss(m.weights, m.thresholds + rnd.normal(0, 0.05, 2)) > best - 2e-3
+    i, v = rows[0]
+    assert np.allclose(m.tails(texts[0]), 1 / (1 + np.exp(-(m.weights[i] @ v - m.thresholds))))
+
+
+def test_fitted_model_on_odd_rows(spark, docs, rows, empty):
+    """A model of two grades scores nulls, empty, very long and repeated texts; equal texts score alike."""
+    grades = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id long, grade int")
+    model = quality.fit(docs, grades)
+    assert model is not None and quality.fit(docs, grades.where("grade = 1")) is None
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(rows) and all(r.p_top is not None and 0 <= r.p_top <= 1 and 0 <= r.expected_grade <= 2 for r in got)
+    assert len({r.p_top for r in got if r.doc_id in (0, 1, 2)}) == 1  # null, empty and white space
+    assert len({r.p_top for r in got if r.doc_id in (5, 6)}) == 1
+    assert quality.score(empty, model).isEmpty()
+
+
 def test_quality_without_labels(spark, docs, rows, empty):
     none = spark.createDataFrame([(1, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit(docs, quality.graded(none)) is None
@@ -459,6 +557,26 @@ def test_pipeline(spark, rows, tmp_path):
     assert seen["packing"].agg(F.sum("length")).first()[0] == sum(len(Tokenizer.from_file(WORD).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in seen["secrets"].collect())
 
 
+def test_pipeline_run_with_grades(spark, tmp_path):
+    """run() on documents of three grades with extra columns whose names clash: rejected documents are gone from the
+    sequences, kept ones are whole; and on empty tables."""
+    rnd = random.Random(17)
+    good, bad = [f"good{k}" for k in range(40)], [f"bad{k}" for k in range(40)]
+    rows = [(i, " ".join(rnd.choice(good if i % 3 else bad) for _ in range(80)), "en", f"s{i % 2}", 1, "x", "y", 3) for i in range(90)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, carried string, spans string, fp int"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1 if i % 3 else 0, 1 if i % 30 == 1 else 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    lengths = collections.Counter()
+    for r in out:
+        lengths[r.doc_id] += r.length
+    assert not any(i % 3 == 0 for i in lengths) and len(lengths) >= 50
+    assert all(n == next(r.doc_tokens for r in out if r.doc_id == i) for i, n in lengths.items())
+    for name, schema in (("documents", kind), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_similar_documents(spark):
     import random
 
