@@ -63,12 +63,12 @@ FIT = f"""{OOF}, s as (select var_pop(x) s11, var_pop(level) s22, covar_pop(x, l
 FIT = FIT.replace("level from f join", "\"level\" from f join").replace("var_pop(level)", 'var_pop("level")').replace("covar_pop(x, level)", 'covar_pop(x, "level")').replace("covar_pop(level, y)", 'covar_pop("level", y)').replace("avg(level)", 'avg("level")')
 
 
-@register(f"""with {FIT} select term, round(v, 6) as value, round(exp(v) - 1, 4) premium, round(pow(1.1, v - 1) - 1, 6) ten_percent from (select 'x' term, b1 v from b union all select 'level', b2 from b union all select 'intercept', my - b1 * mx - b2 * ml from b)""")
+@register(f"""with {FIT} select term, round(v, 6) as value, case when term <> 'intercept' then round(exp(v) - 1, 6) end premium, case when term <> 'intercept' then round(pow(1.1, v - 1) - 1, 6) end ten_percent from (select 'x' term, b1 v from b union all select 'level', b2 from b union all select 'intercept', my - b1 * mx - b2 * ml from b)""")
 def premium_table(spark, sf):
     """Coefficients of the final fit, on out-of-fold levels, as premiums and elasticities."""
     fit = valuation.least_squares(encoded(spark, sf), [], ["x", "level"], "y")
     terms = F.explode(F.arrays_zip(F.array(*map(F.lit, ("intercept", "x", "level"))).alias("term"), F.col("beta").alias("value"))).alias("t")
-    return fit.select(terms).select("t.*").select("term", *r6("value"), F.round(valuation.premium(F.col("value")), 4).alias("premium"), F.round(valuation.elasticity_10(F.col("value")), 6).alias("ten_percent"))
+    return fit.select(terms).select("t.*").select("term", *r6("value"), *[F.when(F.col("term") != "intercept", F.round(c, 6)).alias(n) for n, c in (("premium", valuation.premium(F.col("value"))), ("ten_percent", valuation.elasticity_10(F.col("value"))))])
 
 
 UNIFORM = "(('0x' || substr(md5(concat_ws(':', cast(p_partkey as varchar), cast({rep} as varchar), '7')), 1, 8))::bigint / 4294967296.0::double)"
