@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .weighted import running_weights
+
 
 def growth(df: DataFrame, unit: str, period: str, value: str) -> DataFrame:
     """df with ``previous`` and ``growth`` against the period just before; null where that one is missing."""
@@ -13,11 +17,14 @@ def growth(df: DataFrame, unit: str, period: str, value: str) -> DataFrame:
     return df.withColumn("previous", before).withColumn("growth", F.try_divide(F.col(value), F.col("previous")) - 1)
 
 
-def class_breaks(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
-    """Nearest-rank breaks v[floor(i * n / k)] of each group, repeated ones once. Holds a group's values, so it is
-    for tables of units, not of events."""
-    s = F.sort_array(F.collect_list(value))
-    return df.groupBy(*keys).agg(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.get(s, F.least(F.size(s) - 1, F.floor(i * F.size(s) / k).cast("int"))))).alias("breaks"))
+def class_breaks(df: DataFrame, keys: list[str], value: str, k: int, ranges: int = 64) -> DataFrame:
+    """Nearest-rank breaks v[floor(i * n / k)] of each group, repeated ones once, ascending. Ranks come from counts of
+    lesser values, so a group of any size is in no one place."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    placed = running_weights(rows, rows.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w")), keys, ranges)
+    rank = lambda i: F.least(F.col("total") - 1, F.floor(i * F.col("total") / k))
+    held = F.exists(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (rank(i) >= F.col("before")) & (rank(i) < F.col("before") + F.col("w")))
+    return placed.where(held).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias("breaks"))  # fewer than k
 
 
 def class_of(value: Column, breaks: Column) -> Column:
@@ -25,15 +32,34 @@ def class_of(value: Column, breaks: Column) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(breaks, lambda b: b <= value)))
 
 
-def similar_units(df: DataFrame, unit: str, group: str, value: str, size: str, within: float = 0.07, k: int = 8) -> DataFrame:
-    """For each unit the k largest of other groups whose value is within a share of its own. Values are put in
-    logarithmic bins of that width, so only neighbouring bins meet instead of all pairs."""
-    width = F.lit(within).cast("double")
-    binned = df.where(F.col(value) > 0).select(unit, group, value, size, F.floor(F.ln(value) / F.log1p(width)).alias("b"))
-    a = binned.select(*[F.col(c).alias(f"a_{c}") for c in (unit, group, value)], F.explode(F.array(F.col("b") - 2, F.col("b") - 1, F.col("b"), F.col("b") + 1, F.col("b") + 2)).alias("b"))
-    near = a.join(binned, "b").where((F.abs(F.col(value) / F.col(f"a_{value}") - 1) < within) & (F.col(group) != F.col(f"a_{group}")))
-    rank = F.row_number().over(Window.partitionBy(f"a_{unit}").orderBy(F.col(size).desc(), F.col(unit)))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col(f"a_{unit}").alias("unit"), F.col(unit).alias("similar"), "rank")
+def similar_units(df: DataFrame, unit: str, group: str, value: str, size: str, within: float = 0.07, k: int = 8, levels: int = 14) -> DataFrame:
+    """For each unit the k largest of other groups whose value is within a share of its own: unit, similar, rank.
+
+    Values are put in logarithmic bins, on ``levels`` levels of half the width each. A unit's range is parted into
+    bins that lie wholly inside it, a few of the widest and at most two of each finer level; of such a bin only the
+    2 k largest units, at most k of a group, can be among the answers. What is left at both ends of the range is
+    two bins of the finest level, which are searched whole. So a unit meets a bounded number of others, however
+    many have values like its own."""
+    wide = (math.log1p(within) - math.log1p(-within)) / 4
+    width = [wide / 2**j for j in range(levels)]
+    units = df.where(F.col(value) > 0).select(F.col(unit).alias("unit"), F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(size).alias("s"), F.ln(value).alias("l"))
+    bins = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("l") / width[j]).alias("b")) for j in range(levels)]))
+    other = units.select(F.col("unit").alias("similar"), F.col("g").alias("h"), F.col("v").alias("u"), "s", bins.alias("x")).select("similar", "h", "u", "s", "x.j", "x.b")
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("s").desc(), "similar"))
+    lists = other.withColumn("i", best("j", "b", "h")).where(F.col("i") <= k).withColumn("i", best("j", "b")).where(F.col("i") <= 2 * k).drop("i")
+    lo, hi = F.col("l") + math.log1p(-within), F.col("l") + math.log1p(within)
+    first, stop = [F.floor(lo / w) + 1 for w in width], [F.floor(hi / w) for w in width]  # bins wholly inside: first .. stop - 1
+    none = F.array().cast("array<struct<j:int,b:bigint>>")
+    one = lambda j, b, when: F.when(when, F.array(F.struct(F.lit(j).alias("j"), b.alias("b")))).otherwise(none)
+    inside = [F.transform(F.sequence(first[0], stop[0] - 1), lambda b: F.struct(F.lit(0).alias("j"), b.alias("b")))]
+    for j in range(1, levels):
+        inside += [one(j, first[j], first[j] < 2 * first[j - 1]), one(j, stop[j] - 1, stop[j] > 2 * stop[j - 1])]
+    asked = units.select("unit", "g", "v", F.explode(F.concat(*inside)).alias("x")).select("unit", "g", "v", "x.*")
+    ends = units.select("unit", "g", "v", F.lit(levels - 1).alias("j"), F.explode(F.array_distinct(F.array(first[-1] - 1, stop[-1]))).alias("b"))
+    near = asked.join(lists, ["j", "b"]).unionByName(ends.join(other.where(F.col("j") == levels - 1), ["j", "b"]))
+    near = near.where((F.abs(F.col("u") / F.col("v") - 1) < within) & (F.col("g") != F.col("h"))).select("unit", "similar", "s").distinct()
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("s").desc(), "similar"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("unit", "similar", "rank")
 
 
 def afford_class(price: Column, budget: Column, stretch: float = 1.2) -> Column:

@@ -1,5 +1,6 @@
 """Every registered market query against its SQL, and exact values of calendar and text functions."""
 
+import collections
 import datetime
 import json
 import math
@@ -107,6 +108,17 @@ def test_nearest_place_far_away_and_on_ties(spark):
         assert r.name == want[1]
 
 
+def test_similar_units_in_dense_and_sparse_values(spark):
+    """Many units of one value, one group of a third of all, ties at the range's ends: the answers of brute force."""
+    rng = random.Random(8)
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}", rng.choice([100.0, 93.0, 107.0, 93.00001, 106.99999, rng.uniform(80, 120), math.exp(rng.uniform(0, 9))]), rng.randrange(50)) for i in range(600)] + [(600, "x", None, 1), (601, "x", -5.0, 1)]
+    got = collections.defaultdict(list)
+    for r in periods.similar_units(spark.createDataFrame(rows, "u int, g string, v double, s int"), "u", "g", "v", "s").orderBy("unit", "rank").collect():
+        got[r.unit].append(r.similar)
+    for u, g, v, _ in rows[:600]:
+        assert got[u] == [x for _, x in sorted((-s, x) for x, h, w, s in rows[:600] if h != g and abs(w / v - 1) < 0.07)[:8]], u
+
+
 def test_cards(spark):
     """Chips and prices of a card: the last chip counts, no room, new buildings, flags by icon, missing totals."""
     kind = "price_fields array<struct<title:string,value:string>>, chips array<struct<title:string,icon_url_light:string>>"
