@@ -91,6 +91,11 @@ class Memo(dict):
         return value
 
 
+def entering(owner: str) -> None:
+    """Said by operators without caches of their own, so that those of the stage before do not stay."""
+    Memo.fill(owner)
+
+
 class Recent:
     """Two generations of known values, for callers that learn many keys at once: after missing(keys) and once
     the keys it returns are put into ``young``, all keys are there."""

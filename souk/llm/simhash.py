@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, id_text, stored
+from .common import cut, documents, entering, id_text, stored
 from .graph import components
 
 
@@ -87,6 +87,7 @@ def sketches(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
         import numpy as np
         import pyarrow as pa
 
+        entering(__name__)
         times = np.random.default_rng(42).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
             fps, keys, sigs = [], [], []
@@ -107,6 +108,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     def run(batches):
         import pyarrow as pa
 
+        entering(__name__)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(x, shingle) for x in b.column("text").to_pylist()], pa.int64()), b.column("h")], ["doc_id", "fp", "h"])
 
@@ -175,6 +177,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
+        entering(__name__)
         for b in batches:
             sets = [np.unique(shingle_hashes(x, shingle)).view("<i8") for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sets, pa.list_(pa.int64()))], ["k", "set"])
@@ -199,18 +202,22 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: flo
 def prefix_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """open_ (k, c) -> (a, b) between the components c of all its members alike by ``least`` or more. Exact: with
     the shingles in one order for all, the rarest first, two sets of that likeness share one of the first
-    n - ceil(least * n) + 1 of each. A shingle of one text only takes its place there without any partner, so a
-    large family whose texts share less than ``least`` meets nowhere."""
+    n - ceil(least * n) + 1 of each, and from the first they share on both have enough left. A shingle of one text
+    only takes its place there without any partner, so a large family whose texts share less than ``least`` hardly
+    meets."""
     sets = stored(shingle_sets(texts, nodes.select("k", "h").join(open_.select("k"), "k"), shingle))
     each = sets.select("k", F.explode("set").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
     sizes = sets.select("k", F.size("set").alias("n"))
     ranked = each.join(shared, "s").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("own"))  # of one text
-    room = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("own"))
-    first = ranked.join(sizes, "k").join(open_, "k").withColumn("room", room.cast("int")).where("room > 0")
-    first = cut(first.select("k", "c", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("p")).select("k", "c", "n", "p.s"))
-    side = lambda k, c, n: first.select(F.col("k").alias(k), F.col("c").alias(c), F.col("n").alias(n), "s")
-    pairs = side("x", "a", "n").join(side("y", "b", "m"), "s").where("x < y and a <> b").where((F.least("n", "m") + 1e-9) >= least * F.greatest("n", "m"))
+    alone = F.col("n") - F.size("own")
+    room = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - alone
+    first = ranked.join(sizes, "k").join(open_, "k").withColumn("alone", alone).withColumn("room", room.cast("int")).where("room > 0")
+    first = cut(first.select("k", "c", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("room"))).alias("i", "p")).select("k", "c", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), "p.s"))
+    side = lambda k, c, n, left: first.select(F.col("k").alias(k), F.col("c").alias(c), F.col("n").alias(n), F.col("left").alias(left), "s")
+    # From the first shingle in common on, each has at most so many left to share.
+    enough = F.least("p", "q") + 1e-9 >= least / (1 + least) * (F.col("n") + F.col("m"))
+    pairs = side("x", "a", "n", "p").join(side("y", "b", "m", "q"), "s").where("x < y and a <> b").where((F.least("n", "m") + 1e-9) >= least * F.greatest("n", "m")).where(enough)
     pairs = pairs.select("x", "y", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return alike(pairs, sets, least).distinct()
 
@@ -257,6 +264,7 @@ def finer_keys(rows: DataFrame, bands: int, width: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        entering(__name__)
         rng = np.random.default_rng(width)
         chosen = np.stack([rng.choice(PERMUTATIONS, width, replace=False) for _ in range(bands)])
         for b in batches:

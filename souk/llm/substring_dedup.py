@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, entering, stored
 
 DEPTH = 2
 
@@ -60,6 +60,8 @@ def repeated_cells(rows: DataFrame, size: int, log_width: int) -> list[bytes]:
         import numpy as np
         import pyarrow as pa
 
+        entering(__name__)
+
         held, have = [], 0
 
         def flush():
@@ -113,6 +115,8 @@ def repeated_windows(rows: DataFrame, size: int, log_width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        entering(__name__)
+
         maps = [np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in bitmaps.value]
         for b in batches:
             out = []
@@ -161,6 +165,8 @@ def dedup_substrings(df: DataFrame, size: int = 50, log_width: int = 26, id_col:
     def apply(batches):
         import numpy as np
         import pyarrow as pa
+
+        entering(__name__)
         import zstandard
 
         from .sketch import word_bounds

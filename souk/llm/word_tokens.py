@@ -14,7 +14,7 @@ from functools import cached_property
 import numpy as np
 
 from .automaton import MergeAutomaton
-from .common import Recent
+from .common import Memo, Recent, entering
 
 #: The split pattern and the normaliser that a tokenizer file must have for the fast path.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -155,11 +155,23 @@ class WordTokens:
         return " ".join(map(self.labels.__getitem__, self.numbers(ids).tolist()))
 
 
-_tokens: dict[str, WordTokens] = {}
+class Loaded(dict):
+    """Tokenizers by path, one for each worker process; dropped when another operator's stage begins."""
+
+    owner = __name__
+
+    def __missing__(self, path: str) -> WordTokens:
+        self[path] = made = WordTokens(path)
+        return made
+
+    def forget(self) -> None:
+        self.clear()
+
+
+_loaded = Loaded()
+Memo.made.append(_loaded)
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One for each worker process."""
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    entering(__name__)
+    return _loaded[path]
