@@ -122,7 +122,7 @@ def cards(spark, sf) -> DataFrame:
 
 
 ADS = """ads as (select 't' || p_partkey token, (p_partkey * 37 % 997) / 100.0::double lat, (p_partkey * 91 % 991) / 100.0::double lon, case when p_partkey % 7 = 5 then 1 else 0 end approximate, floor(p_retailprice) * 1e6 price,
- case when p_partkey % 7 % 3 = 0 then (p_size + 0.5) * 1e6 else floor(p_retailprice) * 1e6 / (p_size * 3) end price_m2, p_size * 3.0 size_m2, (p_partkey % 7)::double rooms, case when p_size > 40 then 0.0 else p_size % 30 end::double age_years, case when p_partkey % 7 > 2 then 1 else 0 end parking, p_partkey % 7 % 2 elevator, p_partkey from part where p_partkey % 11 <> 0)"""
+ case when p_partkey % 7 % 3 = 0 then (p_size + 0.5) * 1e6 else floor(p_retailprice) * 1e6 / (p_size * 3) end price_m2, p_size * 3.0::double size_m2, (p_partkey % 7)::double rooms, case when p_size > 40 then 0.0 else p_size % 30 end::double age_years, case when p_partkey % 7 > 2 then 1 else 0 end parking, p_partkey % 7 % 2 elevator, p_partkey from part where p_partkey % 11 <> 0)"""
 
 
 @register(f"""with {ADS} select token, round(lat, 6) lat, round(lon, 6) lon, approximate, price, round(price_m2, 6) price_m2, size_m2, rooms, age_years, parking::int parking, elevator::int elevator,
@@ -154,7 +154,7 @@ def json_documents(spark, sf):
     return spark.read.text(path)
 
 
-@register("select count(*) n, sum(r_regionkey) keys from region")
+@register("select count(*) n, sum(r_regionkey)::bigint keys from region")
 def newest_source(spark, sf):
     """Of several files in a folder the one written last."""
     path = tables.scratch(spark)
