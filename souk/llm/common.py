@@ -68,11 +68,14 @@ class Memo(dict):
 
     @staticmethod
     def fill(owner: str) -> None:
+        import pyarrow as pa
+
         if Memo.filling != owner:
             Memo.filling = owner
             for other in Memo.made:
                 if other.owner != owner:
                     other.forget()
+            pa.default_memory_pool().release_unused()
 
     def forget(self) -> None:
         self.clear()

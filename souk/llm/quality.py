@@ -54,7 +54,7 @@ def _chunk(chunk: str) -> int:
     return packed
 
 
-_chunks = Memo(_chunk, most=300_000)
+_chunks = Memo(_chunk, most=160_000)
 
 
 def features(text: str):
