@@ -149,8 +149,8 @@ class Shard:
             below = (shut.astype(np.int64), np.where(shut, leaves, 0), np.where(shut, saved, 0))
         return out[::-1]
 
-    def nodes(self):
-        """Batches of columns as SHARD_SCHEMA has them, a depth at a time."""
+    def nodes(self, piece: int):
+        """Rows of SHARD_SCHEMA but for the shard, a depth at a time."""
         np = self.np
         is_open = self.open_paths()
         sums = self.sums(is_open)
@@ -175,15 +175,15 @@ class Shard:
                 a, z = int(first[x]), int(last[x])
                 ends = hashlib.sha256(",".join(text[a:z]).encode()).hexdigest() if z > a and key is None else None
                 yield "open" if key else "hung" if hung else "shut", key, up, int(d["low"][x]), k, up_conv, int(d["n"][x]), int(kids[x]), int(leaves[x]), int(saved[x]), int(d["size"][x]), ends
-                for i in range(a, z if key else a, PIECE):
-                    yield "ends", key, None, int(convs[i]), k, None, min(PIECE, z - i), 0, 0, 0, 0, ",".join(text[i : min(i + PIECE, z)])
+                for i in range(a, z if key else a, piece):
+                    yield "ends", key, None, int(convs[i]), k, None, min(piece, z - i), 0, 0, 0, 0, ",".join(text[i : min(i + piece, z)])
 
 
 SHARD_SCHEMA = "kind string, key binary, up binary, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, size long, ends string, shard int"
 RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
-def _shard_rows(batches):
+def _shard_rows(batches, piece: int):
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -207,7 +207,7 @@ def _shard_rows(batches):
     def batch():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*held, strict=True), [shard] * len(held)], kinds, strict=True)], names)
 
-    for row in made.nodes():
+    for row in made.nodes(piece):
         held.append(row)
         if len(held) == 5000:
             yield batch()
@@ -246,15 +246,16 @@ def subtree_sums(tree: DataFrame, columns: list[str], depth: int) -> DataFrame:
     return held.select("key", *columns)
 
 
-def trie(seqs: DataFrame) -> DataFrame:
-    """seqs (conv_id distinct, ids, sizes) -> one row for each distinct prefix, as RESULT has it."""
+def trie(seqs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """seqs (conv_id distinct, ids, sizes) -> one row for each distinct prefix, as RESULT has it; piece: how many ids
+    of those that end at an open node are sent on together."""
     seqs = stored(seqs)
     spark = seqs.sparkSession
     rows, turns = seqs.agg(F.count("*"), F.sum(F.size("sizes") + 1)).first()
     if not rows:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     shards = max(min(-(-turns // SMALL_SHARD), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-turns // LARGE_SHARD))
-    found = stored(seqs.repartitionByRange(shards, "ids", "conv_id").mapInArrow(_shard_rows, SHARD_SCHEMA))
+    found = stored(seqs.repartitionByRange(shards, "ids", "conv_id").mapInArrow(lambda batches: _shard_rows(batches, piece), SHARD_SCHEMA))
     # Open nodes: at most two paths of each shard.
     parts = found.where("kind = 'open'").groupBy("key").agg(F.first("up").alias("up"), F.min("conv_id").alias("conv_id"), F.first("depth").alias("depth"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], F.first("size").alias("size"))
     kids = parts.groupBy("up").agg(F.count("*").alias("kids")).withColumnRenamed("up", "key")

@@ -60,10 +60,9 @@ def made(seed):
 def test_against_dictionaries(spark, monkeypatch, small, large, piece):
     monkeypatch.setattr(T, "SMALL_SHARD", small)
     monkeypatch.setattr(T, "LARGE_SHARD", large)
-    monkeypatch.setattr(T, "PIECE", piece)
     rows = made(small)
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA)
-    got = [tuple(r) for r in T.trie(T.joined_starts(T.sequences(df))).select(T.RESULT).collect()]
+    got = [tuple(r) for r in T.trie(T.joined_starts(T.sequences(df)), piece).select(T.RESULT).collect()]
     want = brute(rebuilt(rows))
     assert len(got) == len(want) and set(got) == want
 
