@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .weighted import running_weights
+from .selection import Values
 
 
 def growth(df: DataFrame, unit: str, period: str, value: str) -> DataFrame:
@@ -17,11 +17,10 @@ def growth(df: DataFrame, unit: str, period: str, value: str) -> DataFrame:
     return df.withColumn("previous", before).withColumn("growth", F.try_divide(F.col(value), F.col("previous")) - 1)
 
 
-def class_breaks(df: DataFrame, keys: list[str], value: str, k: int, ranges: int = 64) -> DataFrame:
+def class_breaks(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """Nearest-rank breaks v[floor(i * n / k)] of each group, repeated ones once, ascending. Ranks come from counts of
     lesser values, so a group of any size is in no one place."""
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    placed = running_weights(rows, rows.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w")), keys, ranges)
+    placed = Values(df, keys, value).placed().withColumn("v", F.col("v").cast(df.schema[value].dataType))
     rank = lambda i: F.least(F.col("total") - 1, F.floor(i * F.col("total") / k))
     held = F.exists(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (rank(i) >= F.col("before")) & (rank(i) < F.col("before") + F.col("w")))
     return placed.where(held).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias("breaks"))  # fewer than k

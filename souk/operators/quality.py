@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.sources.tables import stored
 
-from .weighted import weighted_quantile_of_many
+from .selection import Values
 
 
 def number(text: Column) -> Column:
@@ -18,11 +18,12 @@ def number(text: Column) -> Column:
 def robust_bounds(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Median m and scaled median absolute deviation s of ln(value) for each group (keys may be empty); exact, and
     no task has a whole group."""
-    logs = df.where(F.col(value) > 0).select(*keys, F.ln(value).alias("__l"), F.lit(1.0).alias("__w"))
-    centre = weighted_quantile_of_many(logs, keys, "__l", "__w", {"__m": 0.5})
-    near = (logs.join(centre, keys) if keys else logs.crossJoin(centre)).withColumn("__d", F.abs(F.col("__l") - F.col("__m")))
-    spread = weighted_quantile_of_many(near, keys, "__d", "__w", {"__s": 0.5}).withColumn("__s", F.col("__s") * 1.4826)
-    return centre.join(spread, keys) if keys else centre.crossJoin(spread)
+    logs = Values(df.where(F.col(value) > 0), keys, F.ln(value))
+    centre = stored(logs.percentiles({"__m": 0.5}))  # one row a group
+    beside = lambda rows: rows.join(centre, keys) if keys else rows.crossJoin(centre)
+    # The deviations follow from the counted values; df is not read again.
+    spread = Values(beside(logs.each), keys, F.abs(F.col("v") - F.col("__m")), "w").percentiles({"__s": 0.5})
+    return stored(beside(spread.withColumn("__s", F.col("__s") * 1.4826)))
 
 
 def robust_filter(df: DataFrame, value: str, keys: list[str] | None = None, limit: float = 4.0) -> DataFrame:

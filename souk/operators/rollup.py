@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.sources.tables import stored
+
+from .selection import Values, joined
 from .weighted import weighted_mean, weighted_quantile
 
 
@@ -32,20 +35,34 @@ def rollup(df: DataFrame, keys: list[str], member: str, value: str, weight: str,
 
 def distribution(df: DataFrame, keys: list[str], value: str, shares: dict[str, Column]) -> DataFrame:
     """n, exact quartiles and the shares of rows for which conditions hold."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("__q"), *[F.avg(c.cast("double")).alias(n) for n, c in shares.items()])
-    return out.select(*keys, "n", F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), *shares)
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c.cast("double")).alias(n) for n, c in shares.items()])
+    quartiles = Values(df, keys, value).percentiles({"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return joined(out, quartiles, keys, "left").select(*keys, "n", "p25", "p50", "p75", *shares)
 
 
 def level_with_fallback(df: DataFrame, group: str, member: str, value: str, least: int) -> DataFrame:
     """Group level as the weighted median of its members' medians, over members with ``least`` rows; the median
     of the group's own rows where no member has as many."""
-    members = df.groupBy(group, member).agg(F.median(value).alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
-    level = weighted_quantile(members, [group], "m", "n", {"level": 0.5}, [member])
-    direct = df.groupBy(group).agg(F.median(value).alias("direct"), F.count("*").alias("n"))
+    own = F.struct(F.col(group).alias(group), F.col(member).alias(member), F.lit(False).alias("all"))
+    every = F.struct(F.col(group).alias(group), F.when(F.lit(False), F.col(member)).alias(member), F.lit(True).alias("all"))
+    found = stored(Values(df, [group, member], value).percentiles({"m": 0.5}, F.array(own, every), [group, member, "all"], n="n"))
+    level = weighted_quantile(found.where("not all").where(F.col("n") >= least), [group], "m", "n", {"level": 0.5}, [member])
+    direct = found.where("all").select(group, F.col("m").alias("direct"), "n")
     return direct.join(level, group, "left").select(group, "n", F.coalesce("level", "direct").alias("level"), F.col("level").isNotNull().alias("from_members"))
 
 
+def scope_medians(df: DataFrame, scopes: dict[str, str], columns: list[str]) -> DataFrame:
+    """scope, unit, n (values of the first column) and the median of each column, for the units of several scopes
+    (scope -> column of the unit, all of one type), from one pass; rows without a unit count in other scopes only."""
+    units, kind = list(dict.fromkeys(scopes.values())), df.schema[next(iter(scopes.values()))].dataType
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("__what"), F.col(c).cast("double").alias("__v")) for c in columns]))
+    long = df.select(*units, cells.alias("__c")).select(*units, "__c.*")
+    copies = F.filter(F.array(*[F.struct(F.col("__what"), F.lit(s).alias("scope"), F.col(u).cast(kind).alias("unit")) for s, u in scopes.items()]), lambda x: x["unit"].isNotNull())
+    found = Values(long, ["__what", *units], "__v").percentiles({"m": 0.5}, copies, ["__what", "scope", "unit"], n="n")
+    is_ = lambda c: F.col("__what") == c
+    return found.groupBy("scope", "unit").agg(F.max(F.when(is_(columns[0]), F.col("n"))).alias("n"), *[F.max(F.when(is_(c), F.col("m"))).alias(c) for c in columns])
+
+
 def log_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares line and correlation of ln y on ln x, with a verdict at 0.3."""
     lx, ly = F.ln(x), F.ln(y)
@@ -79,13 +96,12 @@ def coverage(df: DataFrame, matched: Column, weight: str) -> DataFrame:
 
 def error_interval(df: DataFrame, log_error: str, qs: tuple[float, ...] = (0.1, 0.25, 0.75, 0.9)) -> DataFrame:
     """Quantiles of actual over predicted from log errors (predicted less actual): the tails change places."""
-    q = F.percentile(log_error, F.array(*[F.lit(1 - q) for q in qs]))
-    return df.agg(q.alias("q")).select(*[F.exp(-F.col("q")[i]).alias(f"q{round(100 * q)}") for i, q in enumerate(qs)])
+    names = [f"q{round(100 * q)}" for q in qs]
+    return Values(df, [], log_error).percentiles(dict(zip(names, (1 - q for q in qs), strict=True))).select(*[F.exp(-F.col(n)).alias(n) for n in names])
 
 
 def residual_quantiles(df: DataFrame, residual: str, qs: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    q = F.percentile(residual, F.array(*map(F.lit, qs)))
-    return df.agg(q.alias("q")).select(*[F.col("q")[i].alias(f"q{round(100 * q)}") for i, q in enumerate(qs)])
+    return Values(df, [], residual).percentiles({f"q{round(100 * q)}": q for q in qs})
 
 
 def best_per(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.sources.tables import stored
+
+from .selection import Values
+
 
 def spine(df: DataFrame, series: str, t: str) -> DataFrame:
     """Every t from each series' first to its last."""
@@ -37,10 +41,14 @@ def origins(df: DataFrame, series: str = "series", t: str = "t", y: str = "y", m
     return known.where(F.col(t) >= min_history).select(series, F.col(t).alias("origin"), F.col(y).alias("last"), slope("f").alias("drift_long"), slope("p").alias("drift_12m"))
 
 
-#: Grids of the two smoothing methods: level, trend and damping weights (trend up to level); variances of level and
-#: slope as multiples of the observations' variance.
-HOLT = [(a, b, p) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for b in (0.1, 0.3, 0.5, 0.7, 0.9) for p in (0.8, 0.9, 0.98) if b <= a]
-TREND = [(v, s) for v in (0.01, 0.1, 1.0, 10.0, 100.0) for s in (0.0, 0.001, 0.01, 0.1, 1.0, 10.0)]
+#: Searches of the two smoothing methods, from coarse to fine: the first grid, and what each later one adds to (damped
+#: trend: level and trend weight and damping, within their limits) or multiplies (local linear trend: variances of
+#: observation and slope, as multiples of the level's) the best point so far with.
+HOLT = [(i / 10, j / 10, 0.8 + 0.195 * k / 4) for i in range(11) for j in range(11) for k in range(5)]
+HOLT_FINER = [[(i / 10 / 4**r, j / 10 / 4**r, 0.195 * k / 4 / 2**r) for i in range(-4, 5) for j in range(-4, 5) for k in range(-2, 3)] for r in (1, 2, 3)]
+HOLT_LIMITS = ((0.0, 0.0, 0.8), (1.0, 1.0, 0.995))
+TREND = [(4.0**i, 4.0**j) for i in range(-7, 8) for j in range(-13, 4)]
+TREND_FINER = [[(4.0 ** (i / 4**r), 4.0 ** (j / 4**r)) for i in range(-4, 5) for j in range(-4, 5)] for r in (1, 2, 3)]
 STATE = "series string, origin int, level double, step double, damp double"
 
 
@@ -76,49 +84,95 @@ def _by_series(run):
     return states
 
 
+def _searched(run, coarse, finer, join):
+    """run(parameters) gives for each step the objective of every point and its state (level, step, damp). The state of
+    the best point at each step: first of ``coarse``, then of each later grid laid round that step's own best (join
+    puts a point and a grid together). What is known at a step does not depend on later ones, so each grid is run once
+    for all steps, side by side for all different points."""
+    import numpy as np
+
+    points = np.array(coarse).T
+    blocks, which, out = [points], None, []
+    for level in range(len(finer) + 1):
+        size, best, out = blocks[0].shape[1], [], []
+        for i, (objective, *state) in enumerate(run(np.concatenate(blocks, axis=1))):
+            at = 0 if which is None else which[i] * size
+            j = at + int(np.argmin(np.round(objective[at : at + size], 9)))
+            best.append((at // size, j - at))
+            out.append([x[j] for x in state])
+        if level < len(finer):
+            chosen = np.array([blocks[c][:, j] for c, j in best])
+            kinds, which = np.unique(chosen, axis=0, return_inverse=True)
+            which = which.ravel()
+            blocks = [join(k[:, None], np.array(finer[level]).T) for k in kinds]
+    return np.array(out).T
+
+
 def _damped(y):
-    """Damped-trend smoothing, gaps filled linearly; at each step the weights with the least squared one-step errors
-    so far. What is known at a step does not depend on later ones, so one run serves all origins."""
+    """Damped-trend smoothing, gaps filled linearly, by least squared one-step errors. Errors are linear in the first
+    level and trend, which are therefore solved for at every point of the search: the recursion carries the response to
+    the data and to either of them, and the sums of products of these three kinds of errors."""
     import numpy as np
 
     at = np.arange(len(y))
     v = np.interp(at, at[~np.isnan(y)], y[~np.isnan(y)])
-    a, b, p = np.array(HOLT).T
-    l, s, sse = np.full(len(a), v[0]), np.full(len(a), v[1] - v[0] if len(v) > 1 else 0.0), np.zeros(len(a))
-    out = np.full((3, len(v)), [[v[0]], [0.0], [1.0]])
-    for i in range(1, len(v)):
-        guess = l + p * s
-        e = v[i] - guess
-        l, s, sse = guess + a * e, p * s + b * a * e, sse + e * e
-        best = int(np.argmin(np.round(sse, 9)))
-        out[:, i] = l[best], s[best], p[best]
-    return out
+    low, high = (np.array(x)[:, None] for x in HOLT_LIMITS)
+
+    def run(points):
+        a, b, p = points
+        level, step = np.zeros((3, len(a))), np.zeros((3, len(a)))
+        level[1], step[2] = 1, 1
+        m = np.zeros((6, len(a)))
+        for x in v:
+            guess = level + p * step
+            e = -guess
+            e[0] = x - guess[0]
+            m += np.array([e[0] * e[0], e[0] * e[1], e[0] * e[2], e[1] * e[1], e[1] * e[2], e[2] * e[2]])
+            level, step = guess + a * e, p * step + a * b * e
+            det = m[3] * m[5] - m[4] * m[4]
+            both = det > 1e-12 * m[3] * m[5] + 1e-300
+            d = np.where(both, det, 1.0)
+            l0 = np.where(both, (m[2] * m[4] - m[1] * m[5]) / d, -m[1] / np.maximum(m[3], 1e-300))
+            s0 = np.where(both, (m[1] * m[4] - m[2] * m[3]) / d, 0.0)
+            sse = m[0] + 2 * l0 * m[1] + 2 * s0 * m[2] + l0 * l0 * m[3] + 2 * l0 * s0 * m[4] + s0 * s0 * m[5]
+            yield sse, level[0] + l0 * level[1] + s0 * level[2], step[0] + l0 * step[1] + s0 * step[2], p
+
+    return _searched(run, HOLT, HOLT_FINER, lambda point, grid: np.clip(point + grid, low, high))
 
 
 def _trend(y):
-    """Local linear trend by the Kalman filter, missing months skipped; at each step the variances of greatest
-    concentrated likelihood so far."""
+    """Local linear trend by the Kalman filter, missing months skipped, by the greatest concentrated likelihood. The
+    start is exactly diffuse: level and slope come from the first two known months, with the covariance that they
+    then have; the likelihood counts from the third on."""
     import numpy as np
 
-    v, w = np.array(TREND).T
-    l, s = np.full(len(v), y[0]), np.zeros(len(v))
-    p11, p12, p22 = np.ones(len(v)), np.zeros(len(v)), np.full(len(v), 1e4)
-    fit, logs, n, seen = np.zeros(len(v)), np.zeros(len(v)), 0, 1
-    out = np.full((3, len(y)), [[y[0]], [0.0], [1.0]])
-    for i in range(1, len(y)):
-        l = l + s
-        p11, p12, p22 = p11 + 2 * p12 + p22 + v, p12 + p22, p22 + w
-        if not np.isnan(y[i]):
-            e, f = y[i] - l, p11 + 1
-            g, h = p11 / f, p12 / f
-            if seen > 1:
+    known = np.flatnonzero(~np.isnan(y))
+    if len(known) < 2:
+        return np.array([np.full(len(y), y[known[0]]), np.zeros(len(y)), np.ones(len(y))])
+    second, gap = int(known[1]), int(known[1] - known[0])
+
+    def run(points):
+        v, w = points
+        none = np.zeros(len(v))
+        for _ in range(second):
+            yield none, np.full(len(v), y[known[0]]), none, np.ones(len(v))
+        level, step = np.full(len(v), y[second]), np.full(len(v), (y[second] - y[known[0]]) / gap)
+        p11, p12 = v, v / gap
+        p22 = (2 * v + gap + w * (gap * (gap - 1) * (2 * gap - 1) / 6)) / (gap * gap) + w
+        fit, logs, n = none, none, 0
+        yield none, level, step, np.ones(len(v))
+        for x in y[second + 1 :]:
+            level = level + step
+            p11, p12, p22 = p11 + 2 * p12 + p22 + 1, p12 + p22, p22 + w
+            if not np.isnan(x):
+                e, f = x - level, p11 + v
+                g, h = p11 / f, p12 / f
                 fit, logs, n = fit + e * e / f, logs + np.log(f), n + 1
-            l, s = l + g * e, s + h * e
-            p11, p12, p22 = p11 - g * p11, p12 - g * p12, p22 - h * p12
-            seen += 1
-        best = int(np.argmin(np.round(n * np.log(np.maximum(fit, 1e-300) / max(n, 1)) + logs, 9)))
-        out[:, i] = l[best], s[best], 1.0
-    return out
+                level, step = level + g * e, step + h * e
+                p11, p12, p22 = p11 - g * p11, p12 - g * p12, p22 - h * p12
+            yield n * np.log(np.maximum(fit, 1e-300) / max(n, 1)) + logs, level, step, np.ones(len(v))
+
+    return _searched(run, TREND, TREND_FINER, lambda point, grid: point * grid)
 
 
 #: Methods by name: each gives, for every known month of a table (series, t, y), the state from which it would
@@ -161,8 +215,7 @@ def leaderboard(bt: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12, 24)) ->
 def error_bands(bt: DataFrame, method: str, horizon: int) -> DataFrame:
     """Quantiles of actual / forecast at each horizon, gaps filled linearly and at the ends."""
     names = ("q10", "q25", "q75", "q90")
-    q = F.percentile(F.exp(-F.col("err")), F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    found = bt.where(F.col("method") == method).groupBy("h").agg(q.alias("q")).select("h", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    found = Values(bt.where(F.col("method") == method), ["h"], F.exp(-F.col("err"))).percentiles(dict(zip(names, (0.1, 0.25, 0.75, 0.9), strict=True)))
     out = bt.sparkSession.range(1, horizon + 1).select(F.col("id").cast("int").alias("h"), F.lit(0).alias("one")).join(found, "h", "left")
     for n in names:
         out = gap_fill(out, "one", "h", n).drop(n).withColumnRenamed("filled", n)

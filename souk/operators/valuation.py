@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from souk.sources.tables import stored
 
+from .selection import Values, and_all
+
 
 def fold(key: str, k: int = 5, seed: int = 42) -> Column:
     """A row's fold by its key, the same on any partitioning."""
@@ -17,19 +19,28 @@ def fold(key: str, k: int = 5, seed: int = 42) -> Column:
 
 def target_encoding(df: DataFrame, group: str, log_value: str, prior: float = 5.0) -> DataFrame:
     """group -> level, the median of log_value shrunk to the overall median by ``prior`` rows."""
-    overall = df.agg(F.median(log_value)).scalar()
-    return df.groupBy(group).agg(F.median(log_value).alias("m"), F.count("*").alias("n")).withColumn("all", overall).select(group, ((F.col("m") * F.col("n") + F.col("all") * prior) / (F.col("n") + prior)).alias("level"))
+    found = Values(df, [group], log_value).percentiles({"m": 0.5}, and_all(group), [group, "all"], n="n")
+    overall = found.where("all").select(F.col("m").alias("overall"))
+    return found.where("not all").crossJoin(overall).select(group, _shrunk(F.col("m"), F.col("n"), F.col("overall"), prior).alias("level"))
+
+
+def _shrunk(level: Column, n: Column, overall: Column, prior: float) -> Column:
+    return (level * n + overall * prior) / (n + prior)
 
 
 def out_of_fold_encoding(df: DataFrame, group: str, log_value: str, fold_col: str, k: int = 5, prior: float = 5.0) -> DataFrame:
     """df with ``level``, each row's group level from the other folds only; the other folds' overall median for
-    groups that they lack. Each row is copied to the k - 1 folds that it trains."""
-    others = df.select(group, log_value, F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold_col))).alias("f"))
-    overall = others.groupBy("f").agg(F.median(log_value).alias("all"))
-    level = others.groupBy("f", group).agg(F.median(log_value).alias("m"), F.count("*").alias("n"))
-    out = df.join(F.broadcast(overall), df[fold_col] == overall["f"]).drop("f")  # k rows
-    out = out.join(level.withColumnRenamed(group, "__g"), (F.col(fold_col) == F.col("f")) & (F.col(group) == F.col("__g")), "left")
-    return out.withColumn("level", F.coalesce((F.col("m") * F.col("n") + F.col("all") * prior) / (F.col("n") + prior), F.col("all"))).drop("f", "__g", "m", "n", "all")
+    groups that they lack. Values are counted by group and fold; what each fold leaves out follows from the counts."""
+    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("__own"))
+    seen = lambda f, g, every: F.struct(f.alias("__f"), g.alias("__g"), F.lit(every).alias("__every"))
+    none = F.lit(None).cast(df.schema[group].dataType)
+    copies = F.flatten(F.transform(folds, lambda f: F.array(seen(f, F.col("__g"), False), seen(f, none, True))))
+    values = Values(df.select(F.col(group).alias("__g"), F.col(fold_col).cast("int").alias("__own"), log_value), ["__g", "__own"], log_value)
+    found = stored(values.percentiles({"__m": 0.5}, copies, ["__f", "__g", "__every"], n="__n"))
+    overall = found.where("__every").select("__f", F.col("__m").alias("__all"))  # k rows
+    level = found.where("not __every").select("__f", "__g", "__m", "__n")
+    out = df.withColumn("__f", F.col(fold_col).cast("int")).join(F.broadcast(overall), "__f").join(level.withColumnRenamed("__f", "__h"), (F.col("__f") == F.col("__h")) & (F.col(group) == F.col("__g")), "left")
+    return out.withColumn("level", F.coalesce(_shrunk(F.col("__m"), F.col("__n"), F.col("__all"), prior), F.col("__all"))).drop("__f", "__h", "__g", "__m", "__n", "__all")
 
 
 def ols(df: DataFrame, features: list[str], target: str):
@@ -48,9 +59,12 @@ def coefficients(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def error_measures(df: DataFrame, actual_log: str, predicted_log: str, keys: list[str] | None = None) -> DataFrame:
     """R2 on logs, mean and median absolute percentage error, share within a fifth."""
-    e = F.col(predicted_log) - F.col(actual_log)
-    ape = F.abs(F.expm1(e))
-    return df.groupBy(*(keys or [])).agg((1 - F.sum(e * e) / (F.var_pop(actual_log) * F.count("*"))).alias("r2"), F.avg(ape).alias("mape"), F.median(ape).alias("median_ape"), F.avg((ape <= 0.2).cast("double")).alias("within_20"))
+    keys = keys or []
+    rows = stored(df.select(*keys, F.col(actual_log).alias("__y"), (F.col(predicted_log) - F.col(actual_log)).alias("__e")))
+    e, ape = F.col("__e"), F.abs(F.expm1("__e"))
+    median = Values(rows, keys, ape).percentiles({"median_ape": 0.5})
+    out = rows.groupBy(*keys).agg((1 - F.sum(e * e) / (F.var_pop("__y") * F.count("*"))).alias("r2"), F.avg(ape).alias("mape"), F.avg((ape <= 0.2).cast("double")).alias("within_20"))
+    return (out.join(median, keys, "left") if keys else out.crossJoin(median)).select(*keys, "r2", "mape", "median_ape", "within_20")
 
 
 def premium(coefficient: Column) -> Column:
@@ -68,14 +82,18 @@ def nested_encoding(df: DataFrame, group: str, log_value: str, fold_col: str, in
     from all training rows of the fold; a training row's is from those of other inner folds, so it never sees its
     own price."""
     folds = F.sequence(F.lit(0), F.lit(k - 1))
-    train = df.select(F.col(group).alias("__g"), F.col(log_value).alias("__v"), F.col(inner_col).alias("__own"), F.explode(F.filter(folds, lambda f: f != F.col(fold_col))).alias("__f"))
-    seen = train.select("__g", "__v", "__f", F.explode(F.concat(F.array(F.lit(-1)), F.filter(folds, lambda i: i != F.col("__own")))).alias("__i"))
-    overall = seen.groupBy("__f", "__i").agg(F.median("__v").alias("__all"))
-    level = seen.groupBy("__f", "__i", "__g").agg(F.median("__v").alias("__m"), F.count("*").alias("__n"))
+    inner = F.concat(F.array(F.lit(-1)), F.filter(folds, lambda i: i != F.col("__inner")))
+    seen = lambda f, i, g, every: F.struct(f.alias("__f"), i.alias("__i"), g.alias("__g"), F.lit(every).alias("__every"))
+    none = F.lit(None).cast(df.schema[group].dataType)
+    of_fold = lambda f: F.flatten(F.transform(inner, lambda i: F.array(seen(f, i, F.col("__g"), False), seen(f, i, none, True))))
+    copies = F.flatten(F.transform(F.filter(folds, lambda f: f != F.col("__outer")), of_fold))
+    values = Values(df.select(F.col(group).alias("__g"), F.col(fold_col).cast("int").alias("__outer"), F.col(inner_col).cast("int").alias("__inner"), log_value), ["__g", "__outer", "__inner"], log_value)
+    found = stored(values.percentiles({"__m": 0.5}, copies, ["__f", "__i", "__g", "__every"], n="__n"))
+    overall = found.where("__every").select("__f", "__i", F.col("__m").alias("__all"))
+    level = found.where("not __every").select("__f", "__i", "__g", "__m", "__n")
     rows = df.select("*", F.col(group).alias("__g"), F.explode(folds).alias("__f")).withColumn("test", F.col("__f") == F.col(fold_col)).withColumn("__i", F.when(F.col("test"), F.lit(-1)).otherwise(F.col(inner_col)))
     out = rows.join(overall, ["__f", "__i"]).join(level, ["__f", "__i", "__g"], "left")
-    shrunk = (F.col("__m") * F.col("__n") + F.col("__all") * prior) / (F.col("__n") + prior)
-    return out.select(*df.columns, F.col("__f").alias("outer_fold"), "test", F.coalesce(shrunk, F.col("__all")).alias("level"))
+    return out.select(*df.columns, F.col("__f").alias("outer_fold"), "test", F.coalesce(_shrunk(F.col("__m"), F.col("__n"), F.col("__all"), prior), F.col("__all")).alias("level"))
 
 
 def least_squares(df: DataFrame, keys: list[str], features: list[str], target: str, weight: Column | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import Values
+
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float], tie: list[str]) -> DataFrame:
     """Midpoint-rule weighted quantiles: with values ascending (ties: heavier first, then by ``tie``), a row
@@ -16,10 +18,10 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     order = whole.orderBy(F.col(value), F.col(weight).desc(), *tie).rowsBetween(Window.unboundedPreceding, 0)
     w = F.col(weight).cast("double")
     placed = rows.select(*keys, F.col(value).cast("double").alias("v"), (F.sum(w).over(order) - w / 2).alias("cw"), F.sum(w).over(whole).alias("total"))
-    return _interpolated(placed, keys, qs)
+    return interpolated(placed, keys, qs)
 
 
-def _interpolated(placed: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
+def interpolated(placed: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Quantiles of values v that stand at cw of total."""
     out = []
     for name, q in qs.items():
@@ -30,29 +32,10 @@ def _interpolated(placed: DataFrame, keys: list[str], qs: dict[str, float]) -> D
     return placed.groupBy(*keys).agg(*out)
 
 
-def running_weights(rows: DataFrame, each: DataFrame, keys: list[str], ranges: int) -> DataFrame:
-    """each (keys, v, w, ...), one row for each value v of rows (keys, v), with ``before``, the weight of lesser values,
-    and ``total``. Sums are taken within about ``ranges`` ranges of values and then over the ranges, so no task has
-    a whole group."""
-    cuts = rows.agg(F.percentile_approx("v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("c")).select(F.array_distinct("c").alias("c"))
-    each = each.crossJoin(cuts).withColumn("r", F.size(F.filter("c", lambda c: c <= F.col("v")))).drop("c")  # one row of cuts
-    within = Window.partitionBy(*keys, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("before", F.coalesce(F.sum("w").over(within), F.lit(0.0)))
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    sums = each.groupBy(*keys, "r").agg(F.sum("w").alias("s"))
-    sums = sums.select(*keys, "r", (F.sum("s").over(over.orderBy("r")) - F.col("s")).alias("base"), F.sum("s").over(over).alias("total"))  # at most ``ranges`` rows a group
-    return placed.join(sums, [*keys, "r"]).withColumn("before", F.col("before") + F.col("base")).drop("base", "r")
-
-
-def weighted_quantile_of_many(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float], ranges: int = 64) -> DataFrame:
-    """weighted_quantile() for groups of any size, such as a whole table (no keys). Rows of one value count as one:
-    the heaviest stands first and the lightest last, and only these two places matter."""
-    w = F.col(weight).cast("double")
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("v"), w.alias("w"))
-    each = rows.groupBy(*keys, "v").agg(F.sum("w").alias("w"), F.max("w").alias("first"), F.min("w").alias("last"))
-    placed = running_weights(rows, each, keys, ranges)
-    ends = F.array(F.struct("v", (F.col("before") + F.col("first") / 2).alias("cw")), F.struct("v", (F.col("before") + F.col("w") - F.col("last") / 2).alias("cw")))
-    return _interpolated(placed.select(*keys, "total", F.explode(ends).alias("e")).select(*keys, "total", "e.v", "e.cw"), keys, qs)
+def weighted_quantile_of_many(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
+    """weighted_quantile() for groups of any size, such as a whole table (no keys), by selection.Values. Rows of one
+    value count as one: the heaviest stands first and the lightest last, and only these two places matter."""
+    return Values(df, keys, value, weight).weighted(qs)
 
 
 def weighted_mean(value: str, weight: str):

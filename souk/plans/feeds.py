@@ -219,6 +219,37 @@ def stream_weekly_levels(spark, sf):
     return jobs.weekly_levels(spark.read.parquet(out)).select("scope", "week", "n", *r6("level"))
 
 
+@register(f"""with d as (select cast(ts as date) d, event_type scope, count(*) n, median(value) v from events where event_type <> 'error' group by 1, 2)
+select d collected_on, scope, n listings, round(v, 6) "level" from d""")
+def stream_split_dates(spark, sf):
+    """A stream whose batches hold parts of every date, each batch run twice; the history is that of whole dates."""
+    path, out = event_files(spark, sf, F.col("event_id")), tables.scratch(spark)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 2).parquet(path).where("event_type <> 'error'")
+    rows = stream.select(F.to_date("ts").alias("collected_on"), F.col("event_type").alias("scope"), "value")
+
+    def twice(*batch):
+        jobs.merge_counts(*batch)
+        jobs.merge_counts(*batch)
+
+    keys = ["collected_on", "scope"]
+    jobs.counting_job(rows, out, f"{out}-state", keys, "value", twice).awaitTermination()
+    return jobs.counted_history(spark, out, keys).select("collected_on", "scope", "listings", *r6("level"))
+
+
+@register("""with d as (select cast(ts as date) d, event_type scope, count(*) n from events where event_type <> 'view' or day(ts) % 5 <> 0 or event_id % 4 = 0 group by 1, 2) select d collected_on, scope, n listings, coalesce(n < 0.5 * median(n) over (partition by scope order by d rows between 4 preceding and 1 preceding), false) as incomplete from d""")
+def stream_incomplete(spark, sf):
+    """Snapshots flagged as they arrive, in three runs of a stateful job that each go on from the one before; of every
+    fifth day's views most are missing."""
+    d = table(spark, sf, "events").where("event_type <> 'view' or day(ts) % 5 <> 0 or event_id % 4 = 0")
+    d = tables.stored(d.groupBy(F.col("event_type").alias("scope"), F.to_date("ts").alias("collected_on")).agg(F.count("*").alias("listings")))
+    path, out = tables.scratch(spark), tables.scratch(spark)
+    for a, z in ((1, 9), (10, 20), (21, 31)):
+        d.where(F.day("collected_on").between(a, z)).repartition(2).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(d.schema).parquet(path)
+        jobs.append_job(jobs.flag_incomplete(stream), out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out).select("collected_on", "scope", "listings", "incomplete")
+
+
 @register(f"""with {ADS}, {SPOT} select k poly, count(*) n, round(median(price_m2), 6) level from ads join nation_spot on lon > x0 + 0.005 and lon < x0 + 1.505 and lat > y0 + 0.005 and lat < y0 + 1.505 where size_m2 between 20 and 120 and price_m2 between 5e6 and 1e8 group by 1""")
 def stream_located_cards(spark, sf):
     """Arriving card payloads parsed, filtered and located by a stream-static join, then rolled up."""

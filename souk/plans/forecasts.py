@@ -18,27 +18,64 @@ def listed(rows, names: str) -> str:
     return f"(select row_number() over () - 1 i, * from (values {values}) g({names}))"
 
 
+def holt_sql() -> str:
+    """CTEs up to hb (series, t, l, s, p): each level's grid is run over all months by recursion and the best point of
+    each month, first level and trend solved for, is the middle of the next."""
+    low, high = series.HOLT_LIMITS
+    out = []
+    for r, grid in enumerate([series.HOLT, *series.HOLT_FINER]):
+        if r:
+            point = ", ".join(f"least({z!r}::double, greatest({a!r}::double, c.{n} + g.{n})) {n}" for n, a, z in zip("abp", low, high, strict=True))
+            start = f"(select c.series, {point}, g.i, c.a ca, c.b cb, c.p cp from (select distinct series, a, b, p from hb{r - 1}) c, hg{r} g)"
+        else:
+            start = "(select series, g.a, g.b, g.p, g.i, 0.0::double ca, 0.0::double cb, 0.0::double cp from (select distinct series from v), hg0 g)"
+        go = lambda k: f"(l{k} + p * s{k})"
+        e = [f"(x - {go(0)})", f"(-{go(1)})", f"(-{go(2)})"]
+        steps = ", ".join([f"{go(k)} + a * {e[k]} l{k}" for k in range(3)] + [f"p * s{k} + a * b * {e[k]} s{k}" for k in range(3)])
+        products = ", ".join(f"m{n} + {e[i]} * {e[j]} m{n}" for n, (i, j) in enumerate(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))))
+        out.append(f"""hg{r} as {listed(grid, "a, b, p")},
+hr{r} as (select q.*, a0.a - 1 t, 0.0::double l0, 1.0::double l1, 0.0::double l2, 0.0::double s0, 0.0::double s1, 1.0::double s2, 0.0::double m0, 0.0::double m1, 0.0::double m2, 0.0::double m3, 0.0::double m4, 0.0::double m5 from {start} q join ends a0 on a0.series = q.series
+ union all select series, a, b, p, i, ca, cb, cp, t, {steps}, {products} from (select h.* exclude (t), v.t, v.v x from hr{r} h join v on v.series = h.series and v.t = h.t + 1)),
+hs{r} as (select *, m3 * m5 - m4 * m4 > 1e-12::double * m3 * m5 + 1e-300::double ok, m3 * m5 - m4 * m4 det from hr{r}),
+hz{r} as (select *, case when ok then (m2 * m4 - m1 * m5) / det else -m1 / greatest(m3, 1e-300::double) end lz, case when ok then (m1 * m4 - m2 * m3) / det else 0.0::double end sz from hs{r}),
+hb{r} as (select z.series, z.t, unnest(arg_min(struct_pack(a := z.a, b := z.b, p := z.p, l := z.l0 + lz * z.l1 + sz * z.l2, s := z.s0 + lz * z.s1 + sz * z.s2), (round(m0 + 2 * lz * m1 + 2 * sz * m2 + lz * lz * m3 + 2 * lz * sz * m4 + sz * sz * m5, 9), i)))
+ from hz{r} z join k on k.series = z.series and k.t = z.t {f"join hb{r - 1} o on o.series = z.series and o.t = z.t and o.a = ca and o.b = cb and o.p = cp" if r else ""} group by 1, 2)""")
+    return ",\n".join(out) + f",\nhb as (select * from hb{len(out) - 1})"
+
+
+def trend_sql() -> str:
+    """CTEs up to tb (series, t, l, s), likewise; from each series' second known month on."""
+    out = ["""two as (select k.series, k.t t2, k.y y2, o.t t1, o.y y1, k.t - o.t d from (select *, row_number() over (partition by series order by t) i from k) k join (select *, row_number() over (partition by series order by t) i from k) o on o.series = k.series and o.i = 1 and k.i = 2)"""]
+    levels = [series.TREND, *series.TREND_FINER]
+    for r, grid in enumerate(levels):
+        if r:
+            start = f"(select c.series, c.v * g.v v, c.w * g.w w, g.i, c.v cv, c.w cw from (select distinct series, v, w from tb{r - 1}) c, tg{r} g)"
+        else:
+            start = "(select series, g.v, g.w, g.i, 0.0::double cv, 0.0::double cw from two, tg0 g)"
+        out.append(f"""tg{r} as {listed(grid, "v, w")},
+tr{r} as (select q.*, t2 t, y2 l, (y2 - y1) / d s, v p11, v / d p12, (2 * v + d + w * (d * (d - 1) * (2 * d - 1) / 6)) / (d * d) + w p22, 0.0::double fit, 0.0::double logs, 0 n from {start} q join two on two.series = q.series
+ union all select series, v, w, i, cv, cw, t, case when y is null then l else l + p11 / f * (y - l) end, case when y is null then s else s + p12 / f * (y - l) end,
+  case when y is null then p11 else p11 - p11 / f * p11 end, case when y is null then p12 else p12 - p11 / f * p12 end, case when y is null then p22 else p22 - p12 / f * p12 end,
+  case when y is null then fit else fit + (y - l) * (y - l) / f end, case when y is null then logs else logs + ln(f) end, case when y is null then n else n + 1 end
+  from (select *, p11 + v f from (select r.series, v.t, r.v, r.w, i, cv, cw, l + s l, s, p11 + 2 * p12 + p22 + 1 p11, p12 + p22 p12, p22 + r.w p22, fit, logs, n, v.y from tr{r} r join v on v.series = r.series and v.t = r.t + 1) x) z),
+tb{r} as (select z.series, z.t, unnest(arg_min(struct_pack(v := z.v, w := z.w, l := z.l, s := z.s), (round(n * ln(greatest(fit, 1e-300::double) / greatest(n, 1)) + logs, 9), i)))
+ from tr{r} z join k on k.series = z.series and k.t = z.t {f"join tb{r - 1} o on o.series = z.series and o.t = z.t and o.v = cv and o.w = cw" if r else ""} group by 1, 2)""")
+    return ",\n".join(out) + f",\ntb as (select * from tb{len(levels) - 1})"
+
+
+SMOOTHED = f"{holt_sql()},\n{trend_sql()}"
 #: Every method's state (level, step, damping) at every known month of ser (series, t, y), by recursion in SQL.
 STATES = f"""k as (select * from ser where y is not null), ends as (select series, min(t) a, max(t) z from k group by 1),
 straight as (select k.series, k.t origin, k.y, arg_min(b.y, b.t) fy, min(b.t) ft, arg_max(b.y, b.t) filter (where b.t <= k.t - 12) py, max(b.t) filter (where b.t <= k.t - 12) pt from k join k b on b.series = k.series and b.t <= k.t group by 1, 2, 3),
 gaps as (select s.series, s.t, s.y, last_value(case when s.y is not null then s.t end ignore nulls) over b ta, last_value(s.y ignore nulls) over b ya, first_value(case when s.y is not null then s.t end ignore nulls) over c tz, first_value(s.y ignore nulls) over c yz from ser s join ends on ends.series = s.series and s.t between a and z
  window b as (partition by s.series order by s.t rows unbounded preceding), c as (partition by s.series order by s.t rows between current row and unbounded following)),
 v as (select series, t, y, coalesce(y, ya + (yz - ya) / (tz - ta) * (t - ta)) v from gaps),
-hg as {listed(series.HOLT, "a, b, p")}, tg as {listed(series.TREND, "v, w")},
-holt as (select v.series, v.t, hg.i, hg.a, hg.b, hg.p, v.v l, n.v - v.v s, 0.0::double sse from v join ends on ends.series = v.series and v.t = ends.a join v n on n.series = v.series and n.t = v.t + 1, hg
- union all select h.series, v.t, i, a, b, p, (l + p * s) + a * (v.v - (l + p * s)), p * s + b * a * (v.v - (l + p * s)), sse + (v.v - (l + p * s)) * (v.v - (l + p * s)) from holt h join v on v.series = h.series and v.t = h.t + 1),
-trend as (select v.series, v.t, tg.i, tg.v qv, tg.w qw, v.y l, 0.0::double s, 1.0::double p11, 0.0::double p12, 1e4::double p22, 0.0::double fit, 0.0::double logs, 0 n, 1 seen from v join ends on ends.series = v.series and v.t = ends.a, tg
- union all select series, t, i, qv, qw, case when y is null then l else l + p11 / f * (y - l) end, case when y is null then s else s + p12 / f * (y - l) end,
-  case when y is null then p11 else p11 - p11 / f * p11 end, case when y is null then p12 else p12 - p11 / f * p12 end, case when y is null then p22 else p22 - p12 / f * p12 end,
-  case when y is null or seen < 2 then fit else fit + (y - l) * (y - l) / f end, case when y is null or seen < 2 then logs else logs + ln(f) end, case when y is null or seen < 2 then n else n + 1 end, case when y is null then seen else seen + 1 end
-  from (select *, p11 + 1 f from (select r.series, v.t, i, qv, qw, l + s l, s, p11 + 2 * p12 + p22 + qv p11, p12 + p22 p12, p22 + qw p22, fit, logs, n, seen, v.y from trend r join v on v.series = r.series and v.t = r.t + 1) x) z),
-hb as (select series, t, arg_min(struct_pack(l := l, s := s, p := p), (round(sse, 9), i)) e from holt group by 1, 2),
-tb as (select series, t, arg_min(struct_pack(l := l, s := s), (round(n * ln(greatest(fit, 1e-300) / greatest(n, 1)) + logs, 9), i)) e from trend group by 1, 2),
+{SMOOTHED},
 states as (select series, origin, 'naive' as "method", y as "level", 0.0::double step, 1.0::double damp from straight
  union all select series, origin, 'drift_long', y, coalesce((y - fy) / nullif(origin - ft, 0), 0), 1 from straight
  union all select series, origin, 'drift_12m', y, coalesce((y - coalesce(py, fy)) / nullif(origin - coalesce(pt, ft), 0), 0), 1 from straight
- union all select k.series, k.t, 'holt_damped', hb.e.l, hb.e.s, hb.e.p from k join hb on hb.series = k.series and hb.t = k.t
- union all select k.series, k.t, 'local_linear_trend', tb.e.l, tb.e.s, 1 from k join tb on tb.series = k.series and tb.t = k.t),
+ union all select k.series, k.t, 'holt_damped', hb.l, hb.s, hb.p from k join hb on hb.series = k.series and hb.t = k.t
+ union all select k.series, k.t, 'local_linear_trend', tb.l, tb.s, 1 from k join tb on tb.series = k.series and tb.t = k.t),
 pth as (select *, "level" + step * case when damp = 1 then h else damp * (1 - pow(damp, h)) / (1 - damp) end pred from states, (select unnest(generate_series(1, {HORIZON})) h)),
 bt as (select pth.series, "method", origin, h, pred - k.y err from pth join k on k.series = pth.series and k.t = origin + h where origin >= {HISTORY})"""
 #: Every ninth month of the series is missing, as after a publication gap.

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from souk.functions import calendar, text
 from souk.operators import geo, joins, periods, quality, rollup, series, valuation
-from souk.operators.weighted import weighted_mean, weighted_quantile_of_many
+from souk.operators.selection import Values, and_all
+from souk.operators.weighted import weighted_mean
+from souk.sources.tables import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -52,10 +54,9 @@ def wq(source: str, key: str, v: str, w: str, tie: str, q: float, name: str) ->
 {wq("(select 0 one, * from units)", "one", "price", "w", "l_orderkey, l_linenumber", 0.5, "a")}
 select m.k n_name, round(m.x, 6) p50, cast(floor(rank() over (order by m.x desc) + (count(*) over (partition by m.x) - 1) / 2.0) as int) place, round(m.x / a.x - 1, 6) vs_total from m, a""")
 def nation_price_table(spark, sf):
-    u = units(spark, sf)
-    one = weighted_quantile_of_many(u, [], "price", "w", {"total": 0.5})
-    by = weighted_quantile_of_many(u, ["n_name"], "price", "w", {"p50": 0.5})
-    return by.withColumn("place", rollup.average_rank("p50")).withColumn("total", one.select("total").scalar()).select("n_name", F.round("p50", 6).alias("p50"), "place", F.round(F.try_divide(F.col("p50"), F.col("total")) - 1, 6).alias("vs_total"))
+    found = stored(Values(units(spark, sf), ["n_name"], "price", "w").weighted({"p50": 0.5}, and_all("n_name"), ["n_name", "all"]))
+    total = found.where("all").select(F.col("p50").alias("total"))
+    return found.where("not all").withColumn("place", rollup.average_rank("p50")).crossJoin(F.broadcast(total)).select("n_name", F.round("p50", 6).alias("p50"), "place", F.round(F.try_divide(F.col("p50"), F.col("total")) - 1, 6).alias("vs_total"))
 
 
 @register(f"""with {UNITS} select n_name, round(sum(price * w) / sum(w), 6) mean_price, count(*) n from units group by n_name""")
@@ -129,9 +130,8 @@ def log_growth_fit(spark, sf):
 
 @register("""select 'all' scope, count(*) n, round(median(o_totalprice), 6) p50 from orders union all select o_orderpriority, count(*), round(median(o_totalprice), 6) from orders group by 1""")
 def snapshot_union(spark, sf):
-    o = table(spark, sf, "orders")
-    agg = [F.count("*").alias("n"), F.round(F.median("o_totalprice"), 6).alias("p50")]
-    return o.agg(*agg).select(F.lit("all").alias("scope"), "n", "p50").unionByName(o.groupBy(F.col("o_orderpriority").alias("scope")).agg(*agg))
+    o = table(spark, sf, "orders").withColumn("city", F.lit("all"))
+    return rollup.scope_medians(o, {"all": "city", "priority": "o_orderpriority"}, ["o_totalprice"]).select(F.col("unit").alias("scope"), "n", F.round("o_totalprice", 6).alias("p50"))
 
 
 @register("""with y as (select c_nationkey u, year(o_orderdate) p, round(sum(o_totalprice), 2) v from orders join customer on o_custkey = c_custkey group by 1, 2), l as (select *, lag(p) over w lp, lag(v) over w lv from y window w as (partition by u order by p)),

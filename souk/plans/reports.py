@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.functions import calendar, text
-from souk.operators import geo, joins, periods, quality, rollup
+from souk.operators import asof, geo, joins, periods, quality, rollup
 from souk.operators.weighted import weighted_quantile
+from souk.sources.tables import stored
 
 from .market import MONTHS, POINTS, UNITS, months, points, r6, register, table, units, wq
 
@@ -259,32 +260,46 @@ def located_listings(spark, sf):
 
 CURRENT = """p as (select l_partkey id, l_extendedprice / l_quantity price, l_quantity size from lineitem where l_quantity between 2 and 48 and l_extendedprice / l_quantity between 500 and 2500),
 c as (select median(ln(price)) m from p), s as (select 1.4826 * median(abs(ln(price) - m)) s from p, c), k as (select p.* from p, c, s where abs(ln(price) - m) / s <= 1.6),
-b as (select n_nationkey poly, n_regionkey region, (n_nationkey % 5) * 2.0::double x0, (n_nationkey // 5) * 2.0::double y0 from nation), pt as (select p_partkey id, (p_partkey * 37 % 997) / 100.0::double x, (p_partkey * 91 % 991) / 100.0::double y from part), h as (select id, min(poly) poly from pt join b on x > x0 + 0.005 and x < x0 + 1.505 and y > y0 + 0.005 and y < y0 + 1.505 group by 1),
-a as (select k.*, h.poly, b.region from k join h using (id) join b on b.poly = h.poly),
-hood as (select region, poly, count(*) n, median(price) v from a group by 1, 2), big as (select * from hood where n >= 10)"""
-
-
-@register(f"""with {CURRENT}, {wq("big", "region", "v", "n", "poly", 0.5, "lv")}, {wq("(select 0 one, * from big)", "one", "v", "n", "poly", 0.5, "al")}
-select 'hood' scope, poly unit, count(*) n, round(median(price), 6) level, round(median(size), 6) size from a group by 2
-union all select 'district', region, count(*), round(coalesce(max(lv.x), median(price)), 6), round(median(size), 6) from a left join lv on lv.k = region group by 2
-union all select 'city', -1, count(*), round(max(al.x), 6), round(median(size), 6) from a, al""")
+b as (select n_nationkey poly, n_regionkey region, (n_nationkey % 5) * 2.0::double x0, (n_nationkey // 5) * 2.0::double y0 from nation),
+pt as (select p_partkey id, (p_partkey * 37 % 997) / 100.0::double x, (p_partkey * 91 % 991) / 100.0::double y, case when p_partkey % 4 = 0 then p_partkey * 13 % 25 when p_partkey % 7 > 0 then least(4, (p_partkey * 37 % 997) // 200) + 5 * least(4, (p_partkey * 91 % 991) // 200) end tag from part),
+h as (select id, min(region) region from pt join b on x > x0 + 0.005 and x < x0 + 1.505 and y > y0 + 0.005 and y < y0 + 1.505 group by 1),
+t as (select pt.id, coalesce(bool_or(poly = tag and x between x0 + 0.002 and x0 + 1.508 and y between y0 + 0.002 and y0 + 1.508), false) ok, any_value(tag) tag, arg_min(poly, (x - x0 - 0.755) * (x - x0 - 0.755) + (y - y0 - 0.755) * (y - y0 - 0.755)) near from pt, b group by 1),
+a as (select k.*, region, case when ok then tag else near end poly, ok from k join h using (id) join t using (id)),
+hood as (select region, poly, count(*) n, median(price) v from a group by 1, 2), big as (select * from hood where n >= 10), every as (select 0 one, poly, count(*) n, median(price) v from a group by 2 having count(*) >= 10)"""
+
+
+@register(f"""with {CURRENT}, {wq("big", "region", "v", "n", "poly", 0.5, "lv")}, {wq("every", "one", "v", "n", "poly", 0.5, "al")}
+select 'hood' scope, poly unit, count(*) n, round(median(price), 6) level, round(median(size), 6) size, round(avg(ok::int), 6) tags_kept from a group by 2
+union all select 'district', region, count(*), round(coalesce(max(lv.x), median(price)), 6), round(median(size), 6), round(avg(ok::int), 6) from a left join lv on lv.k = region group by 2
+union all select 'city', -1, count(*), round(max(al.x), 6), round(median(size), 6), round(avg(ok::int), 6) from a, al""")
 def current_tables(spark, sf):
     """The current period's tables: filtered, robustly cleaned and located rows summed up by unit, by group (level
-    over the units with rows enough) and for the whole."""
+    over the units with rows enough) and for the whole. A row's group is of the polygon that holds it; its unit is the
+    tag it came with, where it lies in that unit's box, else the nearest unit."""
     li = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity")).where(F.col("l_quantity").between(2, 48) & F.col("price").between(500, 2500))
-    rows = li.select(F.col("l_partkey").alias("id"), "price", F.col("l_quantity").alias("size"))
-    kept = quality.robust_filter(rows, "price", [], 1.6)
+    kept = quality.robust_filter(li.select(F.col("l_partkey").alias("id"), "price", F.col("l_quantity").alias("size")), "price", [], 1.6)
     _, polys = points(spark, sf)
-    spots = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 997 / 100.0).alias("x"), (F.col("p_partkey") * 91 % 991 / 100.0).alias("y"))
-    at = geo.locate(spots, polys, 1.0).where("poly is not null")  # once for each place
-    a = kept.join(at, "id").join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("poly"), F.col("n_regionkey").alias("region")), "poly")
-    size = F.round(F.median("size"), 6).alias("size")
-    hoods = a.groupBy("poly").agg(F.count("*").alias("n"), F.round(F.median("price"), 6).alias("level"), size).select(F.lit("hood").alias("scope"), F.col("poly").alias("unit"), "n", "level", "size")
-    of = lambda key: rollup.level_with_fallback(a, key, "poly", "price", 10).join(a.groupBy(key).agg(size), key)
-    districts = of("region").select(F.lit("district").alias("scope"), F.col("region").alias("unit"), "n", *r6("level"), "size")
-    a = a.withColumn("city", F.lit(-1))
-    city = rollup.level_with_fallback(a, "city", "poly", "price", 10).join(a.groupBy("city").agg(size), "city").select(F.lit("city").alias("scope"), F.col("city").alias("unit"), "n", *r6("level"), "size")
-    return hoods.unionByName(districts).unionByName(city)
+    id_, x, y = F.col("p_partkey"), F.col("p_partkey") * 37 % 997, F.col("p_partkey") * 91 % 991
+    cell = F.least(F.lit(4), F.floor(x / 200)) + 5 * F.least(F.lit(4), F.floor(y / 200))
+    spots = table(spark, sf, "part").select(id_.alias("id"), (x / 100.0).alias("x"), (y / 100.0).alias("y"), F.when(id_ % 4 == 0, id_ * 13 % 25).when(id_ % 7 > 0, cell).alias("tag"))
+    regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("poly"), F.col("n_regionkey").alias("region"))
+    group = geo.locate(spots.select("id", "x", "y"), polys, 1.0).join(regions, "poly").select("id", "region")
+    places = polys.select(F.col("poly").alias("name"), (F.col("x0") + 0.755).alias("cx"), (F.col("y0") + 0.755).alias("cy"), "x_min", "x_max", "y_min", "y_max")
+    unit = geo.verified(spots, places, 0.003, 1.0, 10.0).select("id", F.col("name").alias("poly"), "ok")
+    at = stored(group.join(unit, "id"))  # once for each place, not for each row
+    a = stored(kept.join(at, "id").withColumn("city", F.lit(-1).cast("long")).withColumn("region", F.col("region").cast("long")).withColumn("poly", F.col("poly").cast("long")))
+    scopes = {"hood": "poly", "district": "region", "city": "city"}
+    found = rollup.scope_medians(a, scopes, ["price", "size"])
+    tags = None
+    for name, unit in scopes.items():
+        one = a.groupBy(F.col(unit).alias("unit")).agg(F.avg(F.col("ok").cast("double")).alias("tags_kept")).withColumn("scope", F.lit(name))
+        tags = one if tags is None else tags.unionByName(one)
+    levels = None
+    for name in ("district", "city"):
+        one = rollup.level_with_fallback(a, scopes[name], "poly", "price", 10).select(F.lit(name).alias("scope"), F.col(scopes[name]).alias("unit"), "level")
+        levels = one if levels is None else levels.unionByName(one)
+    out = found.join(tags, ["scope", "unit"]).join(levels, ["scope", "unit"], "left")
+    return out.select("scope", F.col("unit").cast("int").alias("unit"), "n", F.round(F.coalesce("level", "price"), 6).alias("level"), *r6("size", "tags_kept"))
 
 
 @register("""with k as (select case when not coalesce(o_totalprice between 20000 and 400000, false) then 'price' when not coalesce(o_orderstatus in ('O', 'F'), false) then 'status' else 'kept' end reason from orders),
@@ -343,3 +358,28 @@ def future_months(spark, sf):
     m = last.select("t", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("h")).withColumn("t", F.col("t") + F.col("h"))
     j = calendar.from_month_index(F.col("t"))
     return m.select("h", j["jy"].alias("jy"), j["jm"].alias("jm"), calendar.month_start(F.col("t")).alias("starts"))
+
+
+# As-of joins -----------------------------------------------------------------------------------------------------
+
+CLICKS = "c as (select user_id, ts, arg_max(event_id, event_id) click, arg_max(value, event_id) worth from events where event_type = 'click' group by 1, 2), b as (select event_id, user_id, ts from events where event_type = 'purchase')"
+
+
+@register(f"""with {CLICKS} select b.event_id, case when c.ts >= b.ts - interval 6 hour then click end as_of_event_id, case when c.ts >= b.ts - interval 6 hour then worth end as_of_value from b asof left join c on b.user_id = c.user_id and b.ts >= c.ts""")
+def last_click(spark, sf):
+    """Each purchase with the user's last click of the six hours before."""
+    e = table(spark, sf, "events")
+    bought, clicks = (e.where(F.col("event_type") == k).select("event_id", "user_id", "ts", "value") for k in ("purchase", "click"))
+    out = asof.asof_join(bought, clicks, ["user_id"], "ts", ["event_id", "value"], ["event_id"], F.expr("interval 6 hours"))
+    return out.select("event_id", "as_of_event_id", "as_of_value")
+
+
+@register("""with p as (select cast(o_orderdate as date) d, o_orderpriority k, median(o_totalprice) m from orders where day(o_orderdate) <= 3 group by 1, 2), b as (select o_orderkey, cast(o_orderdate as date) d, o_orderpriority k, o_totalprice from orders)
+select o_orderkey, round(o_totalprice / m, 6) ratio from b asof left join p on b.k = p.k and b.d > p.d""")
+def price_as_of(spark, sf):
+    """Each order's price against the last published level of its priority before that day; levels come out on the
+    first days of a month."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_totalprice")
+    levels = o.where(F.day("day") <= 3).groupBy("day", "o_orderpriority").agg(F.median("o_totalprice").alias("level"))
+    out = asof.asof_join(o, levels, ["o_orderpriority"], "day", ["level"], strict=True)
+    return out.select("o_orderkey", F.round(F.col("o_totalprice") / F.col("as_of_level"), 6).alias("ratio"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,10 +21,66 @@ def append_job(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def history_job(stream: DataFrame, summarise, path: str, checkpoint: str, key: str = "collected_on") -> StreamingQuery:
     """Each batch's summary replaces its dates' partitions. Statistics that need all of a date (medians) are of
-    the batch, so a date should arrive in one batch; a batch job over the raw table is authoritative."""
+    the batch, so a date should arrive in one batch; see counting_job() for dates that come in parts."""
     return stream.writeStream.foreachBatch(lambda batch, _: write_history(summarise(batch), path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_counts(batch: DataFrame, batch_id: int, path: str, keys: list[str], value: str) -> None:
+    """Writes how often each value came in a batch, by keys (the first is the folder), in the batch's own place: a
+    batch that is run again, after a failure, replaces what it wrote before."""
+    counts = batch.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    counts.write.mode("overwrite").partitionBy(keys[0]).parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def counting_job(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, merge=merge_counts) -> StreamingQuery:
+    """Counts of values that add up over batches, so the rows of a date may come in any number of them."""
+    return stream.writeStream.foreachBatch(lambda batch, i: merge(batch, i, path, keys, value)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted_history(spark: SparkSession, path: str, keys: list[str], level: str = "level", n: str = "listings") -> DataFrame:
+    """keys, the number of rows and the exact median of their values so far, from merge_counts(). Null values count as
+    rows only."""
+    from souk.operators.selection import Values, joined
+
+    counts = spark.read.parquet(path)
+    median = Values(counts, keys, "value", "n").percentiles({level: 0.5})
+    return joined(counts.groupBy(*keys).agg(F.sum("n").alias(n)), median, keys, "left")
+
+
+SNAPSHOT = "scope string, collected_on date, listings long, incomplete boolean"
+
+
+def flag_incomplete(stream: DataFrame, scope: str = "scope", time: str = "collected_on", n: str = "listings", back: int = 4, keep_days: int = 365) -> DataFrame:
+    """incomplete() for arriving snapshots: each is flagged against the last ``back`` of its scope before it, which are
+    the only state; a scope that sends nothing for keep_days is forgotten. Snapshots of a scope should come in the
+    order of their dates; those of one batch are put in order, a repeated date replaces the one before it, and a late
+    one is held against the earlier ones among those kept."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def arrived(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        frame = pd.concat(frames)
+        rows = sorted(zip(frame[time], frame[n], strict=True))
+        out = []
+        for day, count in rows:
+            counts = sorted(held[d] for d in sorted(d for d in held if d < day)[-back:])
+            middle = (counts[(len(counts) - 1) // 2] + counts[len(counts) // 2]) / 2 if counts else None
+            out.append((key[0], day, count, middle is not None and count < 0.5 * middle))
+            held[day] = int(count)
+            held = {d: held[d] for d in sorted(held)[-back - 1 :]}  # one more, in case the last date is repeated
+        state.update((sorted(held), [held[d] for d in sorted(held)]))
+        state.setTimeoutDuration(keep_days * 86_400_000)
+        yield pd.DataFrame(out, columns=["scope", "collected_on", "listings", "incomplete"])
+
+    known = stream.where(F.col(scope).isNotNull() & F.col(time).isNotNull() & F.col(n).isNotNull()).select(F.col(scope).cast("string").alias(scope), F.col(time).cast("date").alias(time), F.col(n).cast("long").alias(n))
+    return known.groupBy(scope).applyInPandasWithState(arrived, SNAPSHOT, "days array<date>, counts array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def incomplete(history: DataFrame, scope: str = "scope", time: str = "collected_on", n: str = "listings", back: int = 4) -> DataFrame:
     """history with ``incomplete``: fewer than half the median of the ``back`` snapshots before."""
     from pyspark.sql import Window
