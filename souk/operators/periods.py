@@ -20,10 +20,10 @@ def growth(df: DataFrame, unit: str, period: str, value: str) -> DataFrame:
 def class_breaks(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """Nearest-rank breaks v[floor(i * n / k)] of each group, repeated ones once, ascending. Ranks come from counts of
     lesser values, so a group of any size is in no one place."""
-    placed = Values(df, keys, value).placed().withColumn("v", F.col("v").cast(df.schema[value].dataType))
-    rank = lambda i: F.least(F.col("total") - 1, F.floor(i * F.col("total") / k))
-    held = F.exists(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (rank(i) >= F.col("before")) & (rank(i) < F.col("before") + F.col("w")))
-    return placed.where(held).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias("breaks"))  # fewer than k
+    placed = Values(df, keys, value).placed().withColumn("__v", F.col("__v").cast(df.schema[value].dataType))
+    rank = lambda i: F.least(F.col("__total") - 1, F.floor(i * F.col("__total") / k))
+    held = F.exists(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (rank(i) >= F.col("__before")) & (rank(i) < F.col("__before") + F.col("__w")))
+    return placed.where(held).groupBy(*keys).agg(F.sort_array(F.collect_set("__v")).alias("breaks"))  # fewer than k
 
 
 def class_of(value: Column, breaks: Column) -> Column:

@@ -22,7 +22,7 @@ def robust_bounds(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     centre = stored(logs.percentiles({"__m": 0.5}))  # one row a group
     beside = lambda rows: rows.join(centre, keys) if keys else rows.crossJoin(centre)
     # The deviations follow from the counted values; df is not read again.
-    spread = Values(beside(logs.each), keys, F.abs(F.col("v") - F.col("__m")), "w").percentiles({"__s": 0.5})
+    spread = Values(beside(logs.each), keys, F.abs(F.col("__v") - F.col("__m")), "__w").percentiles({"__s": 0.5})
     return stored(beside(spread.withColumn("__s", F.col("__s") * 1.4826)))
 
 

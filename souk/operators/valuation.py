@@ -7,14 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.sources.tables import stored
+from souk.sources.tables import scratch, stored
 
 from .selection import Values, and_all
 
 
 def fold(key: str, k: int = 5, seed: int = 42) -> Column:
-    """A row's fold by its key, the same on any partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int")
+    """A row's fold by a hash of its key and the seed: dealt as by a shuffle, the same on any partitioning."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % k).cast("int")
 
 
 def target_encoding(df: DataFrame, group: str, log_value: str, prior: float = 5.0) -> DataFrame:
@@ -126,12 +127,12 @@ def least_squares(df: DataFrame, keys: list[str], features: list[str], target: s
     return sums.mapInPandas(solve, f"{kinds}{', ' if keys else ''}beta array<double>, n double").where("beta is not null")
 
 
-def linear(features: list[str], beta: Column | None = None) -> Column:
+def linear(features: list[str | Column], beta: Column | None = None) -> Column:
     """Prediction from a column ``beta`` (intercept first) and columns of features."""
     beta = F.col("beta") if beta is None else beta
     out = F.get(beta, F.lit(0))
     for i, f in enumerate(features, 1):
-        out = out + F.get(beta, F.lit(i)) * F.col(f)
+        out = out + F.get(beta, F.lit(i)) * (F.col(f) if isinstance(f, str) else f)
     return out
 
 
@@ -151,18 +152,66 @@ def compared(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
 
 
 def boosted(df: DataFrame, group: str, log_unit: str, features: list[str], target: str, fold_col: str, inner_col: str, k: int = 5, trees: int = 300, step: float = 0.05) -> DataFrame:
-    """df with out-of-fold predictions ``gradient_boosting`` of pyspark.ml's boosted trees on features and level."""
+    """df with out-of-fold predictions ``gradient_boosting`` of pyspark.ml's boosted trees on features and level, scored
+    from the tables of their nodes."""
+    rows = stored(nested_encoding(df, group, log_unit, fold_col, inner_col, k))
+    fits = boosted_fits(rows, [*features, "level"], target, k, trees, step)
+    out = rows.where("test").join(F.broadcast(fits), "outer_fold")  # k rows of bounded size
+    return out.withColumn("gradient_boosting", tree_sum(F.col("trees"), [*features, "level"])).drop("outer_fold", "test", "trees", "level")
+
+
+#: Levels of a boosted tree below its root.
+DEPTH = 4
+
+
+def boosted_fits(rows: DataFrame, features: list[str], target: str, k: int = 5, trees: int = 300, step: float = 0.05) -> DataFrame:
+    """outer_fold and ``trees``, the nodes of the boosted trees fitted on the fold's training rows (see packed())."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=[*features, "level"], outputCol="__x").transform(nested_encoding(df, group, log_unit, fold_col, inner_col, k))
-    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="gradient_boosting", maxIter=trees, stepSize=step, maxDepth=4, minInstancesPerNode=20, seed=7)
+    made = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.where("not test"))
+    model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=trees, stepSize=step, maxDepth=DEPTH, minInstancesPerNode=20, seed=7)
     out = None
     for f in range(k):  # one fit for each fold
-        of = rows.where(F.col("outer_fold") == f)
-        one = model.fit(of.where("not test")).transform(of.where("test")).drop("__x", "outer_fold", "test")
+        one = packed(node_table(model.fit(made.where(F.col("outer_fold") == f)))).withColumn("outer_fold", F.lit(f))
         out = one if out is None else out.unionByName(one)
-    return out
+    return stored(out)
+
+
+def node_table(model) -> DataFrame:
+    """A fitted tree ensemble of pyspark.ml as a table: tree, node, feature (-1 in a leaf), threshold, left and right node,
+    and value, the prediction times the tree's weight."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    path = scratch(spark)
+    model.write().save(path)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in model.treeWeights]), F.col("treeID"))
+    n = F.col("nodeData")
+    split = n["split"]
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), n["id"].alias("node"), split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), (n["prediction"] * weight).alias("value"))
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """A node table as one row: ``trees``, an array with an array of nodes for each tree. At most 2 ** (depth + 1) nodes
+    a tree."""
+    names = ["node", "feature", "threshold", "left", "right", "value"]
+    one = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("nodes"))
+    return one.agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("t")).select(F.col("t.nodes").alias("trees"))
+
+
+def tree_sum(trees: Column, features: list[str | Column], depth: int = DEPTH) -> Column:
+    """The sum over trees of the value of the leaf that a row's features lead to; a column expression."""
+    x = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
+
+    def leaf(nodes):
+        def down(at, _):
+            node = F.get(nodes, at)
+            return F.when(node["feature"] < 0, at).when(F.get(x, node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down))["value"]
+
+    return F.aggregate(trees, F.lit(0.0), lambda total, nodes: total + leaf(nodes))
 
 
 def poisson_weight(key: Column, repeat: Column, seed: int) -> Column:
@@ -186,20 +235,26 @@ def bootstrap_intervals(df: DataFrame, key: str, features: list[str], target: st
     return fits.select(terms.alias("t")).select("t.term", "t.value").groupBy("term").agg(q.alias("q")).select("term", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def permutation_importance(df: DataFrame, key: str, features: list[str], target: str, predict, repeats: int = 10, seed: int = 7) -> DataFrame:
-    """feature, drop: how much R2 falls on average when a feature's values are dealt anew among the rows. predict
-    maps {feature: column} to a prediction; keys are distinct."""
+def permutation_importance(df: DataFrame, key: str, features: list[str], target: str, predict, repeats: int = 10, seed: int = 7, within: list[str] | None = None, models: DataFrame | None = None) -> DataFrame:
+    """feature, drop: how much R2 falls on average when a feature's values are dealt anew among the rows, with
+    ``within`` among those that agree on these columns, such as the fold. predict maps {feature: column} to a
+    prediction; it may use columns of models, a small table joined on ``within`` (the fitted models of folds). Keys are
+    distinct."""
+    within = within or []
+    fitted = lambda rows: rows if models is None else rows.join(F.broadcast(models), within)
     from .quality import numbered
 
-    rows = stored(numbered(df.select(key, *features, target), [key], "__i"))
+    rows = stored(numbered(df.select(*within, key, *features, target), [*within, key], "__i"))
     whole = lambda p: 1 - F.sum((F.col(target) - p) * (F.col(target) - p)) / (F.var_pop(target) * F.count("*"))
-    base = rows.agg(whole(predict({f: F.col(f) for f in features})).alias("base"))
+    base = fitted(rows).agg(whole(predict({f: F.col(f) for f in features})).alias("base"))
     out = None
     for r in range(1, repeats + 1):
         order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(r)), F.lit(str(seed))))
-        dealt = numbered(rows.select(order.alias("__o"), key, *[F.col(f).alias(f"__{f}") for f in features]), ["__o", key], "__i").drop("__o", key)
-        both = rows.join(dealt, "__i")
-        one = both.agg(*[whole(predict({g: F.col(f"__{g}" if g == f else g) for g in features})).alias(f) for f in features]).unpivot([], features, "feature", "r2")
+        # Both orders begin with the columns of ``within``, so equal numbers are of one group.
+        dealt = numbered(rows.select(*within, order.alias("__o"), key, *[F.col(f).alias(f"__{f}") for f in features]), [*within, "__o", key], "__i").drop("__o", key, *within)
+        both = fitted(rows.join(dealt, "__i"))
+        one = both.agg(*[whole(predict({g: F.col(f"__{g}" if g == f else g) for g in features})).alias(f"__of_{f}") for f in features])
+        one = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__of_{f}").alias("r2")) for f in features])).alias("r")).select("r.*")
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(base).groupBy("feature").agg(F.avg(F.col("base") - F.col("r2")).alias("drop"))
 

@@ -246,12 +246,14 @@ def nearest_centroid(spark, sf):
     return geo.nearest_centroid(pts, polys.select(F.col("poly").alias("name"), F.col("x0").alias("cx"), F.col("y0").alias("cy")), 2.0, 20.0).select("id", "name", *r6("d2"))
 
 
-OOF = """f as (select p_partkey, p_brand, ln(p_retailprice) y, ln(p_size + 1) x, (p_partkey * 7919 + 42) % 5 fold from part), k as (select p_brand, y, u.g from f, (select unnest([0, 1, 2, 3, 4]) g) u where u.g <> fold), a as (select g, median(y) al from k group by 1), m as (select g, p_brand, median(y) md, count(*) n from k group by 1, 2),
+#: Folds of parts as valuation.fold() deals them, with seeds 42 and 7.
+FOLD, INNER = (f"('0x' || substr(md5(p_partkey::varchar || ':{seed}'), 1, 8))::bigint % 5" for seed in (42, 7))
+OOF = f"""f as (select p_partkey, p_brand, ln(p_retailprice) y, ln(p_size + 1) x, {FOLD} fold from part), k as (select p_brand, y, u.g from f, (select unnest([0, 1, 2, 3, 4]) g) u where u.g <> fold), a as (select g, median(y) al from k group by 1), m as (select g, p_brand, median(y) md, count(*) n from k group by 1, 2),
 e as (select f.*, coalesce((md * n + al * 5) / (n + 5), al) level from f join a on a.g = fold left join m on m.g = fold and m.p_brand = f.p_brand)"""
 
 
 def encoded(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.ln("p_retailprice").alias("y"), F.ln(F.col("p_size") + 1).alias("x")).withColumn("fold", ((F.col("p_partkey") * 7919 + 42) % 5).cast("int"))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.ln("p_retailprice").alias("y"), F.ln(F.col("p_size") + 1).alias("x")).withColumn("fold", valuation.fold("p_partkey"))
     return valuation.out_of_fold_encoding(p, "p_brand", "y", "fold")
 
 

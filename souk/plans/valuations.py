@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from souk.operators import periods, rollup, valuation
+from souk.operators import periods, rollup, selection, series, valuation
+from souk.sources.tables import scratch, stored, write_history
 
-from .market import OOF, encoded, r6, register, table
+from .market import FOLD, INNER, MONTHS, OOF, encoded, months, r6, register, table
 
-FOLDS = "(p_partkey * 7919 + 42) % 5 fold, (p_partkey * 104729 + 7) % 5 inn"
+FOLDS = f"{FOLD} fold, {INNER} inn"
 CV = f"""f as (select p_partkey id, p_brand, ln(p_retailprice) y, ln(p_size + 1) x, ln(p_retailprice) - ln(p_size + 1) lp, {FOLDS} from part), fs as (select unnest([0, 1, 2, 3, 4]) f),
 tr as (select f.*, fs.f from f, fs where fold <> fs.f), seen as (select tr.*, g from tr, (select unnest([-1, 0, 1, 2, 3, 4]) g) where g <> inn),
 al as (select f, g, median(lp) al from seen group by 1, 2), lv as (select f, g, p_brand, median(lp) m, count(*) n from seen group by 1, 2, 3),
@@ -22,7 +23,7 @@ oof as (select e.*, my - b1 * mx - b2 * ml + b1 * x + b2 * lev hedonic_ols, x +
 def homes(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.ln("p_retailprice").alias("y"), F.ln(F.col("p_size") + 1).alias("x"))
     p = p.withColumn("lp", F.col("y") - F.col("x"))
-    return p.withColumn("fold", ((F.col("id") * 7919 + 42) % 5).cast("int")).withColumn("inn", ((F.col("id") * 104729 + 7) % 5).cast("int"))
+    return p.withColumn("fold", valuation.fold("id")).withColumn("inn", valuation.fold("id", seed=7))
 
 
 def predicted(spark, sf):
@@ -53,10 +54,23 @@ def residual_quantiles(spark, sf):
     return rollup.residual_quantiles(e, "r").select(*r6("q10", "q25", "q50", "q75", "q90"))
 
 
+#: Of the boosted trees: how many, and the step; few and large, so that the query is soon done.
+TREES, STEP = 20, 0.2
+
+
 def boosting_comparison(spark, sf):
-    """Out-of-fold errors of boosted trees on size and level. SQL cannot fit them."""
-    out = valuation.boosted(homes(spark, sf), "p_brand", "lp", ["x"], "y", "fold", "inn", trees=20, step=0.2)
-    return valuation.compared(out, "y", ["gradient_boosting"]).select("model", *r6("r2", "mape", "median_ape", "within_20"))
+    """Out-of-fold errors of boosted trees on size and level, beside those of least squares and of location alone, on
+    the same folds. SQL cannot fit the trees."""
+    both = stored(predicted(spark, sf).select("id", "hedonic_ols", "location_only"))
+    out = valuation.boosted(homes(spark, sf), "p_brand", "lp", ["x"], "y", "fold", "inn", trees=TREES, step=STEP).join(both, "id")
+    return valuation.compared(out, "y", ["hedonic_ols", "location_only", "gradient_boosting"]).select("model", *r6("r2", "mape", "median_ape", "within_20"))
+
+
+def boosting_importance(spark, sf):
+    """How much R2 falls when size or level is dealt anew within each fold, for boosted trees."""
+    rows = stored(valuation.nested_encoding(homes(spark, sf), "p_brand", "lp", "fold", "inn"))
+    fits = valuation.boosted_fits(rows, ["x", "level"], "y", trees=TREES, step=STEP)
+    return valuation.permutation_importance(rows.where("test"), "id", ["x", "level"], "y", lambda c: valuation.tree_sum(F.col("trees"), [c["x"], c["level"]]), repeats=3, within=["outer_fold"], models=fits).select("feature", *r6("drop"))
 
 
 FIT = f"""{OOF}, s as (select var_pop(x) s11, var_pop(level) s22, covar_pop(x, level) s12, covar_pop(x, y) s1, covar_pop(level, y) s2, avg(x) mx, avg(level) ml, avg(y) my from e), b as (select *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) b2 from s)"""
@@ -85,41 +99,65 @@ def bootstrap_intervals(spark, sf):
     return valuation.bootstrap_intervals(p, "p_partkey", ["x"], "y", repeats=50).select("term", *r6("low", "high"))
 
 
-@register("""with f as (select p_partkey, p_retailprice / 1000 y, p_size / 10.0 s, p_retailprice / 900 q, row_number() over (order by p_partkey) i from part), base as (select 1 - sum(pow(y - (0.1 * s + 0.9 * q), 2)) / (var_pop(y) * count(*)) r from f),
-d as (select rep, s s2, q q2, row_number() over (partition by rep order by md5(concat_ws(':', cast(p_partkey as varchar), cast(rep as varchar), '7')), p_partkey) i from f, (select unnest([1, 2, 3]) rep)),
-r as (select rep, 1 - sum(pow(y - (0.1 * s2 + 0.9 * q), 2)) / (var_pop(y) * count(*)) a, 1 - sum(pow(y - (0.1 * s + 0.9 * q2), 2)) / (var_pop(y) * count(*)) b from f join d using (i) group by 1)
-select 's' feature, round(avg(base.r - a), 6) "drop" from r, base union all select 'q', round(avg(base.r - b), 6) from r, base""")
+@register(f"""with {CV}, t as (select id, f, y, x, lev, my - b1 * mx - b2 * ml b0, b1, b2, row_number() over (partition by f order by id) i from e join b using (f) where test), base as (select 1 - sum(pow(y - (b0 + b1 * x + b2 * lev), 2)) / (var_pop(y) * count(*)) r from t),
+d as (select rep, f, x x2, lev lev2, row_number() over (partition by rep, f order by md5(concat_ws(':', cast(id as varchar), cast(rep as varchar), '7')), id) i from t, (select unnest([1, 2, 3]) rep)),
+pr as (select rep, 1 - sum(pow(y - (b0 + b1 * x2 + b2 * lev), 2)) / (var_pop(y) * count(*)) a, 1 - sum(pow(y - (b0 + b1 * x + b2 * lev2), 2)) / (var_pop(y) * count(*)) b from t join d using (f, i) group by 1)
+select 'x' feature, round(avg(base.r - a), 6) "drop" from pr, base union all select 'level', round(avg(base.r - b), 6) from pr, base""")
 def permutation_importance(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 1000).alias("y"), (F.col("p_size") / 10.0).alias("s"), (F.col("p_retailprice") / 900).alias("q"))
-    return valuation.permutation_importance(p, "p_partkey", ["s", "q"], "y", lambda c: 0.1 * c["s"] + 0.9 * c["q"], repeats=3).select("feature", *r6("drop"))
+    """How much R2 falls when size or level is dealt anew within each fold, for the cross-validated least squares."""
+    rows = stored(valuation.nested_encoding(homes(spark, sf), "p_brand", "lp", "fold", "inn"))
+    fits = stored(valuation.least_squares(rows.where("not test"), ["outer_fold"], ["x", "level"], "y").select("outer_fold", "beta"))
+    return valuation.permutation_importance(rows.where("test"), "id", ["x", "level"], "y", lambda c: valuation.linear([c["x"], c["level"]]), repeats=3, within=["outer_fold"], models=fits).select("feature", *r6("drop"))
+
+
+PLACES = f"""iv as (with {CV} select exp(-quantile_cont(hedonic_ols - y, 0.9)) q10, exp(-quantile_cont(hedonic_ols - y, 0.1)) q90 from oof), co as (with {FIT} select b1 b_x from b),
+gr as (with {MONTHS} select exp(6 * (arg_max(y, t) - arg_min(y, t)) / (max(t) - min(t))) - 1 roll from ser where series = 'BUILDING' and y is not null),
+pl as (select p_brand, median(p_retailprice) "level", quantile_cont(p_retailprice, 0.25) p25, quantile_cont(p_retailprice, 0.75) p75, median(p_size) size0, count(*) n from part group by 1),
+sm as (select a.p_brand, arg_min(b.p_brand, (-b.n, b.p_brand)) "similar" from pl a join pl b on abs(b."level" / a."level" - 1) < 0.07 and b.p_brand <> a.p_brand group by 1),
+h as (select s_suppkey id, pl.*, 20.0 + s_suppkey % 60 size, ln(21.0 + s_suppkey % 60) x, ln(size0 + 1) x0, b_x, roll, q10, q90 from supplier join pl on p_brand = 'Brand#' || (s_suppkey % 25 + 1), co, gr, iv),
+est as (select *, "level" * size0 * exp(b_x * (x - x0)) * (1 + roll) price from h)"""
+
+
+def fitted(spark, sf):
+    """What pricing needs from the fits, as one row of the history of fits: the coefficient of size (final fit on
+    out-of-fold levels), the band of actual over predicted prices (out-of-fold errors) and the roll-forward, half a year
+    of one series' long-run growth."""
+    beta = valuation.least_squares(encoded(spark, sf), [], ["x", "level"], "y").select(F.get("beta", F.lit(1)).alias("b_x"))
+    band = rollup.error_interval(predicted(spark, sf).withColumn("e", F.col("hedonic_ols") - F.col("y")), "e", (0.1, 0.9))
+    growth = series.growth_rates(months(spark, sf)).where("series = 'BUILDING'").select(F.expm1(6 * F.col("long_run")).alias("roll"))
+    path = scratch(spark)
+    write_history(beta.crossJoin(band).crossJoin(growth).withColumn("fit", F.lit("parts-1")), path, "fit")  # one row each
+    return spark.read.parquet(path).where("fit = 'parts-1'").drop("fit")
 
 
-PLACES = """pl as (select p_brand, median(p_retailprice) "level", quantile_cont(p_retailprice, 0.25) p25, quantile_cont(p_retailprice, 0.75) p75, median(p_size) size0, count(*) n from part group by 1),
-h as (select s_suppkey id, pl.*, 20.0 + s_suppkey % 60 size, s_suppkey % 5 rooms, 2.0 rooms0, ln(20.0 + s_suppkey % 60) la, ln(size0) la0, 0.8 b_la, 0.05 b_rooms, (s_suppkey % 3) / 10.0 roll from supplier join pl on p_brand = 'Brand#' || (s_suppkey % 25 + 1)),
-est as (select *, "level" * size0 * exp(b_la * (la - la0) + b_rooms * (rooms - rooms0)) * (1 + roll) price from h)"""
+def place_levels(spark, sf):
+    p = table(spark, sf, "part").withColumn("size", F.col("p_size").cast("double"))
+    price = selection.Values(p, ["p_brand"], "p_retailprice").percentiles({"level": 0.5, "p25": 0.25, "p75": 0.75}, n="n")
+    return stored(price.join(selection.Values(p, ["p_brand"], "size").percentiles({"size0": 0.5}), "p_brand"))
 
 
 def priced(spark, sf):
-    p = table(spark, sf, "part")
-    places = p.groupBy("p_brand").agg(F.median("p_retailprice").alias("level"), F.percentile("p_retailprice", 0.25).alias("p25"), F.percentile("p_retailprice", 0.75).alias("p75"), F.median("p_size").alias("size0"), F.count("*").alias("n"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("p_brand"), (20.0 + F.col("s_suppkey") % 60).alias("size"), (F.col("s_suppkey") % 5).alias("rooms"), (F.col("s_suppkey") % 3 / 10.0).alias("roll"))
-    h = s.join(places, "p_brand").withColumns({"la": F.ln("size"), "la0": F.ln("size0"), "rooms0": F.lit(2.0), "b_la": F.lit(0.8), "b_rooms": F.lit(0.05)})
-    return valuation.estimate(h, ["la", "rooms"], "roll", {"low": 0.8, "high": 1.25})
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("p_brand"), (20.0 + F.col("s_suppkey") % 60).alias("size"))
+    h = s.join(place_levels(spark, sf), "p_brand").crossJoin(F.broadcast(fitted(spark, sf)))  # one row
+    h = h.withColumns({"x": F.ln(F.col("size") + 1), "x0": F.ln(F.col("size0") + 1)})
+    return valuation.estimate(h, ["x"], "roll", {"low": F.col("q10"), "high": F.col("q90")})
 
 
-@register(f"""with {PLACES} select id, p_brand, round(price, 6) price, round(price * 0.8, 6) low, round(price * 1.25, 6) high, round(price / size, 6) price_m2, case when price / size / (1 + roll) < p25 then 'below' when price / size / (1 + roll) > p75 then 'above' else 'inside' end "position" from est""")
+@register(f"""with {PLACES} select id, p_brand, round(price, 6) price, round(price * q10, 6) low, round(price * q90, 6) high, round(price / size, 6) price_m2, case when price / size / (1 + roll) < p25 then 'below' when price / size / (1 + roll) > p75 then 'above' else 'inside' end "position", "similar" from est left join sm using (p_brand)""")
 def price_homes(spark, sf):
-    """Homes priced from their place's level, with a range and the position in the place's middle half."""
-    out = priced(spark, sf)
-    return out.select("id", "p_brand", *r6("price", "low", "high", "price_m2"), valuation.band_position(F.col("price_m2") / (1 + F.col("roll")), F.col("p25"), F.col("p75")).alias("position"))
+    """Homes priced from their place's level and the fitted results, with the range of the fit's errors, the position in
+    the place's middle half, and the largest place of a like level."""
+    top = periods.similar_units(place_levels(spark, sf), "p_brand", "p_brand", "level", "n", k=1).select(F.col("unit").alias("p_brand"), "similar")
+    out = priced(spark, sf).join(top, "p_brand", "left")
+    return out.select("id", "p_brand", *r6("price", "low", "high", "price_m2"), valuation.band_position(F.col("price_m2") / (1 + F.col("roll")), F.col("p25"), F.col("p75")).alias("position"), "similar")
 
 
-@register(f"""with {PLACES}, f as (select id, "level" * size0 base, unnest(['la', 'rooms', 'roll']) factor, unnest([1, 2, 3]) i, unnest([b_la * (la - la0), b_rooms * (rooms - rooms0), ln(1 + roll)]) s from h), a as (select *, base * exp(sum(s) over (partition by id order by i rows unbounded preceding)) z from f)
+@register(f"""with {PLACES}, f as (select id, "level" * size0 base, unnest(['x', 'roll']) factor, unnest([1, 2]) i, unnest([b_x * (x - x0), ln(1 + roll)]) s from h), a as (select *, base * exp(sum(s) over (partition by id order by i rows unbounded preceding)) z from f)
 select id, factor, i::int i, round(z, 6) as after, round(z - z / exp(s), 6) contribution from a""")
 def price_breakdown(spark, sf):
     """What each factor adds to a home's price, in money, step by step from the place's typical home."""
     h = priced(spark, sf).withColumn("base", F.col("level") * F.col("size0"))
-    steps = valuation.factor_steps(h, ["id", "base"], ["la", "rooms"], "roll")
+    steps = valuation.factor_steps(h, ["id", "base"], ["x"], "roll")
     w = periods.waterfall(steps, ["id", "base", "factor"], "i", "step", 1.0).drop("after", "contribution")
     out = periods.waterfall(w, ["id"], "i", "step", 1.0)
     return out.select("id", "factor", "i", F.round(F.col("after") * F.col("base"), 6).alias("after"), F.round(F.col("contribution") * F.col("base"), 6).alias("contribution"))
@@ -129,10 +167,10 @@ def price_breakdown(spark, sf):
 def same_money(spark, sf):
     """What a home's price buys at each place's level."""
     out = priced(spark, sf).where("id % 10 = 0 or id = 1").select("id", "price", "roll")
-    places = table(spark, sf, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("level"))
+    places = place_levels(spark, sf).select("p_brand", "level")
     return periods.money_matrix(out, places, "price", "level", "roll").select("id", "p_brand", *r6("buys"))
 
 
 from .market import QUERIES  # noqa: E402
 
-QUERIES["boosting_comparison"] = boosting_comparison
+QUERIES["boosting_comparison"], QUERIES["boosting_importance"] = boosting_comparison, boosting_importance

@@ -52,9 +52,10 @@ SNAPSHOT = "scope string, collected_on date, listings long, incomplete boolean"
 
 def flag_incomplete(stream: DataFrame, scope: str = "scope", time: str = "collected_on", n: str = "listings", back: int = 4, keep_days: int = 365) -> DataFrame:
     """incomplete() for arriving snapshots: each is flagged against the last ``back`` of its scope before it, which are
-    the only state; a scope that sends nothing for keep_days is forgotten. Snapshots of a scope should come in the
-    order of their dates; those of one batch are put in order, a repeated date replaces the one before it, and a late
-    one is held against the earlier ones among those kept."""
+    the only state; a scope is forgotten when keep_days have passed since its last one, by the dates of what arrives.
+    Snapshots of a scope should come in the order of their dates; those of one batch are put in order, a repeated date
+    replaces the one before it, a late one is held against the earlier ones among those kept, and one that is keep_days
+    late is dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def arrived(key, frames, state):
@@ -74,11 +75,12 @@ def flag_incomplete(stream: DataFrame, scope: str = "scope", time: str = "collec
             held[day] = int(count)
             held = {d: held[d] for d in sorted(held)[-back - 1 :]}  # one more, in case the last date is repeated
         state.update((sorted(held), [held[d] for d in sorted(held)]))
-        state.setTimeoutDuration(keep_days * 86_400_000)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(max(held)).timestamp() + keep_days * 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["scope", "collected_on", "listings", "incomplete"])
 
     known = stream.where(F.col(scope).isNotNull() & F.col(time).isNotNull() & F.col(n).isNotNull()).select(F.col(scope).cast("string").alias(scope), F.col(time).cast("date").alias(time), F.col(n).cast("long").alias(n))
-    return known.groupBy(scope).applyInPandasWithState(arrived, SNAPSHOT, "days array<date>, counts array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = known.withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", f"{keep_days} days")
+    return known.groupBy(scope).applyInPandasWithState(arrived, SNAPSHOT, "days array<date>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def incomplete(history: DataFrame, scope: str = "scope", time: str = "collected_on", n: str = "listings", back: int = 4) -> DataFrame:
