@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.sources.tables import stored
+
 
 def inside(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd ray test; edges: array<struct<x1,y1,x2,y2>>."""
@@ -13,25 +15,81 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
-def gridded(polygons: DataFrame, cell: float) -> DataFrame:
-    """polygons listed under the grid cells (cx, cy) that their boxes touch."""
-    return polygons.withColumn("cx", F.explode(cells(F.col("x_min"), F.col("x_max"), cell))).withColumn("cy", F.explode(cells(F.col("y_min"), F.col("y_max"), cell)))
-
-
-def within(x: Column, y: Column) -> Column:
-    """In the box of a polygon row, then inside it."""
-    return x.between(F.col("x_min"), F.col("x_max")) & y.between(F.col("y_min"), F.col("y_max")) & inside(x, y, F.col("edges"))
-
-
-def locate(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+def cells(low: Column, high: Column, size) -> Column:
+    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+
+
+def _touching(edges: Column, x0: Column, y0: Column, size: Column) -> Column:
+    """The edges that meet the closed square at (x0, y0)."""
+
+    def meets(e):
+        side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        corners = [side(x, y) for x in (x0, x0 + size) for y in (y0, y0 + size)]
+        near = (F.least(e["x1"], e["x2"]) <= x0 + size) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y0 + size) & (F.greatest(e["y1"], e["y2"]) >= y0)
+        return near & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+    return F.filter(edges, meets)
+
+
+def _odd(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a path from one point to another, first along x and then along y, crosses an odd number of edges."""
+    along_x = lambda e: ((e["y1"] > y1) != (e["y2"] > y1)) & ((x1 < (at := (e["x2"] - e["x1"]) * (y1 - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])) != (x2 < at))
+    along_y = lambda e: ((e["x1"] > x2) != (e["x2"] > x2)) & ((y1 < (at := (e["y2"] - e["y1"]) * (x2 - e["x1"]) / (e["x2"] - e["x1"]) + e["y1"])) != (y2 < at))
+    return (F.size(F.filter(edges, along_x)) + F.size(F.filter(edges, along_y))) % 2 == 1
+
+
+def _mark(cell: Column, axis: str, size: Column) -> Column:
+    """A square's point of reference: near its middle, but on no line that drawn shapes are likely to have."""
+    return (cell + (0.4371 if axis == "cx" else 0.5613)) * size
+
+
+def cover(polygons: DataFrame, most_edges: int = 16, deepest: int = 24) -> DataFrame:
+    """polygons (poly, edges and box) as squares of sides 2 ** level: poly, level, cx, cy, ``held`` (whether the square's
+    mark is inside) and the ``edges`` that meet the square, none in a square that is wholly inside.
+
+    A polygon starts with the at most four squares that its box touches. A square that more than ``most_edges`` edges
+    meet is split into four, at most ``deepest`` times; each takes those of its parent's edges that meet it, and whether
+    its mark is inside follows from the parent's mark and the edges between the two. So the number of squares grows
+    with the number of edges, not with the area, and a point is held against a few edges only."""
+    wide = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), F.lit(1e-9))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    start = polygons.select("poly", F.col("edges").alias("all"), F.ceil(F.log2(wide)).cast("int").alias("level"), "x_min", "x_max", "y_min", "y_max")
+    start = start.withColumn("cx", F.explode(cells(F.col("x_min"), F.col("x_max"), side))).withColumn("cy", F.explode(cells(F.col("y_min"), F.col("y_max"), side)))
+    middle = lambda c: _mark(F.col(c), c, side)
+    made = start.select("poly", "level", "cx", "cy", inside(middle("cx"), middle("cy"), F.col("all")).alias("held"), _touching(F.col("all"), F.col("cx") * side, F.col("cy") * side, side).alias("edges"))
+    done, todo, many = None, stored(made), F.size("edges") > most_edges
+    for _ in range(deepest):
+        ready = todo.where(~many & (F.col("held") | (F.size("edges") > 0)))
+        done = ready if done is None else done.unionByName(ready)
+        split = todo.where(many)
+        if split.isEmpty():
+            return done
+        half = F.pow(F.lit(2.0), F.col("level") - 1)
+        child = split.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("dx", F.col("cx") * 2 + F.col("q") % 2).withColumn("dy", F.col("cy") * 2 + F.floor(F.col("q") / 2))
+        crossed = _odd(F.col("edges"), middle("cx"), middle("cy"), _mark(F.col("dx"), "cx", half), _mark(F.col("dy"), "cy", half))
+        child = child.withColumn("crossed", crossed).withColumn("near", _touching(F.col("edges"), F.col("dx") * half, F.col("dy") * half, half)).withColumn("down", F.col("level") - 1)
+        todo = stored(child.select("poly", F.col("down").alias("level"), F.col("dx").alias("cx"), F.col("dy").alias("cy"), (F.col("held") != F.col("crossed")).alias("held"), F.col("near").alias("edges")))
+    return done.unionByName(todo.where(F.col("held") | (F.size("edges") > 0)))
+
+
+def covered(points: DataFrame, squares: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """points (a table or a stream) with ``poly``, a row for each polygon that holds them; squares as cover() gives them,
+    looked up once on each of their levels."""
+    levels = sorted(r[0] for r in squares.select("level").distinct().collect())  # few: powers of two
+    if not levels:
+        return points.join(squares.select("poly"), F.lit(False))
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    at = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("__cx", F.floor(F.col(x) / size).cast("long")).withColumn("__cy", F.floor(F.col(y) / size).cast("long"))
+    known = squares.select("poly", *[F.col(c).alias(f"__{c}") for c in ("level", "cx", "cy", "held", "edges")])
+    crossed = _odd(F.col("__edges"), _mark(F.col("__cx"), "cx", size), _mark(F.col("__cy"), "cy", size), F.col(x), F.col(y))
+    found = at.join(known, ["__level", "__cx", "__cy"]).where(F.when(F.size("__edges") == 0, F.col("__held")).otherwise(F.col("__held") != crossed))
+    return found.select(*points.columns, "poly")
+
+
+def locate(points: DataFrame, polygons: DataFrame, most_edges: int = 16) -> DataFrame:
     """points (id, x, y) x polygons (poly, edges, x_min, x_max, y_min, y_max) -> id, poly: the least polygon that
-    holds the point (null: none). A polygon is listed under the grid cells that its box touches."""
-    at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    hits = at.join(gridded(polygons, cell), ["cx", "cy"]).where(within(F.col("x"), F.col("y"))).groupBy("id").agg(F.min("poly").alias("poly"))
+    holds the point (null: none)."""
+    hits = covered(points.select("id", "x", "y"), cover(polygons, most_edges)).groupBy("id").agg(F.min("poly").alias("poly"))
     return points.join(hits, "id", "left").select("id", "poly")
 
 
@@ -85,9 +143,9 @@ def verified(points: DataFrame, places: DataFrame, tolerance: float, cell: float
     return held.join(near.select("id", F.col("name").alias("nearest")), "id", "left").select("id", F.when(F.col("ok"), F.col("tag")).otherwise(F.col("nearest")).alias("name"), "ok")
 
 
-def majority_label(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+def majority_label(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """poly -> the most frequent label of the points (id, x, y, label) it holds, the least on ties; null if none."""
-    inside_ = points.join(locate(points.select("id", "x", "y"), polygons, cell), "id").where("poly is not null")
+    inside_ = points.join(locate(points.select("id", "x", "y"), polygons), "id").where("poly is not null")
     votes = inside_.groupBy("poly", "label").count().groupBy("poly").agg(F.min_by("label", F.struct((-F.col("count")).alias("n"), F.col("label").alias("l"))).alias("label"))
     return polygons.select("poly").join(votes, "poly", "left")
 

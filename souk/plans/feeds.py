@@ -84,7 +84,7 @@ def points_in_shapes(spark, sf):
     """Points in polygons with holes and in polygons of several parts, read from files."""
     c = table(spark, sf, "customer")
     pts = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 997 / 100.0).alias("x"), (F.col("c_custkey") * 91 % 991 / 100.0).alias("y"))
-    return geo.locate(pts, nation_features(spark, sf), 1.0).where("poly is not null").groupBy("poly").agg(F.count("*").alias("points"))
+    return geo.locate(pts, nation_features(spark, sf)).where("poly is not null").groupBy("poly").agg(F.count("*").alias("points"))
 
 
 @register("""with m as (select year(o_orderdate) jy, month(o_orderdate) jm, count(*) n, round(sum(o_totalprice), 0) v from orders group by 1, 2)
@@ -259,7 +259,7 @@ def stream_located_cards(spark, sf):
     cards(spark, sf).repartition(3).write.json(path)
     stream = spark.readStream.schema(tables.CARDS).option("maxFilesPerTrigger", 1).json(path)
     _, polygons = points(spark, sf)
-    jobs.append_job(jobs.located_ads(stream, polygons, 1.0, (20, 120), (5e6, 1e8)), out, f"{out}-state").awaitTermination()
+    jobs.append_job(jobs.located_ads(stream, polygons, (20, 120), (5e6, 1e8)), out, f"{out}-state").awaitTermination()
     first = spark.read.parquet(out).groupBy("token", "price_m2").agg(F.min("poly").alias("poly"))
     return first.groupBy("poly").agg(F.count("*").alias("n"), F.round(F.median("price_m2"), 6).alias("level"))
 

@@ -229,14 +229,14 @@ def points(spark, sf):
 @register(f"""with {POINTS} select id, min(poly) poly from pts left join boxes on x > x0 + 0.005 and x < x0 + 1.505 and y > y0 + 0.005 and y < y0 + 1.505 group by 1""")
 def point_in_polygon(spark, sf):
     pts, polys = points(spark, sf)
-    return geo.locate(pts, polys, 1.0)
+    return geo.locate(pts, polys)
 
 
 @register(f"""with {POINTS}, d as (select id, poly, greatest(x0 + 0.005 - x, x - x0 - 1.505, 0) dx, greatest(y0 + 0.005 - y, y - y0 - 1.505, 0) dy from pts, boxes), o as (select id from d group by id having min(dx + dy) > 0)
 select id, poly, case when poly is null then 'outside' else 'snapped' end status from (select o.id, arg_min(poly, (round(sqrt(dx * dx + dy * dy), 9), poly)) filter (where sqrt(dx * dx + dy * dy) <= 0.3) poly from o join d using (id) group by 1)""")
 def snap_nearest(spark, sf):
     pts, polys = points(spark, sf)
-    out = geo.locate(pts, polys, 1.0).where("poly is null").select("id")
+    out = geo.locate(pts, polys).where("poly is null").select("id")
     return geo.snap(pts.join(out, "id"), polys, 0.3)
 
 

@@ -38,7 +38,7 @@ select boxes.poly, arg_min(label, (-n, label)) as label from boxes left join v o
 def polygon_vote(spark, sf):
     pts, polys = points(spark, sf)
     labels = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
-    return geo.majority_label(pts.join(labels, "id"), polys, 1.0)
+    return geo.majority_label(pts.join(labels, "id"), polys)
 
 
 @register(f"""with {POINTS}, b as (select min(x) a, max(x) z, min(y) lo, max(y) hi from pts), k as (select *, cos(radians((lo + hi) / 2)) kx from b), s as (select *, 580 / ((z - a) * kx) sc from k)
@@ -283,7 +283,7 @@ def current_tables(spark, sf):
     cell = F.least(F.lit(4), F.floor(x / 200)) + 5 * F.least(F.lit(4), F.floor(y / 200))
     spots = table(spark, sf, "part").select(id_.alias("id"), (x / 100.0).alias("x"), (y / 100.0).alias("y"), F.when(id_ % 4 == 0, id_ * 13 % 25).when(id_ % 7 > 0, cell).alias("tag"))
     regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("poly"), F.col("n_regionkey").alias("region"))
-    group = geo.locate(spots.select("id", "x", "y"), polys, 1.0).join(regions, "poly").select("id", "region")
+    group = geo.locate(spots.select("id", "x", "y"), polys).join(regions, "poly").select("id", "region")
     places = polys.select(F.col("poly").alias("name"), (F.col("x0") + 0.755).alias("cx"), (F.col("y0") + 0.755).alias("cy"), "x_min", "x_max", "y_min", "y_max")
     unit = geo.verified(spots, places, 0.003, 1.0, 10.0).select("id", F.col("name").alias("poly"), "ok")
     at = stored(group.join(unit, "id"))  # once for each place, not for each row
@@ -325,9 +325,9 @@ def appended_units(spark, sf):
 
 # Calendar ------------------------------------------------------------------------------------------------------
 
-#: The calendar's closed form as SQL: the first day of a Solar Hijri year.
-NEW_YEAR = "(make_date({y} + 621, 3, 1) + cast(20 + 294 + (({y} - 1210) // 33) * 8 + ((({y} - 1210) % 33) + 3) // 4 - (({y} + 621) // 4 - ((({y} + 621) // 100 + 1) * 3) // 4 - 150) - 1 as int))"
-STARTS = f"""yy as (select unnest(generate_series(1370, 1385)) jy), ym as (select unnest(generate_series(1, 12)) jm), starts as (select jy, jm, (jy - 1395) * 12 + jm - 1 t, cast({NEW_YEAR.format(y="jy")} + cast((jm - 1) * 31 - greatest(0, jm - 7) as int) as date) d from yy, ym)"""
+#: Month starts as SQL: a known first day, and the lengths of all months since; leap years by their place in the cycle.
+STARTS = """ym as (select jy, jm, case when jm <= 6 then 31 when jm <= 11 or jy % 33 in (1, 5, 9, 13, 17, 22, 26, 30) then 30 else 29 end len from (select unnest(generate_series(1370, 1385)) jy), (select unnest(generate_series(1, 12)) jm)),
+starts as (select jy, jm, (jy - 1395) * 12 + jm - 1 t, date '1991-03-21' + cast(coalesce(sum(len) over (order by jy, jm rows between unbounded preceding and 1 preceding), 0) as int) d from ym)"""
 
 
 @register(f"""with {STARTS}, o as (select distinct cast(o_orderdate as date) od from orders), a as (select od, max(d) d from o join starts on d <= od group by 1)

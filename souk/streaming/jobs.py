@@ -100,12 +100,11 @@ def weekly_levels(history: DataFrame, scope: str = "scope", time: str = "collect
     return known.groupBy(scope, F.date_trunc("week", time).cast("date").alias("week")).agg(F.sum(n).alias("n"), (F.sum(F.col(n) * F.col(level)) / F.sum(n)).alias("level"))
 
 
-def located_ads(payloads: DataFrame, polygons: DataFrame, cell: float, sizes: tuple[float, float], prices: tuple[float, float]) -> DataFrame:
+def located_ads(payloads: DataFrame, polygons: DataFrame, sizes: tuple[float, float], prices: tuple[float, float]) -> DataFrame:
     """Ads of a stream (or table) of card payloads within the size and price ranges, with a row for each polygon
-    (poly, edges and box) that holds them. A stream-static join on grid cells; no state is kept."""
+    (poly, edges and box) that holds them. A stream-static join on squares; no state is kept."""
     from souk.operators import geo
     from souk.sources import tables
 
     ads = tables.ads(tables.cards(payloads)).where(F.col("size_m2").between(*sizes) & F.col("price_m2").between(*prices))
-    at = ads.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
-    return at.join(geo.gridded(polygons, cell), ["cx", "cy"]).where(geo.within(F.col("lon"), F.col("lat"))).select("token", "lat", "lon", "price", "price_m2", "size_m2", "rooms", "poly")
+    return geo.covered(ads, geo.cover(polygons), "lon", "lat").select("token", "lat", "lon", "price", "price_m2", "size_m2", "rooms", "poly")

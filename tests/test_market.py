@@ -139,7 +139,7 @@ def test_geojson_with_holes_and_parts(spark, tmp_path):
     shapes = tables.geojson(spark, str(tmp_path / "f.geojson"), "poly:int")
     assert [(r.file, r.poly, len(r.edges), r.x_min, r.x_max) for r in shapes.orderBy("poly").collect()] == [("f.geojson", 1, 8, 0.0, 4.0), ("f.geojson", 2, 8, 10.0, 14.0)]
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 10.5, 10.5), (4, 11.5, 11.5), (5, 13.0, 13.0)], "id int, x double, y double")
-    assert {r.id: r.poly for r in geo.locate(pts, shapes, 1.0).collect()} == {1: 1, 2: None, 3: 2, 4: None, 5: 2}
+    assert {r.id: r.poly for r in geo.locate(pts, shapes).collect()} == {1: 1, 2: None, 3: 2, 4: None, 5: 2}
 
 
 def test_methods_on_a_straight_line(spark):

@@ -1,4 +1,4 @@
-"""Quantiles of groups of any size, as-of joins, streams with state and fitted models against plain Python."""
+"""Quantiles of groups of any size, squares of polygons, as-of joins, streams with state and fitted models against plain Python."""
 
 import collections
 import datetime
@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from souk.operators import asof, quality, rollup, selection, series, valuation
+from souk.operators import asof, geo, quality, rollup, selection, series, valuation
 from souk.operators.weighted import weighted_quantile
 from souk.plans import forecasts  # noqa: F401
 from souk.sources import tables
@@ -191,3 +191,47 @@ def test_importance_within_folds(spark):
     models = spark.createDataFrame([(0, [0.0, 1.0, 0.0]), (1, [0.0, -1.0, 0.0])], "fold int, beta array<double>")
     got = {r.feature: r.drop for r in valuation.permutation_importance(df, "id", ["a", "b"], "y", lambda c: valuation.linear([c["a"], c["b"]]), 2, within=["fold"], models=models).collect()}
     assert got["b"] == 0 and 0.1 < got["a"] < 1
+
+
+def ring(points):
+    return [(*a, *b) for a, b in zip(points, [*points[1:], points[0]])]
+
+
+def shape(spark, shapes):
+    rows = [(p, [tuple(map(float, e)) for e in edges]) for p, edges in shapes]
+    df = spark.createDataFrame(rows, "poly int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    ends = lambda c: F.flatten(F.transform("edges", lambda e: F.array(e[f"{c}1"], e[f"{c}2"])))
+    return df.withColumns({f"{c}_{side}": f(ends(c)) for c in "xy" for side, f in (("min", F.array_min), ("max", F.array_max))})
+
+
+def holds(edges, x, y):
+    return sum((a[1] > y) != (a[3] > y) and x < (a[2] - a[0]) * (y - a[1]) / (a[3] - a[1]) + a[0] for a in edges) % 2 == 1
+
+
+@pytest.mark.parametrize("most_edges", [2, 16])
+def test_cells_of_polygons_against_the_ray_test(spark, most_edges):
+    rnd = random.Random(2)
+    star = ring([((2 + i % 2) * math.cos(math.pi * i / 20), (2 + i % 2) * math.sin(math.pi * i / 20)) for i in range(40)])
+    hole = ring([(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)])
+    strip = ring([(0.0, 0.0), (64.0, 0.01), (64.0, 0.02), (0.0, 0.011)])
+    tiny = ring([(1.0, 1.0), (1.0 + 1e-6, 1.0), (1.0, 1.0 + 1e-6)])
+    shapes = [(1, star + hole), (2, strip), (3, tiny), (4, ring([(0, 0), (4, 0), (4, 4), (0, 4)]))]
+    at = [(i, rnd.uniform(-4, 5), rnd.uniform(-4, 5)) for i in range(800)] + [(1000 + i, rnd.uniform(0, 64), rnd.uniform(0, 0.03)) for i in range(200)] + [(2000, 1.0 + 2e-7, 1.0 + 2e-7), (2001, None, 1.0)]
+    got = {r.id: r.poly for r in geo.locate(spark.createDataFrame(at, "id int, x double, y double"), shape(spark, shapes), most_edges).collect()}
+    assert got == {i: min((p for p, edges in shapes if x is not None and holds(edges, x, y)), default=None) for i, x, y in at}
+
+
+def test_a_polygon_of_many_edges(spark):
+    n = 100_000
+    wave = [((5 + 0.3 * math.sin(200 * t)) * math.cos(t), (5 + 0.3 * math.sin(200 * t)) * math.sin(t)) for t in (2 * math.pi * i / n for i in range(n))]
+    edges = ring(wave)
+    squares = geo.cover(shape(spark, [(7, edges)]))
+    sizes = squares.agg(F.count("*"), F.max(F.size("edges")), F.count_if(F.size("edges") == 0)).first()
+    assert sizes[0] < n and sizes[1] <= 16 and sizes[2] > 100
+    rnd = random.Random(3)
+    at = [(i, rnd.uniform(-5.5, 5.5), rnd.uniform(-5.5, 5.5)) for i in range(150)]
+    a = np.array(edges)
+    got = {r.id for r in geo.covered(spark.createDataFrame(at, "id int, x double, y double"), squares).collect()}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = {i for i, x, y in at if np.sum(((a[:, 1] > y) != (a[:, 3] > y)) & (x < (a[:, 2] - a[:, 0]) * (y - a[:, 1]) / (a[:, 3] - a[:, 1]) + a[:, 0])) % 2}
+    assert got == want
