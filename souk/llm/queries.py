@@ -14,7 +14,7 @@ from .simhash import op4_pigeonring_simhash
 from .sketch import op8_threshold_sketch
 from .substring_dedup import OP3_SQL, op3_countmin_substrings
 from .token_counts import op5_token_counts
-from .url_filter import OP6_SQL, op6_redirect_equivalence
+from .url_filter import OP6_SQL, REDIRECTED_SQL, op6_redirect_equivalence, redirected_pages
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_secret_battery, op3_countmin_substrings, op4_pigeonring_simhash, op5_token_counts, op6_redirect_equivalence, op7_blockmax_wand, op8_threshold_sketch, op9_ordinal_quality, op10_bpe_automaton, op11_prefix_trie, op12_pair_bound_maxscore, op13_segmentation_language)}
-ORACLE_SQL: dict[str, str] = {"op3_countmin_substrings": OP3_SQL, "op6_redirect_equivalence": OP6_SQL, "op7_blockmax_wand": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_pair_bound_maxscore": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_secret_battery, op3_countmin_substrings, op4_pigeonring_simhash, op5_token_counts, op6_redirect_equivalence, op7_blockmax_wand, op8_threshold_sketch, op9_ordinal_quality, op10_bpe_automaton, op11_prefix_trie, op12_pair_bound_maxscore, op13_segmentation_language, redirected_pages)}
+ORACLE_SQL: dict[str, str] = {"op3_countmin_substrings": OP3_SQL, "op6_redirect_equivalence": OP6_SQL, "op7_blockmax_wand": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_pair_bound_maxscore": OP12_SQL, "redirected_pages": REDIRECTED_SQL}

@@ -5,10 +5,9 @@ sequence; none: an empty sketch) that lie below ``fraction`` of the hash range.
 alone, so sketches of parts merge by union and a short text's sketch can be held against a long one's:
 containment of A in B is estimated as common / size of A.
 
-A text of at most ``FEW`` different shingles, or none of whose hashes lies below the fraction, keeps all its
-hashes, and its sketch ends with the mark ``WHOLE``. Two whole sketches are compared as they are; a whole one and
-another only by hashes below the fraction. If that leaves none of the lesser, the two sketches cannot tell, and
-the likeness is null. Before a union of sketches, whole ones are cut likewise unless all are whole.
+Where no hash lies below the fraction, the least one is kept in its place, so only a text without words has an empty
+sketch. Such a least hash is dropped when sketches are merged and others lie below the fraction. Sketches are compared
+as sets: the likeness of two is the share of the smaller that the larger has, 0 if they share nothing.
 
 Cases: null text counts as empty; equal texts have equal sketches; only a text without words has an empty sketch;
 two empty sketches have likeness 1, an empty and another 0; very long texts are hashed whole; a table of one row follows on itself; an empty table gives an
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, id_text
 
-WORDS, FRACTION, FEW = 5, 0.25, 64
-WHOLE = np.uint64(2**64 - 1)
+WORDS, FRACTION = 5, 0.25
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -91,36 +89,30 @@ def sketch(text: str, size: int = WORDS, fraction: float = FRACTION) -> np.ndarr
         return np.zeros(0, dtype=np.uint64)
     hashes = window_hashes(word_hashes(raw, starts, ends), min(size, len(starts)))
     kept = np.unique(below(hashes, fraction))
-    if len(kept) <= FEW:
-        every = np.unique(hashes)
-        if len(every) <= FEW or not len(kept):
-            return np.append(every, WHOLE)
-    return kept
+    return kept if len(kept) else hashes.min(keepdims=True)
 
 
-def below(hashes: np.ndarray, fraction: float) -> np.ndarray:
-    return hashes if fraction >= 1 else hashes[hashes < np.uint64(int(fraction * 2**64))]
+def merged(parts: list[np.ndarray], fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of all shingles of several texts, from their sketches."""
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    kept = below(every, fraction)
+    return kept if len(kept) else every[:1]
 
 
-def alike_cut(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
-    """Both sketches without marks, cut to the hashes that either would have kept."""
-    whole = [len(x) > 0 and x[-1] == WHOLE for x in (a, b)]
-    a, b = (x[:-1] if w else x for x, w in zip((a, b), whole, strict=True))
-    return (a, b) if all(whole) else (below(a, fraction), below(b, fraction))
+def below(hashes: np.ndarray, fraction: float) -> np.ndarray:
+    return hashes if fraction >= 1 else hashes[hashes < np.uint64(int(fraction * 2**64))]
 
 
-def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
-    """Estimated share of a's shingles that b has; None if the sketches cannot tell."""
+def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of a's shingles that b has."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    a, b = alike_cut(a, b, fraction)
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else None
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Containment of the smaller in the larger."""
-    x, y = alike_cut(a, b, fraction)
-    return containment(a, b, fraction) if len(x) <= len(y) else containment(b, a, fraction)
+    return containment(a, b) if len(a) <= len(b) else containment(b, a)
 
 
 def written(a: np.ndarray) -> str:
@@ -132,7 +124,7 @@ def read_back(s: str) -> np.ndarray:
 
 
 def sketches(df: DataFrame, size: int = WORDS, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (the kept hashes, and the mark of whole sets, as ascending hex of 16 digits each) for each row of df."""
+    """doc_id, fingerprint (the kept hashes as ascending hex of 16 digits each) for each row of df."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,7 +186,7 @@ def edited_sketches(df: DataFrame, size: int = WORDS, fraction: float = FRACTION
             cut_at = len(text) - len(text) // 2
             edited = text[:cut_at] + following[: len(text) - cut_at]
             of_edited = sketch(edited, size, fraction)
-            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(of_edited), likeness(own, of_edited, fraction), likeness(own, its_sketch, fraction)
+            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(of_edited), likeness(own, of_edited), likeness(own, its_sketch)
 
         for b in batches:
             out = []

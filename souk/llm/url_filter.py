@@ -6,7 +6,8 @@ each other as canonical (link rel=canonical) are aliases: connected components o
 no rule fits is blocked if a rule blocks one of its aliases and none explicitly allows one; else it is allowed.
 An explicit rule always keeps its own verdict.
 
-Everything is DataFrame operations; the components run over the edges alone.
+Everything is DataFrame operations, the components' rounds too (``few=0``: never the task that small edge sets have
+elsewhere); they run over the edges alone.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule, no aliases, and is allowed; null or
 very long html is searched whole; repeated rows and null keys give one result each; an empty table gives an
@@ -100,7 +101,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
         rows = rows.withColumn("alias", F.lit(None).cast("string"))
     else:
         own = let(F.struct(host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), lambda x: F.get(verdicts, rule_index(x["host"], x["path"], rules)))
-        named = components(edges).withColumn("own", own)
+        named = components(edges, few=0).withColumn("own", own)
         decided = named.groupBy("component").agg(F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed")).where("blocked and not coalesce(allowed, false)").select("component")
         # Only aliases of blocked URLs are joined; the planner broadcasts them where its size check allows.
         blocked = cut(named.join(decided, "component").where("own is null").select("node").distinct().withColumn("alias", F.lit("block")))
@@ -113,6 +114,32 @@ def op6_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def redirected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages judged with made redirects, since theirs have none: of three pages in a row each leads to the next."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    follow = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
+    redirects = pages.where("page_id % 3 <> 2").join(follow, "page_id").select(F.col("url").alias("src"), "dst")
+    return judge(pages, redirects=redirects)
+
+
+#: SQL for redirected_pages: aliases by recursion over the redirects.
+REDIRECTED_SQL = r"""
+with recursive u as (select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path, regexp_replace(url, '(?s)#.*$', '') bare from pages),
+n as (select *, case when host <> '' then translate(head, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || case when rest like '/%' then rest else '/' || rest end end node
+      from (select *, substr(bare, length(head) + 1) rest from (select *, regexp_extract(bare, '(?s)^(.*?://[^/?]*)', 1) head from u))),
+r(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m as (select n.page_id, arg_max(r.h || r.p, length(r.h || r.p)) rule, arg_max(r.verdict, length(r.h || r.p)) verdict
+      from n join r on (n.host = r.h or ends_with(n.host, '.' || r.h)) and starts_with(n.path, r.p) group by n.page_id),
+d as (select a.node a, b.node b from n a join n b on b.page_id = a.page_id + 1 where a.page_id % 3 <> 2 and a.node <> b.node),
+e as (select a, b from d union select b, a from d),
+reach(node, c) as (select a, a from e union select e.b, reach.c from reach join e on e.a = reach.node),
+g as (select node, min(c) c from reach group by 1),
+o as (select distinct g.c, m.verdict from g join n using (node) join m using (page_id)),
+bad as (select c from o group by c having bool_or(verdict = 'block') and not bool_or(verdict = 'allow'))
+select n.page_id, n.host, n.path, m.rule, coalesce(m.verdict, case when bad.c is not null then 'block' else 'allow' end) verdict, case when m.rule is not null then 'rule' when bad.c is not null then 'alias' else 'default' end "by"
+from n left join m using (page_id) left join g on g.node = n.node left join bad on bad.c = g.c
+"""
 #: SQL for op6 where no page has edges; the driver's pages have none.
 OP6_SQL = r"""
 with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
