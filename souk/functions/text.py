@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # Replacements of a transliteration key, in the order in which they apply.
 TRANSLITERATION = [("ou", "u"), ("oo", "u"), ("ee", "i"), ("iy", "i"), ("ey", "ei"), ("gh", "q"), ("kh", "x"), ("w", "v"), ("aa", "a"), ("eh", "e"), ("ah", "a"), ("ie", "i")]
-# Digits and unit words, in the order in which a word decides.
+# Endings of place names.
 PLACE_SUFFIXES = (" county", "-city", "-new-town", "-industrial-city")
 # Words of attribute chips for square metres, rooms, new buildings, years, and in price titles for price.
 METRE, ROOM, NEW, YEAR, PRICE = "متر", "اتاق", "نوساز", "سال", "قیمت"
+# Digits and unit words, in the order in which a word decides.
 LOCAL_DIGITS, DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 UNIT_WORDS = [("میلیارد", 1e9), ("میلیون", 1e6), ("هزار", 1e3)]
 

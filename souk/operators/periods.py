@@ -128,5 +128,6 @@ def history(df: DataFrame, unit: str, periods: dict[str, int], selected: int) ->
 
 
 def money_matrix(budgets: DataFrame, places: DataFrame, price: str, level: str, roll: str) -> DataFrame:
-    """What each budget buys at each place's level rolled forward: places x the budgets asked for."""
+    """What each budget buys at each place's level rolled forward: a row for each of both, so budgets
+    should be the few that are asked for and places a reference table."""
     return budgets.crossJoin(places).withColumn("buys", F.try_divide(F.col(price), F.col(level) * (1 + F.col(roll))))

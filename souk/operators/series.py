@@ -197,6 +197,7 @@ def states_of(df: DataFrame, methods: list[str] | None = None) -> DataFrame:
 def backtest(df: DataFrame, horizon: int, min_history: int = 36, methods: list[str] | None = None) -> DataFrame:
     """Rolling-origin errors in logs of df (series, t, y): series, method, origin, h, err, ape, for each origin with
     t >= min_history and each horizon that has an actual."""
+    df = stored(df.select("series", "t", "y"))  # every method reads it
     made = paths(states_of(df, methods).where(F.col("origin") >= min_history), horizon)
     actual = df.where(F.col("y").isNotNull()).select(F.col("series").cast("string").alias("series"), "t", "y")
     err = F.col("pred") - F.col("y")
@@ -224,6 +225,7 @@ def error_bands(bt: DataFrame, method: str, horizon: int) -> DataFrame:
 
 def last_states(df: DataFrame, methods: list[str] | None = None) -> DataFrame:
     """The states at each series' last known month."""
+    df = stored(df.select("series", "t", "y"))
     last = df.where(F.col("y").isNotNull()).groupBy(F.col("series").cast("string").alias("series")).agg(F.max("t").cast("int").alias("origin"))
     return states_of(df, methods).join(last, ["series", "origin"])
 

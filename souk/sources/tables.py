@@ -70,10 +70,11 @@ def bounds(df: DataFrame) -> DataFrame:
     return df.agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
 
 
-def catalogue(spark: SparkSession, path: str, places: int = 5) -> DataFrame:
-    """Places of a catalogue document with their centroid (rounded) and box; those without a box are left out."""
+def catalogue(spark: SparkSession, path: str, places: int = 5, lines: bool = False) -> DataFrame:
+    """Places of catalogue documents (one a file; with lines, one a line) with their centroid (rounded) and box; those
+    without a box are left out."""
     schema = "districts array<struct<id:long,slug:string,name:string,centroid:struct<latitude:double,longitude:double>,bbox:array<double>>>"
-    x = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("districts").alias("x")).where("size(x.bbox) = 4")
+    x = spark.read.json(path, schema=schema, multiLine=not lines).select(F.explode("districts").alias("x")).where("size(x.bbox) = 4")
     box = [F.col("x.bbox")[i].alias(n) for i, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]
     return x.select("x.id", "x.slug", "x.name", F.round("x.centroid.latitude", places).alias("lat"), F.round("x.centroid.longitude", places).alias("lon"), *box)
 
