@@ -32,10 +32,10 @@ def interpolated(placed: DataFrame, keys: list[str], qs: dict[str, float]) -> Da
     return placed.groupBy(*keys).agg(*out)
 
 
-def weighted_quantile_of_many(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
+def weighted_quantile_of_many(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float], per_range: int | None = None) -> DataFrame:
     """weighted_quantile() for groups of any size, such as a whole table (no keys), by selection.Values. Rows of one
     value count as one: the heaviest stands first and the lightest last, and only these two places matter."""
-    return Values(df, keys, value, weight).weighted(qs)
+    return Values(df, keys, value, weight, per_range).weighted(qs)
 
 
 def weighted_mean(value: str, weight: str):
