@@ -9,7 +9,9 @@ follow from the global mean length.
 Queries come past the shards in chunks of bounded size. For a query the sum of its lists' maxima in a block bounds
 every score there. The cursors go through the blocks in document order: the pivot is the next block whose bound
 reaches the threshold, the k-th best score so far, and all postings before it are skipped. The best block is
-scored first and a threshold found in one shard holds in the next shards of the task, so most blocks are skipped.
+scored first and a threshold found in one shard holds in the next shards of the task; between batches of blocks, which
+grow, the threshold is looked at again. For queries of a few words most blocks are skipped; for whole documents as
+queries, as in op7, next to none.
 The tasks' top k are merged, so the result is exact.
 
 Cases: null or empty texts match nothing; a query without known words has no result; ties, of scores rounded to
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, id_text, stored
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and of a block; queries of a chunk and their terms (of one query there may be more).
-SHARD_ROWS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 256, 8192, 1_000_000
+#: Documents and postings of a shard, documents of a block; queries of a chunk and their terms (of one query there may
+#: be more).
+SHARD_ROWS, SHARD_POSTINGS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 8_000_000, 256, 8192, 1_000_000
 
 
 def _hash(word: bytes) -> int:
@@ -48,9 +51,11 @@ def counted(text: str):
     return np.unique(found, return_counts=True)
 
 
-def shards(rows: DataFrame) -> DataFrame:
+def shards(rows: DataFrame, most_rows: int | None = None, most_postings: int = SHARD_POSTINGS) -> DataFrame:
     """rows (doc_id, text) -> n, words and ``blob`` of each shard: ids and lengths of documents, the terms, where
-    each term's postings end, and the postings' places and counts."""
+    each term's postings end, and the postings' places and counts. A shard ends at so many documents (SHARD_ROWS), or
+    with the one that reaches so many postings."""
+    most_rows = most_rows or SHARD_ROWS
 
     def packed(ids, terms, tfs):
         import numpy as np
@@ -72,7 +77,7 @@ def shards(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        ids, terms, tfs = [], [], []
+        ids, terms, tfs, postings = [], [], [], 0
         batch = lambda: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(packed(ids, terms, tfs), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["n", "words", "blob"])
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -80,9 +85,10 @@ def shards(rows: DataFrame) -> DataFrame:
                 ids.append(i)
                 terms.append(t)
                 tfs.append(n)
-                if len(ids) == SHARD_ROWS:
+                postings += len(t)
+                if len(ids) >= most_rows or postings >= most_postings:
                     yield batch()
-                    ids, terms, tfs = [], [], []
+                    ids, terms, tfs, postings = [], [], [], 0
         if ids:
             yield batch()
 
