@@ -79,6 +79,7 @@ class Values:
         hits = near.where(F.exists(target(F.col("__total")), lambda t: (t >= F.col("__low")) & (t <= F.col("__high")))).select(*out, "__r", "__base", "__total")
         rows = self.each
         if copies is not None:
+            hits = stored(hits)  # few rows, used twice
             rows = rows.join(F.broadcast(hits.select("__r").distinct()), "__r", "left_semi")  # at most MOST_RANGES numbers
             rows = rows.select(F.explode(copies).alias("__c"), "__r", "__v", "__w", "__first", "__last").select("__c.*", "__r", "__v", "__w", "__first", "__last")
         rows = joined(rows, hits, [*out, "__r"])
