@@ -96,7 +96,7 @@ def quality_flag_parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", quality.label([(F.col("p_size") >= 40, "large"), (F.col("p_retailprice") > 1200, "dear")], "plain").alias("flag"))
 
 
-@register("""select 'CU-' || lpad(cast(row_number() over (order by c_acctbal, c_custkey) as varchar), 5, '0') key, c_custkey from customer""")
+@register("""select printf('CU-%05d', row_number() over (order by c_acctbal nulls first, c_custkey nulls first)) key, c_custkey from customer""")
 def surrogate_keys(spark, sf):
     return quality.surrogate_key(table(spark, sf, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"], "CU").select("key", "c_custkey")
 

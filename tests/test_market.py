@@ -54,6 +54,16 @@ def test_query(spark, db, name):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-4 for x, y in zip(a, b, strict=True)), (a, b)
 
 
+def test_surrogate_keys_beyond_five_digits(spark, tmp_path):
+    path = f"{tmp_path}/customer.parquet"
+    duckdb.sql(f"copy (select i::bigint c_custkey, case when i % 1000 <> 7 then (i * 7919 % 5003)::double end c_acctbal from range(100200) t(i)) to '{path}'")
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{path}'")
+    want = dict(con.sql(f"select c_custkey, key from ({registry.ORACLE_SQL['surrogate_keys']})").fetchall())
+    got = {r.c_custkey: r.key for r in registry.QUERIES["surrogate_keys"](spark, str(tmp_path)).collect()}
+    assert got == want and len(set(got.values())) == 100200 and "CU-100200" in got.values()
+
+
 @pytest.mark.parametrize(("jy", "jm", "day"), [(1395, 1, "2016-03-20"), (1399, 12, "2021-02-19"), (1400, 1, "2021-03-21"), (1403, 1, "2024-03-20"), (1404, 1, "2025-03-21"), (1405, 7, "2026-09-23")])
 def test_month_starts(spark, jy, jm, day):
     assert str(spark.range(1).select(calendar.to_gregorian(F.lit(jy), F.lit(jm), F.lit(1))).first()[0]) == day
