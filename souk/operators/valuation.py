@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.sources.tables import scratch, stored
+from souk.sources.tables import scratch, spread, stored
 
 from .selection import Values, and_all
 
@@ -104,7 +104,7 @@ def least_squares(df: DataFrame, keys: list[str], features: list[str], target: s
     w = F.lit(1.0) if weight is None else weight
     size = len(xs)
     known = df.na.drop(subset=[*features, target])
-    sums = known.groupBy(*keys).agg(F.array(*[F.sum(w * xs[i] * xs[j]) for i in range(size) for j in range(i, size)]).alias("a"), F.array(*[F.sum(w * x * F.col(target)) for x in xs]).alias("b"), F.sum(w).alias("n"))
+    sums = known.groupBy(*keys).agg(F.array(*[F.sum(w * xs[i] * xs[j]) for i in range(size) for j in range(i, size)]).alias("a"), F.array(*[F.sum(w * x * F.col(target)) for x in xs]).alias("b"), F.sum(w).alias("n")).where("n > 0")
 
     def solve(batches):
         import numpy as np
@@ -215,20 +215,23 @@ def tree_sum(trees: Column, features: list[str | Column], depth: int = DEPTH) ->
 
 
 def poisson_weight(key: Column, repeat: Column, seed: int) -> Column:
-    """How often a row is drawn in a bootstrap sample: Poisson with mean 1, from a hash of key, repeat and seed."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), repeat.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
+    """How often a row is drawn in a bootstrap sample: Poisson with mean 1, from a hash of key, repeat and seed. Its first
+    eight hex digits, as a share of 2 ** 32, are held against the distribution in their written form."""
+    digits = F.md5(F.concat_ws(":", key.cast("string"), repeat.cast("string"), F.lit(str(seed))))
     cut, total, term = [], 0.0, math.exp(-1)
     for i in range(1, 9):
         total += term
-        cut.append(total)
+        cut.append(f"{math.ceil(total * 2.0**32):08x}")
         term /= i
-    return sum(((u >= c).cast("int") for c in cut), F.lit(0))
+    return sum(((digits >= c).cast("int") for c in cut), F.lit(0))
 
 
 def bootstrap_intervals(df: DataFrame, key: str, features: list[str], target: str, repeats: int = 300, seed: int = 7, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """term, low, high: quantiles of least-squares coefficients over bootstrap samples. Rows are weighted, not copied
-    by drawing, so samples are the same on any partitioning; sums are taken before the shuffle."""
-    drawn = df.select(key, *features, target, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn("w", poisson_weight(F.col(key), F.col("rep"), seed)).where("w > 0")
+    by drawing, so samples are the same on any partitioning; sums are taken before the shuffle. Weights of 0 become null,
+    which sums leave out: a filter on them would hash once for each of its comparisons."""
+    each = spread(df.select(key, *features, target).na.drop(subset=[*features, target]))
+    drawn = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn("w", F.nullif(poisson_weight(F.col(key), F.col("rep"), seed), F.lit(0)))
     fits = least_squares(drawn, ["rep"], features, target, F.col("w"))
     terms = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in ("intercept", *features)]).alias("term"), F.col("beta").alias("value")))
     q = F.percentile("value", F.array(F.lit(low), F.lit(high)))

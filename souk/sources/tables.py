@@ -51,6 +51,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly to all cores, for work that multiplies or hashes the rows of a table that may lie in a
+    single file or row group."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """A row for each feature of the files (one document each): its properties, the edges of all rings of its
     Polygon or MultiPolygon (holes too, for the even-odd test), their box, and the file it came from."""

@@ -250,3 +250,22 @@ def test_stream_dedup(spark, tmp_path):
     s = spark.readStream.schema("token string, ts timestamp").parquet(str(tmp_path / "in"))
     jobs.append_job(jobs.dedup(s, ["token"], "ts"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_bootstrap_hashes_a_draw_once_on_all_cores(spark):
+    d = spark.range(0, 900, 1, 1).select("id", F.ln(F.col("id") % 50 + 1).alias("x"), F.when(F.col("id") % 97 > 0, F.ln(F.col("id") * 31 % 400 + 2)).alias("y"))
+    out = valuation.bootstrap_intervals(d, "id", ["x"], "y", repeats=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+    assert "RoundRobinPartitioning" in plan
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("r").cast("string"), F.lit("7"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    draws = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("r")).withColumns({"w": valuation.poisson_weight(F.col("id"), F.col("r"), 7), "u": u}).toPandas()
+    share = [sum(math.exp(-1) / math.factorial(i) for i in range(n)) for n in range(1, 9)]
+    assert draws.w.tolist() == [sum(x >= c for c in share) for x in draws.u]
+    fits = []
+    for _, g in draws[draws.y.notna() & (draws.w > 0)].groupby("r"):
+        w, x, y = (g[c].to_numpy(float) for c in ("w", "x", "y"))
+        b = (w.sum() * (w * x * y).sum() - (w * x).sum() * (w * y).sum()) / (w.sum() * (w * x * x).sum() - (w * x).sum() ** 2)
+        fits.append(b)
+    got = next(r for r in out.collect() if r.term == "x")
+    assert abs(got.low - pd.Series(fits).quantile(0.05)) < 1e-9 and abs(got.high - pd.Series(fits).quantile(0.95)) < 1e-9
