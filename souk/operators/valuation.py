@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.sources.tables import scratch, spread, stored
 
-from .selection import Values, and_all
+from .selection import Values, and_all, joined
 
 
 def fold(key: str, k: int = 5, seed: int = 42) -> Column:
@@ -153,28 +153,48 @@ def compared(df: DataFrame, actual: str, models: list[str]) -> DataFrame:
 
 def boosted(df: DataFrame, group: str, log_unit: str, features: list[str], target: str, fold_col: str, inner_col: str, k: int = 5, trees: int = 300, step: float = 0.05) -> DataFrame:
     """df with out-of-fold predictions ``gradient_boosting`` of pyspark.ml's boosted trees on features and level, scored
-    from the tables of their nodes."""
+    from the tables of their nodes, once for equal features."""
     rows = stored(nested_encoding(df, group, log_unit, fold_col, inner_col, k))
-    fits = boosted_fits(rows, [*features, "level"], target, k, trees, step)
-    out = rows.where("test").join(F.broadcast(fits), "outer_fold")  # k rows of bounded size
-    return out.withColumn("gradient_boosting", tree_sum(F.col("trees"), [*features, "level"])).drop("outer_fold", "test", "trees", "level")
+    names = ["outer_fold", *features, "level"]
+    fits = boosted_fits(rows, names[1:], target, k, trees, step)
+    tests = rows.where("test")
+    scored = tests.select(*names).distinct().join(F.broadcast(fits), "outer_fold")  # k rows of bounded size
+    scored = stored(scored.select(*names, tree_sum(F.col("trees"), names[1:]).alias("gradient_boosting")))
+    return joined(tests, scored, names).drop("outer_fold", "test", "level")
 
 
-#: Levels of a boosted tree below its root.
-DEPTH = 4
+#: Levels of a boosted tree below its root, and the least rows of a node.
+DEPTH, LEAF = 4, 20
 
 
 def boosted_fits(rows: DataFrame, features: list[str], target: str, k: int = 5, trees: int = 300, step: float = 0.05) -> DataFrame:
-    """outer_fold and ``trees``, the nodes of the boosted trees fitted on the fold's training rows (see packed())."""
+    """outer_fold and ``trees``, the nodes of the boosted trees fitted on the fold's training rows (see packed()). Rows of
+    equal features always share a leaf, and squared error splits by sums and counts alone, so each such set is one row:
+    its mean, weighted by its size. Rows that lack a value are left out."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    made = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.where("not test"))
-    model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=trees, stepSize=step, maxDepth=DEPTH, minInstancesPerNode=20, seed=7)
-    out = None
-    for f in range(k):  # one fit for each fold
-        one = packed(node_table(model.fit(made.where(F.col("outer_fold") == f)))).withColumn("outer_fold", F.lit(f))
-        out = one if out is None else out.unionByName(one)
+    known = rows.where("not test").na.drop(subset=[*features, target])
+    cells = stored(known.groupBy("outer_fold", *features).agg(F.avg(target).alias("__y"), F.count("*").cast("double").alias("__n")))
+    made = VectorAssembler(inputCols=features, outputCol="__x").transform(cells)
+    total = {r["outer_fold"]: r["n"] for r in cells.groupBy("outer_fold").agg(F.sum("__n").alias("n")).collect()}  # k rows
+
+    def fit(f: int) -> DataFrame:
+        # A leaf holds at least LEAF rows: a share of the fold's, as cells are not counted but weighed.
+        n = total.get(f, 0)
+        share, depth = ((LEAF - 0.5) / n, DEPTH) if n >= 2 * LEAF else (0.0, 0)
+        model = GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__n", maxIter=trees, stepSize=step, maxDepth=depth, minInstancesPerNode=1, minWeightFractionPerNode=share, seed=7)
+        return packed(node_table(model.fit(made.where(F.col("outer_fold") == f)))).withColumn("outer_fold", F.lit(f))
+
+    # One fit for each fold, of many short jobs, side by side.
+    with ThreadPool(k) as pool:
+        fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(k))
+    out = fits[0]
+    for one in fits[1:]:
+        out = out.unionByName(one)
     return stored(out)
 
 
@@ -242,22 +262,32 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
     """feature, drop: how much R2 falls on average when a feature's values are dealt anew among the rows, with
     ``within`` among those that agree on these columns, such as the fold. predict maps {feature: column} to a
     prediction; it may use columns of models, a small table joined on ``within`` (the fitted models of folds). Keys are
-    distinct."""
+    distinct. Predictions are made once for equal features: the squared errors of such rows follow from their number,
+    mean and variance."""
     within = within or []
     fitted = lambda rows: rows if models is None else rows.join(F.broadcast(models), within)
     from .quality import numbered
 
     rows = stored(numbered(df.select(*within, key, *features, target), [*within, key], "__i"))
-    whole = lambda p: 1 - F.sum((F.col(target) - p) * (F.col(target) - p)) / (F.var_pop(target) * F.count("*"))
-    base = fitted(rows).agg(whole(predict({f: F.col(f) for f in features})).alias("base"))
+    names = [f"__x{i}" for i in range(len(features))]  # of the features' values, as they are or dealt anew
+
+    def errors(both: DataFrame, variants: dict[str, list[Column]]) -> DataFrame:
+        """feature, r2 of the predictions for each variant of the features' values."""
+        one = [F.struct(F.lit(f).alias("feature"), *[c.alias(n) for c, n in zip(values, names, strict=True)]) for f, values in variants.items()]
+        each = both.select(*within, F.col(target).alias("__y"), F.explode(F.array(*one)).alias("__v")).select(*within, "__y", "__v.*")
+        cells = each.groupBy(*within, "feature", *names).agg(F.count("__y").alias("__n"), F.avg("__y").alias("__m"), (F.var_pop("__y") * F.count("__y")).alias("__s"))
+        off = F.col("__m") - predict(dict(zip(features, map(F.col, names), strict=True)))
+        sums = fitted(cells).groupBy("feature").agg(F.sum(F.col("__s") + F.col("__n") * off * off).alias("e"))
+        return sums.crossJoin(whole).select("feature", (1 - F.col("e") / F.col("__whole")).alias("r2"))
+
+    whole = rows.agg((F.var_pop(target) * F.count("*")).alias("__whole"))
+    base = errors(rows, {"": [F.col(f) for f in features]}).select(F.col("r2").alias("base"))
     out = None
     for r in range(1, repeats + 1):
         order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(r)), F.lit(str(seed))))
         # Both orders begin with the columns of ``within``, so equal numbers are of one group.
         dealt = numbered(rows.select(*within, order.alias("__o"), key, *[F.col(f).alias(f"__{f}") for f in features]), [*within, "__o", key], "__i").drop("__o", key, *within)
-        both = fitted(rows.join(dealt, "__i"))
-        one = both.agg(*[whole(predict({g: F.col(f"__{g}" if g == f else g) for g in features})).alias(f"__of_{f}") for f in features])
-        one = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__of_{f}").alias("r2")) for f in features])).alias("r")).select("r.*")
+        one = errors(rows.join(dealt, "__i"), {f: [F.col(f"__{g}" if g == f else g) for g in features] for f in features})
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(base).groupBy("feature").agg(F.avg(F.col("base") - F.col("r2")).alias("drop"))
 

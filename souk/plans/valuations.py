@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.operators import periods, rollup, selection, series, valuation
-from souk.sources.tables import scratch, stored, write_history
+from souk.sources.tables import scratch, spread, stored, write_history
 
 from .market import FOLD, INNER, MONTHS, OOF, encoded, months, r6, register, table
 
@@ -21,7 +21,8 @@ oof as (select e.*, my - b1 * mx - b2 * ml + b1 * x + b2 * lev hedonic_ols, x +
 
 
 def homes(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.ln("p_retailprice").alias("y"), F.ln(F.col("p_size") + 1).alias("x"))
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size"))
+    p = p.select(F.col("p_partkey").alias("id"), "p_brand", F.ln("p_retailprice").alias("y"), F.ln(F.col("p_size") + 1).alias("x"))
     p = p.withColumn("lp", F.col("y") - F.col("x"))
     return p.withColumn("fold", valuation.fold("id")).withColumn("inn", valuation.fold("id", seed=7))
 

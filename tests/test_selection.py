@@ -2,10 +2,12 @@
 
 import collections
 import datetime
+import hashlib
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +247,40 @@ def test_a_polygon_of_many_edges(spark):
     with np.errstate(divide="ignore", invalid="ignore"):
         want = {i for i, x, y in at if np.sum(((a[:, 1] > y) != (a[:, 3] > y)) & (x < (a[:, 2] - a[:, 0]) * (y - a[:, 1]) / (a[:, 3] - a[:, 1]) + a[:, 0])) % 2}
     assert got == want
+
+
+def test_boosted_fits_see_equal_features_once(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    df = spark.range(3000).select((F.col("id") % 2).cast("int").alias("outer_fold"), F.lit(False).alias("test"), (F.col("id") % 7).cast("double").alias("a"), (F.floor(F.col("id") / 7) % 5).cast("double").alias("b"), F.sin(F.col("id")).alias("e"))
+    df = df.withColumn("y", F.col("a") * F.col("b") + F.col("e"))
+    whole = GBTRegressor(featuresCol="x", labelCol="y", maxIter=5, stepSize=0.3, maxDepth=valuation.DEPTH, minInstancesPerNode=20, seed=7)
+    want = whole.fit(VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df.where("outer_fold = 0")))
+    seen, real = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows, *more: seen.append(rows.count()) or real(self, rows, *more))
+    fits = valuation.boosted_fits(df, ["a", "b"], "y", k=2, trees=5, step=0.3)
+    assert seen == [35, 35]  # rows of equal features are one
+    grid = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df.select("a", "b").distinct())
+    both = want.transform(grid).crossJoin(fits.where("outer_fold = 0")).select("prediction", valuation.tree_sum(F.col("trees"), ["a", "b"]).alias("own")).collect()
+    assert len(both) == 35 and all(abs(r.prediction - r.own) < 1e-6 for r in both)
+
+
+def test_importance_predicts_equal_features_once(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 4).cast("double").alias("a"), (F.floor(F.col("id") / 4) % 3).cast("double").alias("b"), F.sin(F.col("id")).alias("e")).withColumn("y", 2 * F.col("a") + F.col("e")).drop("e")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def predict(a, b):
+        calls.add(1)
+        return 2 * a + 0.1 * b
+
+    got = {r.feature: r.drop for r in valuation.permutation_importance(df, "id", ["a", "b"], "y", lambda c: predict(c["a"], c["b"]), 1).collect()}
+    assert calls.value <= 200  # not once for each of 2,000 rows and variants
+    rows = df.toPandas()
+    var = lambda p: 1 - ((rows.y - p) ** 2).sum() / ((rows.y - rows.y.mean()) ** 2).sum()
+    deal = rows.iloc[pd.Series([hashlib.md5(f"{i}:1:7".encode()).hexdigest() for i in rows.id]).argsort(kind="stable")]
+    rows = rows.sort_values("id").reset_index(drop=True)
+    a2, b2 = deal.a.reset_index(drop=True), deal.b.reset_index(drop=True)
+    base = var(2 * rows.a + 0.1 * rows.b)
+    assert abs(got["a"] - (base - var(2 * a2 + 0.1 * rows.b))) < 1e-9 and abs(got["b"] - (base - var(2 * rows.a + 0.1 * b2))) < 1e-9
