@@ -31,6 +31,9 @@ K1, B = 1.2, 0.75
 #: Documents and postings of a shard, documents of a block; queries of a chunk and their terms (of one query there may
 #: be more).
 SHARD_ROWS, SHARD_POSTINGS, BLOCK, QUERY_ROWS, QUERY_TERMS = 32768, 8_000_000, 256, 8192, 1_000_000
+#: Bytes of a shard's lists that are also held as rows of a matrix, the least share of documents that such a list has, the
+#: least of them that a query needs to be scored by the matrix, and how many queries are multiplied at once.
+DENSE_BYTES, DENSE_SHARE, DENSE_TERMS, TOGETHER = 32 << 20, 1 / 16, 16, 64
 
 
 def _hash(word: bytes) -> int:
@@ -121,7 +124,7 @@ class Shard:
 
         size, tf = self.lengths[self.doc], self.tf.astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        begins = np.r_[0, self.stops[:-1]]
+        self.begins = begins = np.r_[0, self.stops[:-1]]
         block = self.doc // BLOCK
         fresh = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
         fresh[begins] = True
@@ -132,8 +135,44 @@ class Shard:
         self.to = np.searchsorted(self.start, self.stops)  # each term's runs
         self.from_ = np.r_[0, self.to[:-1]]
         self.blocks = -(-len(self.doc_ids) // BLOCK)
+        # The longest lists once more as a matrix: terms by places.
+        n, long = len(self.doc_ids), self.stops - begins
+        often = np.flatnonzero(long >= n * DENSE_SHARE)
+        often = often[np.argsort(-long[often], kind="stable")[: DENSE_BYTES // (8 * max(n, 1))]]
+        self.row = np.full(len(self.terms), -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        for r, t in enumerate(often.tolist()):
+            self.dense[r, self.doc[begins[t] : self.stops[t]]] = self.impact[begins[t] : self.stops[t]]
         return self
 
+    def find(self, terms, weights):
+        """Numbers of those terms that the shard has, and their weights."""
+        import numpy as np
+
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        i = np.searchsorted(self.terms, terms)
+        i[i == len(self.terms)] = 0
+        ok = self.terms[i] == terms
+        return i[ok], weights[ok]
+
+    def base(self, found: list):
+        """For each of the (numbers, weights) that find() gave the scores by the matrix's terms alone, of all places; None
+        where the query has few of them, so that its blocks are better skipped."""
+        import numpy as np
+
+        rows = [self.row[i] for i, _ in found]
+        many = [k for k, r in enumerate(rows) if np.count_nonzero(r >= 0) >= DENSE_TERMS]
+        w = np.zeros((len(many), len(self.dense)))
+        for k, at in enumerate(many):
+            ok = rows[at] >= 0
+            w[k, rows[at][ok]] = found[at][1][ok]
+        out = [None] * len(found)
+        for at, scores in zip(many, w @ self.dense if many else (), strict=True):
+            out[at] = scores
+        return out
+
     @staticmethod
     def _ranges(a, z):
         import numpy as np
@@ -143,42 +182,64 @@ class Shard:
 
     def top(self, terms, weights, k: int, floor: float = 0.0):
         """(doc_ids, scores) of the k best with scores, rounded to six places, of at least floor; ties by id."""
+        found = self.find(terms, weights)
+        return self.best(*found, self.base([found])[0], k, floor)
+
+    def best(self, i, w, base, k: int, floor: float = 0.0):
+        """top() for what find() and base() gave."""
         import numpy as np
 
-        i = np.searchsorted(self.terms, terms)
-        i[i == len(self.terms)] = 0
-        ok = self.terms[i] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        i, w = i[ok], weights[ok]
         if not len(i):
             return np.zeros(0, np.int64), np.zeros(0)
         runs = self._ranges(self.from_[i], self.to[i])
         run_w = np.repeat(w, self.to[i] - self.from_[i])
         run_block = self.block[runs]
         bound = np.bincount(run_block, weights=self.most[runs] * run_w, minlength=self.blocks) * (1 + 1e-12) + 6e-7
-        places, scores = [], []
+        places, scores, n = [], [], len(self.doc_ids)
+        if base is not None:
+            # Only lists outside the matrix are left to be read, and scores by the matrix alone are a threshold.
+            rare = self.row[i] < 0
+            of_rare = np.flatnonzero(np.repeat(rare, self.to[i] - self.from_[i]))
+            runs, run_w, run_block, i, w = runs[of_rare], run_w[of_rare], run_block[of_rare], i[rare], w[rare]
+            if n >= k:
+                floor = max(floor, float(np.round(np.partition(base, n - k)[n - k], 6)))
 
         def score(chosen):
             nonlocal floor
-            r, v = runs, run_w
             if len(chosen) < self.blocks:
                 wanted = np.zeros(self.blocks, dtype=bool)
                 wanted[chosen] = True
                 mine = np.flatnonzero(wanted[run_block])
                 r, v = runs[mine], run_w[mine]
-            a, z = self.start[r], self.stop[r]
+                a, z = self.start[r], self.stop[r]
+            else:  # whole lists
+                a, z, v = self.begins[i], self.stops[i], w
             posts = self._ranges(a, z)
-            got = np.round(np.bincount(self.doc[posts], weights=self.impact[posts] * np.repeat(v, z - a)), 6)
-            found = np.flatnonzero(got >= max(floor, 1e-6))
-            places.append(found)
-            scores.append(got[found])
+            got = np.bincount(self.doc[posts], weights=self.impact[posts] * np.repeat(v, z - a), minlength=0 if base is None else n)
+            if base is None:
+                at = None
+            elif len(chosen) < self.blocks:
+                at = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                at = at[at < n]
+                got = got[at] + base[at]
+            else:
+                at, got = None, got + base
+            # Rounding keeps order: only scores near the threshold or above are rounded.
+            found = np.flatnonzero(got >= max(floor, 1e-6) - 1e-6)
+            got = np.round(got[found], 6)
+            keep = got >= max(floor, 1e-6)
+            found, got = found[keep], got[keep]
+            places.append(found if at is None else at[found])
+            scores.append(got)
             if sum(map(len, scores)) >= k:
                 every = np.concatenate(scores)
                 floor = max(floor, float(np.partition(every, -k)[-k]))
 
-        first = int(bound.argmax())
-        if bound[first] >= floor:
-            score(np.array([first]))
-        cursor, step = 0, 4
+        first, cursor, step = -1, 0, self.blocks
+        if base is None:
+            first, step = int(bound.argmax()), 4
+            if bound[first] >= floor:
+                score(np.array([first]))
         while cursor < self.blocks:
             pivots = np.flatnonzero((bound[cursor:] >= floor) & (bound[cursor:] > 6e-7))[: step + 1] + cursor
             pivots = pivots[pivots != first][:step]
@@ -265,16 +326,19 @@ def _chunk(index: DataFrame, ready: DataFrame, mean: float, k: int) -> DataFrame
         for b in batches:
             for blob in b.column("blob"):
                 shard = Shard(blob.as_py()).ready(mean)
-                for q, _, terms, ws in held.value:
-                    ids, scores, floor = best.get(q, (None, None, 0.0))
-                    more, got = shard.top(terms, ws, k, floor)
-                    if not len(more):
-                        continue
-                    if ids is not None:
-                        more, got = np.concatenate([ids, more]), np.concatenate([scores, got])
-                        keep = np.lexsort((more, -got))[:k]
-                        more, got = more[keep], got[keep]
-                    best[q] = (more, got, float(got[-1]) if len(got) == k else 0.0)
+                for low in range(0, len(held.value), TOGETHER):
+                    asked = held.value[low : low + TOGETHER]
+                    known = [shard.find(terms, ws) for _, _, terms, ws in asked]
+                    for (q, _, _, _), (i, w), base in zip(asked, known, shard.base(known), strict=True):
+                        ids, scores, floor = best.get(q, (None, None, 0.0))
+                        more, got = shard.best(i, w, base, k, floor)
+                        if not len(more):
+                            continue
+                        if ids is not None:
+                            more, got = np.concatenate([ids, more]), np.concatenate([scores, got])
+                            keep = np.lexsort((more, -got))[:k]
+                            more, got = more[keep], got[keep]
+                        best[q] = (more, got, float(got[-1]) if len(got) == k else 0.0)
         parts = [(q, i, best[q]) for q, i, _, _ in held.value if q in best]
         if parts:
             n = [len(x[0]) for _, _, x in parts]

@@ -742,3 +742,20 @@ def test_keys_of_letters_or_digits_only_are_tested(spark):
     clean = [r.text for r in secrets.redact(df).collect()]
     assert sum(any(k in t for t in clean) for k in keys) <= 4
     assert all(any(f" {p} " in t for t in clean) for p in plain)
+
+
+def test_frequent_terms_by_matrix_give_the_same_scores(spark, monkeypatch):
+    import numpy as np
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([w for j, w in enumerate(words) if (i * 7 + j * j) % (2 + j % 5)] + [f"r{i % 40}"])) for i in range(700)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    shard = bm25.Shard(bm25.shards(rows).first().blob).ready(20.0)
+    assert len(shard.dense) >= bm25.DENSE_TERMS
+    for _, text in texts[::70]:
+        terms, tf = bm25.counted(text)
+        found = shard.find(terms, tf.astype(float))
+        base = shard.base([found])[0]
+        assert base is not None
+        a, b = shard.best(*found, base, 10), shard.best(*found, None, 10)
+        assert a[0].tolist() == b[0].tolist() and np.allclose(a[1], b[1], atol=1e-9)
