@@ -489,6 +489,52 @@ def test_search(spark, docs, rows, empty, monkeypatch):
     assert collections.Counter((r.query_id, r.doc_id, r.score) for r in bm25.search(base, asked, 4).collect()) == twice
 
 
+def test_search_of_whole_documents(spark, monkeypatch):
+    """Queries scored together get what brute force gives, with and without thresholds; documents of two vocabularies
+    lie apart; a shard without a single word is passed over."""
+    monkeypatch.setattr(bm25, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    words = [np.array([f"{v}{i}" for i in range(4000)]) for v in "ab"]
+    share = 1 / np.arange(1, 4001) / (1 / np.arange(1, 4001)).sum()
+    rows = [(i, " ".join(words[i % 2][rng.choice(4000, int(rng.integers(20, 400)), p=share)])) for i in range(800)]
+    rows += [(900 + i, rows[i][1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = bm25.shards(df.coalesce(1)).collect()
+    mean = sum(r.words for r in made) / len(rows)
+    shard = bm25.Shard(made[0].blob).ready(mean)
+    odd = shard.doc_ids % 2 == np.array([0 if i >= 900 and i % 2 == 0 else i % 2 for i in shard.doc_ids])
+    assert odd.all() and len(shard.doc_ids) == len(rows)
+    mixed = sum(len(set(shard.doc_ids[b : b + 64] % 2)) > 1 for b in range(0, len(rows), 64))
+    assert mixed <= 8  # before: all 13
+    counts = {i: collections.Counter(t.split()) for i, t in rows}
+    df_of, n = collections.Counter(w for c in counts.values() for w in c), len(rows)
+    asked = [i for i, _ in rows if i % 7 == 0]
+    idf = {w: math.log1p((n - f + 0.5) / (f + 0.5)) for w, f in df_of.items()}
+    q, number, weight, want = [], [], [], {}
+    for j, i in enumerate(asked):
+        terms, tf = bm25.counted(dict(rows)[i])
+        by_hash = {bm25.counted(w)[0][0]: w for w in counts[i]}
+        at = shard.find(terms)
+        assert (at >= 0).all()
+        q += [j] * len(at)
+        number += at.tolist()
+        weight += [f * idf[by_hash[t]] for t, f in zip(terms, tf, strict=True)]
+        size = {d: sum(c.values()) for d, c in counts.items()}
+        scores = {d: sum(f * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for w, f in counts[i].items() if w in c) for d, c in counts.items()}
+        want[j] = sorted(((-round(x, 6), d) for d, x in scores.items() if x > 0))[:5]
+    q, number, weight = np.array(q), np.array(number), np.array(weight)
+    for floors in (np.zeros(len(asked)), np.array([-want[j][4][0] - 2e-6 for j in range(len(asked))])):
+        of, ids, scores = shard.together(q, number, weight, floors, 5)
+        for j in range(len(asked)):
+            got = sorted(zip(-scores[of == j], ids[of == j], strict=True))[:5]
+            assert [d for _, d in got] == [d for _, d in want[j]]
+            assert np.allclose([x for x, _ in got], [x for x, _ in want[j]], atol=2e-6)
+    # Every partition is a shard here, one of them with empty texts only.
+    few = spark.createDataFrame(rows[:8], "doc_id long, text string").coalesce(1).union(spark.createDataFrame([(70, None), (71, " ")], "doc_id long, text string").coalesce(1))
+    got = bm25.search(few, few.select(F.col("doc_id").alias("query_id"), "text"), 3).collect()
+    assert {r.query_id for r in got} == set(range(8)) and all(r.rank > 1 or r.doc_id == r.query_id for r in got)
+
+
 def test_search_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
