@@ -415,6 +415,7 @@ def _chunk(index: DataFrame, ready: DataFrame, mean: float, k: int) -> DataFrame
         floors, best = np.zeros(len(numbers)), {}  # best: of each lot of queries, query, doc_id and score over the task's shards so far
         for b in batches:
             for blob in b.column("blob"):
+                shard = None  # the one before goes first
                 shard = Shard(blob.as_py()).ready(mean)
                 at = shard.find(own)
                 for low in range(0, len(numbers), TOGETHER):
@@ -450,8 +451,14 @@ def _chunk(index: DataFrame, ready: DataFrame, mean: float, k: int) -> DataFrame
     tasks = max(spark.sparkContext.defaultParallelism, 1)
     found = index.select("blob").coalesce(tasks).mapInArrow(run, "q long, query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id"))  # k of each task
-    out = stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"))
-    held.destroy()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1")  # a task has many shards, but holds one at a time
+    try:
+        out = stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score"))
+    finally:
+        spark.conf.set(size, before)
+        held.destroy()
     return out
 
 
